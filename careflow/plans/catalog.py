@@ -380,3 +380,314 @@ SELECT c.consultation_id, c.patient_id,
 FROM b_items i JOIN b_consultations c ON i.consultation_id = c.consultation_id""")
 def q_medicine_lines(spark, d):
     return records.medicine_lines(clinical(Bindings(spark, d)))
+
+
+# ---------------------------------------------------------------- predicates & lookups (P*, J7, J8, J11)
+from careflow.operators import predicates as P  # noqa: E402
+from careflow.operators import registry as U  # noqa: E402
+from careflow.functions import extract as X  # noqa: E402
+from careflow.sources import lake as L  # noqa: E402
+
+
+@query("applications_by_status", "SELECT * FROM b_applications WHERE status = 'pending'")
+def q_applications_by_status(spark, d):
+    return P.applications_by_status(Bindings(spark, d).applications)
+
+
+_PAYLOAD_FIELDS = ["name", "license_number", "phone", "email", "pincode", "address", "city", "state",
+                   "admin_name", "admin_email"]
+
+
+@query("applications_flat", "SELECT " + ", ".join(
+    f"json_extract_string(data, '$.{f}') AS {f}" for f in _PAYLOAD_FIELDS)
+    + ", app_id AS hospital_id, status FROM b_applications WHERE status = 'pending'")
+def q_applications_flat(spark, d):
+    return P.applications_flat(Bindings(spark, d).applications)
+
+
+@query("publish_staff", "SELECT * FROM b_staff")
+def q_publish_staff(spark, d):
+    return P.publish(Bindings(spark, d).staff)
+
+
+_SCAN_DECODE = """
+SELECT event_id, coalesce(nullif(json_extract_string(CASE WHEN json_valid(payload) THEN payload ELSE '{}' END,
+       '$.patient_id'), ''), payload) AS patient_id FROM b_scans"""
+
+
+@query("ci_lookup", f"""
+SELECT s.event_id, s.patient_id AS requested, p.patient_id, p.name
+FROM ({_SCAN_DECODE}) s JOIN b_patients p
+  ON upper(trim(s.patient_id)) = upper(trim('vk-' || CAST(p.patient_id AS VARCHAR)))""")
+def q_ci_lookup(spark, d):
+    b = Bindings(spark, d)
+    req = X.scan_decode(b.scans).withColumnRenamed("patient_id", "requested")
+    codes = b.patients.select("patient_id", "name", F.concat(F.lit("vk-"), F.col("patient_id")).alias("code"))
+    return P.ci_lookup(req, "requested", codes, "code").select("event_id", "requested", "patient_id", "name")
+
+
+@query("alert_candidates", "SELECT * FROM b_consultations WHERE severity IN ('emergency', 'high')")
+def q_alert_candidates(spark, d):
+    return P.alert_candidates(Bindings(spark, d).consultations)
+
+
+@query("lookup_ids", "SELECT * FROM b_patients WHERE patient_id IN (SELECT patient_id FROM b_checkins)")
+def q_lookup_ids(spark, d):
+    b = Bindings(spark, d)
+    return P.lookup_ids(b.patients, b.checkins)
+
+
+@query("unknown_ids", """
+SELECT * FROM b_checkins c WHERE NOT EXISTS (SELECT 1 FROM b_patients p WHERE p.patient_id = c.patient_id)""")
+def q_unknown_ids(spark, d):
+    b = Bindings(spark, d)
+    return P.unknown_ids(b.checkins, b.patients)
+
+
+@query("missing_results", """
+SELECT order_id, CAST(len(m) AS BIGINT) AS n_missing, CAST(to_json(m) AS VARCHAR) AS missing_tests FROM (
+  SELECT order_id, list_filter(from_json(tests, '["VARCHAR"]'),
+         lambda t: coalesce(trim(json_extract_string(results, '$."' || t || '"')), '') = '') AS m
+  FROM b_results) WHERE len(m) > 0""")
+def q_missing_results(spark, d):
+    return P.missing_results(Bindings(spark, d).results)
+
+
+@query("registration_rejects", """
+SELECT event_id, patient_id, CASE
+  WHEN name IS NULL OR regexp_matches(name, '^\\s*$') THEN 'name_required'
+  WHEN coalesce(age_text, '') = '' THEN 'age_required'
+  WHEN NOT regexp_matches(age_text, '^\\s*[+-]?[0-9]') THEN 'age_not_integer' END AS reason
+FROM b_register_requests
+WHERE name IS NULL OR regexp_matches(name, '^\\s*$') OR coalesce(age_text, '') = ''
+   OR NOT regexp_matches(age_text, '^\\s*[+-]?[0-9]')""")
+def q_registration_rejects(spark, d):
+    return P.registration_rejects(Bindings(spark, d).register_requests)
+
+
+@query("patients_with_orders", "SELECT * FROM b_patients WHERE patient_id IN (SELECT patient_id FROM b_lab_orders)")
+def q_patients_with_orders(spark, d):
+    b = Bindings(spark, d)
+    return P.patients_with_orders(b.patients, b.lab_orders)
+
+
+_ALERT_FEED = """
+SELECT c.consultation_id, c.patient_id, p.name, p.room_number, c.severity, c.diagnosis, c.created_at
+FROM b_consultations c JOIN b_patients p ON c.patient_id = p.patient_id
+WHERE c.severity IN ('emergency', 'high')"""
+
+
+@query("alert_feed", _ALERT_FEED)
+def q_alert_feed(spark, d):
+    b = Bindings(spark, d)
+    return P.alert_feed(b.consultations, b.patients)
+
+
+def _sha_id(prefix: str, expr: str, n: int = 16) -> str:
+    return f"'{prefix}' || upper(substr(sha256(CAST({expr} AS VARCHAR)), 1, {n}))"
+
+
+@query("principal_hospital", f"""
+SELECT k.key, k.owner_id, k.role,
+       CASE WHEN k.role = 'hospital_admin' THEN k.owner_id WHEN k.role = 'system_admin' THEN NULL
+            ELSE CAST(s.hospital_id AS VARCHAR) END AS hospital_id
+FROM (SELECT {_sha_id('sk_staff_', 'staff_id')} AS key, CAST(staff_id AS VARCHAR) AS owner_id, role FROM b_staff
+      UNION ALL
+      SELECT {_sha_id('sk_hosp_', 'hospital_id')}, CAST(hospital_id AS VARCHAR), 'hospital_admin' FROM b_hospitals) k
+LEFT JOIN b_staff s ON k.owner_id = CAST(s.staff_id AS VARCHAR)""")
+def q_principal_hospital(spark, d):
+    b = Bindings(spark, d)
+    return P.principal_hospital(P.api_keys_from(b.staff, b.hospitals), b.staff)
+
+
+# ---------------------------------------------------------------- state folds (U*, J4, J5, W7, T5)
+_TOKENS = """
+SELECT event_id, patient_id, ts, is_new, CAST(prior + 1 AS BIGINT) AS token_number,
+       CAST(prior % 3 + 1 AS BIGINT) AS room_number FROM (
+  SELECT *, coalesce(sum(CAST(is_new AS BIGINT)) OVER (ORDER BY ts, event_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM (
+    SELECT event_id, patient_id, ts,
+           row_number() OVER (PARTITION BY patient_id ORDER BY ts, event_id) = 1 AS is_new
+    FROM b_registrations))"""
+
+
+@query("token_numbers", _TOKENS)
+def q_token_numbers(spark, d):
+    return U.token_numbers(Bindings(spark, d).registrations)
+
+
+_UPSERT = f"""
+SELECT t.patient_id, p.name, p.language, p.hospital_id, t.token_number, t.room_number, 0 AS checked_in,
+       t.ts AS created_at, t.visits
+FROM (SELECT *, count(*) OVER (PARTITION BY patient_id) AS visits,
+             row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM ({_TOKENS})) t
+JOIN b_patients p ON t.patient_id = p.patient_id WHERE t.rn = 1"""
+
+
+@query("patients_upsert", _UPSERT)
+def q_patients_upsert(spark, d):
+    b = Bindings(spark, d)
+    return U.patients_upsert(U.token_numbers(b.registrations), b.patients)
+
+
+@query("checkin_state", f"""
+SELECT u.patient_id, u.created_at, c.last_checkin,
+       CASE WHEN c.last_checkin >= u.created_at THEN 1 ELSE 0 END AS checked_in
+FROM ({_UPSERT}) u LEFT JOIN (SELECT patient_id, max(ts) AS last_checkin FROM b_checkins GROUP BY patient_id) c
+ON u.patient_id = c.patient_id""")
+def q_checkin_state(spark, d):
+    b = Bindings(spark, d)
+    state = U.patients_upsert(U.token_numbers(b.registrations), b.patients)
+    return U.checkin_state(state, b.checkins)
+
+
+def _fold_sql(dept: str, action: str, done: str, with_results: bool) -> str:
+    res = ("CASE WHEN u.last_update >= o.created_at THEN u.last_data ELSE '{}' END AS results,"
+           if with_results else "")
+    return f"""
+SELECT o.order_id, o.patient_id, o.created_at,
+       CASE WHEN u.last_update >= o.created_at THEN '{done}' ELSE 'pending' END AS status, {res}
+       CASE WHEN u.last_update >= o.created_at THEN u.last_update ELSE o.created_at END AS updated_at
+FROM b_lab_order_events o LEFT JOIN (
+  SELECT patient_id, arg_max(data, (updated_at, update_id)) AS last_data, max(updated_at) AS last_update
+  FROM b_dept_updates WHERE dept = '{dept}' AND action = '{action}' GROUP BY patient_id) u
+ON o.patient_id = u.patient_id"""
+
+
+@query("lab_state", _fold_sql("lab", "submitted_results", "completed", True))
+def q_lab_state(spark, d):
+    b = Bindings(spark, d)
+    return U.lab_state(b.lab_order_events, b.dept_updates)
+
+
+@query("rx_state", _fold_sql("pharmacy", "dispensed", "dispensed", False))
+def q_rx_state(spark, d):
+    b = Bindings(spark, d)
+    return U.rx_state(b.lab_order_events, b.dept_updates)
+
+
+@query("dedup_updates", """
+SELECT update_id, patient_id, dept, action, data, updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY update_id ORDER BY updated_at) AS rn
+  FROM (SELECT * FROM b_dept_updates UNION ALL SELECT * FROM b_dept_updates)) WHERE rn = 1""")
+def q_dedup_updates(spark, d):
+    b = Bindings(spark, d)
+    replayed = b.dept_updates.unionByName(b.dept_updates)  # every event delivered twice (a retry)
+    return U.dedup_updates(replayed)
+
+
+def _py_list(expr: str) -> str:
+    return f"'[' || array_to_string(list_transform({expr}, lambda x: CAST(to_json(x) AS VARCHAR)), ', ') || ']'"
+
+
+@query("fanout_orders", f"""
+SELECT {_sha_id('LAB-', 'consultation_id')} AS order_id, consultation_id, patient_id,
+       {_py_list('lab_tests')} AS tests, 'pending' AS status, '{{}}' AS results, created_at, created_at AS updated_at
+FROM b_clinical WHERE len(lab_tests) > 0""")
+def q_fanout_orders(spark, d):
+    return U.fanout_orders(clinical(Bindings(spark, d)))
+
+
+@query("fanout_rx", f"""
+SELECT {_sha_id('RX-', 'consultation_id')} AS rx_id, consultation_id, patient_id,
+       {_py_list('prescriptions')} AS medicines, 'pending' AS status, created_at, created_at AS updated_at
+FROM b_clinical WHERE len(prescriptions) > 0""")
+def q_fanout_rx(spark, d):
+    return U.fanout_rx(clinical(Bindings(spark, d)))
+
+
+@query("alert_log", f"""
+SELECT {_sha_id('ALERT-', 'f.consultation_id')} AS alert_id, f.consultation_id, f.patient_id, f.severity,
+       f.diagnosis, CASE WHEN s.sent THEN 1 ELSE 0 END AS sms_sent, f.created_at
+FROM ({_ALERT_FEED}) f LEFT JOIN (SELECT consultation_id, bool_or(status = 'sent') AS sent FROM b_deliveries
+GROUP BY consultation_id) s ON f.consultation_id = s.consultation_id""")
+def q_alert_log(spark, d):
+    b = Bindings(spark, d)
+    return U.alert_log(P.alert_feed(b.consultations, b.patients), b.deliveries)
+
+
+def _backfill_sql(prefix: str, id_col: str, list_col: str, out_col: str, extra: str) -> str:
+    return f"""
+SELECT {_sha_id(prefix, 'consultation_id')} AS {id_col}, patient_id, consultation_id,
+       {_py_list(list_col)} AS {out_col}, 'pending' AS status, {extra} created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY created_at, consultation_id) AS rn FROM b_clinical)
+WHERE rn = 1 AND patient_id NOT IN (SELECT patient_id FROM b_prior_orders WHERE patient_id IS NOT NULL)"""
+
+
+@query("orders_backfill", _backfill_sql("WFLAB-", "order_id", "lab_tests", "tests", "'{}' AS results,"))
+def q_orders_backfill(spark, d):
+    b = Bindings(spark, d)
+    return U.orders_backfill(clinical(b), b.prior_orders)
+
+
+@query("rx_backfill", _backfill_sql("WFRX-", "rx_id", "prescriptions", "medicines", ""))
+def q_rx_backfill(spark, d):
+    b = Bindings(spark, d)
+    return U.rx_backfill(clinical(b), b.prior_orders)
+
+
+@query("status_normalised", """
+SELECT app_id, data, CASE WHEN status = 'approve' THEN 'approved' ELSE status END AS status FROM b_applications""")
+def q_status_normalised(spark, d):
+    return U.status_normalised(Bindings(spark, d).applications)
+
+
+@query("hospital_backfill", f"""
+SELECT {_sha_id('HOSP-', 'app_id')} AS hospital_id, app_id, name, email, city FROM (
+  SELECT app_id, json_extract_string(data, '$.name') AS name, json_extract_string(data, '$.email') AS email,
+         json_extract_string(data, '$.city') AS city,
+         row_number() OVER (PARTITION BY json_extract_string(data, '$.email') ORDER BY app_id) AS rn
+  FROM b_applications WHERE status IN ('approve', 'approved') AND json_extract_string(data, '$.email') IS NOT NULL)
+WHERE rn = 1""")
+def q_hospital_backfill(spark, d):
+    b = Bindings(spark, d)
+    return U.hospital_backfill(b.applications, b.hospitals)
+
+
+@query("apply_decisions", f"""
+SELECT a.app_id, coalesce(d.status, a.status) AS status, d.comments AS comments, h.hospital_id
+FROM b_applications a LEFT JOIN b_decisions d ON a.app_id = d.app_id
+LEFT JOIN (SELECT app_id, {_sha_id('HOSP-', 'app_id')} AS hospital_id FROM (
+  SELECT a.app_id, row_number() OVER (PARTITION BY json_extract_string(a.data, '$.email') ORDER BY a.app_id) AS rn
+  FROM b_applications a JOIN b_decisions d ON a.app_id = d.app_id
+  WHERE d.status = 'approved' AND json_extract_string(a.data, '$.email') IS NOT NULL) WHERE rn = 1) h
+ON a.app_id = h.app_id""")
+def q_apply_decisions(spark, d):
+    b = Bindings(spark, d)
+    return U.apply_decisions(b.applications, b.decisions, b.hospitals)
+
+
+@query("applications_append", f"""
+SELECT {_sha_id('APP-', 'app_id')} AS app_id,
+       '{{' || {" || ',' || ".join(
+           f"'\"{f}\":' || coalesce(CAST(to_json(json_extract_string(data, '$.{f}')) AS VARCHAR), 'null')"
+           for f in _PAYLOAD_FIELDS + ['password'])} || '}}' AS data,
+       'pending' AS status, '' AS comments
+FROM b_applications""")
+def q_applications_append(spark, d):
+    b = Bindings(spark, d)
+    # Every stored application re-submitted as a request (its payload parsed back).
+    req = b.applications.select(F.col("app_id").alias("request_id"),
+                                F.from_json("data", P.APPLICATION_PAYLOAD).alias("__p")).select("request_id", "__p.*")
+    return U.applications_append(req)
+
+
+@query("staff_after_removal", """
+SELECT * FROM b_staff s WHERE NOT EXISTS (
+  SELECT 1 FROM b_tombstones t WHERE t.staff_id = s.staff_id AND t.hospital_id = s.hospital_id)""")
+def q_staff_after_removal(spark, d):
+    b = Bindings(spark, d)
+    return U.staff_after_removal(b.staff, b.tombstones)
+
+
+@query("staff_append", f"""
+SELECT {_sha_id('STAFF-', 'username')} AS staff_id, hospital_id, name, username, role FROM (
+  SELECT *, row_number() OVER (PARTITION BY username ORDER BY request_id) AS rn FROM (
+    SELECT staff_id AS request_id, hospital_id, name, role, 'u' || CAST(staff_id % 37 AS VARCHAR) AS username
+    FROM b_staff)) WHERE rn = 1""")
+def q_staff_append(spark, d):
+    b = Bindings(spark, d)
+    req = b.staff.select(F.col("staff_id").alias("request_id"), "hospital_id", "name", "role",
+                         F.concat(F.lit("u"), (F.col("staff_id") % 37).cast("string")).alias("username"))
+    return U.staff_append(req)

@@ -104,6 +104,13 @@ supplier WHERE s_suppkey % 10 = 0""",
     "b_deliveries": """
 SELECT o_orderkey AS consultation_id, CASE o_orderkey % 3 WHEN 0 THEN 'sent' ELSE 'failed' END AS status FROM
 orders WHERE o_orderkey % 3 <> 2""",
+    # Registration requests as the reception form sends them (name, age text):
+    # one blank name in 17 and three kinds of bad age text in 19.
+    "b_register_requests": """
+SELECT e.event_id, e.user_id AS patient_id, CASE WHEN e.event_id % 17 = 0 THEN '  ' ELSE c.c_name END AS name,
+CASE e.event_id % 19 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN ' 12y' ELSE CAST(CAST(floor(e.value) AS BIGINT)
+AS STRING) END AS age_text FROM events e JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type =
+'signup'""",
     "b_prior_orders": """
 SELECT event_id AS order_id, user_id AS patient_id FROM events WHERE event_type = 'purchase' AND event_id % 50
 = 1""",
