@@ -41,6 +41,12 @@ def _day(col: str, day: str = AS_OF) -> str:
             f"{col} < TIMESTAMP '{day} 00:00:00' + INTERVAL 1 DAY")
 
 
+def _day_text(df: DataFrame, col: str) -> DataFrame:
+    """Registered outputs carry days as ISO text: DATE values have no common
+    client-side form across engines, text does."""
+    return df.withColumn(col, F.date_format(col, "yyyy-MM-dd"))
+
+
 def clinical(b: Bindings) -> DataFrame:
     return records.clinical_records(b.consultations, b.items)
 
@@ -691,3 +697,306 @@ def q_staff_append(spark, d):
     req = b.staff.select(F.col("staff_id").alias("request_id"), "hospital_id", "name", "role",
                          F.concat(F.lit("u"), (F.col("staff_id") % 37).cast("string")).alias("username"))
     return U.staff_append(req)
+
+
+# ---------------------------------------------------------------- extraction jobs (E*)
+@query("json_decode", """
+SELECT row_id,
+       CASE WHEN symptoms IS NULL THEN 'null'
+            WHEN NOT json_valid(symptoms) OR json_type(symptoms) <> 'ARRAY' THEN 'malformed' ELSE 'ok' END AS status,
+       CAST(len(l) AS BIGINT) AS n_items, CAST(to_json(l) AS VARCHAR) AS items
+FROM (SELECT row_id, symptoms,
+             CASE WHEN json_valid(symptoms) AND json_type(symptoms) = 'ARRAY'
+                  THEN from_json(symptoms, '["VARCHAR"]') END AS l FROM b_json_lists)""")
+def q_json_decode(spark, d):
+    return X.json_decode(Bindings(spark, d).json_lists, "symptoms", "row_id")
+
+
+_RECORD_FIELDS = [("patient_id", "s"), ("symptoms", "l"), ("diagnosis", "s"), ("prescriptions", "l"),
+                  ("lab_tests", "l"), ("severity", "s"), ("followup", "s"), ("clinical_notes", "s")]
+
+
+def _str_list_ok(f: str) -> str:
+    return (f"(json_type(c, '$.{f}') = 'ARRAY' AND "
+            f"len(list_filter(json_type(c, '$.{f}[*]'), lambda t: t <> 'VARCHAR')) = 0)")
+
+
+def _record_reason() -> str:
+    parts = ["WHEN coalesce(c, '') = '' THEN 'empty'", "WHEN NOT json_valid(c) THEN 'malformed'",
+             "WHEN json_type(c) <> 'OBJECT' THEN 'not_object'"]
+    for f, k in _RECORD_FIELDS:
+        ok = f"json_type(c, '$.{f}') = 'VARCHAR'" if k == "s" else _str_list_ok(f)
+        parts += [f"WHEN json_type(c, '$.{f}') IS NULL THEN 'missing:{f}'",
+                  f"WHEN json_type(c, '$.{f}') = 'NULL' THEN 'null:{f}'",
+                  f"WHEN NOT ({ok}) THEN 'type:{f}'"]
+    parts.append(f"WHEN route_given AND NOT {_str_list_ok('route_to')} THEN 'type:route_to'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+_RECORDS = f"""
+SELECT request_id, c, {_record_reason()} AS reason, route_given FROM (
+  SELECT request_id, c, CASE WHEN json_valid(c) AND json_type(c) = 'OBJECT' THEN
+           CASE json_type(c, '$.route_to') WHEN 'ARRAY' THEN json_array_length(c, '$.route_to') > 0
+                WHEN 'VARCHAR' THEN json_extract_string(c, '$.route_to') <> ''
+                WHEN 'BOOLEAN' THEN json_extract_string(c, '$.route_to') = 'true'
+                WHEN 'OBJECT' THEN json_extract(c, '$.route_to')::VARCHAR <> '{{}}'
+                WHEN 'NULL' THEN false
+                ELSE coalesce(TRY_CAST(json_extract_string(c, '$.route_to') AS DOUBLE) <> 0, false) END
+         ELSE false END AS route_given
+  FROM (SELECT request_id, regexp_replace(replace(replace(raw, '```json', ''), '```', ''), '^\\s+|\\s+$', '', 'g')
+               AS c FROM b_records))"""
+
+
+@query("record_extract", f"""
+SELECT request_id, json_extract_string(c, '$.patient_id') AS patient_id,
+       CAST(json_extract(c, '$.symptoms') AS VARCHAR) AS symptoms,
+       json_extract_string(c, '$.diagnosis') AS diagnosis,
+       CAST(json_extract(c, '$.prescriptions') AS VARCHAR) AS prescriptions,
+       CAST(json_extract(c, '$.lab_tests') AS VARCHAR) AS lab_tests,
+       json_extract_string(c, '$.severity') AS severity,
+       CASE WHEN route_given THEN CAST(json_extract(c, '$.route_to') AS VARCHAR)
+            ELSE CAST(to_json(list_filter([
+              CASE WHEN json_array_length(c, '$.lab_tests') > 0 THEN 'lab' END,
+              CASE WHEN json_array_length(c, '$.prescriptions') > 0 THEN 'pharmacy' END],
+              lambda x: x IS NOT NULL)) AS VARCHAR) END AS route_to,
+       json_extract_string(c, '$.followup') AS followup,
+       json_extract_string(c, '$.clinical_notes') AS clinical_notes
+FROM ({_RECORDS}) WHERE reason IS NULL""")
+def q_record_extract(spark, d):
+    return X.record_extract(Bindings(spark, d).records)
+
+
+@query("record_quarantine", f"SELECT request_id, reason FROM ({_RECORDS}) WHERE reason IS NOT NULL")
+def q_record_quarantine(spark, d):
+    return X.record_quarantine(Bindings(spark, d).records)
+
+
+@query("route_derive", """
+SELECT consultation_id, CAST(to_json(list_filter([CASE WHEN len(lab_tests) > 0 THEN 'lab' END,
+       CASE WHEN len(prescriptions) > 0 THEN 'pharmacy' END], lambda x: x IS NOT NULL)) AS VARCHAR) AS route_to
+FROM b_clinical""")
+def q_route_derive(spark, d):
+    return X.route_derive(clinical(Bindings(spark, d)))
+
+
+@query("first_answer", """
+SELECT i.request_id, b.priority, b.answer, CASE WHEN b.answer IS NULL THEN 'no_provider' ELSE 'ok' END AS status
+FROM (SELECT DISTINCT request_id FROM b_answers) i LEFT JOIN (
+  SELECT request_id, priority, answer FROM (
+    SELECT request_id, priority, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS answer,
+           row_number() OVER (PARTITION BY request_id ORDER BY priority) AS rn
+    FROM b_answers WHERE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') <> '') WHERE rn = 1) b
+ON i.request_id = b.request_id""")
+def q_first_answer(spark, d):
+    return X.first_answer(Bindings(spark, d).answers)
+
+
+def _triage_sql() -> str:
+    from careflow import schemas as S
+    sev = " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, _, p in S.TRIAGE_RULES)
+    rank = " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN {r}" for _, r, p in S.TRIAGE_RULES)
+    return (f"SELECT doc_id, CASE {sev} ELSE '{S.TRIAGE_DEFAULT}' END AS severity, "
+            f"CASE {rank} ELSE {len(S.TRIAGE_RULES) + 1} END AS rank FROM b_transcripts")
+
+
+@query("triage_rules", _triage_sql())
+def q_triage_rules(spark, d):
+    return X.triage_rules(Bindings(spark, d).transcripts)
+
+
+@query("transcripts", """
+SELECT conv_id,
+       string_agg(line, chr(10) ORDER BY turn, line) AS transcript, count(*) AS n_turns
+FROM (SELECT conv_id, turn, CASE WHEN role = 'doctor' THEN 'Doctor' ELSE 'Patient' END || ': ' ||
+             coalesce(nullif(original, ''), translated, '') AS line FROM b_turns)
+GROUP BY conv_id""")
+def q_transcripts(spark, d):
+    return X.transcripts(Bindings(spark, d).turns)
+
+
+@query("translate_worklist", """
+SELECT sha256(text) AS text_key, source_lang, 'en-IN' AS target_lang, text, count(*) AS n_requests
+FROM b_transcripts
+WHERE source_lang <> 'en-IN' AND source_lang NOT IN ('en-IN', 'en')
+  AND NOT (text IS NULL OR regexp_matches(text, '^\\s*$'))
+GROUP BY text, source_lang""")
+def q_translate_worklist(spark, d):
+    return X.translate_worklist(Bindings(spark, d).transcripts)
+
+
+@query("scan_decode", _SCAN_DECODE)
+def q_scan_decode(spark, d):
+    return X.scan_decode(Bindings(spark, d).scans)
+
+
+def _jv(expr: str) -> str:
+    return f"coalesce(CAST(to_json({expr}) AS VARCHAR), 'null')"
+
+
+@query("scan_encode", f"""
+SELECT patient_id, '{{"patient_id": ' || {_jv('patient_id')} || ', "name": ' || {_jv('name')} ||
+       ', "token": ' || {_jv('token_number')} || ', "room": ' || {_jv('room_number')} || '}}' AS payload
+FROM b_patients""")
+def q_scan_encode(spark, d):
+    return X.scan_encode(Bindings(spark, d).patients)
+
+
+@query("discharge_messages", f"""
+SELECT p.patient_id, p.language,
+       printf('%s, your consultation is complete. Your medicines have been dispensed. Important: %s. '
+              || 'Please take care and get well soon.', p.name, coalesce(f.followup, 'Follow up with your doctor'))
+       AS message
+FROM b_patients p LEFT JOIN ({_latest('b_consultations', 'consultation_id', 'followup')}) f
+ON p.patient_id = f.patient_id""")
+def q_discharge_messages(spark, d):
+    b = Bindings(spark, d)
+    return X.discharge_messages(b.patients, records.latest_followup(b.consultations))
+
+
+@query("welcome_messages", """
+SELECT patient_id, language,
+       printf('Welcome %s. You are Token %s. Please go to Room %s.', name, CAST(token_number AS VARCHAR),
+              CAST(room_number AS VARCHAR)) AS message
+FROM b_patients WHERE checked_in = 1""")
+def q_welcome_messages(spark, d):
+    return X.welcome_messages(Bindings(spark, d).patients)
+
+
+@query("alert_messages", f"""
+SELECT consultation_id, patient_id,
+       printf('ALERT' || chr(10) || 'Patient: %s (%s)' || chr(10) || 'Severity: %s' || chr(10) || 'Diagnosis: %s'
+              || chr(10) || 'Room: %s' || chr(10) || 'Immediate attention required.',
+              name, CAST(patient_id AS VARCHAR), upper(severity), diagnosis, CAST(room_number AS VARCHAR)) AS message
+FROM ({_ALERT_FEED})""")
+def q_alert_messages(spark, d):
+    b = Bindings(spark, d)
+    return X.alert_messages(P.alert_feed(b.consultations, b.patients))
+
+
+@query("make_ids", f"SELECT patient_id, {_sha_id('PT-', 'patient_id')} AS code FROM b_patients")
+def q_make_ids(spark, d):
+    return X.make_ids(Bindings(spark, d).patients, "patient_id", "PT-")
+
+
+def _iso(expr: str) -> str:
+    return (f"CASE WHEN {expr} IS NULL THEN NULL WHEN microsecond({expr}) % 1000000 = 0 "
+            f"THEN strftime({expr}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({expr}, '%Y-%m-%dT%H:%M:%S.%f') END")
+
+
+@query("iso_parse", f"""
+SELECT event_id, iso_text, TRY_CAST(iso_text AS TIMESTAMP) AS parsed,
+       strftime(CAST(TRY_CAST(iso_text AS TIMESTAMP) AS DATE), '%Y-%m-%d') AS day FROM (SELECT event_id, {_iso('ts')} AS iso_text FROM events)""")
+def q_iso_parse(spark, d):
+    return _day_text(X.iso_parse(Bindings(spark, d).table("events"), "ts", "event_id"), "day")
+
+
+# ---------------------------------------------------------------- lake and sources
+def _lake_rows(b: Bindings) -> DataFrame:
+    return L.with_route(clinical(b))
+
+
+@query("lake_encode", f"""
+SELECT CAST(consultation_id AS VARCHAR) AS consultation_id, CAST(patient_id AS VARCHAR) AS patient_id,
+       {_py_list('symptoms')} AS symptoms, coalesce(diagnosis, '') AS diagnosis,
+       {_py_list('prescriptions')} AS prescriptions, {_py_list('lab_tests')} AS lab_tests,
+       coalesce(severity, '') AS severity,
+       {_py_list("list_filter([CASE WHEN len(lab_tests) > 0 THEN 'lab' END, "
+                 "CASE WHEN len(prescriptions) > 0 THEN 'pharmacy' END], lambda x: x IS NOT NULL)")} AS route_to,
+       coalesce(followup, '') AS followup, '' AS clinical_notes, coalesce({_iso('created_at')}, '') AS created_at
+FROM b_clinical""")
+def q_lake_encode(spark, d):
+    return L.lake_encode(_lake_rows(Bindings(spark, d)))
+
+
+@query("lake_roundtrip", """
+SELECT consultation_id, patient_id, CAST(to_json(symptoms) AS VARCHAR) AS symptoms, diagnosis,
+       CAST(to_json(prescriptions) AS VARCHAR) AS prescriptions, CAST(to_json(lab_tests) AS VARCHAR) AS lab_tests,
+       severity, followup, created_at, strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS created_date FROM b_clinical""")
+def q_lake_roundtrip(spark, d):
+    from careflow.session import scratch_path
+    path = scratch_path(spark, "lake")
+    L.write_consultations(_lake_rows(Bindings(spark, d)), path)
+    lake = L.read_consultations(spark, path)
+    return lake.select("consultation_id", "patient_id", F.to_json("symptoms").alias("symptoms"), "diagnosis",
+                       F.to_json("prescriptions").alias("prescriptions"), F.to_json("lab_tests").alias("lab_tests"),
+                       "severity", "followup", "created_at",
+                       F.date_format("created_date", "yyyy-MM-dd").alias("created_date"))
+
+
+@query("patient_history", """
+SELECT consultation_id, patient_id, diagnosis, severity, created_at,
+       CAST(to_json(prescriptions) AS VARCHAR) AS prescriptions, CAST(to_json(lab_tests) AS VARCHAR) AS lab_tests
+FROM b_clinical WHERE patient_id IN (SELECT patient_id FROM b_checkins)""")
+def q_patient_history(spark, d):
+    b = Bindings(spark, d)
+    h = L.patient_history(clinical(b), b.checkins)
+    return h.select("consultation_id", "patient_id", "diagnosis", "severity", "created_at",
+                    F.to_json("prescriptions").alias("prescriptions"), F.to_json("lab_tests").alias("lab_tests"))
+
+
+@query("schema_evolve", """
+SELECT patient_id, name, language, token_number, room_number, checked_in, CAST(NULL AS INTEGER) AS hospital_id,
+       CAST(NULL AS TIMESTAMP) AS created_at FROM b_patients WHERE checked_in = 0
+UNION ALL
+SELECT patient_id, name, language, token_number, room_number, checked_in, hospital_id, created_at
+FROM b_patients WHERE checked_in = 1""")
+def q_schema_evolve(spark, d):
+    p = Bindings(spark, d).patients
+    old = p.filter(F.col("checked_in") == 0).drop("hospital_id", "created_at")  # table before the migration
+    new = p.filter(F.col("checked_in") == 1)
+    return L.schema_evolve(old, new)
+
+
+@query("ingest_defaults", """
+SELECT patient_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS INTEGER) AS age, CAST(NULL AS VARCHAR) AS gender,
+       CAST(NULL AS VARCHAR) AS language, CAST(NULL AS BIGINT) AS token_number, CAST(1 AS BIGINT) AS room_number,
+       0 AS checked_in, CAST(NULL AS INTEGER) AS hospital_id, ts AS created_at FROM b_registrations""")
+def q_ingest_defaults(spark, d):
+    from pyspark.sql.types import _parse_datatype_string
+    from careflow import schemas as S
+    src = Bindings(spark, d).registrations.withColumnRenamed("ts", "created_at")
+    return L.ingest_defaults(src, _parse_datatype_string(S.PATIENT_TABLE), S.PATIENT_DEFAULTS)
+
+
+def _audit_sql() -> str:
+    pk = [("patients", "b_patients", "patient_id"), ("consultations", "b_consultations", "consultation_id"),
+          ("lab_orders", "b_lab_orders", "order_id"), ("prescriptions", "b_prescriptions", "rx_id"),
+          ("hospitals", "b_hospitals", "hospital_id"), ("staff", "b_staff", "staff_id"),
+          ("items", "b_items", "consultation_id,line")]
+    nn = [("patients", "b_patients", "name"), ("hospitals", "b_hospitals", "name")]
+    fk = [("staff", "b_staff", "hospital_id", "b_hospitals", "hospital_id", "hospitals"),
+          ("patients", "b_patients", "hospital_id", "b_hospitals", "hospital_id", "hospitals"),
+          ("consultations", "b_consultations", "patient_id", "b_patients", "patient_id", "patients"),
+          ("lab_orders", "b_lab_orders", "patient_id", "b_patients", "patient_id", "patients"),
+          ("prescriptions", "b_prescriptions", "patient_id", "b_patients", "patient_id", "patients")]
+    parts = [f"SELECT '{n}' AS table_name, 'pk_duplicate:{k}' AS rule, (SELECT count(*) FROM (SELECT {k} FROM {t} "
+             f"GROUP BY {k} HAVING count(*) > 1)) AS violations" for n, t, k in pk]
+    parts += [f"SELECT '{n}', 'not_null:{c}', (SELECT count(*) FROM {t} WHERE {c} IS NULL)" for n, t, c in nn]
+    parts += [f"SELECT '{n}', 'fk:{c}->{pn}', (SELECT count(*) FROM {t} x WHERE x.{c} IS NOT NULL AND NOT EXISTS "
+              f"(SELECT 1 FROM {p} y WHERE y.{pc} = x.{c}))" for n, t, c, p, pc, pn in fk]
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("key_audit", _audit_sql())
+def q_key_audit(spark, d):
+    b = Bindings(spark, d)
+    return L.key_audit({"patients": b.patients, "consultations": b.consultations, "lab_orders": b.lab_orders,
+                        "prescriptions": b.prescriptions, "hospitals": b.hospitals, "staff": b.staff,
+                        "items": b.items})
+
+
+# ---------------------------------------------------------------- streams (T6 and its batch twin)
+from careflow.streaming import streams as T  # noqa: E402
+
+_DAILY = ("SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events "
+          "GROUP BY 1, 2")
+
+
+@query("daily_counts", _DAILY)
+def q_daily_counts(spark, d):
+    return _day_text(T.daily_counts(Bindings(spark, d).table("events")), "day")
+
+
+@query("stream_daily_counts", _DAILY)
+def q_stream_daily_counts(spark, d):
+    return _day_text(T.stream_daily_counts(spark, d), "day")

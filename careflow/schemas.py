@@ -40,6 +40,9 @@ NO_ITEMS = "None"
 LAB_DEPT, LAB_DONE_ACTION = "lab", "submitted_results"
 RX_DEPT, RX_DONE_ACTION = "pharmacy", "dispensed"
 
+# Patient table as bound here (ids are numbers in the bindings).
+PATIENT_TABLE = ("patient_id bigint, name string, age int, gender string, language string, token_number bigint, "
+                 "room_number bigint, checked_in int, hospital_id int, created_at timestamp_ntz")
 # Table-level column defaults (DDL DEFAULT clauses).
 PATIENT_DEFAULTS = {"room_number": 1, "checked_in": 0}
 LAB_ORDER_DEFAULTS = {"status": "pending", "results": "{}"}
