@@ -43,20 +43,20 @@ def derive_route(lab_tests: Column, prescriptions: Column) -> Column:
 
 def _is_str_list(v: Column, field: str) -> Column:
     kind = F.schema_of_variant(F.variant_get(v, "$." + field, "variant"))
-    arr = F.variant_get(v, "$." + field, "array<string>")
+    arr = F.try_variant_get(v, "$." + field, "array<string>")
     return kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(arr, lambda e: e.isNotNull())
 
 
 def _list_truthy(v: Column, field: str) -> Column:
     kind = F.schema_of_variant(F.variant_get(v, "$." + field, "variant"))
-    n = F.size(F.variant_get(v, "$." + field, "array<variant>"))
-    s = F.variant_get(v, "$." + field, "string")
+    n = F.size(F.try_variant_get(v, "$." + field, "array<variant>"))
+    s = F.try_variant_get(v, "$." + field, "string")
     return (F.when(kind.isNull() | (kind == "VOID"), F.lit(False))
             .when(kind.startswith("ARRAY"), n > 0)
             .when(kind == "STRING", s != "")
             .when(kind == "BOOLEAN", s == "true")
-            .when(kind.startswith("OBJECT"), F.size(F.variant_get(v, "$." + field, "map<string,variant>")) > 0)
-            .otherwise(F.coalesce(F.variant_get(v, "$." + field, "double"), F.lit(1.0)) != 0))
+            .when(kind.startswith("OBJECT"), F.size(F.try_variant_get(v, "$." + field, "map<string,variant>")) > 0)
+            .otherwise(F.coalesce(F.try_variant_get(v, "$." + field, "double"), F.lit(1.0)) != 0))
 
 
 def parse_records(answers: DataFrame, key: str = "request_id", raw: str = "raw") -> DataFrame:
@@ -85,18 +85,18 @@ def parse_records(answers: DataFrame, key: str = "request_id", raw: str = "raw")
     reason = reason.when(route_given & ~_is_str_list(vv, "route_to"), F.lit("type:route_to"))
     lab_truthy, rx_truthy = _list_truthy(vv, "lab_tests"), _list_truthy(vv, "prescriptions")
     derived = F.array_compact(F.array(F.when(lab_truthy, F.lit("lab")), F.when(rx_truthy, F.lit("pharmacy"))))
-    route = F.when(route_given, F.variant_get(vv, "$.route_to", "array<string>")).otherwise(derived)
+    route = F.when(route_given, F.try_variant_get(vv, "$.route_to", "array<string>")).otherwise(derived)
     out = df.select(
         key, reason.alias("reason"),
-        F.variant_get(vv, "$.patient_id", "string").alias("patient_id"),
-        F.variant_get(vv, "$.symptoms", "array<string>").alias("symptoms"),
-        F.variant_get(vv, "$.diagnosis", "string").alias("diagnosis"),
-        F.variant_get(vv, "$.prescriptions", "array<string>").alias("prescriptions"),
-        F.variant_get(vv, "$.lab_tests", "array<string>").alias("lab_tests"),
-        F.variant_get(vv, "$.severity", "string").alias("severity"),
+        F.try_variant_get(vv, "$.patient_id", "string").alias("patient_id"),
+        F.try_variant_get(vv, "$.symptoms", "array<string>").alias("symptoms"),
+        F.try_variant_get(vv, "$.diagnosis", "string").alias("diagnosis"),
+        F.try_variant_get(vv, "$.prescriptions", "array<string>").alias("prescriptions"),
+        F.try_variant_get(vv, "$.lab_tests", "array<string>").alias("lab_tests"),
+        F.try_variant_get(vv, "$.severity", "string").alias("severity"),
         route.alias("route_to"),
-        F.variant_get(vv, "$.followup", "string").alias("followup"),
-        F.variant_get(vv, "$.clinical_notes", "string").alias("clinical_notes"))
+        F.try_variant_get(vv, "$.followup", "string").alias("followup"),
+        F.try_variant_get(vv, "$.clinical_notes", "string").alias("clinical_notes"))
     return out
 
 
