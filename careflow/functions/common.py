@@ -84,6 +84,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (JSON parsing, regexes over whole texts)
+    at least one partition per core.
+
+    A table stored as one small file is read by one task; round-robin
+    repartitioning it lets every core work. On a cluster-sized input (more
+    partitions than cores) this is a no-op, so no shuffle is added there.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def literal_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed dimension (vocabulary) as a DataFrame; size known."""
     return spark.createDataFrame(rows, schema)
@@ -111,7 +123,11 @@ def prefix_position(df: DataFrame, group_cols: list[str], ts_col: str, tie_col:
     counts = base.groupBy(*group_cols, "__bucket").agg(F.sum("__w").alias("__n"))
     wo = Window.partitionBy(*group_cols).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(wo), F.lit(0))).drop("__n")
-    joined = base.join(offsets, [*group_cols, "__bucket"], "inner")
+    # null-safe: a NULL time (or group key) is a bucket of its own, not a lost row
+    keys = [*group_cols, "__bucket"]
+    offsets = offsets.select(*[F.col(k).alias("__o_" + k) for k in keys], "__off")
+    cond = [base[k].eqNullSafe(offsets["__o_" + k]) for k in keys]
+    joined = base.join(offsets, cond, "inner").drop(*["__o_" + k for k in keys])
     frame_end = Window.currentRow if inclusive else -1
     wi = (Window.partitionBy(*group_cols, "__bucket").orderBy(ts_col, tie_col)
           .rowsBetween(Window.unboundedPreceding, frame_end))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careflow import schemas as S
-from careflow.functions.common import is_blank, iso_text, json_string, make_id
+from careflow.functions.common import is_blank, iso_text, json_string, make_id, spread
 
 
 # ---------------------------------------------------------------- E1 JSON lists
@@ -41,22 +41,20 @@ def derive_route(lab_tests: Column, prescriptions: Column) -> Column:
         F.when(F.coalesce(F.size(prescriptions), F.lit(0)) > 0, F.lit("pharmacy"))))
 
 
-def _is_str_list(v: Column, field: str) -> Column:
-    kind = F.schema_of_variant(F.variant_get(v, "$." + field, "variant"))
-    arr = F.try_variant_get(v, "$." + field, "array<string>")
-    return kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(arr, lambda e: e.isNotNull())
+def _truthy(kind: Column, val: Column) -> Column:
+    """Python truthiness of a JSON value, given its variant kind."""
+    return (F.when(kind.isNull() | (kind == "VOID"), F.lit(False))
+            .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(val, "$", "array<variant>")) > 0)
+            .when(kind == "STRING", F.try_variant_get(val, "$", "string") != "")
+            .when(kind == "BOOLEAN", F.try_variant_get(val, "$", "boolean"))
+            .when(kind.startswith("OBJECT"), F.size(F.try_variant_get(val, "$", "map<string,variant>")) > 0)
+            .otherwise(F.coalesce(F.try_variant_get(val, "$", "double"), F.lit(1.0)) != 0))
 
 
-def _list_truthy(v: Column, field: str) -> Column:
-    kind = F.schema_of_variant(F.variant_get(v, "$." + field, "variant"))
-    n = F.size(F.try_variant_get(v, "$." + field, "array<variant>"))
-    s = F.try_variant_get(v, "$." + field, "string")
-    return (F.when(kind.isNull() | (kind == "VOID"), F.lit(False))
-            .when(kind.startswith("ARRAY"), n > 0)
-            .when(kind == "STRING", s != "")
-            .when(kind == "BOOLEAN", s == "true")
-            .when(kind.startswith("OBJECT"), F.size(F.try_variant_get(v, "$." + field, "map<string,variant>")) > 0)
-            .otherwise(F.coalesce(F.try_variant_get(v, "$." + field, "double"), F.lit(1.0)) != 0))
+def _str_list_ok(kind: Column, val: Column) -> Column:
+    """A JSON list whose every element is a string (empty list included)."""
+    return kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & \
+        F.forall(F.try_variant_get(val, "$", "array<string>"), lambda e: e.isNotNull())
 
 
 def parse_records(answers: DataFrame, key: str = "request_id", raw: str = "raw") -> DataFrame:
@@ -67,37 +65,51 @@ def parse_records(answers: DataFrame, key: str = "request_id", raw: str = "raw")
     list holding a non-string, a number where text is due) is rejected
     instead of being coerced. ``route_to`` is derived before the check when
     it is absent or empty. Extra keys are ignored.
+
+    The work is staged: the answer is parsed once, each field is extracted
+    once and typed once, and the rules then only compare those columns (a
+    CASE chain would otherwise re-evaluate the extraction in every branch).
     """
+    fields = [f for f, _ in S.RECORD_FIELDS] + ["route_to"]
     clean = clean_answer(raw)
-    v = F.try_parse_json(clean)
-    df = answers.select(key, clean.alias("__clean"), v.alias("__v"))
-    vv = F.col("__v")
+    p1 = spread(answers).select(key, clean.alias("__clean")).withColumn("__v", F.try_parse_json("__clean"))
+    p2 = p1.select(key, "__clean", "__v",
+                   F.schema_of_variant("__v").alias("__top"),
+                   *[F.variant_get("__v", "$." + f, "variant").alias("__f_" + f) for f in fields])
+    p3 = p2.select(key, "__clean", "__v", "__top", *["__f_" + f for f in fields],
+                   *[F.schema_of_variant("__f_" + f).alias("__k_" + f) for f in fields])
+    k = {f: F.col("__k_" + f) for f in fields}
+    v = {f: F.col("__f_" + f) for f in fields}
+    p4 = p3.select(key, "__clean", "__v", "__top", *["__f_" + f for f in fields], *["__k_" + f for f in fields],
+                   *[_str_list_ok(k[f], v[f]).alias("__ok_" + f)
+                     for f, kind in S.RECORD_FIELDS + [("route_to", "list")] if kind == "list"],
+                   _truthy(k["route_to"], v["route_to"]).alias("__route_given"),
+                   _truthy(k["lab_tests"], v["lab_tests"]).alias("__lab_truthy"),
+                   _truthy(k["prescriptions"], v["prescriptions"]).alias("__rx_truthy"))
     reason = (F.when(F.coalesce(F.col("__clean"), F.lit("")) == "", F.lit("empty"))
-              .when(vv.isNull(), F.lit("malformed"))
-              .when(~F.schema_of_variant(vv).startswith("OBJECT"), F.lit("not_object")))
-    route_given = _list_truthy(vv, "route_to")
-    for field, kind in S.RECORD_FIELDS:
-        k = F.schema_of_variant(F.variant_get(vv, "$." + field, "variant"))
-        ok = (k == "STRING") if kind == "string" else _is_str_list(vv, field)
-        reason = (reason.when(k.isNull(), F.lit("missing:" + field))
-                  .when(k == "VOID", F.lit("null:" + field))
-                  .when(~ok, F.lit("type:" + field)))
-    reason = reason.when(route_given & ~_is_str_list(vv, "route_to"), F.lit("type:route_to"))
-    lab_truthy, rx_truthy = _list_truthy(vv, "lab_tests"), _list_truthy(vv, "prescriptions")
-    derived = F.array_compact(F.array(F.when(lab_truthy, F.lit("lab")), F.when(rx_truthy, F.lit("pharmacy"))))
-    route = F.when(route_given, F.try_variant_get(vv, "$.route_to", "array<string>")).otherwise(derived)
-    out = df.select(
-        key, reason.alias("reason"),
-        F.try_variant_get(vv, "$.patient_id", "string").alias("patient_id"),
-        F.try_variant_get(vv, "$.symptoms", "array<string>").alias("symptoms"),
-        F.try_variant_get(vv, "$.diagnosis", "string").alias("diagnosis"),
-        F.try_variant_get(vv, "$.prescriptions", "array<string>").alias("prescriptions"),
-        F.try_variant_get(vv, "$.lab_tests", "array<string>").alias("lab_tests"),
-        F.try_variant_get(vv, "$.severity", "string").alias("severity"),
-        route.alias("route_to"),
-        F.try_variant_get(vv, "$.followup", "string").alias("followup"),
-        F.try_variant_get(vv, "$.clinical_notes", "string").alias("clinical_notes"))
-    return out
+              .when(F.col("__v").isNull(), F.lit("malformed"))
+              .when(~F.col("__top").startswith("OBJECT"), F.lit("not_object")))
+    for f, kind in S.RECORD_FIELDS:
+        ok = (k[f] == "STRING") if kind == "string" else F.col("__ok_" + f)
+        reason = (reason.when(k[f].isNull(), F.lit("missing:" + f))
+                  .when(k[f] == "VOID", F.lit("null:" + f))
+                  .when(~ok, F.lit("type:" + f)))
+    reason = reason.when(F.col("__route_given") & ~F.col("__ok_route_to"), F.lit("type:route_to"))
+    derived = F.array_compact(F.array(F.when(F.col("__lab_truthy"), F.lit("lab")),
+                                      F.when(F.col("__rx_truthy"), F.lit("pharmacy"))))
+    route = F.when(F.col("__route_given"), F.try_variant_get(v["route_to"], "$", "array<string>")).otherwise(derived)
+
+    def typed(f, t):
+        return F.try_variant_get(v[f], "$", t).alias(f)
+
+    out = F.struct(
+        F.col(key).alias(key), reason.alias("reason"),
+        typed("patient_id", "string"), typed("symptoms", "array<string>"), typed("diagnosis", "string"),
+        typed("prescriptions", "array<string>"), typed("lab_tests", "array<string>"), typed("severity", "string"),
+        route.alias("route_to"), typed("followup", "string"), typed("clinical_notes", "string"))
+    # A one-row generator as the last step: a later filter on ``reason``
+    # stays above it instead of being rewritten into a copy of every check.
+    return p4.select(F.inline(F.array(out)))
 
 
 def record_extract(answers: DataFrame, key: str = "request_id") -> DataFrame:
@@ -145,13 +157,16 @@ def triage_rules(docs: DataFrame, rules=None, text: str = "text", key: str = "do
     deterministic and its rules are an argument.
     """
     rules = rules or S.TRIAGE_RULES
-    low = F.lower(F.col(text))
+    # each rule's regex runs once per text; severity and rank read the flags
+    low = spread(docs).select(key, F.lower(F.col(text)).alias("__t"))
+    flags = low.select(key, *[F.col("__t").rlike(p).alias(f"__r{i}") for i, (_, _, p) in enumerate(rules)])
     sev, rank = F.lit(S.TRIAGE_DEFAULT), F.lit(len(rules) + 1)
-    for name, r, pattern in reversed(rules):
-        hit = low.rlike(pattern)
+    for i in reversed(range(len(rules))):
+        name, r, _ = rules[i]
+        hit = F.coalesce(F.col(f"__r{i}"), F.lit(False))
         sev = F.when(hit, F.lit(name)).otherwise(sev)
         rank = F.when(hit, F.lit(r)).otherwise(rank)
-    return docs.select(key, sev.alias("severity"), rank.alias("rank"))
+    return flags.select(key, sev.alias("severity"), rank.alias("rank"))
 
 
 # ---------------------------------------------------------------- E6 / E7 transcripts

@@ -33,6 +33,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # list many partition folders per listing task rather than one each
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", "64")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)

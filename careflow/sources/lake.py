@@ -31,15 +31,22 @@ def with_route(clinical: DataFrame) -> DataFrame:
     return df.select(*LAKE_COLUMNS)
 
 
-def write_consultations(records: DataFrame, path: str) -> None:
+def write_consultations(records: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
     """Append a batch of records, partitioned by day.
 
-    Repartitioning by the partition column first gives each day's rows to
-    few tasks, so a day becomes a few files rather than one per task.
+    Rows are range-partitioned on (day, consultation_id) into
+    ``spark.sql.shuffle.partitions`` slices before the write: each task
+    writes a contiguous run of days, so the file count stays near
+    slices + days, and a hot day (one third of a batch) is split across
+    several slices instead of landing in one task. ``maxRecordsPerFile``
+    bounds the size of any single file.
     """
+    spark = records.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (records.withColumn("created_date", F.to_date("created_at"))
-     .repartition("created_date")
-     .write.mode("append").partitionBy("created_date").parquet(path))
+     .repartitionByRange(n, "created_date", "consultation_id")
+     .write.mode("append").option("maxRecordsPerFile", max_records_per_file)
+     .partitionBy("created_date").parquet(path))
 
 
 def read_consultations(spark: SparkSession, path: str) -> DataFrame:

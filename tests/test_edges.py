@@ -68,6 +68,14 @@ def test_queue_position_ties_and_many_days(spark):
     assert got == [(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 13, 1)]
 
 
+def test_prefix_position_keeps_null_time_and_group(spark):
+    df = spark.createDataFrame([(1, None, 1), (1, ts(0), 2), (None, ts(0), 3), (None, None, 4), (1, ts(90), 5)],
+                               "g int, t timestamp_ntz, id long")
+    got = rows(C.prefix_position(df, ["g"], "t", "id").select("id", "position"), "id")
+    # NULL times sort first (ascending), NULL groups rank among themselves
+    assert got == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 3)]
+
+
 # ---------------------------------------------------------------- dashboard
 def test_severity_case_sensitive_and_zero_fill(spark):
     cons = spark.createDataFrame([("High",), ("high",), (None,), ("emergency",), ("odd",)], "severity string")
