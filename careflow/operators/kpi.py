@@ -56,14 +56,16 @@ def kpi_summary(patients: DataFrame, consultations: DataFrame, lab_orders: DataF
     rx = prescriptions.agg(
         F.count_if(F.col("status") == "dispensed").alias("pharmacy_dispensed"),
         F.count_if(F.col("status") == "pending").alias("pharmacy_pending"))
+    # one struct-valued scalar subquery per table: each table is aggregated once
+    cs, ls, rs = (x.select(F.struct(*x.columns)).scalar() for x in (c, lab, rx))
     return p.select(
         "total_patients", "today_patients", "checked_in",
-        c.select("total_consultations").scalar().alias("total_consultations"),
-        c.select("emergency_alerts").scalar().alias("emergency_alerts"),
-        lab.select("lab_completed").scalar().alias("lab_completed"),
-        lab.select("lab_pending").scalar().alias("lab_pending"),
-        rx.select("pharmacy_dispensed").scalar().alias("pharmacy_dispensed"),
-        rx.select("pharmacy_pending").scalar().alias("pharmacy_pending"),
+        cs["total_consultations"].alias("total_consultations"),
+        cs["emergency_alerts"].alias("emergency_alerts"),
+        ls["lab_completed"].alias("lab_completed"),
+        ls["lab_pending"].alias("lab_pending"),
+        rs["pharmacy_dispensed"].alias("pharmacy_dispensed"),
+        rs["pharmacy_pending"].alias("pharmacy_pending"),
     )
 
 
@@ -143,9 +145,9 @@ def platform_summary(applications: DataFrame, hospital_counts_df: DataFrame) ->
         F.count_if(F.col("status") == "approved").alias("active_hospitals"),
         F.coalesce(F.sum("patient_count"), F.lit(0)).cast("long").alias("total_patients"))
     a = applications.agg(F.count_if(F.col("status") == "pending").alias("pending_applications"))
-    return a.select("pending_applications",
-                    h.select("active_hospitals").scalar().alias("active_hospitals"),
-                    h.select("total_patients").scalar().alias("total_patients"))
+    hs = h.select(F.struct(*h.columns)).scalar()
+    return a.select("pending_applications", hs["active_hospitals"].alias("active_hospitals"),
+                    hs["total_patients"].alias("total_patients"))
 
 
 def dept_completion(lab_orders: DataFrame, prescriptions: DataFrame) -> DataFrame:
