@@ -2,8 +2,9 @@
 
 Sources are file streams over a folder (one file per arriving batch on a
 real cluster; the driver tables are single files, picked out with a
-file-name filter). Event time is cast from TIMESTAMP_NTZ to TIMESTAMP with
-the session zone fixed to UTC, since watermarks need the latter.
+file-name filter). Watermarks need TIMESTAMP, the data holds zone-less
+TIMESTAMP_NTZ: the wall clock is turned into the instant of that wall clock
+in UTC (independent of the session zone), so day windows are local days.
 
 Sinks are idempotent per micro-batch: ``foreachBatch`` writes every output of
 a batch under its batch id with mode overwrite, so a batch replayed after a
@@ -17,7 +18,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from careflow.operators import predicates as P
 from careflow.operators import registry as U
@@ -36,9 +37,29 @@ def event_stream(spark: SparkSession, folder: str, schema: StructType, file_glob
     return r.parquet(folder)
 
 
+def wall_clock_instant(col: str):
+    """A zone-less wall-clock time as the TIMESTAMP of that wall clock in UTC.
+
+    Built from the fields, so it does not depend on the session time zone:
+    one-day windows (aligned to UTC midnight) are then exactly the local
+    days written in the data, whatever zone the cluster's session uses.
+    """
+    c = F.col(col)
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
+def day_of_instant(col):
+    """Calendar day (UTC) of an instant, by epoch arithmetic (zone-free)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.date_from_unix_date(F.floor(F.unix_micros(c) / F.lit(86_400_000_000)).cast("int"))
+
+
 def with_event_time(df: DataFrame, col: str) -> DataFrame:
-    """Cast a zone-less event time to TIMESTAMP so a watermark can use it."""
-    return df.withColumn(col, F.col(col).cast("timestamp"))
+    """Make a zone-less event time a TIMESTAMP so a watermark can use it."""
+    if isinstance(df.schema[col].dataType, TimestampNTZType):
+        return df.withColumn(col, wall_clock_instant(col))
+    return df
 
 
 def _run(writer, checkpoint: str, available_now: bool = True):
@@ -138,7 +159,7 @@ def daily_counts_stream(events: DataFrame, ts: str = "ts", kind: str = "event_ty
     e = with_event_time(events, ts).withWatermark(ts, delay)
     return (e.groupBy(F.window(ts, "1 day").alias("w"), F.col(kind))
             .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.to_date(F.col("w.start")).alias("day"), kind, "n"))
+            .select(day_of_instant("w.start").alias("day"), kind, "n"))
 
 
 def run_daily_counts(events: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):

@@ -136,3 +136,14 @@ def test_registered_stream_query_matches_batch(spark):
     same(QUERIES["stream_daily_counts"](spark, SF_SMALL).toPandas(),
          QUERIES["daily_counts"](spark, SF_SMALL).toPandas())
     assert os.path.isdir(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_stream_days_do_not_depend_on_session_zone(spark):
+    from careflow.plans.catalog import QUERIES
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        got = QUERIES["stream_daily_counts"](spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    same(got, QUERIES["daily_counts"](spark, SF_SMALL).toPandas())
