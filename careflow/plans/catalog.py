@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from careflow import schemas as S
 from careflow.operators import kpi, queues, records
 from careflow.plans.oracle import oracle_with
 from careflow.sources.bindings import Bindings
@@ -92,9 +93,13 @@ def q_breakdown_map(spark, d):
     return kpi.breakdown_map(kpi.severity_breakdown(Bindings(spark, d).consultations), "severity")
 
 
-_LANG_DIM = """(VALUES ('bn-IN', 'Bengali'), ('en-IN', 'English'), ('gu-IN', 'Gujarati'), ('hi-IN', 'Hindi'),
- ('kn-IN', 'Kannada'), ('ml-IN', 'Malayalam'), ('mr-IN', 'Marathi'), ('ta-IN', 'Tamil'), ('te-IN', 'Telugu'))
- AS dim(language, label)"""
+def _values(rows, names: str) -> str:
+    """A fixed vocabulary of schemas.py as an inline VALUES table for the oracle."""
+    lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + f") AS {names}"
+
+
+_LANG_DIM = _values(sorted(S.DASHBOARD_LANGUAGE_LABELS.items()), "dim(language, label)")
 
 
 @query("language_labels", f"""
@@ -105,7 +110,7 @@ def q_language_labels(spark, d):
     return kpi.language_labels(spark, kpi.language_breakdown(Bindings(spark, d).patients))
 
 
-_SEV_DIM = "(VALUES ('emergency', 1), ('high', 2), ('medium', 3), ('low', 4)) AS dim(severity, ord)"
+_SEV_DIM = _values([(sev, i + 1) for i, sev in enumerate(S.SEVERITY_ORDER)], "dim(severity, ord)")
 
 
 @query("severity_zero_filled", f"""
@@ -792,7 +797,6 @@ def q_first_answer(spark, d):
 
 
 def _triage_sql() -> str:
-    from careflow import schemas as S
     sev = " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, _, p in S.TRIAGE_RULES)
     rank = " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN {r}" for _, r, p in S.TRIAGE_RULES)
     return (f"SELECT doc_id, CASE {sev} ELSE '{S.TRIAGE_DEFAULT}' END AS severity, "
@@ -953,7 +957,6 @@ SELECT patient_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS INTEGER) AS age,
        0 AS checked_in, CAST(NULL AS INTEGER) AS hospital_id, ts AS created_at FROM b_registrations""")
 def q_ingest_defaults(spark, d):
     from pyspark.sql.types import _parse_datatype_string
-    from careflow import schemas as S
     src = Bindings(spark, d).registrations.withColumnRenamed("ts", "created_at")
     return L.ingest_defaults(src, _parse_datatype_string(S.PATIENT_TABLE), S.PATIENT_DEFAULTS)
 

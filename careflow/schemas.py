@@ -80,6 +80,4 @@ TRIAGE_RULES = [
 ]
 TRIAGE_DEFAULT = "low"
 
-# Provider priority of candidate model answers (1 is tried first).
-PROVIDERS = {1: "gemini", 2: "ollama", 3: "claude"}
 # --- end of fixed values ----------------------------------------------------
