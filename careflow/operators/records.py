@@ -15,17 +15,18 @@ HOSPITAL_BROADCAST_ROWS = 200_000
 def clinical_records(consultations: DataFrame, items: DataFrame) -> DataFrame:
     """Consultations with their lists (prescriptions, lab tests, symptoms).
 
-    Items are grouped once per consultation (partial collect on the map
-    side); lists come out in (line, part_id) order, tests and symptom words
-    de-duplicated and sorted. A consultation without items has empty lists.
+    One aggregate per list, so a query that reads only some lists computes
+    only those (column pruning drops unused aggregates). Prescriptions keep
+    (line, part_id) order; tests and symptom words are de-duplicated and
+    sorted. A consultation without items has empty lists.
     """
     lists = (items.groupBy("consultation_id")
-             .agg(F.array_sort(F.collect_list(F.struct("line", "part_id", "medicine", "test"))).alias("__it"))
-             .select("consultation_id",
-                     F.transform("__it", lambda x: x["medicine"]).alias("prescriptions"),
-                     F.array_sort(F.array_distinct(F.transform("__it", lambda x: x["test"]))).alias("lab_tests"),
-                     F.array_sort(F.array_distinct(F.flatten(
-                         F.transform("__it", lambda x: F.split(x["medicine"], " "))))).alias("symptoms")))
+             .agg(F.array_sort(F.collect_list(F.struct("line", "part_id", "medicine"))).alias("__rx"),
+                  F.array_sort(F.collect_set("test")).alias("lab_tests"),
+                  F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("medicine", " ")))))
+                  .alias("symptoms"))
+             .select("consultation_id", F.transform("__rx", lambda x: x["medicine"]).alias("prescriptions"),
+                     "lab_tests", "symptoms"))
     empty = F.array().cast("array<string>")
     return (consultations.join(lists, "consultation_id", "left")
             .withColumn("prescriptions", F.coalesce("prescriptions", empty))
