@@ -3,13 +3,16 @@
 Each binding is a plain SELECT that runs unchanged on Spark SQL and DuckDB
 (FIXTURES.md section 4). On Spark it is analysed against temp views of the
 base parquet tables, so Catalyst sees straight through it: filters on a
-binding column reach the parquet scan and unused columns are pruned.
+binding column reach the parquet scan and unused columns are pruned. The
+temp views behind it carry folder-specific names, so a caller's own views are
+left alone.
 
 The oracle side inlines the same text as ``WITH`` clauses (``oracle_with``).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,6 +141,9 @@ class Bindings:
         self.sf_dir = sf_dir.rstrip("/")
         self._base: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
+        # temp views get names of their own (per folder), so a caller's views
+        # called 'orders' or 'customer' are never replaced
+        self._prefix = "cf_" + hashlib.sha1(self.sf_dir.encode()).hexdigest()[:10] + "_"
 
     def table(self, name: str) -> DataFrame:
         if name not in self._base:
@@ -147,9 +153,11 @@ class Bindings:
     def view(self, name: str) -> DataFrame:
         if name not in self._views:
             sql = BINDING_SQL[name]
-            for t in tables_in(sql):
-                self.table(t).createOrReplaceTempView(t)
-            self._views[name] = self.spark.sql(sql)
+            used = tables_in(sql)
+            for t in used:
+                self.table(t).createOrReplaceTempView(self._prefix + t)
+            pattern = re.compile(r"\b(" + "|".join(used) + r")\b")
+            self._views[name] = self.spark.sql(pattern.sub(lambda m: self._prefix + m.group(1), sql))
         return self._views[name]
 
     def __getattr__(self, item: str) -> DataFrame:
