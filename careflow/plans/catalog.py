@@ -1003,3 +1003,38 @@ def q_daily_counts(spark, d):
 @query("stream_daily_counts", _DAILY)
 def q_stream_daily_counts(spark, d):
     return _day_text(T.stream_daily_counts(spark, d), "day")
+
+
+# ---------------------------------------------------------------- streams over the given tables
+_FANOUT_ORDERS_SQL = ORACLE["fanout_orders"]
+_FANOUT_RX_SQL = ORACLE["fanout_rx"]
+ORACLE["stream_alert_feed"] = oracle_with(_ALERT_FEED)
+ORACLE["stream_fanout_orders"] = _FANOUT_ORDERS_SQL
+ORACLE["stream_fanout_rx"] = _FANOUT_RX_SQL
+ORACLE["stream_lab_state"] = ORACLE["lab_state"]
+ORACLE["stream_dedup_updates"] = ORACLE["dedup_updates"]
+
+
+@query("stream_alert_feed")
+def q_stream_alert_feed(spark, d):
+    return T.stream_alert_feed(spark, d)
+
+
+@query("stream_fanout_orders")
+def q_stream_fanout_orders(spark, d):
+    return T.stream_fanout(spark, d, "lab")
+
+
+@query("stream_fanout_rx")
+def q_stream_fanout_rx(spark, d):
+    return T.stream_fanout(spark, d, "rx")
+
+
+@query("stream_lab_state")
+def q_stream_lab_state(spark, d):
+    return T.stream_lab_state(spark, d)
+
+
+@query("stream_dedup_updates")
+def q_stream_dedup_updates(spark, d):
+    return T.stream_dedup_updates(spark, d)

@@ -160,6 +160,25 @@ class Bindings:
             self._views[name] = self.spark.sql(pattern.sub(lambda m: self._prefix + m.group(1), sql))
         return self._views[name]
 
+    def stream_view(self, name: str, streaming_table: str, max_files_per_trigger: int | None = None) -> DataFrame:
+        """The binding ``name`` as a streaming DataFrame: ``streaming_table``
+        is read as a file stream (the folder, filtered to its file), every
+        other table it joins stays static (stream-static joins)."""
+        schema = self.table(streaming_table).schema
+        r = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{streaming_table}.parquet")
+        if max_files_per_trigger:
+            r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        sql = BINDING_SQL[name]
+        used = tables_in(sql)
+        stream_prefix = self._prefix + "s_"
+        r.parquet(self.sf_dir).createOrReplaceTempView(stream_prefix + streaming_table)
+        for t in used:
+            if t != streaming_table:
+                self.table(t).createOrReplaceTempView(self._prefix + t)
+        pattern = re.compile(r"\b(" + "|".join(used) + r")\b")
+        return self.spark.sql(pattern.sub(
+            lambda m: (stream_prefix if m.group(1) == streaming_table else self._prefix) + m.group(1), sql))
+
     def __getattr__(self, item: str) -> DataFrame:
         if item.startswith("_"):
             raise AttributeError(item)

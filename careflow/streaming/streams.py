@@ -79,8 +79,8 @@ def _batch_writer(targets: dict[str, str]):
 
 
 # ---------------------------------------------------------------- T2 fan-out
-def stream_fanout(consultations: DataFrame, lab_dir: str, rx_dir: str, checkpoint: str,
-                  available_now: bool = True):
+def stream_fanout_to(consultations: DataFrame, lab_dir: str, rx_dir: str, checkpoint: str,
+                     available_now: bool = True):
     """Every micro-batch of consultation records yields its lab orders and
     prescriptions (U6); both sinks are written under the batch id."""
     sink = _batch_writer({"lab": lab_dir, "rx": rx_dir})
@@ -139,10 +139,15 @@ def latest_snapshot(spark: SparkSession, out_dir: str, key: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- T5 de-duplication
-def dedup_stream(updates: DataFrame, delay: str = "1 day") -> DataFrame:
+def dedup_stream(updates: DataFrame, delay: str = "1 day", ts: str = "updated_at",
+                 key: str = "update_id") -> DataFrame:
     """T5: retried deliveries of one update id are dropped while the
-    watermark still remembers the id."""
-    return updates.withWatermark("updated_at", delay).dropDuplicatesWithinWatermark(["update_id"])
+    watermark still remembers the id. The watermark runs on a zone-free copy
+    of the event time; the output keeps the original column."""
+    if isinstance(updates.schema[ts].dataType, TimestampNTZType):
+        u = updates.withColumn("__et", wall_clock_instant(ts))
+        return u.withWatermark("__et", delay).dropDuplicatesWithinWatermark([key]).drop("__et")
+    return updates.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 # ---------------------------------------------------------------- T6 / T7 daily counters
@@ -183,3 +188,58 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     snap = spark.read.parquet(base + "/out")
     return (snap.groupBy("day", "event_type")
             .agg(F.max_by("n", F.col("batch_id")).alias("n")))
+
+
+# ---------------------------------------------------------------- registered stream runs
+def _run_to_sink(df: DataFrame, spark: SparkSession, name: str, output_mode: str = "append") -> DataFrame:
+    """Run a streaming frame to the end of its input (availableNow) into a
+    per-batch sink under the shared folder, and read the rows back."""
+    base = scratch_path(spark, name)
+    sink = _batch_writer({"out": base + "/out"})
+    _run(df.writeStream.outputMode(output_mode).foreachBatch(lambda b, i: sink({"out": b}, i)),
+         base + "/checkpoint")
+    return spark.read.parquet(base + "/out").drop("batch_id")
+
+
+def stream_alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 registered: consultations arrive as a stream, patients are static."""
+    from careflow.sources.bindings import Bindings
+    b = Bindings(spark, sf_dir)
+    return _run_to_sink(alert_stream(b.stream_view("b_consultations", "orders"), b.patients), spark, "t3-alerts")
+
+
+def stream_fanout(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """T2 registered: streaming consultations joined to their (static) item
+    lists; both sinks are written per batch, ``which`` one is read back."""
+    from careflow.operators import records
+    from careflow.sources.bindings import Bindings
+    b = Bindings(spark, sf_dir)
+    clinical = records.clinical_records(b.stream_view("b_consultations", "orders"), b.items)
+    base = scratch_path(spark, "t2-fanout")
+    stream_fanout_to(clinical, base + "/lab", base + "/rx", base + "/checkpoint")
+    return spark.read.parquet(base + ("/lab" if which == "lab" else "/rx")).drop("batch_id")
+
+
+def stream_lab_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 registered: department updates arrive as a stream; the state of
+    every order is its newest re-evaluation, or its initial pending row when
+    no result ever touched its patient."""
+    from careflow.sources.bindings import Bindings
+    b = Bindings(spark, sf_dir)
+    orders = b.lab_order_events
+    base = scratch_path(spark, "t4-lab-state")
+    run_lab_state(b.stream_view("b_dept_updates", "events"), orders, base + "/out", base + "/checkpoint")
+    snap = latest_snapshot(spark, base + "/out", "order_id")
+    untouched = orders.join(snap.select("order_id"), "order_id", "left_anti").select(
+        "order_id", "patient_id", "created_at", F.lit("pending").alias("status"), F.lit("{}").alias("results"),
+        F.col("created_at").alias("updated_at"))
+    return snap.unionByName(untouched)
+
+
+def stream_dedup_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 registered: the department log delivered twice (two streams of the
+    same files, as after a retry); the stream keeps one row per update id."""
+    from careflow.sources.bindings import Bindings
+    b = Bindings(spark, sf_dir)
+    twice = b.stream_view("b_dept_updates", "events").unionByName(b.stream_view("b_dept_updates", "events"))
+    return _run_to_sink(dedup_stream(twice), spark, "t5-dedup")
