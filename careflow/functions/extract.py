@@ -136,17 +136,18 @@ def route_derive(clinical: DataFrame) -> DataFrame:
 def first_answer(answers: DataFrame) -> DataFrame:
     """Per request, the first non-blank answer in provider priority order.
 
-    ``min_by`` per request: partial on the map side, one row per request out.
-    Requests where every provider failed are kept with status 'no_provider'.
+    One ``min_by`` per request whose ordering value is NULL for blank
+    answers (``min_by`` skips those): a single aggregate with a map-side
+    partial step. Requests where every provider failed are kept with status
+    'no_provider'.
     """
     stripped = F.regexp_replace(F.col("raw"), r"^\s+|\s+$", "")
-    ok = answers.filter(stripped.isNotNull() & (stripped != "")).withColumn("__a", stripped)
-    best = (ok.groupBy("request_id")
-            .agg(F.min_by(F.struct("priority", "__a"), F.col("priority")).alias("__b"))
-            .select("request_id", F.col("__b.priority").alias("priority"), F.col("__b.__a").alias("answer")))
-    ids = answers.select("request_id").distinct()
-    return ids.join(best, "request_id", "left").withColumn(
-        "status", F.when(F.col("answer").isNull(), F.lit("no_provider")).otherwise(F.lit("ok")))
+    usable = stripped.isNotNull() & (stripped != "")
+    best = (answers.groupBy("request_id")
+            .agg(F.min_by(F.struct(F.col("priority"), stripped.alias("answer")),
+                          F.when(usable, F.col("priority"))).alias("__b")))
+    return best.select("request_id", F.col("__b.priority").alias("priority"), F.col("__b.answer").alias("answer"),
+                       F.when(F.col("__b").isNull(), F.lit("no_provider")).otherwise(F.lit("ok")).alias("status"))
 
 
 # ---------------------------------------------------------------- E5 triage baseline
@@ -190,9 +191,10 @@ def translate_worklist(docs: DataFrame, target: str = "en-IN") -> DataFrame:
     """
     need = docs.filter((F.col("source_lang") != F.lit(target)) & ~F.col("source_lang").isin(S.ENGLISH_CODES)
                        & ~is_blank("text"))
-    return (need.groupBy("text", "source_lang").agg(F.count(F.lit(1)).alias("n_requests"))
-            .select(F.sha2("text", 256).alias("text_key"), "source_lang", F.lit(target).alias("target_lang"),
-                    "text", "n_requests"))
+    # grouped on the 64-character text hash, not the (possibly 200 KB) text
+    return (need.groupBy(F.sha2("text", 256).alias("text_key"), "source_lang")
+            .agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n_requests"))
+            .select("text_key", "source_lang", F.lit(target).alias("target_lang"), "text", "n_requests"))
 
 
 def translate_apply(docs: DataFrame, results: DataFrame, target: str = "en-IN") -> DataFrame:
