@@ -69,8 +69,14 @@ def latest_followup(consultations: DataFrame) -> DataFrame:
 
 def record_defaults(patients: DataFrame, consultations: DataFrame, lab_orders: DataFrame,
                     prescriptions: DataFrame, hospitals: DataFrame) -> DataFrame:
-    """Per patient, latest statuses with the record defaults."""
-    lc = latest_consultation(consultations).select("patient_id", "hospital_id", "followup")
+    """Per patient, latest statuses with the record defaults.
+
+    Lab and pharmacy status default to 'not_ordered' / 'not_prescribed'. The
+    hospital name ('Unknown Hospital' when blank or absent) and the follow-up
+    belong to the latest consultation: without one, the follow-up is '' and
+    there is no hospital name; with one, a NULL follow-up stays NULL.
+    """
+    lc = latest_consultation(consultations).select("patient_id", "consultation_id", "hospital_id", "followup")
     h = bounded_broadcast(hospitals.select("hospital_id", F.col("name").alias("hospital_name")),
                           HOSPITAL_BROADCAST_ROWS)
     lc = lc.join(h, "hospital_id", "left").drop("hospital_id")
@@ -82,8 +88,9 @@ def record_defaults(patients: DataFrame, consultations: DataFrame, lab_orders: D
         "patient_id",
         F.coalesce("lab_status", F.lit(S.NO_LAB_STATUS)).alias("lab_status"),
         F.coalesce("pharmacy_status", F.lit(S.NO_RX_STATUS)).alias("pharmacy_status"),
-        nonblank_or("hospital_name", S.UNKNOWN_HOSPITAL).alias("hospital_name"),
-        F.coalesce("followup", F.lit("")).alias("followup"),
+        F.when(F.col("consultation_id").isNotNull(), nonblank_or("hospital_name", S.UNKNOWN_HOSPITAL))
+        .alias("hospital_name"),
+        F.when(F.col("consultation_id").isNull(), F.lit("")).otherwise(F.col("followup")).alias("followup"),
     )
 
 

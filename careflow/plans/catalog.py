@@ -313,8 +313,9 @@ def q_latest_followup(spark, d):
 @query("record_defaults", f"""
 SELECT p.patient_id, coalesce(l.status, 'not_ordered') AS lab_status,
        coalesce(r.status, 'not_prescribed') AS pharmacy_status,
-       coalesce(nullif(h.name, ''), 'Unknown Hospital') AS hospital_name,
-       coalesce(c.followup, '') AS followup
+       CASE WHEN c.consultation_id IS NOT NULL THEN coalesce(nullif(h.name, ''), 'Unknown Hospital') END
+         AS hospital_name,
+       CASE WHEN c.consultation_id IS NULL THEN '' ELSE c.followup END AS followup
 FROM b_patients p
 LEFT JOIN ({_latest('b_consultations', 'consultation_id', 'followup, hospital_id')}) c ON p.patient_id = c.patient_id
 LEFT JOIN b_hospitals h ON c.hospital_id = h.hospital_id

@@ -46,7 +46,10 @@ def test_record_defaults_for_patient_without_rows(spark):
     hosp = spark.createDataFrame([(1, "H1")], "hospital_id int, name string")
     got = rows(records.record_defaults(patients, cons, lab, rx, hosp), "patient_id")
     assert got == [(1, "not_ordered", "pending", "Unknown Hospital", ""),
-                   (2, "not_ordered", "not_prescribed", "Unknown Hospital", "")]
+                   (2, "not_ordered", "not_prescribed", None, "")]
+    nulls = cons.withColumn("followup", F.lit(None).cast("string"))
+    got2 = rows(records.record_defaults(patients, nulls, lab, rx, hosp), "patient_id")
+    assert got2[0][4] is None and got2[1][4] == ""
 
 
 # ---------------------------------------------------------------- queues
