@@ -201,8 +201,14 @@ def hospital_backfill(applications: DataFrame, hospitals: DataFrame | None = Non
 def apply_decisions(applications: DataFrame, decisions: DataFrame,
                     hospitals: DataFrame | None = None) -> DataFrame:
     """Decisions set status and comments; an 'approved' decision (exact
-    word) creates a hospital from the payload. A second approval of the same
-    email would break the unique email, so only the first creates one."""
+    word) also creates a hospital from the payload, in the same transaction.
+
+    Hospital emails are unique: of several approvals for one email only the
+    first (by application id) creates a hospital, and an approval whose
+    email is taken (by that first one or by an existing hospital) fails as a
+    whole, so its application keeps its previous status and comments.
+    ``applied`` tells which decisions took effect.
+    """
     order = F.struct(*[F.col(c) for c in (["decided_at"] if "decided_at" in decisions.columns
                                           else ["status", "comments"])])
     dec = (decisions.groupBy("app_id").agg(F.max_by(F.struct("status", "comments"), order).alias("__d"))
@@ -215,10 +221,14 @@ def apply_decisions(applications: DataFrame, decisions: DataFrame,
     if existing is not None:
         winners = winners.join(existing, "email", "left_anti")
     created = winners.select("app_id", make_id("HOSP-", "app_id").alias("hospital_id"))
-    comments = F.col("__comments") if "comments" not in applications.columns else \
-        F.when(F.col("__status").isNotNull(), F.col("__comments")).otherwise(F.col("comments"))
-    return j.join(created, "app_id", "left").select(
-        "app_id", F.coalesce("__status", "status").alias("status"), comments.alias("comments"), "hospital_id")
+    j = j.join(created, "app_id", "left")
+    applied = F.col("__status").isNotNull() & ((F.col("__status") != "approved") | F.col("hospital_id").isNotNull())
+    old_comments = F.col("comments") if "comments" in applications.columns else F.lit(None).cast("string")
+    return j.select(
+        "app_id",
+        F.when(applied, F.col("__status")).otherwise(F.col("status")).alias("status"),
+        F.when(applied, F.col("__comments")).otherwise(old_comments).alias("comments"),
+        "hospital_id", applied.alias("applied"))
 
 
 def applications_append(requests: DataFrame, key: str = "request_id") -> DataFrame:

@@ -658,13 +658,18 @@ def q_hospital_backfill(spark, d):
 
 
 @query("apply_decisions", f"""
-SELECT a.app_id, coalesce(d.status, a.status) AS status, d.comments AS comments, h.hospital_id
-FROM b_applications a LEFT JOIN b_decisions d ON a.app_id = d.app_id
-LEFT JOIN (SELECT app_id, {_sha_id('HOSP-', 'app_id')} AS hospital_id FROM (
-  SELECT a.app_id, row_number() OVER (PARTITION BY json_extract_string(a.data, '$.email') ORDER BY a.app_id) AS rn
-  FROM b_applications a JOIN b_decisions d ON a.app_id = d.app_id
-  WHERE d.status = 'approved' AND json_extract_string(a.data, '$.email') IS NOT NULL) WHERE rn = 1) h
-ON a.app_id = h.app_id""")
+WITH h AS (
+  SELECT app_id, {_sha_id('HOSP-', 'app_id')} AS hospital_id FROM (
+    SELECT a.app_id, row_number() OVER (PARTITION BY json_extract_string(a.data, '$.email') ORDER BY a.app_id) AS rn
+    FROM b_applications a JOIN b_decisions d ON a.app_id = d.app_id
+    WHERE d.status = 'approved' AND json_extract_string(a.data, '$.email') IS NOT NULL) WHERE rn = 1),
+x AS (
+  SELECT a.app_id, a.status AS old_status, d.status AS new_status, d.comments AS new_comments, h.hospital_id,
+         d.status IS NOT NULL AND (d.status <> 'approved' OR h.hospital_id IS NOT NULL) AS ok
+  FROM b_applications a LEFT JOIN b_decisions d ON a.app_id = d.app_id LEFT JOIN h ON a.app_id = h.app_id)
+SELECT app_id, CASE WHEN ok THEN new_status ELSE old_status END AS status,
+       CASE WHEN ok THEN new_comments END AS comments, hospital_id, ok AS applied
+FROM x""")
 def q_apply_decisions(spark, d):
     b = Bindings(spark, d)
     return U.apply_decisions(b.applications, b.decisions, b.hospitals)

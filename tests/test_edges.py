@@ -214,7 +214,9 @@ def test_apply_decisions_second_approval_same_email(spark):
     dec = spark.createDataFrame([(1, "approved", "ok"), (2, "approved", "ok"), (3, "Approved", "?")],
                                 "app_id long, status string, comments string")
     got = rows(U.apply_decisions(apps, dec), "app_id")
-    assert [r[1] for r in got] == ["approved", "approved", "Approved"]
+    # the second approval of e@x fails with its transaction: status unchanged
+    assert [r[1] for r in got] == ["approved", "pending", "Approved"]
+    assert [r[4] for r in got] == [True, False, True]
     assert got[0][3] is not None and got[1][3] is None and got[2][3] is None
 
 
