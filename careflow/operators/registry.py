@@ -73,23 +73,35 @@ def checkin_state(state: DataFrame, checkins: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- department fold (U4)
-def _dept_fold(orders: DataFrame, updates: DataFrame, dept: str, action: str,
-               done_status: str, with_results: bool) -> DataFrame:
-    ups = (updates.filter((F.col("dept") == dept) & (F.col("action") == action))
-           .groupBy("patient_id")
-           .agg(F.max_by("data", F.struct("updated_at", "update_id")).alias("__data"),
-                F.max("updated_at").alias("__last")))
-    j = orders.select("order_id", "patient_id", "created_at").join(ups, "patient_id", "left")
-    closed = F.coalesce(F.col("__last") >= F.col("created_at"), F.lit(False))
+def dept_fold_state(updates: DataFrame, dept: str, action: str) -> DataFrame:
+    """Per patient, the latest closing update (time, data). One row per
+    patient; this is all the fold needs to remember."""
+    return (updates.filter((F.col("dept") == dept) & (F.col("action") == action))
+            .groupBy("patient_id")
+            .agg(F.max_by("data", F.struct("updated_at", "update_id")).alias("last_data"),
+                 F.max("updated_at").alias("last_update")))
+
+
+def apply_dept_state(orders: DataFrame, state: DataFrame, done_status: str, with_results: bool) -> DataFrame:
+    """Order rows under a per-patient fold state: closed iff the patient's
+    latest closing update is at or after the order's creation."""
+    j = orders.select("order_id", "patient_id", "created_at").join(
+        state.select("patient_id", "last_data", "last_update"), "patient_id", "left")
+    closed = F.coalesce(F.col("last_update") >= F.col("created_at"), F.lit(False))
     cols = ["order_id", "patient_id", "created_at",
             F.when(closed, F.lit(done_status)).otherwise(F.lit("pending")).alias("status")]
     if with_results:
-        cols.append(F.when(closed, F.col("__data")).otherwise(F.lit(S.LAB_ORDER_DEFAULTS["results"]))
+        cols.append(F.when(closed, F.col("last_data")).otherwise(F.lit(S.LAB_ORDER_DEFAULTS["results"]))
                     .alias("results"))
-    cols.append(F.when(closed, F.col("__last")).otherwise(F.col("created_at")).alias("updated_at"))
+    cols.append(F.when(closed, F.col("last_update")).otherwise(F.col("created_at")).alias("updated_at"))
     return j.select(*cols)
 
 
+def _dept_fold(orders: DataFrame, updates: DataFrame, dept: str, action: str,
+               done_status: str, with_results: bool) -> DataFrame:
+    return apply_dept_state(orders, dept_fold_state(updates, dept, action), done_status, with_results)
+
+
 def lab_state(orders: DataFrame, updates: DataFrame) -> DataFrame:
     """U4: a lab 'submitted_results' update completes every order of the
     patient that exists at that time, and later results overwrite all.

@@ -104,32 +104,34 @@ def alert_stream(consultations: DataFrame, patients: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- T4 live department state
 def dept_state_stream(updates: DataFrame, dept: str, action: str) -> DataFrame:
     """T4: per patient, the latest closing update and its time, kept as
-    streaming state (update mode emits the patients that changed)."""
-    return (updates.filter((F.col("dept") == dept) & (F.col("action") == action))
-            .groupBy("patient_id")
-            .agg(F.max_by("data", F.struct("updated_at", "update_id")).alias("last_data"),
-                 F.max("updated_at").alias("last_update")))
-
-
-def run_lab_state(updates: DataFrame, orders: DataFrame, out_dir: str, checkpoint: str,
-                  available_now: bool = True):
-    """T4: each batch joins the changed patients' state to their orders and
-    writes the re-evaluated orders under the batch id; the current state of
-    an order is its row from the highest batch id (``latest_snapshot``)."""
-    sink = _batch_writer({"state": out_dir})
+    streaming state (update mode emits only the patients that changed)."""
+    return U.dept_fold_state(updates, dept, action)
 
-    def body(changed: DataFrame, batch_id: int):
-        # changed: one row per patient whose fold moved; rebuild as updates
-        ups = changed.select("patient_id", F.lit("lab").alias("dept"), F.lit("submitted_results").alias("action"),
-                             F.col("last_data").alias("data"), F.col("last_update").alias("updated_at"),
-                             F.lit(0).cast("long").alias("update_id"))
-        touched = orders.join(changed.select("patient_id"), "patient_id", "left_semi")
-        sink({"state": U.lab_state(touched, ups)}, batch_id)
 
-    q = dept_state_stream(updates, "lab", "submitted_results").writeStream.outputMode("update").foreachBatch(body)
+def run_dept_state(updates: DataFrame, dept: str, action: str, out_dir: str, checkpoint: str,
+                   available_now: bool = True):
+    """T4: write the changed per-patient fold states of every micro-batch
+    under its batch id. The work per batch is proportional to the batch (one
+    row per changed patient), never to the orders table; order rows are
+    derived when read (``orders_under_state``)."""
+    sink = _batch_writer({"state": out_dir})
+    q = (dept_state_stream(updates, dept, action).writeStream.outputMode("update")
+         .foreachBatch(lambda changed, batch_id: sink({"state": changed}, batch_id)))
     return _run(q, checkpoint, available_now)
 
 
+def run_lab_state(updates: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
+    """T4 for the lab: 'submitted_results' updates."""
+    return run_dept_state(updates, "lab", "submitted_results", out_dir, checkpoint, available_now)
+
+
+def orders_under_state(spark: SparkSession, orders: DataFrame, state_dir: str, done_status: str = "completed",
+                       with_results: bool = True) -> DataFrame:
+    """Current order rows: the newest state per patient joined to the orders
+    (the same rule as the batch fold, U4)."""
+    return U.apply_dept_state(orders, latest_snapshot(spark, state_dir, "patient_id"), done_status, with_results)
+
+
 def latest_snapshot(spark: SparkSession, out_dir: str, key: str) -> DataFrame:
     """Newest row per key across the batch folders of a foreachBatch sink."""
     df = spark.read.parquet(out_dir)
@@ -221,19 +223,13 @@ def stream_fanout(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
 
 
 def stream_lab_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4 registered: department updates arrive as a stream; the state of
-    every order is its newest re-evaluation, or its initial pending row when
-    no result ever touched its patient."""
+    """T4 registered: department updates arrive as a stream; the per-patient
+    state it maintains is applied to the lab orders when read."""
     from careflow.sources.bindings import Bindings
     b = Bindings(spark, sf_dir)
-    orders = b.lab_order_events
     base = scratch_path(spark, "t4-lab-state")
-    run_lab_state(b.stream_view("b_dept_updates", "events"), orders, base + "/out", base + "/checkpoint")
-    snap = latest_snapshot(spark, base + "/out", "order_id")
-    untouched = orders.join(snap.select("order_id"), "order_id", "left_anti").select(
-        "order_id", "patient_id", "created_at", F.lit("pending").alias("status"), F.lit("{}").alias("results"),
-        F.col("created_at").alias("updated_at"))
-    return snap.unionByName(untouched)
+    run_lab_state(b.stream_view("b_dept_updates", "events"), base + "/state", base + "/checkpoint")
+    return orders_under_state(spark, b.lab_order_events, base + "/state")
 
 
 def stream_dedup_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
