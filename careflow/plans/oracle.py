@@ -29,11 +29,6 @@ FROM b_consultations c LEFT JOIN (
 _REF = re.compile(r"\bb_[a-z_]+\b")
 
 
-def _deps(name: str) -> list[str]:
-    text = BINDING_SQL.get(name) or DUCK_VIEWS[name]
-    return [d for d in dict.fromkeys(_REF.findall(text)) if d != name]
-
-
 def oracle_with(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the WITH clauses of every binding it references."""
     views = {**DUCK_VIEWS, **(extra or {})}
