@@ -96,11 +96,16 @@ def record_defaults(patients: DataFrame, consultations: DataFrame, lab_orders: D
 
 def patient_record(patients: DataFrame, clinical: DataFrame, hospitals: DataFrame,
                    lab_orders: DataFrame, prescriptions: DataFrame, updates: DataFrame) -> DataFrame:
-    """J6 + W8: the full record of every patient in one pass.
-
-    Four pre-aggregations (one list per patient and kind, newest first) are
-    left-joined on patient_id, so rows never multiply across kinds. The
-    latest of each kind is element 0 of its list, with the record defaults.
+    """J6 + W8: the full record of every patient in one pass, in the
+    reference's response shape (lists of history, lab, prescription and
+    department rows, newest first).
+
+    Four pre-aggregations (one list per patient and kind) are left-joined on
+    patient_id, so rows never multiply across kinds. The latest of each kind
+    is element 0 of its list, with the record defaults. Each output row holds
+    a patient's whole history by definition, so its size is that history;
+    the figures derived from it are in ``patient_record_summary``, which
+    needs no lists.
     """
     h = bounded_broadcast(hospitals.select("hospital_id", F.col("name").alias("hospital_name")),
                           HOSPITAL_BROADCAST_ROWS)
@@ -130,19 +135,48 @@ def patient_record(patients: DataFrame, clinical: DataFrame, hospitals: DataFram
     )
 
 
-def patient_record_summary(record: DataFrame) -> DataFrame:
-    """Scalar projection of J6 (sizes and latest values), for the oracle."""
-    return record.select(
+def patient_record_summary(patients: DataFrame, clinical: DataFrame, hospitals: DataFrame,
+                           lab_orders: DataFrame, prescriptions: DataFrame, updates: DataFrame) -> DataFrame:
+    """Scalar projection of J6: history sizes and latest values per patient.
+
+    Built from partial aggregates only (``count``, ``max_by``); unlike the
+    nested record it never gathers a patient's history into one row, so a
+    patient with a third of all consultations costs no more than others.
+    """
+    h = bounded_broadcast(hospitals.select("hospital_id", F.col("name").alias("hospital_name")),
+                          HOSPITAL_BROADCAST_ROWS)
+    c = (clinical.groupBy("patient_id")
+         .agg(F.count(F.lit(1)).alias("n_consultations"),
+              F.max_by(F.struct("consultation_id", "hospital_id", "prescriptions"),
+                       F.struct("created_at", "consultation_id")).alias("__c"))
+         .select("patient_id", "n_consultations", F.col("__c.consultation_id").alias("latest_consultation_id"),
+                 F.col("__c.hospital_id").alias("__hid"), F.col("__c.prescriptions").alias("__rx")))
+    c = c.join(h, c["__hid"] == h["hospital_id"], "left").drop("hospital_id", "__hid")
+    lab = (lab_orders.groupBy("patient_id")
+           .agg(F.count(F.lit(1)).alias("n_lab_orders"),
+                F.max_by("status", F.struct("created_at", "order_id")).alias("__lab")))
+    rx = (prescriptions.groupBy("patient_id")
+          .agg(F.count(F.lit(1)).alias("n_prescriptions"),
+               F.max_by("status", F.struct("created_at", "rx_id")).alias("__rxs")))
+    up = (updates.groupBy("patient_id")
+          .agg(F.count(F.lit(1)).alias("n_updates"),
+               F.max_by("update_id", F.struct("updated_at", "update_id")).alias("latest_update_id")))
+    rec = (patients.select("patient_id", "name").join(c, "patient_id", "left").join(lab, "patient_id", "left")
+           .join(rx, "patient_id", "left").join(up, "patient_id", "left"))
+    zero = F.lit(0).cast("long")
+    return rec.select(
         "patient_id", "name",
-        F.coalesce(F.size("history"), F.lit(0)).cast("long").alias("n_consultations"),
-        F.coalesce(F.size("lab_history"), F.lit(0)).cast("long").alias("n_lab_orders"),
-        F.coalesce(F.size("prescription_history"), F.lit(0)).cast("long").alias("n_prescriptions"),
-        F.coalesce(F.size("dept_updates"), F.lit(0)).cast("long").alias("n_updates"),
-        F.col("consultation.consultation_id").alias("latest_consultation_id"),
-        F.col("consultation.hospital_name").alias("latest_hospital_name"),
-        F.to_json(F.col("consultation.prescriptions")).alias("latest_prescriptions"),
-        "lab_status", "pharmacy_status",
-        F.col("dept_updates")[0]["update_id"].alias("latest_update_id"),
+        F.coalesce("n_consultations", zero).alias("n_consultations"),
+        F.coalesce("n_lab_orders", zero).alias("n_lab_orders"),
+        F.coalesce("n_prescriptions", zero).alias("n_prescriptions"),
+        F.coalesce("n_updates", zero).alias("n_updates"),
+        "latest_consultation_id",
+        F.when(F.col("latest_consultation_id").isNotNull(), nonblank_or("hospital_name", S.UNKNOWN_HOSPITAL))
+        .alias("latest_hospital_name"),
+        F.to_json("__rx").alias("latest_prescriptions"),
+        F.coalesce("__lab", F.lit(S.NO_LAB_STATUS)).alias("lab_status"),
+        F.coalesce("__rxs", F.lit(S.NO_RX_STATUS)).alias("pharmacy_status"),
+        "latest_update_id",
     )
 
 

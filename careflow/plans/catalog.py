@@ -368,7 +368,9 @@ LEFT JOIN (SELECT patient_id, update_id FROM (SELECT *, row_number() OVER (PARTI
            ORDER BY updated_at DESC NULLS LAST, update_id DESC) AS rn FROM b_dept_updates) WHERE rn = 1) lu
   ON p.patient_id = lu.patient_id""")
 def q_patient_record(spark, d):
-    return records.patient_record_summary(_record(spark, d))
+    b = Bindings(spark, d)
+    return records.patient_record_summary(b.patients, clinical(b), b.hospitals, b.lab_orders, b.prescriptions,
+                                          b.dept_updates)
 
 
 @query("patient_record_nested")

@@ -47,3 +47,22 @@ def test_entry_smoke(spark):
                           "emergency_alerts", "lab_completed", "lab_pending", "pharmacy_dispensed",
                           "pharmacy_pending"]
     assert rows[0]["total_patients"] == 150
+
+
+def test_nested_record_agrees_with_summary(spark):
+    """The nested J6 record (rows-only key) carries the same figures as the
+    scalar summary that is checked against DuckDB."""
+    from pyspark.sql import functions as F
+    rec = E.queries()["patient_record_nested"](spark, SF_SMALL)
+    derived = rec.select(
+        "patient_id", "name",
+        F.coalesce(F.size("history"), F.lit(0)).cast("long").alias("n_consultations"),
+        F.coalesce(F.size("lab_history"), F.lit(0)).cast("long").alias("n_lab_orders"),
+        F.coalesce(F.size("prescription_history"), F.lit(0)).cast("long").alias("n_prescriptions"),
+        F.coalesce(F.size("dept_updates"), F.lit(0)).cast("long").alias("n_updates"),
+        F.col("consultation.consultation_id").alias("latest_consultation_id"),
+        F.col("consultation.hospital_name").alias("latest_hospital_name"),
+        F.to_json(F.col("consultation.prescriptions")).alias("latest_prescriptions"),
+        "lab_status", "pharmacy_status",
+        F.col("dept_updates")[0]["update_id"].alias("latest_update_id"))
+    same(derived.toPandas(), E.queries()["patient_record"](spark, SF_SMALL).toPandas())
