@@ -43,6 +43,33 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized to the data for a cluster run (pass as ``extra``).
+
+    Shuffle partitions: enough that the largest shuffle (taken as the input
+    size, an upper bound for these jobs, whose aggregates shrink it) splits
+    into ~``target_partition_bytes`` pieces, and at least 3 waves of tasks.
+    AQE coalesces small ones at runtime, so this is an upper bound. Scan
+    splits use the same target, so one task's input fits comfortably in an
+    executor core's share of memory. Skewed shuffle partitions larger than 5x
+    the median and the target are split by AQE.
+    """
+    slots = executors * cores_per_executor
+    parts = max(3 * slots, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and sinks.
 

@@ -397,3 +397,11 @@ def test_applications_flat_table_wins_clash_and_hides_password(spark):
     assert r["status"] == "pending" and r["hospital_id"] == 1 and "password" not in r
     assert r["applied_at"] == dt.datetime(2024, 1, 1) and r["comments"] == "c"
     assert "password" not in P.publish(spark.createDataFrame([(1, "x")], "id long, password string")).columns
+
+
+def test_cluster_conf_sizes_partitions():
+    from careflow.session import cluster_conf
+    c = cluster_conf(100 * 2**40, executors=1000, cores_per_executor=8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    small = cluster_conf(2**30, executors=10, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 120  # at least three waves
