@@ -44,19 +44,22 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
-                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+                 target_partition_bytes: int = 256 << 20, shuffle_bytes: int | None = None,
+                 max_shuffle_partitions: int = 200_000) -> dict[str, str]:
     """Settings sized to the data for a cluster run (pass as ``extra``).
 
-    Shuffle partitions: enough that the largest shuffle (taken as the input
-    size, an upper bound for these jobs, whose aggregates shrink it) splits
-    into ~``target_partition_bytes`` pieces, and at least 3 waves of tasks.
-    AQE coalesces small ones at runtime, so this is an upper bound. Scan
-    splits use the same target, so one task's input fits comfortably in an
-    executor core's share of memory. Skewed shuffle partitions larger than 5x
-    the median and the target are split by AQE.
+    Shuffle partitions: the largest expected shuffle (default a quarter of
+    the input; these jobs project columns and pre-aggregate before every
+    shuffle) split into ~``target_partition_bytes`` pieces, at least three
+    waves of tasks, and capped so the map-side block count stays sane. AQE
+    coalesces small partitions at runtime and splits skewed ones (over 5x the
+    median and over the target), so this is an upper bound. Scan splits use
+    the same target, so one task's input fits comfortably in a core's share
+    of executor memory.
     """
     slots = executors * cores_per_executor
-    parts = max(3 * slots, -(-input_bytes // target_partition_bytes))
+    shuffle = shuffle_bytes if shuffle_bytes is not None else input_bytes // 4
+    parts = min(max_shuffle_partitions, max(3 * slots, -(-shuffle // target_partition_bytes)))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),

@@ -402,6 +402,6 @@ def test_applications_flat_table_wins_clash_and_hides_password(spark):
 def test_cluster_conf_sizes_partitions():
     from careflow.session import cluster_conf
     c = cluster_conf(100 * 2**40, executors=1000, cores_per_executor=8)
-    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(c["spark.sql.shuffle.partitions"]) == 102400  # 25 TB shuffle / 256 MB
     small = cluster_conf(2**30, executors=10, cores_per_executor=4)
     assert int(small["spark.sql.shuffle.partitions"]) == 120  # at least three waves
