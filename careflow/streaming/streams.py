@@ -18,7 +18,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, TimestampNTZType
+from pyspark.errors import AnalysisException
+from pyspark.sql.types import IntegerType, StructField, StructType, TimestampNTZType
 
 from careflow.operators import predicates as P
 from careflow.operators import registry as U
@@ -126,15 +127,27 @@ def run_lab_state(updates: DataFrame, out_dir: str, checkpoint: str, available_n
 
 
 def orders_under_state(spark: SparkSession, orders: DataFrame, state_dir: str, done_status: str = "completed",
-                       with_results: bool = True) -> DataFrame:
+                       with_results: bool = True, schema: StructType | None = None) -> DataFrame:
     """Current order rows: the newest state per patient joined to the orders
     (the same rule as the batch fold, U4)."""
-    return U.apply_dept_state(orders, latest_snapshot(spark, state_dir, "patient_id"), done_status, with_results)
+    state = latest_snapshot(spark, state_dir, "patient_id", schema)
+    return U.apply_dept_state(orders, state, done_status, with_results)
 
 
-def latest_snapshot(spark: SparkSession, out_dir: str, key: str) -> DataFrame:
+def read_sink(spark: SparkSession, out_dir: str, schema: StructType | None = None) -> DataFrame:
+    """Rows of a per-batch sink; an empty frame when no batch ever ran (a
+    stream over empty input writes nothing). Works on any file system."""
+    try:
+        return spark.read.parquet(out_dir)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) or schema is None:
+            raise
+        return spark.createDataFrame([], StructType(list(schema.fields) + [StructField("batch_id", IntegerType())]))
+
+
+def latest_snapshot(spark: SparkSession, out_dir: str, key: str, schema: StructType | None = None) -> DataFrame:
     """Newest row per key across the batch folders of a foreachBatch sink."""
-    df = spark.read.parquet(out_dir)
+    df = read_sink(spark, out_dir, schema)
     cols = [c for c in df.columns if c != "batch_id"]
     return (df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("__r"))
             .select("__r.*"))
@@ -187,7 +200,7 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = event_stream(spark, sf_dir, schema, file_glob="events.parquet").select("ts", "event_type")
     base = scratch_path(spark, "daily-counts")
     run_daily_counts(src, base + "/out", base + "/checkpoint")
-    snap = spark.read.parquet(base + "/out")
+    snap = read_sink(spark, base + "/out", daily_counts_stream(src).schema)
     return (snap.groupBy("day", "event_type")
             .agg(F.max_by("n", F.col("batch_id")).alias("n")))
 
@@ -200,7 +213,7 @@ def _run_to_sink(df: DataFrame, spark: SparkSession, name: str, output_mode: str
     sink = _batch_writer({"out": base + "/out"})
     _run(df.writeStream.outputMode(output_mode).foreachBatch(lambda b, i: sink({"out": b}, i)),
          base + "/checkpoint")
-    return spark.read.parquet(base + "/out").drop("batch_id")
+    return read_sink(spark, base + "/out", df.schema).drop("batch_id")
 
 
 def stream_alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +232,8 @@ def stream_fanout(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     clinical = records.clinical_records(b.stream_view("b_consultations", "orders"), b.items)
     base = scratch_path(spark, "t2-fanout")
     stream_fanout_to(clinical, base + "/lab", base + "/rx", base + "/checkpoint")
-    return spark.read.parquet(base + ("/lab" if which == "lab" else "/rx")).drop("batch_id")
+    out = U.fanout_orders(clinical) if which == "lab" else U.fanout_rx(clinical)
+    return read_sink(spark, base + ("/lab" if which == "lab" else "/rx"), out.schema).drop("batch_id")
 
 
 def stream_lab_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,8 +242,10 @@ def stream_lab_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     from careflow.sources.bindings import Bindings
     b = Bindings(spark, sf_dir)
     base = scratch_path(spark, "t4-lab-state")
-    run_lab_state(b.stream_view("b_dept_updates", "events"), base + "/state", base + "/checkpoint")
-    return orders_under_state(spark, b.lab_order_events, base + "/state")
+    updates = b.stream_view("b_dept_updates", "events")
+    run_lab_state(updates, base + "/state", base + "/checkpoint")
+    return orders_under_state(spark, b.lab_order_events, base + "/state",
+                              schema=dept_state_stream(updates, "lab", "submitted_results").schema)
 
 
 def stream_dedup_updates(spark: SparkSession, sf_dir: str) -> DataFrame:

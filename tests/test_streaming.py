@@ -143,3 +143,12 @@ def test_stream_days_do_not_depend_on_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     same(got, QUERIES["daily_counts"](spark, SF_SMALL).toPandas())
+
+
+def test_empty_stream_gives_empty_result(spark, tmp_dir):
+    schema = "ts timestamp_ntz, event_type string"
+    os.makedirs(tmp_dir + "/in")
+    src = spark.readStream.schema(schema).parquet(tmp_dir + "/in")
+    T.run_daily_counts(src, tmp_dir + "/out", tmp_dir + "/ck")
+    out = T.latest_snapshot(spark, tmp_dir + "/out", "day", T.daily_counts_stream(src).schema)
+    assert out.count() == 0 and out.columns == ["day", "event_type", "n"]
