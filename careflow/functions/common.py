@@ -92,8 +92,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     repartitioning it lets every core work. On a cluster-sized input (more
     partitions than cores) this is a no-op, so no shuffle is added there.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.isStreaming:
+        return df  # micro-batches are partitioned by the source
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. Spark Connect): leave as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def literal_frame(spark, rows: list[tuple], schema: str) -> DataFrame:

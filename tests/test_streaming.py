@@ -152,3 +152,13 @@ def test_empty_stream_gives_empty_result(spark, tmp_dir):
     T.run_daily_counts(src, tmp_dir + "/out", tmp_dir + "/ck")
     out = T.latest_snapshot(spark, tmp_dir + "/out", "day", T.daily_counts_stream(src).schema)
     assert out.count() == 0 and out.columns == ["day", "event_type", "n"]
+
+
+def test_record_extraction_runs_on_a_stream(spark, tmp_dir):
+    from careflow.functions import extract as X
+    b = Bindings(spark, SF_SMALL)
+    src = _as_stream(spark, b.records, tmp_dir + "/in")
+    q = (X.record_extract(src).writeStream.format("memory").queryName("records_stream")
+         .option("checkpointLocation", tmp_dir + "/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    same(spark.table("records_stream").toPandas(), X.record_extract(b.records).toPandas())
