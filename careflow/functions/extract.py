@@ -247,8 +247,7 @@ def welcome_messages(patients: DataFrame) -> DataFrame:
     """Welcome line for every checked-in patient."""
     return patients.filter(F.col("checked_in") == 1).select(
         "patient_id", "language",
-        F.format_string("Welcome %s. You are Token %s. Please go to Room %s.",
-                        "name", "token_number", "room_number").alias("message"))
+        F.format_string(S.WELCOME_TEMPLATE, "name", "token_number", "room_number").alias("message"))
 
 
 def alert_messages(feed: DataFrame) -> DataFrame:

@@ -55,6 +55,8 @@ DISCHARGE_TEMPLATE = (
     "%s, your consultation is complete. Your medicines have been dispensed. "
     "Important: %s. Please take care and get well soon."
 )
+# Welcome line at check-in (name, token, room).
+WELCOME_TEMPLATE = "Welcome %s. You are Token %s. Please go to Room %s."
 # Colour band of the record sheet by severity.
 SEVERITY_BANDS = {"emergency": "red", "high": "orange"}
 OTHER_BAND = "green"
