@@ -12,14 +12,21 @@ from careflow.functions.common import bounded_broadcast, latest_by, nonblank_or
 HOSPITAL_BROADCAST_ROWS = 200_000
 
 
-def clinical_records(consultations: DataFrame, items: DataFrame) -> DataFrame:
+def clinical_records(consultations: DataFrame, items: DataFrame, only_these: bool = False) -> DataFrame:
     """Consultations with their lists (prescriptions, lab tests, symptoms).
 
     One aggregate per list, so a query that reads only some lists computes
     only those (column pruning drops unused aggregates). Prescriptions keep
     (line, part_id) order; tests and symptom words are de-duplicated and
     sorted. A consultation without items has empty lists.
+
+    ``only_these``: ``consultations`` is a selection (latest per patient,
+    requested patients, ...); items are semi-joined to it before grouping,
+    so lists are built only where they are used. The semi-join is keyed like
+    the grouping, so the grouping reuses its partitioning.
     """
+    if only_these:
+        items = items.join(consultations.select("consultation_id"), "consultation_id", "left_semi")
     lists = (items.groupBy("consultation_id")
              .agg(F.array_sort(F.collect_list(F.struct("line", "part_id", "medicine"))).alias("__rx"),
                   F.array_sort(F.collect_set("test")).alias("lab_tests"),
@@ -135,22 +142,28 @@ def patient_record(patients: DataFrame, clinical: DataFrame, hospitals: DataFram
     )
 
 
-def patient_record_summary(patients: DataFrame, clinical: DataFrame, hospitals: DataFrame,
+def patient_record_summary(patients: DataFrame, consultations: DataFrame, items: DataFrame, hospitals: DataFrame,
                            lab_orders: DataFrame, prescriptions: DataFrame, updates: DataFrame) -> DataFrame:
     """Scalar projection of J6: history sizes and latest values per patient.
 
     Built from partial aggregates only (``count``, ``max_by``); unlike the
     nested record it never gathers a patient's history into one row, so a
     patient with a third of all consultations costs no more than others.
+    The prescription list is built for each patient's latest consultation
+    only.
     """
     h = bounded_broadcast(hospitals.select("hospital_id", F.col("name").alias("hospital_name")),
                           HOSPITAL_BROADCAST_ROWS)
-    c = (clinical.groupBy("patient_id")
+    c = (consultations.groupBy("patient_id")
          .agg(F.count(F.lit(1)).alias("n_consultations"),
-              F.max_by(F.struct("consultation_id", "hospital_id", "prescriptions"),
+              F.max_by(F.struct("consultation_id", "hospital_id"),
                        F.struct("created_at", "consultation_id")).alias("__c"))
          .select("patient_id", "n_consultations", F.col("__c.consultation_id").alias("latest_consultation_id"),
-                 F.col("__c.hospital_id").alias("__hid"), F.col("__c.prescriptions").alias("__rx")))
+                 F.col("__c.hospital_id").alias("__hid")))
+    latest_lists = clinical_records(c.select(F.col("latest_consultation_id").alias("consultation_id")),
+                                    items, only_these=True) \
+        .select(F.col("consultation_id").alias("latest_consultation_id"), F.col("prescriptions").alias("__rx"))
+    c = c.join(latest_lists, "latest_consultation_id", "left")
     c = c.join(h, c["__hid"] == h["hospital_id"], "left").drop("hospital_id", "__hid")
     lab = (lab_orders.groupBy("patient_id")
            .agg(F.count(F.lit(1)).alias("n_lab_orders"),

@@ -369,8 +369,8 @@ LEFT JOIN (SELECT patient_id, update_id FROM (SELECT *, row_number() OVER (PARTI
   ON p.patient_id = lu.patient_id""")
 def q_patient_record(spark, d):
     b = Bindings(spark, d)
-    return records.patient_record_summary(b.patients, clinical(b), b.hospitals, b.lab_orders, b.prescriptions,
-                                          b.dept_updates)
+    return records.patient_record_summary(b.patients, b.consultations, b.items, b.hospitals, b.lab_orders,
+                                          b.prescriptions, b.dept_updates)
 
 
 @query("patient_record_nested")
@@ -391,7 +391,9 @@ FROM ({_latest('b_clinical', 'consultation_id', 'diagnosis, severity, followup,
 JOIN b_patients p ON lc.patient_id = p.patient_id""")
 def q_record_sheet(spark, d):
     b = Bindings(spark, d)
-    return records.record_sheet(b.patients, clinical(b))
+    # lists only for each patient's latest consultation (the sheet shows no other)
+    latest = records.latest_consultation(b.consultations)
+    return records.record_sheet(b.patients, records.clinical_records(latest, b.items, only_these=True))
 
 
 @query("medicine_lines", """
@@ -623,6 +625,15 @@ def q_alert_log(spark, d):
     return U.alert_log(P.alert_feed(b.consultations, b.patients), b.deliveries)
 
 
+def _first_visits(b: Bindings) -> DataFrame:
+    """Each patient's first consultation with its lists (the only event the
+    workflow can act on); lists are built for those consultations only."""
+    first = b.consultations.groupBy("patient_id").agg(
+        F.min_by(F.struct(*b.consultations.columns), F.struct("created_at", "consultation_id")).alias("__f")
+    ).select("__f.*")
+    return records.clinical_records(first, b.items, only_these=True)
+
+
 def _backfill_sql(prefix: str, id_col: str, list_col: str, out_col: str, extra: str) -> str:
     return f"""
 SELECT {_sha_id(prefix, 'consultation_id')} AS {id_col}, patient_id, consultation_id,
@@ -634,13 +645,13 @@ WHERE rn = 1 AND patient_id NOT IN (SELECT patient_id FROM b_prior_orders WHERE
 @query("orders_backfill", _backfill_sql("WFLAB-", "order_id", "lab_tests", "tests", "'{}' AS results,"))
 def q_orders_backfill(spark, d):
     b = Bindings(spark, d)
-    return U.orders_backfill(clinical(b), b.prior_orders)
+    return U.orders_backfill(_first_visits(b), b.prior_orders)
 
 
 @query("rx_backfill", _backfill_sql("WFRX-", "rx_id", "prescriptions", "medicines", ""))
 def q_rx_backfill(spark, d):
     b = Bindings(spark, d)
-    return U.rx_backfill(clinical(b), b.prior_orders)
+    return U.rx_backfill(_first_visits(b), b.prior_orders)
 
 
 @query("status_normalised", """
@@ -942,7 +953,8 @@ SELECT consultation_id, patient_id, diagnosis, severity, created_at,
 FROM b_clinical WHERE patient_id IN (SELECT patient_id FROM b_checkins)""")
 def q_patient_history(spark, d):
     b = Bindings(spark, d)
-    h = L.patient_history(clinical(b), b.checkins)
+    wanted = L.patient_history(b.consultations, b.checkins)  # lists only for requested patients
+    h = records.clinical_records(wanted, b.items, only_these=True)
     return h.select("consultation_id", "patient_id", "diagnosis", "severity", "created_at",
                     F.to_json("prescriptions").alias("prescriptions"), F.to_json("lab_tests").alias("lab_tests"))
 
