@@ -94,9 +94,13 @@ def q_language_breakdown(spark, d):
     return kpi.language_breakdown(Bindings(spark, d).patients)
 
 
-@query("breakdown_map")
+@query("breakdown_map", """
+SELECT '{' || string_agg('"' || coalesce(severity, 'null') || '":' || CAST(n AS VARCHAR), ','
+                         ORDER BY coalesce(severity, 'null')) || '}' AS severity_breakdown
+FROM (SELECT severity, count(*) AS n FROM b_consultations GROUP BY severity)""")
 def q_breakdown_map(spark, d):
-    return kpi.breakdown_map(kpi.severity_breakdown(Bindings(spark, d).consultations), "severity")
+    m = kpi.breakdown_map(kpi.severity_breakdown(Bindings(spark, d).consultations), "severity")
+    return m.select(F.to_json("severity_breakdown").alias("severity_breakdown"))  # the map as JSON text
 
 
 def _values(rows, names: str) -> str:
