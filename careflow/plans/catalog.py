@@ -377,9 +377,49 @@ def q_patient_record(spark, d):
                                           b.prescriptions, b.dept_updates)
 
 
-@query("patient_record_nested")
+def _ts_text(expr: str) -> str:
+    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
+
+
+_NESTED_LIST = """(SELECT patient_id, CAST(to_json(list(struct_pack({fields}) ORDER BY {order})) AS VARCHAR) AS {name}
+  FROM {src} GROUP BY patient_id) {alias} ON p.patient_id = {alias}.patient_id"""
+
+
+@query("patient_record_nested", f"""
+SELECT p.patient_id, p.name,
+       coalesce(ll.status, 'not_ordered') AS lab_status, coalesce(lr.status, 'not_prescribed') AS pharmacy_status,
+       hh.history, lh.lab_history, rh.prescription_history, uh.dept_updates
+FROM b_patients p
+LEFT JOIN {_NESTED_LIST.format(
+    name="history", alias="hh", order="created_at DESC, consultation_id DESC",
+    src="(SELECT c.*, coalesce(nullif(h.name, ''), 'Unknown Hospital') AS hospital_name FROM b_clinical c "
+        "LEFT JOIN b_hospitals h ON c.hospital_id = h.hospital_id)",
+    fields=f"created_at := {_ts_text('created_at')}, consultation_id := consultation_id, "
+           "hospital_name := hospital_name, diagnosis := diagnosis, severity := severity, symptoms := symptoms, "
+           "prescriptions := prescriptions, lab_tests := lab_tests, followup := followup")}
+LEFT JOIN {_NESTED_LIST.format(
+    name="lab_history", alias="lh", order="created_at DESC, order_id DESC", src="b_lab_orders",
+    fields=f"created_at := {_ts_text('created_at')}, order_id := order_id, status := status")}
+LEFT JOIN {_NESTED_LIST.format(
+    name="prescription_history", alias="rh", order="created_at DESC, rx_id DESC", src="b_prescriptions",
+    fields=f"created_at := {_ts_text('created_at')}, rx_id := rx_id, status := status")}
+LEFT JOIN {_NESTED_LIST.format(
+    name="dept_updates", alias="uh", order="updated_at DESC, update_id DESC", src="b_dept_updates",
+    fields=f"updated_at := {_ts_text('updated_at')}, update_id := update_id, dept := dept, action := action, "
+           "data := data")}
+LEFT JOIN ({_latest('b_lab_orders', 'order_id', 'status')}) ll ON p.patient_id = ll.patient_id
+LEFT JOIN ({_latest('b_prescriptions', 'rx_id', 'status')}) lr ON p.patient_id = lr.patient_id""")
 def q_patient_record_nested(spark, d):
-    return _record(spark, d)
+    rec = _record(spark, d)
+
+    def as_json(col: str, ts: str):
+        # each list as JSON text: times as 'yyyy-MM-dd HH:mm:ss', NULL fields kept
+        texts = F.transform(col, lambda x: x.withField(ts, F.date_format(x[ts], "yyyy-MM-dd HH:mm:ss")))
+        return F.to_json(texts, {"ignoreNullFields": "false"}).alias(col)
+
+    return rec.select("patient_id", "name", "lab_status", "pharmacy_status",
+                      as_json("history", "created_at"), as_json("lab_history", "created_at"),
+                      as_json("prescription_history", "created_at"), as_json("dept_updates", "updated_at"))
 
 
 @query("record_sheet", f"""
