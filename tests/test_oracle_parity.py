@@ -33,10 +33,10 @@ def test_every_key_has_a_callable_and_oracles_are_subset():
     assert len(q) >= 80
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - set(ORACLE)))
-def test_rows_only_keys_run(spark, key):
-    df = E.queries()[key](spark, SF_SMALL)
-    assert df.count() >= 0
+def test_rows_only_keys_run(spark):
+    """Keys without an oracle (none at present) must at least run."""
+    for key in sorted(set(E.queries()) - set(ORACLE)):
+        assert E.queries()[key](spark, SF_SMALL).count() >= 0
 
 
 def test_entry_smoke(spark):
