@@ -200,3 +200,27 @@ def workflow_complete(updates: DataFrame, stages: int = 3) -> DataFrame:
     per = updates.filter(F.col("dept").isNotNull()).select("patient_id", "dept").distinct()
     out = per.groupBy("patient_id").agg(F.count(F.lit(1)).alias("stages"))
     return out.filter(F.col("stages") == stages)
+
+
+def analytics_summary(patients: DataFrame, consultations: DataFrame, lab_orders: DataFrame,
+                      prescriptions: DataFrame, as_of) -> DataFrame:
+    """The whole dashboard response in one row and one plan: the A1 totals,
+    both breakdowns (A2, A3 as maps with the NULL key as 'null') and the ten
+    most recent patients (W3, newest first).
+
+    Every part is an aggregate or a top-k; they meet as scalar subqueries,
+    so nothing grows with the data except the scans.
+    """
+    totals = kpi_summary(patients, consultations, lab_orders, prescriptions, as_of)
+    sev = breakdown_map(severity_breakdown(consultations), "severity")
+    lang = breakdown_map(language_breakdown(patients), "language")
+    top = recent_patients(patients)
+    w = Window.partitionBy().orderBy(F.col("created_at").desc(), F.col("patient_id").asc())
+    recent = (top.withColumn("__slot", F.row_number().over(w))
+              .agg(F.sort_array(F.collect_list(F.struct("__slot", *top.columns))).alias("__r"))
+              .select(F.transform("__r", lambda x: x.dropFields("__slot")).alias("recent_patients")))
+    return totals.select(
+        "*",
+        sev.select("severity_breakdown").scalar().alias("severity_breakdown"),
+        lang.select("language_breakdown").scalar().alias("language_breakdown"),
+        recent.select("recent_patients").scalar().alias("recent_patients"))

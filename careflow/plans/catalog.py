@@ -82,6 +82,40 @@ def q_kpi_summary(spark, d):
     return kpi.kpi_summary(b.patients, b.consultations, b.lab_orders, b.prescriptions, AS_OF)
 
 
+def _map_json(key: str, table: str) -> str:
+    return (f"(SELECT '{{' || string_agg('\"' || coalesce(CAST({key} AS VARCHAR), 'null') || '\":' || "
+            f"CAST(n AS VARCHAR), ',' ORDER BY coalesce(CAST({key} AS VARCHAR), 'null')) || '}}' "
+            f"FROM (SELECT {key}, count(*) AS n FROM {table} GROUP BY {key}))")
+
+
+@query("analytics_summary", f"""
+SELECT t.*, {_map_json('severity', 'b_consultations')} AS severity_breakdown,
+       {_map_json('language', 'b_patients')} AS language_breakdown,
+       (SELECT CAST(to_json(list(struct_pack(patient_id := patient_id, name := name, token_number := token_number,
+               room_number := room_number, language := language,
+               created_at := strftime(created_at, '%Y-%m-%d %H:%M:%S'))
+               ORDER BY created_at DESC NULLS LAST, patient_id)) AS VARCHAR)
+        FROM (SELECT * FROM b_patients ORDER BY created_at DESC NULLS LAST, patient_id LIMIT 10)) AS recent_patients
+FROM (SELECT (SELECT count(*) FROM b_patients) AS total_patients,
+             (SELECT count(*) FROM b_patients WHERE {_day('created_at')}) AS today_patients,
+             (SELECT count(*) FROM b_patients WHERE checked_in = 1) AS checked_in,
+             (SELECT count(*) FROM b_consultations) AS total_consultations,
+             (SELECT count(*) FROM b_consultations WHERE severity IN ('emergency', 'high')) AS emergency_alerts,
+             (SELECT count(*) FROM b_lab_orders WHERE status = 'completed') AS lab_completed,
+             (SELECT count(*) FROM b_lab_orders WHERE status = 'pending') AS lab_pending,
+             (SELECT count(*) FROM b_prescriptions WHERE status = 'dispensed') AS pharmacy_dispensed,
+             (SELECT count(*) FROM b_prescriptions WHERE status = 'pending') AS pharmacy_pending) t""")
+def q_analytics_summary(spark, d):
+    b = Bindings(spark, d)
+    s = kpi.analytics_summary(b.patients, b.consultations, b.lab_orders, b.prescriptions, AS_OF)
+    recent = F.transform("recent_patients",
+                         lambda x: x.withField("created_at", F.date_format(x["created_at"], "yyyy-MM-dd HH:mm:ss")))
+    # maps and the list as JSON text (exact comparison with the oracle)
+    return s.withColumn("severity_breakdown", F.to_json("severity_breakdown")) \
+        .withColumn("language_breakdown", F.to_json("language_breakdown")) \
+        .withColumn("recent_patients", F.to_json(recent, {"ignoreNullFields": "false"}))
+
+
 @query("severity_breakdown", """
 SELECT severity, count(*) AS n FROM b_consultations GROUP BY severity""")
 def q_severity_breakdown(spark, d):
