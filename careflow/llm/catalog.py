@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from careflow.llm import decontaminate, lexicon_codec, line_dedup, secrets, token_counts, toxicity
+from careflow.llm import (decontaminate, hnsw_dedup, lattice_lm, lexicon_codec, line_dedup, secrets,
+                          shingle_join, suffix_dedup, token_counts, toxicity)
 from careflow.llm.common import table
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -16,6 +17,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lattice_lm(spark, sf_dir):
+    return lattice_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), tokenizer(PIECES))
+
+
+def op2_suffix_dedup(spark, sf_dir):
+    cut = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark, sf_dir):
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -26,6 +37,10 @@ def op4_toxicity(spark, sf_dir):
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_hnsw_dedup(spark, sf_dir):
+    return hnsw_dedup.linked(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_lexicon_codec(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = lexicon_codec.encode(docs, tokenizer(BYTE_BPE), decode=True, keep_text=False)
@@ -33,6 +48,10 @@ def op6_lexicon_codec(spark, sf_dir):
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_shingle_join(spark, sf_dir):
+    return shingle_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_benchmark_containment(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -47,7 +66,8 @@ def op10_secret_links(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_line_dedup, op4_toxicity, op6_lexicon_codec, op8_benchmark_containment, op9_token_counts, op10_secret_links,
+    op1_lattice_lm, op2_suffix_dedup, op3_line_dedup, op4_toxicity, op5_hnsw_dedup, op6_lexicon_codec,
+    op7_shingle_join, op8_benchmark_containment, op9_token_counts, op10_secret_links,
 )}
 
 _SHINGLES = """

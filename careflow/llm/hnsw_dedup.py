@@ -243,7 +243,7 @@ def linked(vectors: DataFrame, least: float = 0.95, shards: int = 8, blocks: int
     classes = written(classes, "classes")
     dealt = classes.select("rep", "n", "v", F.size("v").alias("dim"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.pmod("g", F.lit(blocks)).cast("int").alias("block"), "g")
 
-    def build(key, table: pa.Table) -> pa.Table:
+    def build(key, table):
         draw = (table["g"].to_numpy().astype(np.uint64) >> np.uint64(11)).astype(np.float64) / (1 << 53)
         level = np.minimum(np.floor(-np.log(draw + 2.0**-54) / np.log(LINKS)), 8).astype(np.int64)
         order = np.lexsort((table["rep"].to_numpy(), -level))
@@ -258,7 +258,7 @@ def linked(vectors: DataFrame, least: float = 0.95, shards: int = 8, blocks: int
     graphs = dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, reps binary, weights binary, vectors binary, layers array<binary>")
     graphs = written(graphs, "graphs")
 
-    def ask(key, graph: pa.Table, asked: pa.Table) -> pa.Table:
+    def ask(key, graph, asked):
         a, b, n = [np.zeros(0, np.int64)] * 3
         if graph.num_rows and asked.num_rows:
             dim = key[0].as_py()
