@@ -203,7 +203,9 @@ def dedup_lines(docs: DataFrame, chars: int = 40, least: int = 5, hot: int = HOT
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     drops = written(dropped_lines(docs, chars, least, hot), "drops")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)).alias("_line_doc"), *columns)
-    rows = rows.join(drops.select(F.col("doc").alias("_line_doc"), F.col("keys").alias("_line_keys")), "_line_doc", "left")
+    # one plan at every size: what is dropped grows with the documents
+    drops = drops.select(F.col("doc").alias("_line_doc"), F.col("keys").alias("_line_keys")).hint("merge")
+    rows = rows.join(drops, "_line_doc", "left")
     at = columns.index("text")
     rows = rows.select("_line_keys", *(F.col(c).cast("binary") if c == "text" else F.col(c) for c in columns))
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
