@@ -190,7 +190,7 @@ def shared_enough(rows: DataFrame, sets, name: str) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those (a, b) whose sets are similar. ``sets``: doc, shingles (bytes)."""
-    side = lambda c: sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}"))
+    side = lambda c: sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge")
 
     def check(batches):
         for b in batches:
@@ -237,7 +237,7 @@ def join(docs: DataFrame) -> DataFrame:
             found = [(d, s.tobytes()) for d, t in zip(b["doc"].to_pylist(), b["text"].to_pylist()) if len(s := shingle_set(t, known))]
             yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["doc", "shingles"])
 
-    held = written(rows.join(some, "doc", "left_semi").mapInArrow(collect, "doc long, shingles binary"), "held")
+    held = written(rows.join(some.hint("merge"), "doc", "left_semi").mapInArrow(collect, "doc long, shingles binary"), "held")
 
     def by_shingle(b):
         for d, s in zip(b["doc"].to_pylist(), b["shingles"].to_pylist()):
@@ -245,7 +245,7 @@ def join(docs: DataFrame) -> DataFrame:
             yield d, s, -(-3 * len(s) // 4)
 
     left = written(shared_enough(held, by_shingle, "shingles").select(F.col("id").alias("doc")), "left")
-    held = written(held.join(left, "doc", "left_semi"), "held")
+    held = written(held.join(left.hint("merge"), "doc", "left_semi"), "held")
 
     def enumerate_(batches):
         for b in batches:
@@ -260,7 +260,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     marks = held.select("doc", "shingles").mapInArrow(enumerate_, "doc long, sig long, need int")
     groups = marks.groupBy("sig").agg(F.min("doc").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    marks = written(marks.join(written(groups, "groups"), "sig"), "marks")
+    marks = written(marks.join(written(groups, "groups").hint("merge"), "sig"), "marks")
     led = marks.filter("doc <> lead").groupBy("doc", "lead").count()
     tried = written(led.groupBy("doc").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("b")).select(F.col("doc").alias("a"), "b"), "tried")
     first = written(verified(tried, held), "first")
@@ -280,7 +280,7 @@ def join(docs: DataFrame) -> DataFrame:
     roots = components(links)
     # a set's documents share its representative's component; a document of several texts joins theirs
     named = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k0", "k1", "rep", F.coalesce("component", "rep").alias("component"))
-    out = sizes.join(named, ["k0", "k1"], "left")
+    out = sizes.join(named.hint("merge"), ["k0", "k1"], "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
                       F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
@@ -289,4 +289,4 @@ def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: the smallest doc_id; documents that link
     with nothing stay."""
     lost = join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(written(lost, "lost"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(written(lost, "lost").hint("merge"), "doc_id", "left_anti").select(docs.columns)
