@@ -26,6 +26,19 @@ def is_blank(c) -> Column:
     return c.isNull() | F.regexp_like(c, F.lit(r"^\s*$"))
 
 
+_END = "#end of text#"
+
+
+def whole_json(c) -> Column:
+    """The text as a variant if all of it is one JSON value, else NULL.
+
+    A JSON parser reads one value and ignores what follows; wrapped in a list
+    before an end mark, such text no longer parses.
+    """
+    v = F.try_parse_json(F.concat(F.lit("["), col_or(c), F.lit(f',"{_END}"]')))
+    return F.when(F.try_variant_get(v, "$[1]", "string") == _END, F.try_variant_get(v, "$[0]", "variant"))
+
+
 def json_string(c) -> Column:
     """One string value as a JSON string literal (escaped, quoted); NULL -> null."""
     return F.regexp_extract(F.to_json(F.array(col_or(c))), r"^\[(.*)\]$", 1)
@@ -40,21 +53,24 @@ def json_list_text(c) -> Column:
 
 
 def iso_text(c) -> Column:
-    """``datetime.isoformat()`` of a zone-less timestamp (no fraction when 0)."""
-    c = col_or(c)
-    return F.when(c.isNull(), F.lit(None).cast("string")).when(
-        F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    ).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    """``datetime.isoformat()`` of a wall-clock time (no fraction when 0).
 
+    Made from the fields of the zone-less value, so the session time zone
+    (and its missing or doubled hours) plays no part.
+    """
+    text = col_or(c).cast("timestamp_ntz").cast("string")
+    fraction = F.concat(F.lit("."), F.rpad(F.substring_index(text, ".", -1), 6, "0"))
+    return F.concat(F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T")),
+                    F.when(F.contains(text, F.lit(".")), fraction).otherwise(F.lit("")))
 
-def make_id(prefix: str, key, n: int = 16) -> Column:
-    """Deterministic identifier: prefix + first ``n`` hex digits of SHA-256.
 
-    Deterministic so that a retried task produces the same id; 64 bits make
-    collisions negligible, and the key audit checks uniqueness anyway.
+def make_id(prefix: str, key) -> Column:
+    """Deterministic identifier: prefix + the whole SHA-256 of the key (64 hex digits).
+
+    Deterministic so that a retried task produces the same id; whole, so that
+    ids stay unique at any number of rows.
     """
-    k = col_or(key).cast("string")
-    return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(k, 256), 1, n)))
+    return F.concat(F.lit(prefix), F.upper(F.sha2(col_or(key).cast("string"), 256)))
 
 
 def latest_by(df: DataFrame, key: str | list[str], order_cols: list[str],
@@ -73,63 +89,76 @@ def latest_by(df: DataFrame, key: str | list[str], order_cols: list[str],
                                for c in order_cols + [v for v in value_cols if v not in order_cols]])
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
+def literal_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed dimension (vocabulary) as a DataFrame; size known."""
+    return spark.createDataFrame(rows, schema)
+
 
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the frame
-    is returned as is and the join stays a shuffle join (which AQE may still
-    turn into a broadcast once it has measured the real size).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+RANGES, TIE_RANGES = 1024, 64
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work (JSON parsing, regexes over whole texts)
-    at least one partition per core.
+def _count_below(df: DataFrame, bounds: Column, c: str, ranges: int, out: str) -> DataFrame:
+    """``out``: how many of ``ranges - 1`` sorted bounds are smaller than the column.
 
-    A table stored as one small file is read by one task; round-robin
-    repartitioning it lets every core work. On a cluster-sized input (more
-    partitions than cores) this is a no-op, so no shuffle is added there.
+    A binary search, one projection for each step, all within generated code.
     """
-    if df.isStreaming:
-        return df  # micro-batches are partitioned by the source
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. Spark Connect): leave as is
-        return df
-    return df.repartition(want) if have < want else df
+    df = df.withColumn(out, F.lit(0))
+    for step in (ranges >> k for k in range(1, ranges.bit_length())):
+        n = F.col(out)
+        df = df.withColumn(out, n + F.when(F.get(bounds, n + (step - 1)) < F.col(c), F.lit(step)).otherwise(F.lit(0)))
+    return df
 
 
-def literal_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A small fixed dimension (vocabulary) as a DataFrame; size known."""
-    return spark.createDataFrame(rows, schema)
+def placed(df: DataFrame, ts_col: str, tie_col: str) -> DataFrame:
+    """``df`` with ``__bucket``, ranges that rise with (ts, tie) and follow the data.
+
+    Bounds come from a quantile sketch of the times; a time that is itself a
+    bound (any share of the rows may have it) and NULL are ranges of their
+    own, cut further at quantiles of an integer tie column. The sketches are
+    scalar subqueries.
+    """
+    numeric = df.schema[tie_col].dataType.typeName() in ("long", "integer", "short", "byte")
+    points = lambda n: [k / n for k in range(1, n)]
+    sketch = lambda c, n: df.agg(F.percentile_approx(c, points(n), 10_000)).scalar()
+    bounds, t = sketch(ts_col, RANGES), F.col(ts_col)
+    out = _count_below(df, bounds, ts_col, RANGES, "__below")
+    alone = t.isNull() | F.coalesce(F.get(bounds, F.col("__below")) == t, F.lit(False))
+    out = out.withColumn("__alone", alone)
+    if numeric:
+        out = _count_below(out, sketch(tie_col, TIE_RANGES), tie_col, TIE_RANGES, "__tie")
+    else:
+        out = out.withColumn("__tie", F.lit(0))
+    place = F.when(t.isNull(), F.lit(-1)).otherwise(2 * F.col("__below") + F.col("__alone").cast("int"))
+    within = F.when(F.col("__alone"), F.col("__tie")).otherwise(F.lit(0))
+    return out.withColumn("__bucket", place * TIE_RANGES + within).drop("__below", "__alone", "__tie")
 
 
 def prefix_position(df: DataFrame, group_cols: list[str], ts_col: str, tie_col: str,
-                    weight_col: str | None = None, bucket: str = "hour",
-                    inclusive: bool = True, out: str = "position") -> DataFrame:
+                    weight_col: str | None = None, inclusive: bool = True, out: str = "position") -> DataFrame:
     """Running count (or running sum of ``weight_col``) in (ts, tie) order per group.
 
     A plain ``row_number() over (partition by group order by ts)`` puts a whole
     group in one task; a group holding a third of all rows (or, with no group
     columns, the whole table) would then sort in a single task. Instead:
 
-    1. cut time into buckets and count per (group, bucket): a small frame;
-    2. prefix-sum those counts per group (a window over the small frame);
-    3. join the offsets back and rank only within (group, bucket).
-
-    ``inclusive`` counts the row itself (a 1-based position); otherwise only
-    rows strictly before it.
+    1. a quantile sketch of the times (and of the tie ids) gives range bounds
+       that follow the data: a busy hour gets many ranges;
+    2. rows are counted per (group, range): a small frame, whose prefix sums
+       per group are a window over at most ranges x tie ranges rows;
+    3. the offsets are joined back and rows ranked within (group, range) only.
+
+    A time that is itself a bound may hold any share of the rows (as may
+    NULL); it is a range of its own, cut further by the tie ids. The sketch is
+    a scalar subquery, so building the plan starts no job. ``inclusive``
+    counts the row itself (a 1-based position); otherwise only rows strictly
+    before it. NULL times come first.
     """
     w_val = F.col(weight_col) if weight_col else F.lit(1)
-    b = F.date_trunc(bucket, F.col(ts_col))
-    base = df.withColumn("__bucket", b).withColumn("__w", w_val.cast("long"))
+    base = placed(df, ts_col, tie_col).withColumn("__w", w_val.cast("long"))
     counts = base.groupBy(*group_cols, "__bucket").agg(F.sum("__w").alias("__n"))
     wo = Window.partitionBy(*group_cols).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(wo), F.lit(0))).drop("__n")
-    # null-safe: a NULL time (or group key) is a bucket of its own, not a lost row
+    # null-safe: a NULL group key is a group of its own, not a lost row
     keys = [*group_cols, "__bucket"]
     offsets = offsets.select(*[F.col(k).alias("__o_" + k) for k in keys], "__off")
     cond = [base[k].eqNullSafe(offsets["__o_" + k]) for k in keys]

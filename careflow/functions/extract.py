@@ -9,20 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careflow import schemas as S
-from careflow.functions.common import is_blank, iso_text, json_string, make_id, spread
+from careflow.functions.common import is_blank, iso_text, json_string, make_id, whole_json
 
 
 # ---------------------------------------------------------------- E1 JSON lists
-def json_decode(df: DataFrame, col: str, key: str) -> DataFrame:
-    """JSON list text -> typed list, with a status instead of an exception.
+def json_decode(df: DataFrame, col: str, key: str, kind: str = "ARRAY") -> DataFrame:
+    """JSON text of a list (or, with kind 'OBJECT', of a map) -> typed value,
+    with a status instead of an exception.
 
-    'null' for NULL text, 'malformed' when the text is not a JSON list,
-    'ok' otherwise; the decoded list is re-emitted as compact JSON.
+    'null' for NULL text, 'malformed' when the whole text is not one JSON
+    value of that kind (text after it included), 'ok' otherwise; the decoded
+    value is re-emitted as compact JSON.
     """
-    parsed = F.from_json(col, "array<string>")
+    ok = F.coalesce(F.schema_of_variant(whole_json(col)).startswith(kind), F.lit(False))
+    parsed = F.when(ok, F.from_json(col, "array<string>" if kind == "ARRAY" else "map<string,string>"))
     status = (F.when(F.col(col).isNull(), F.lit("null"))
               .when(parsed.isNull(), F.lit("malformed")).otherwise(F.lit("ok")))
-    return df.select(key, status.alias("status"), F.size(parsed).cast("long").alias("n_items"),
+    return df.select(key, status.alias("status"), F.when(parsed.isNotNull(), F.size(parsed)).cast("long").alias("n_items"),
                      F.to_json(parsed).alias("items"))
 
 
@@ -60,7 +63,7 @@ def _str_list_ok(kind: Column, val: Column) -> Column:
 def parse_records(answers: DataFrame, key: str = "request_id", raw: str = "raw") -> DataFrame:
     """E2 + E3: answers -> checked clinical records with a rejection reason.
 
-    Parsing goes through ``try_parse_json`` into a variant, so the real JSON
+    Parsing goes through ``whole_json`` into a variant, so the real JSON
     type of every field is known: a missing, null or wrong-typed field (a
     list holding a non-string, a number where text is due) is rejected
     instead of being coerced. ``route_to`` is derived before the check when
@@ -72,7 +75,7 @@ def parse_records(answers: DataFrame, key: str = "request_id", raw: str = "raw")
     """
     fields = [f for f, _ in S.RECORD_FIELDS] + ["route_to"]
     clean = clean_answer(raw)
-    p1 = spread(answers).select(key, clean.alias("__clean")).withColumn("__v", F.try_parse_json("__clean"))
+    p1 = answers.select(key, clean.alias("__clean")).withColumn("__v", whole_json("__clean"))
     p2 = p1.select(key, "__clean", "__v",
                    F.schema_of_variant("__v").alias("__top"),
                    *[F.variant_get("__v", "$." + f, "variant").alias("__f_" + f) for f in fields])
@@ -126,10 +129,14 @@ def record_quarantine(answers: DataFrame, key: str = "request_id") -> DataFrame:
     return parse_records(answers, key).filter(F.col("reason").isNotNull()).select(key, "reason")
 
 
-def route_derive(clinical: DataFrame) -> DataFrame:
-    """E3 over consultation records."""
-    return clinical.select("consultation_id",
-                           F.to_json(derive_route(F.col("lab_tests"), F.col("prescriptions"))).alias("route_to"))
+def route_derive(consultations: DataFrame, items: DataFrame) -> DataFrame:
+    """E3 over consultations and their items: two flags per consultation
+    (any test, any medicine) from partial aggregates; no list is built."""
+    flags = items.groupBy("consultation_id").agg(F.bool_or(F.col("test").isNotNull()).alias("__lab"),
+                                                 F.lit(True).alias("__rx"))
+    route = F.array_compact(F.array(F.when(F.col("__lab"), F.lit("lab")), F.when(F.col("__rx"), F.lit("pharmacy"))))
+    return consultations.select("consultation_id").join(flags, "consultation_id", "left").select(
+        "consultation_id", F.to_json(route).alias("route_to"))
 
 
 # ---------------------------------------------------------------- E4 provider chain
@@ -152,19 +159,26 @@ def first_answer(answers: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- E5 triage baseline
 def triage_rules(docs: DataFrame, rules=None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """E5: first matching keyword rule over the whole text, else 'low'.
+    """E5: first rule that holds for the whole text, else 'low'.
 
     A rule baseline: the reference leaves this to a model; ours is
-    deterministic and its rules are an argument.
+    deterministic and its rules are an argument: (severity, rank, lists of
+    phrases), where one list's phrases must all occur as whole words.
     """
     rules = rules or S.TRIAGE_RULES
-    # each rule's regex runs once per text; severity and rank read the flags
-    low = spread(docs).select(key, F.lower(F.col(text)).alias("__t"))
-    flags = low.select(key, *[F.col("__t").rlike(p).alias(f"__r{i}") for i, (_, _, p) in enumerate(rules)])
+    phrases = sorted({p for _, _, lists in rules for ps in lists for p in ps})
+    # each phrase is looked for once per text; severity and rank read the flags
+    low = docs.select(key, F.lower(F.col(text)).alias("__t"))
+    flags = low.select(key, *[F.coalesce(F.col("__t").rlike(f"(^|[^a-z]){p}([^a-z]|$)"), F.lit(False)).alias(f"__p{i}")
+                              for i, p in enumerate(phrases)])
     sev, rank = F.lit(S.TRIAGE_DEFAULT), F.lit(len(rules) + 1)
-    for i in reversed(range(len(rules))):
-        name, r, _ = rules[i]
-        hit = F.coalesce(F.col(f"__r{i}"), F.lit(False))
+    for name, r, lists in reversed(rules):
+        hit = F.lit(False)
+        for ps in lists:
+            every = F.lit(True)
+            for p in ps:
+                every = every & F.col(f"__p{phrases.index(p)}")
+            hit = hit | every
         sev = F.when(hit, F.lit(name)).otherwise(sev)
         rank = F.when(hit, F.lit(r)).otherwise(rank)
     return flags.select(key, sev.alias("severity"), rank.alias("rank"))
@@ -209,10 +223,21 @@ def translate_apply(docs: DataFrame, results: DataFrame, target: str = "en-IN")
 
 # ---------------------------------------------------------------- E8 / E9 scan payloads
 def scan_decode(scans: DataFrame, payload: str = "payload") -> DataFrame:
-    """A JSON object's ``patient_id``, else the raw text (also for JSON
-    that is not an object or lacks the field)."""
-    pid = F.get_json_object(F.col(payload), "$.patient_id")
-    return scans.select("event_id", F.coalesce(F.nullif(pid, F.lit("")), F.col(payload)).alias("patient_id"))
+    """A JSON object's ``patient_id``, else the raw text: also for text
+    that is not one JSON value, and for an id that JavaScript holds for false
+    (absent, null, false, 0, '')."""
+    p = scans.select("event_id", F.col(payload).alias("__raw"), whole_json(payload).alias("__v"))
+    p = p.select("event_id", "__raw", F.try_variant_get("__v", "$.patient_id", "variant").alias("__id"))
+    p = p.select("event_id", "__raw", "__id", F.schema_of_variant("__id").alias("__kind"),
+                 F.try_variant_get("__id", "$", "string").alias("__text"))
+    number = F.try_variant_get("__id", "$", "double")
+    given = (F.when(F.col("__kind").isNull() | (F.col("__kind") == "VOID"), F.lit(False))
+             .when(F.col("__kind") == "STRING", F.col("__text") != "")
+             .when(F.col("__kind") == "BOOLEAN", F.col("__text") == "true")
+             .when(F.col("__kind").startswith("ARRAY") | F.col("__kind").startswith("OBJECT"), F.lit(True))
+             .otherwise(F.coalesce(number, F.lit(1.0)) != 0))
+    text = F.when(F.col("__kind").startswith("ARRAY") | F.col("__kind").startswith("OBJECT"), F.to_json("__id")).otherwise(F.col("__text"))
+    return p.select("event_id", F.when(given, text).otherwise(F.col("__raw")).alias("patient_id"))
 
 
 def py_json_object(pairs: list[tuple[str, Column]]) -> Column:
@@ -250,11 +275,9 @@ def welcome_messages(patients: DataFrame) -> DataFrame:
         F.format_string(S.WELCOME_TEMPLATE, "name", "token_number", "room_number").alias("message"))
 
 
-def alert_messages(feed: DataFrame) -> DataFrame:
-    """Alert text: name, id, severity in capitals, diagnosis, room."""
-    msg = F.format_string("ALERT\nPatient: %s (%s)\nSeverity: %s\nDiagnosis: %s\nRoom: %s\n"
-                          "Immediate attention required.",
-                          F.col("name"), F.col("patient_id"), F.upper("severity"), F.col("diagnosis"),
+def alert_messages(feed: DataFrame, heading: str = "ALERT") -> DataFrame:
+    """Alert text: heading, name, id, severity in capitals, diagnosis, room."""
+    msg = F.format_string(S.ALERT_TEMPLATE, F.lit(heading), F.col("name"), F.col("patient_id"), F.upper("severity"), F.col("diagnosis"),
                           F.col("room_number"))
     return feed.select("consultation_id", "patient_id", msg.alias("message"))
 
@@ -272,5 +295,5 @@ def iso_parse(df: DataFrame, ts: str, key: str) -> DataFrame:
     the day written in the text.
     """
     text = iso_text(ts)
-    parsed = F.try_to_timestamp(text).cast("timestamp_ntz")
+    parsed = text.try_cast("timestamp_ntz")
     return df.select(key, text.alias("iso_text"), parsed.alias("parsed"), F.to_date(parsed).alias("day"))

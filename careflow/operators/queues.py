@@ -41,14 +41,15 @@ def lab_pending(lab_orders: DataFrame, patients: DataFrame, hospital_id=None) ->
 def queue_position(lab_queue: DataFrame, rx_queue: DataFrame) -> DataFrame:
     """1-based FIFO position per (hospital, department).
 
-    Uses the bucketed prefix count, so one hospital holding a third of all
-    pending orders is still ranked by many tasks.
+    Takes unsorted queues (``pending_queue``). Ranges of the prefix count
+    follow the data, so one hospital or day holding a third of all pending
+    orders is still ranked by many tasks.
     """
     both = (lab_queue.select("hospital_id", F.lit("lab").alias("dept"), "patient_id",
                              F.col("order_id").alias("item_id"), "created_at")
             .unionByName(rx_queue.select("hospital_id", F.lit("pharmacy").alias("dept"), "patient_id",
                                          F.col("rx_id").alias("item_id"), "created_at")))
-    return prefix_position(both, ["hospital_id", "dept"], "created_at", "item_id", bucket="day")
+    return prefix_position(both, ["hospital_id", "dept"], "created_at", "item_id")
 
 
 def queue_length(lab_queue: DataFrame, rx_queue: DataFrame) -> DataFrame:

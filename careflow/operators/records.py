@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from careflow import schemas as S
-from careflow.functions.common import bounded_broadcast, latest_by, nonblank_or
-
-# Hospitals are a dimension; above this many rows the join stays a shuffle join.
-HOSPITAL_BROADCAST_ROWS = 200_000
+from careflow.functions.common import latest_by, nonblank_or
 
 
 def clinical_records(consultations: DataFrame, items: DataFrame, only_these: bool = False) -> DataFrame:
@@ -30,8 +27,8 @@ def clinical_records(consultations: DataFrame, items: DataFrame, only_these: boo
     lists = (items.groupBy("consultation_id")
              .agg(F.array_sort(F.collect_list(F.struct("line", "part_id", "medicine"))).alias("__rx"),
                   F.array_sort(F.collect_set("test")).alias("lab_tests"),
-                  F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("medicine", " ")))))
-                  .alias("symptoms"))
+                  F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("medicine"),
+                                                                      lambda m: F.split(m, " "))))).alias("symptoms"))
              .select("consultation_id", F.transform("__rx", lambda x: x["medicine"]).alias("prescriptions"),
                      "lab_tests", "symptoms"))
     empty = F.array().cast("array<string>")
@@ -43,8 +40,7 @@ def clinical_records(consultations: DataFrame, items: DataFrame, only_these: boo
 
 def history_with_hospital(consultations: DataFrame, hospitals: DataFrame) -> DataFrame:
     """Consultations with the hospital name, 'Unknown Hospital' when absent."""
-    h = bounded_broadcast(hospitals.select("hospital_id", F.col("name").alias("hospital_name")),
-                          HOSPITAL_BROADCAST_ROWS)
+    h = hospitals.select("hospital_id", F.col("name").alias("hospital_name"))
     out = consultations.join(h, "hospital_id", "left")
     return (out.select("consultation_id", "patient_id",
                        nonblank_or("hospital_name", S.UNKNOWN_HOSPITAL).alias("hospital_name"),
@@ -78,23 +74,29 @@ def record_defaults(patients: DataFrame, consultations: DataFrame, lab_orders: D
                     prescriptions: DataFrame, hospitals: DataFrame) -> DataFrame:
     """Per patient, latest statuses with the record defaults.
 
-    Lab and pharmacy status default to 'not_ordered' / 'not_prescribed'. The
+    Lab and pharmacy status default to 'not_ordered' / 'not_prescribed', tests
+    and medicines (JSON text) to [] and results to {}. The
     hospital name ('Unknown Hospital' when blank or absent) and the follow-up
     belong to the latest consultation: without one, the follow-up is '' and
     there is no hospital name; with one, a NULL follow-up stays NULL.
     """
     lc = latest_consultation(consultations).select("patient_id", "consultation_id", "hospital_id", "followup")
-    h = bounded_broadcast(hospitals.select("hospital_id", F.col("name").alias("hospital_name")),
-                          HOSPITAL_BROADCAST_ROWS)
+    h = hospitals.select("hospital_id", F.col("name").alias("hospital_name"))
     lc = lc.join(h, "hospital_id", "left").drop("hospital_id")
-    ll = latest_lab(lab_orders).select("patient_id", F.col("status").alias("lab_status"))
-    lr = latest_rx(prescriptions).select("patient_id", F.col("status").alias("pharmacy_status"))
+    ll = latest_by(lab_orders, "patient_id", ["created_at", "order_id"], ["status", "tests", "results"]).select(
+        "patient_id", F.col("status").alias("lab_status"), F.col("tests").alias("lab_tests"),
+        F.col("results").alias("lab_results"))
+    lr = latest_by(prescriptions, "patient_id", ["created_at", "rx_id"], ["status", "medicines"]).select(
+        "patient_id", F.col("status").alias("pharmacy_status"), "medicines")
     base = patients.select("patient_id")
     out = base.join(lc, "patient_id", "left").join(ll, "patient_id", "left").join(lr, "patient_id", "left")
     return out.select(
         "patient_id",
         F.coalesce("lab_status", F.lit(S.NO_LAB_STATUS)).alias("lab_status"),
+        F.coalesce("lab_tests", F.lit(S.EMPTY_LIST)).alias("lab_tests"),
+        F.coalesce("lab_results", F.lit(S.EMPTY_MAP)).alias("lab_results"),
         F.coalesce("pharmacy_status", F.lit(S.NO_RX_STATUS)).alias("pharmacy_status"),
+        F.coalesce("medicines", F.lit(S.EMPTY_LIST)).alias("medicines"),
         F.when(F.col("consultation_id").isNotNull(), nonblank_or("hospital_name", S.UNKNOWN_HOSPITAL))
         .alias("hospital_name"),
         F.when(F.col("consultation_id").isNull(), F.lit("")).otherwise(F.col("followup")).alias("followup"),
@@ -102,10 +104,13 @@ def record_defaults(patients: DataFrame, consultations: DataFrame, lab_orders: D
 
 
 def patient_record(patients: DataFrame, clinical: DataFrame, hospitals: DataFrame,
-                   lab_orders: DataFrame, prescriptions: DataFrame, updates: DataFrame) -> DataFrame:
-    """J6 + W8: the full record of every patient in one pass, in the
-    reference's response shape (lists of history, lab, prescription and
-    department rows, newest first).
+                   lab_orders: DataFrame, prescriptions: DataFrame, updates: DataFrame,
+                   requests: DataFrame | None = None) -> DataFrame:
+    """J6 + W8: the nested record of every patient (or of the requested
+    ``patient_id``s) in one pass: lists of history, lab, prescription and
+    department rows, newest first, the latest lab and pharmacy state as
+    objects, and the latest consultation with its route. ``patient_timeline``
+    is the flat form, which gathers nothing per patient.
 
     Four pre-aggregations (one list per patient and kind) are left-joined on
     patient_id, so rows never multiply across kinds. The latest of each kind
@@ -114,20 +119,24 @@ def patient_record(patients: DataFrame, clinical: DataFrame, hospitals: DataFram
     the figures derived from it are in ``patient_record_summary``, which
     needs no lists.
     """
-    h = bounded_broadcast(hospitals.select("hospital_id", F.col("name").alias("hospital_name")),
-                          HOSPITAL_BROADCAST_ROWS)
+    if requests is not None:
+        ids = requests.select("patient_id").distinct()
+        patients, clinical, lab_orders, prescriptions, updates = (
+            t.join(ids, "patient_id", "left_semi") for t in (patients, clinical, lab_orders, prescriptions, updates))
+    h = hospitals.select("hospital_id", F.col("name").alias("hospital_name"))
     hist = (clinical.join(h, "hospital_id", "left")
             .groupBy("patient_id")
             .agg(F.sort_array(F.collect_list(F.struct(
                 "created_at", "consultation_id",
                 nonblank_or("hospital_name", S.UNKNOWN_HOSPITAL).alias("hospital_name"),
-                "diagnosis", "severity", "symptoms", "prescriptions", "lab_tests", "followup"))
+                "diagnosis", "severity", "symptoms", "prescriptions", "lab_tests", "followup", "clinical_notes"))
                 , asc=False).alias("history")))
     labs = (lab_orders.groupBy("patient_id")
-            .agg(F.sort_array(F.collect_list(F.struct("created_at", "order_id", "status")), asc=False)
+            .agg(F.sort_array(F.collect_list(F.struct("created_at", "order_id", "status", "tests", "results")),
+                             asc=False)
                  .alias("lab_history")))
     rxs = (prescriptions.groupBy("patient_id")
-           .agg(F.sort_array(F.collect_list(F.struct("created_at", "rx_id", "status")), asc=False)
+           .agg(F.sort_array(F.collect_list(F.struct("created_at", "rx_id", "status", "medicines")), asc=False)
                 .alias("prescription_history")))
     ups = (updates.groupBy("patient_id")
            .agg(F.sort_array(F.collect_list(F.struct("updated_at", "update_id", "dept", "action", "data")),
@@ -136,9 +145,17 @@ def patient_record(patients: DataFrame, clinical: DataFrame, hospitals: DataFram
            .join(rxs, "patient_id", "left").join(ups, "patient_id", "left"))
     return rec.select(
         "*",
-        F.coalesce(F.col("lab_history")[0]["status"], F.lit(S.NO_LAB_STATUS)).alias("lab_status"),
-        F.coalesce(F.col("prescription_history")[0]["status"], F.lit(S.NO_RX_STATUS)).alias("pharmacy_status"),
-        F.col("history")[0].alias("consultation"),
+        F.struct(F.coalesce(F.col("lab_history")[0]["status"], F.lit(S.NO_LAB_STATUS)).alias("status"),
+                 F.coalesce(F.col("lab_history")[0]["tests"], F.lit(S.EMPTY_LIST)).alias("tests"),
+                 F.coalesce(F.col("lab_history")[0]["results"], F.lit(S.EMPTY_MAP)).alias("results"))
+        .alias("lab_status"),
+        F.struct(F.coalesce(F.col("prescription_history")[0]["status"], F.lit(S.NO_RX_STATUS)).alias("status"),
+                 F.coalesce(F.col("prescription_history")[0]["medicines"], F.lit(S.EMPTY_LIST)).alias("medicines"))
+        .alias("pharmacy_status"),
+        F.when(F.col("history").isNotNull(), F.col("history")[0].withField("route_to", F.array_compact(F.array(
+            F.when(F.size(F.col("history")[0]["lab_tests"]) > 0, F.lit("lab")),
+            F.when(F.size(F.col("history")[0]["prescriptions"]) > 0, F.lit("pharmacy"))))))
+        .alias("consultation"),
     )
 
 
@@ -152,8 +169,7 @@ def patient_record_summary(patients: DataFrame, consultations: DataFrame, items:
     The prescription list is built for each patient's latest consultation
     only.
     """
-    h = bounded_broadcast(hospitals.select("hospital_id", F.col("name").alias("hospital_name")),
-                          HOSPITAL_BROADCAST_ROWS)
+    h = hospitals.select("hospital_id", F.col("name").alias("hospital_name"))
     c = (consultations.groupBy("patient_id")
          .agg(F.count(F.lit(1)).alias("n_consultations"),
               F.max_by(F.struct("consultation_id", "hospital_id"),
@@ -203,7 +219,8 @@ def past_visits(consultations: DataFrame) -> DataFrame:
 def record_sheet(patients: DataFrame, clinical: DataFrame) -> DataFrame:
     """Data of the printable record from each patient's latest consultation."""
     latest = latest_by(clinical, "patient_id", ["created_at", "consultation_id"],
-                       ["diagnosis", "severity", "followup", "symptoms", "prescriptions", "lab_tests"])
+                       ["diagnosis", "severity", "followup", "symptoms", "prescriptions", "lab_tests",
+                        "clinical_notes"])
     sev = F.lower(F.col("severity"))
     band = F.lit(S.OTHER_BAND)
     for name, colour in reversed(list(S.SEVERITY_BANDS.items())):
@@ -219,12 +236,41 @@ def record_sheet(patients: DataFrame, clinical: DataFrame) -> DataFrame:
         .alias("lab_tests_text"),
         F.upper("severity").alias("severity_label"),
         band.alias("band"),
-        "followup",
+        "followup", "clinical_notes",
     )
 
 
-def medicine_lines(clinical: DataFrame) -> DataFrame:
-    """One row per prescribed medicine, numbered from 1 (map-only)."""
-    return clinical.select("consultation_id", "patient_id",
-                           F.posexplode("prescriptions").alias("pos", "medicine")) \
-        .select("consultation_id", "patient_id", (F.col("pos") + 1).cast("long").alias("line_no"), "medicine")
+def medicine_lines(consultations: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per prescribed medicine, numbered from 1 in (line, part) order.
+
+    Items are ranked where they are; no list is built.
+    """
+    rank = F.row_number().over(Window.partitionBy("consultation_id").orderBy("line", "part_id"))
+    ranked = items.select("consultation_id", rank.cast("long").alias("line_no"), "medicine")
+    return consultations.select("consultation_id", "patient_id").join(ranked, "consultation_id")
+
+
+def patient_timeline(clinical: DataFrame, hospitals: DataFrame, lab_orders: DataFrame, prescriptions: DataFrame,
+                     updates: DataFrame) -> DataFrame:
+    """J6 + W8, flat: one row per history, lab, prescription and department
+    entry of every patient, keyed (patient_id, kind, at, item_id), its fields
+    as JSON. No patient's history is gathered into one row, so a patient with
+    a third of all rows is spread like the rest; sort or group as needed.
+    """
+    h = hospitals.select("hospital_id", F.col("name").alias("hospital_name"))
+    visits = clinical.join(h, "hospital_id", "left").select(
+        "patient_id", F.lit("history").alias("kind"), F.col("created_at").alias("at"),
+        F.col("consultation_id").alias("item_id"),
+        _json(nonblank_or("hospital_name", S.UNKNOWN_HOSPITAL).alias("hospital_name"), "diagnosis", "severity",
+              "symptoms", "prescriptions", "lab_tests", "followup", "clinical_notes"))
+    labs = lab_orders.select("patient_id", F.lit("lab").alias("kind"), F.col("created_at").alias("at"),
+                             F.col("order_id").alias("item_id"), _json("status", "tests", "results"))
+    rxs = prescriptions.select("patient_id", F.lit("prescription").alias("kind"), F.col("created_at").alias("at"),
+                               F.col("rx_id").alias("item_id"), _json("status", "medicines"))
+    ups = updates.select("patient_id", F.lit("update").alias("kind"), F.col("updated_at").alias("at"),
+                         F.col("update_id").alias("item_id"), _json("dept", "action", "data"))
+    return visits.unionByName(labs).unionByName(rxs).unionByName(ups)
+
+
+def _json(*fields):
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("detail")

@@ -18,58 +18,85 @@ from careflow.operators.predicates import APPLICATION_PAYLOAD
 
 
 # ---------------------------------------------------------------- registrations
-def token_numbers(registrations: DataFrame, bucket: str = "hour") -> DataFrame:
-    """Token and room of every registration event.
+VISIT_FIELDS = ["name", "age", "gender", "language", "hospital_id", "aadhaar_last4"]
+
+
+def accepted_registrations(requests: DataFrame, patients: DataFrame) -> DataFrame:
+    """W7, first step: requests with the id they concern, rejected ones left out.
+
+    A request without ``patient_id`` registers a new patient, whose id comes
+    from the event. One with an id is a return; it counts only if the id is in
+    the table or was given to a new patient earlier in the log ((ts, event_id)
+    order). Rejects are dropped before anything is counted. Ids are text.
+    """
+    r = requests.withColumn("is_new", F.col("patient_id").isNull()) \
+        .withColumn("patient_id", F.coalesce(F.col("patient_id").cast("string"), make_id("VK-", "event_id")))
+    known = patients.select(F.col("patient_id").cast("string").alias("patient_id"), F.lit(True).alias("__known")).distinct()
+    born = r.filter("is_new").select("patient_id", F.struct("ts", "event_id").alias("__born"))
+    j = r.join(known, "patient_id", "left").join(born, "patient_id", "left")
+    ok = F.col("is_new") | F.col("__known") | (F.col("__born") < F.struct("ts", "event_id"))
+    return j.filter(F.coalesce(ok, F.lit(False))).drop("__known", "__born")
+
+
+def token_numbers(requests: DataFrame, patients: DataFrame) -> DataFrame:
+    """Token and room of every accepted registration, all its fields kept.
 
     The patients table counts one row per patient, so at each registration
-    the count is the number of *new* registrations strictly before it
-    (global order ts, event_id); token = count + 1, room = count % 3 + 1. A
-    returning patient does not raise the count, so the next new patient gets
-    the same token.
-
-    The first event per patient is a ``min`` aggregate (map-side partial);
-    the global running count is a bucketed prefix sum, so no single task
-    ever orders the whole log.
+    the count is the table's rows plus the *new* registrations strictly
+    before it (global order ts, event_id); token = count + 1, room = count
+    % 3 + 1. A returning patient does not raise the count, so the next new
+    patient gets the same token.
+
+    The running count is a prefix sum over ranges that follow the data, so no
+    single task ever orders the whole log, however busy one hour is.
     """
-    first = (registrations.groupBy("patient_id")
-             .agg(F.min(F.struct("ts", "event_id")).alias("__first")))
-    r = registrations.join(first, "patient_id", "inner").withColumn(
-        "is_new", (F.col("ts") == F.col("__first.ts")) & (F.col("event_id") == F.col("__first.event_id"))
-    ).drop("__first")
-    pos = prefix_position(r.withColumn("__new", F.col("is_new").cast("long")), [], "ts", "event_id",
-                          weight_col="__new", bucket=bucket, inclusive=False, out="__prior")
-    return pos.select("event_id", "patient_id", "ts", "is_new",
-                      (F.col("__prior") + 1).alias("token_number"),
-                      (F.col("__prior") % 3 + 1).alias("room_number"))
-
-
-def patients_upsert(tokens: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Patient rows after replaying every registration.
-
-    A returning registration replaces the visit fields: token, room,
-    ``checked_in = 0`` and ``created_at``. Only ids with a profile are kept
-    (an unknown id is rejected; see ``unknown_ids``).
+    r = accepted_registrations(requests, patients).withColumn("__new", F.col("is_new").cast("long"))
+    pos = prefix_position(r, [], "ts", "event_id", weight_col="__new", inclusive=False, out="__prior")
+    count = F.col("__prior") + patients.agg(F.count(F.lit(1))).scalar()
+    return pos.select(*requests.columns, "is_new", (count + 1).alias("token_number"), (count % 3 + 1).alias("room_number"))
+
+
+def patients_upsert(tokens: DataFrame, patients: DataFrame) -> DataFrame:
+    """The patients table after replaying every accepted registration.
+
+    A registration writes every visit field (name, age, gender, language,
+    hospital, id suffix), token, room, ``checked_in = 0`` and ``created_at``;
+    the last one per id wins. Patients nobody registered again stay as they
+    are. Columns a frame lacks are NULL; ``visits`` counts the registrations
+    replayed and ``event_id`` is the last one's (NULL for untouched rows).
     """
-    last = (tokens.groupBy("patient_id")
-            .agg(F.max_by(F.struct("ts", "token_number", "room_number"), F.struct("ts", "event_id"))
-                 .alias("__l"), F.count(F.lit(1)).alias("visits")))
-    prof = profiles.select("patient_id", "name", "language", "hospital_id")
-    return last.join(prof, "patient_id", "inner").select(
-        "patient_id", "name", "language", "hospital_id",
-        F.col("__l.token_number").alias("token_number"), F.col("__l.room_number").alias("room_number"),
-        F.lit(0).alias("checked_in"), F.col("__l.ts").alias("created_at"), "visits")
+    def column(df, c):
+        return F.col(c) if c in df.columns else F.lit(None)
+
+    kinds = {"age": "int", "hospital_id": "int"}
+    written = F.struct(*[column(tokens, c).cast(kinds.get(c, "string")).alias(c) for c in VISIT_FIELDS],
+                       "token_number", "room_number", F.col("ts").alias("created_at"), "event_id")
+    last = (tokens.groupBy("patient_id").agg(F.max_by(written, F.struct("ts", "event_id")).alias("__l"),
+                                             F.count(F.lit(1)).alias("visits"))
+            .select("patient_id", "__l.*", F.lit(0).alias("checked_in"), "visits"))
+    old = patients.select(F.col("patient_id").cast("string").alias("patient_id"),
+                          *[column(patients, c).cast(kinds.get(c, "string")).alias(c) for c in VISIT_FIELDS],
+                          "token_number", "room_number", "created_at", F.lit(None).cast("long").alias("event_id"),
+                          "checked_in", F.lit(0).cast("long").alias("visits"))
+    untouched = old.join(last.select("patient_id"), "patient_id", "left_anti")
+    return last.unionByName(untouched)
 
 
 def checkin_state(state: DataFrame, checkins: DataFrame) -> DataFrame:
-    """checked_in = 1 iff a check-in happened at or after the latest registration.
+    """checked_in after every check-in of the log.
 
-    A later re-registration resets the flag; event time, not arrival order,
-    decides.
+    Set by a check-in after the patient's last registration, in (ts, event_id)
+    order, so a later registration resets it; a patient without a registration
+    in the log keeps the old flag unless a check-in sets it. Check-ins of
+    unknown ids change nothing.
     """
-    ck = checkins.groupBy("patient_id").agg(F.max("ts").alias("last_checkin"))
-    j = state.select("patient_id", "created_at").join(ck, "patient_id", "left")
-    flag = F.when(F.col("last_checkin") >= F.col("created_at"), F.lit(1)).otherwise(F.lit(0))
-    return j.select("patient_id", "created_at", "last_checkin", flag.alias("checked_in"))
+    ck = checkins.groupBy(F.col("patient_id").cast("string").alias("patient_id")).agg(
+        F.max(F.struct("ts", "event_id")).alias("__c"))
+    j = state.join(ck, "patient_id", "left")
+    after = F.when(F.col("event_id").isNull(), F.col("__c").isNotNull()).otherwise(
+        F.col("__c") > F.struct(F.col("created_at").alias("ts"), "event_id"))
+    flag = F.when(F.coalesce(after, F.lit(False)), F.lit(1)).when(F.col("event_id").isNull(), F.col("checked_in")).otherwise(0)
+    return j.select("patient_id", "created_at", F.col("__c.ts").alias("last_checkin"), flag.alias("checked_in"))
 
 
 # ---------------------------------------------------------------- department fold (U4)
@@ -85,10 +112,11 @@ def dept_fold_state(updates: DataFrame, dept: str, action: str) -> DataFrame:
 def apply_dept_state(orders: DataFrame, state: DataFrame, done_status: str, with_results: bool) -> DataFrame:
     """Order rows under a per-patient fold state: closed iff the patient's
     latest closing update is at or after the order's creation."""
-    j = orders.select("order_id", "patient_id", "created_at").join(
+    key = "order_id" if "order_id" in orders.columns else "rx_id"
+    j = orders.select(key, "patient_id", "created_at").join(
         state.select("patient_id", "last_data", "last_update"), "patient_id", "left")
     closed = F.coalesce(F.col("last_update") >= F.col("created_at"), F.lit(False))
-    cols = ["order_id", "patient_id", "created_at",
+    cols = [key, "patient_id", "created_at",
             F.when(closed, F.lit(done_status)).otherwise(F.lit("pending")).alias("status")]
     if with_results:
         cols.append(F.when(closed, F.col("last_data")).otherwise(F.lit(S.LAB_ORDER_DEFAULTS["results"]))
@@ -117,13 +145,24 @@ def rx_state(orders: DataFrame, updates: DataFrame) -> DataFrame:
     return _dept_fold(orders, updates, S.RX_DEPT, S.RX_DONE_ACTION, "dispensed", False)
 
 
-def dedup_updates(updates: DataFrame, key: str = "update_id") -> DataFrame:
-    """T5 (batch twin): one row per update id, however often it was retried.
+def dedup_updates(updates: DataFrame, key: str = "update_id", order: str = "updated_at") -> DataFrame:
+    """T5 (batch twin): one row per update id, however often it was retried:
+    the earliest delivery (ties: the smallest row), whichever task sees it.
 
-    Planned as an aggregate with a map-side partial step, so a hot id is
-    collapsed before the shuffle.
+    An aggregate with a map-side partial step, so a hot id is collapsed
+    before the shuffle.
     """
-    return updates.dropDuplicates([key])
+    rest = [c for c in updates.columns if c != key]
+    first = sorted(rest, key=lambda c: c != order)  # the time leads
+    row = F.struct(*first)
+    return (updates.groupBy(key).agg(F.min(row).alias("__r")).select(key, "__r.*").select(*updates.columns))
+
+
+def append_updates(log: DataFrame, incoming: DataFrame, key: str = "update_id") -> DataFrame:
+    """The log after appending a delivery. Idempotent: ids the log already
+    holds, and repeats within the delivery, add nothing."""
+    fresh = dedup_updates(incoming, key).join(log.select(key), key, "left_anti")
+    return log.unionByName(fresh.select(*log.columns))
 
 
 # ---------------------------------------------------------------- consultation fan-out
@@ -190,57 +229,83 @@ def _payload(applications: DataFrame) -> DataFrame:
     return applications.withColumn("__p", F.from_json("data", APPLICATION_PAYLOAD))
 
 
+HOSPITAL_FIELDS = ["name", "license_number", "phone", "email", "pincode", "address", "city", "state", "admin_email"]
+
+
 def _existing_emails(hospitals: DataFrame | None) -> DataFrame | None:
     if hospitals is None or "email" not in hospitals.columns:
         return None
     return hospitals.select("email").filter(F.col("email").isNotNull())
 
 
+def _hospital_rows(winners: DataFrame, key: str) -> DataFrame:
+    """Hospital rows (without the password) from application payloads."""
+    return winners.select(make_id("HOSP-", key).alias("hospital_id"), "app_id", *[F.col("__p." + f).alias(f) for f in HOSPITAL_FIELDS])
+
+
 def hospital_backfill(applications: DataFrame, hospitals: DataFrame | None = None) -> DataFrame:
     """Approved applications (after U9) without a hospital of the same
-    email become hospitals; the first application per email wins."""
+    email become hospitals, whole rows; the first application per email wins.
+    A NULL email equals no other, so each such application makes one."""
     apps = _payload(status_normalised(applications)).filter(F.col("status") == "approved") \
-        .select("app_id", F.col("__p.name").alias("name"), F.col("__p.email").alias("email"),
-                F.col("__p.city").alias("city")).filter(F.col("email").isNotNull())
-    first = (apps.groupBy("email").agg(F.min_by(F.struct("app_id", "name", "city"), F.col("app_id")).alias("__f"))
-             .select("email", "__f.*"))
+        .select("app_id", "__p", F.col("__p.email").alias("__email"))
+    first = (apps.filter(F.col("__email").isNotNull()).groupBy("__email")
+             .agg(F.min_by(F.struct("app_id", "__p"), F.col("app_id")).alias("__f")))
     existing = _existing_emails(hospitals)
     if existing is not None:
-        first = first.join(existing, "email", "left_anti")
-    return first.select(make_id("HOSP-", "app_id").alias("hospital_id"), "app_id", "name", "email", "city")
-
-
-def apply_decisions(applications: DataFrame, decisions: DataFrame,
-                    hospitals: DataFrame | None = None) -> DataFrame:
-    """Decisions set status and comments; an 'approved' decision (exact
-    word) also creates a hospital from the payload, in the same transaction.
-
-    Hospital emails are unique: of several approvals for one email only the
-    first (by application id) creates a hospital, and an approval whose
-    email is taken (by that first one or by an existing hospital) fails as a
-    whole, so its application keeps its previous status and comments.
-    ``applied`` tells which decisions took effect.
-    """
-    order = F.struct(*[F.col(c) for c in (["decided_at"] if "decided_at" in decisions.columns
-                                          else ["status", "comments"])])
-    dec = (decisions.groupBy("app_id").agg(F.max_by(F.struct("status", "comments"), order).alias("__d"))
-           .select("app_id", F.col("__d.status").alias("__status"), F.col("__d.comments").alias("__comments")))
-    j = _payload(applications).join(dec, "app_id", "left")
-    approved = (j.filter(F.col("__status") == "approved")
-                .select("app_id", F.col("__p.email").alias("email")).filter(F.col("email").isNotNull()))
-    winners = approved.groupBy("email").agg(F.min("app_id").alias("app_id"))
+        first = first.join(existing.withColumnRenamed("email", "__email"), "__email", "left_anti")
+    nameless = apps.filter(F.col("__email").isNull()).select("app_id", "__p")
+    return _hospital_rows(first.select("__f.*").unionByName(nameless), "app_id")
+
+
+def _judged(applications: DataFrame, decisions: DataFrame, hospitals: DataFrame | None) -> DataFrame:
+    """Decisions with their application's payload and whether they took effect."""
+    apps = _payload(applications).select("app_id", "__p")
+    d = decisions.select("decision_id", "app_id", F.col("status").alias("__status"), F.col("comments").alias("__comments"),
+                         "decided_at").join(apps, "app_id")
+    d = d.withColumn("__at", F.struct("decided_at", "decision_id")).withColumn("__email", F.col("__p.email"))
+    approvals = d.filter((F.col("__status") == "approved") & F.col("__email").isNotNull())
+    winners = approvals.groupBy("__email").agg(F.min("__at").alias("__first"))
     existing = _existing_emails(hospitals)
     if existing is not None:
-        winners = winners.join(existing, "email", "left_anti")
-    created = winners.select("app_id", make_id("HOSP-", "app_id").alias("hospital_id"))
-    j = j.join(created, "app_id", "left")
-    applied = F.col("__status").isNotNull() & ((F.col("__status") != "approved") | F.col("hospital_id").isNotNull())
+        winners = winners.join(existing.withColumnRenamed("email", "__email"), "__email", "left_anti")
+    j = d.join(winners, "__email", "left")
+    creates = (F.col("__status") == "approved") & (F.col("__email").isNull() | (F.col("__at") == F.col("__first")))
+    creates = F.coalesce(creates, F.lit(False))
+    return j.withColumn("creates", creates).withColumn(
+        "applied", F.col("creates") | F.coalesce(F.col("__status") != "approved", F.lit(True)))
+
+
+def apply_decisions(applications: DataFrame, decisions: DataFrame, hospitals: DataFrame | None = None) -> DataFrame:
+    """Applications after every decision (decision_id, app_id, status,
+    comments, decided_at) in order of (decided_at, decision_id).
+
+    A decision sets status and comments; an 'approved' one (exact word) also
+    creates a hospital, in the same transaction. Hospital emails are unique,
+    so an approval whose email is taken (by an earlier approval of any
+    application, or by an existing hospital) fails as a whole. The last
+    decision that took effect shows; ``hospital_id`` is the (first) hospital
+    the application made. ``decided_hospitals`` gives the hospital rows.
+    """
+    took = _judged(applications, decisions, hospitals).filter("applied")
+    last = took.groupBy("app_id").agg(
+        F.max_by(F.struct("__status", "__comments"), "__at").alias("__d"), F.count(F.lit(1)).alias("__n"),
+        F.min(F.when(F.col("creates"), F.col("__at"))).alias("__h"))
+    j = applications.join(last, "app_id", "left")
     old_comments = F.col("comments") if "comments" in applications.columns else F.lit(None).cast("string")
+    done = F.col("__n").isNotNull()
     return j.select(
-        "app_id",
-        F.when(applied, F.col("__status")).otherwise(F.col("status")).alias("status"),
-        F.when(applied, F.col("__comments")).otherwise(old_comments).alias("comments"),
-        "hospital_id", applied.alias("applied"))
+        "app_id", F.when(done, F.col("__d.__status")).otherwise(F.col("status")).alias("status"),
+        F.when(done, F.col("__d.__comments")).otherwise(old_comments).alias("comments"),
+        F.when(F.col("__h").isNotNull(), make_id("HOSP-", F.col("__h.decision_id"))).alias("hospital_id"),
+        F.coalesce("__n", F.lit(0)).cast("long").alias("n_applied"))
+
+
+def decided_hospitals(applications: DataFrame, decisions: DataFrame, hospitals: DataFrame | None = None) -> DataFrame:
+    """The hospital rows that approvals create, whole (see ``apply_decisions``)."""
+    made = _judged(applications, decisions, hospitals).filter("creates")
+    return _hospital_rows(made, "decision_id").join(
+        made.select(make_id("HOSP-", "decision_id").alias("hospital_id"), F.col("decided_at").alias("created_at")), "hospital_id")
 
 
 def applications_append(requests: DataFrame, key: str = "request_id") -> DataFrame:

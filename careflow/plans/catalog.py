@@ -300,8 +300,8 @@ FROM (SELECT hospital_id, 'lab' AS dept, patient_id, order_id AS item_id, create
       SELECT hospital_id, 'pharmacy', patient_id, rx_id, created_at FROM ({_RX_QUEUE}))""")
 def q_queue_position(spark, d):
     b = Bindings(spark, d)
-    return queues.queue_position(queues.lab_pending(b.lab_orders, b.patients),
-                                 queues.pharmacy_pending(b.prescriptions, b.patients))
+    return queues.queue_position(queues.pending_queue(b.lab_orders, b.patients, "order_id"),
+                                 queues.pending_queue(b.prescriptions, b.patients, "rx_id"))
 
 
 @query("queue_length", f"""
@@ -310,8 +310,8 @@ UNION ALL
 SELECT hospital_id, 'pharmacy', count(*) FROM ({_RX_QUEUE}) GROUP BY hospital_id""")
 def q_queue_length(spark, d):
     b = Bindings(spark, d)
-    return queues.queue_length(queues.lab_pending(b.lab_orders, b.patients),
-                               queues.pharmacy_pending(b.prescriptions, b.patients))
+    return queues.queue_length(queues.pending_queue(b.lab_orders, b.patients, "order_id"),
+                               queues.pending_queue(b.prescriptions, b.patients, "rx_id"))
 
 
 # ---------------------------------------------------------------- records
@@ -356,15 +356,16 @@ def q_latest_followup(spark, d):
 
 @query("record_defaults", f"""
 SELECT p.patient_id, coalesce(l.status, 'not_ordered') AS lab_status,
-       coalesce(r.status, 'not_prescribed') AS pharmacy_status,
+       coalesce(l.tests, '[]') AS lab_tests, coalesce(l.results, '{{}}') AS lab_results,
+       coalesce(r.status, 'not_prescribed') AS pharmacy_status, coalesce(r.medicines, '[]') AS medicines,
        CASE WHEN c.consultation_id IS NOT NULL THEN coalesce(nullif(h.name, ''), 'Unknown Hospital') END
          AS hospital_name,
        CASE WHEN c.consultation_id IS NULL THEN '' ELSE c.followup END AS followup
 FROM b_patients p
 LEFT JOIN ({_latest('b_consultations', 'consultation_id', 'followup, hospital_id')}) c ON p.patient_id = c.patient_id
 LEFT JOIN b_hospitals h ON c.hospital_id = h.hospital_id
-LEFT JOIN ({_latest('b_lab_orders', 'order_id', 'status')}) l ON p.patient_id = l.patient_id
-LEFT JOIN ({_latest('b_prescriptions', 'rx_id', 'status')}) r ON p.patient_id = r.patient_id""")
+LEFT JOIN ({_latest('b_lab_orders', 'order_id', 'status, tests, results')}) l ON p.patient_id = l.patient_id
+LEFT JOIN ({_latest('b_prescriptions', 'rx_id', 'status, medicines')}) r ON p.patient_id = r.patient_id""")
 def q_record_defaults(spark, d):
     b = Bindings(spark, d)
     return records.record_defaults(b.patients, b.consultations, b.lab_orders, b.prescriptions, b.hospitals)
@@ -376,12 +377,6 @@ def q_past_visits(spark, d):
     return records.past_visits(Bindings(spark, d).consultations)
 
 
-def _record(spark, d) -> DataFrame:
-    b = Bindings(spark, d)
-    return records.patient_record(b.patients, clinical(b), b.hospitals, b.lab_orders, b.prescriptions,
-                                  b.dept_updates)
-
-
 @query("patient_record", f"""
 SELECT p.patient_id, p.name,
        coalesce(c.n, 0) AS n_consultations, coalesce(l.n, 0) AS n_lab_orders,
@@ -419,43 +414,81 @@ _NESTED_LIST = """(SELECT patient_id, CAST(to_json(list(struct_pack({fields}) OR
   FROM {src} GROUP BY patient_id) {alias} ON p.patient_id = {alias}.patient_id"""
 
 
+def _one(table: str, alias: str, order: str, fields: str, name: str) -> str:
+    return (f"(SELECT patient_id, CAST(to_json(first(struct_pack({fields}) ORDER BY {order})) AS VARCHAR) AS {name} "
+            f"FROM {table} GROUP BY patient_id) {alias} ON p.patient_id = {alias}.patient_id")
+
+
+_VISITS = ("(SELECT c.*, coalesce(nullif(h.name, ''), 'Unknown Hospital') AS hospital_name FROM b_clinical c "
+           "LEFT JOIN b_hospitals h ON c.hospital_id = h.hospital_id)")
+_VISIT_FIELDS = ("hospital_name := hospital_name, diagnosis := diagnosis, severity := severity, symptoms := symptoms, "
+                 "prescriptions := prescriptions, lab_tests := lab_tests, followup := followup, "
+                 "clinical_notes := clinical_notes")
+
+
 @query("patient_record_nested", f"""
 SELECT p.patient_id, p.name,
-       coalesce(ll.status, 'not_ordered') AS lab_status, coalesce(lr.status, 'not_prescribed') AS pharmacy_status,
-       hh.history, lh.lab_history, rh.prescription_history, uh.dept_updates
+       coalesce(ll.lab_status, '{{"status":"not_ordered","tests":"[]","results":"{{}}"}}') AS lab_status,
+       coalesce(lr.pharmacy_status, '{{"status":"not_prescribed","medicines":"[]"}}') AS pharmacy_status,
+       lc.consultation, hh.history, lh.lab_history, rh.prescription_history, uh.dept_updates
 FROM b_patients p
 LEFT JOIN {_NESTED_LIST.format(
-    name="history", alias="hh", order="created_at DESC, consultation_id DESC",
-    src="(SELECT c.*, coalesce(nullif(h.name, ''), 'Unknown Hospital') AS hospital_name FROM b_clinical c "
-        "LEFT JOIN b_hospitals h ON c.hospital_id = h.hospital_id)",
-    fields=f"created_at := {_ts_text('created_at')}, consultation_id := consultation_id, "
-           "hospital_name := hospital_name, diagnosis := diagnosis, severity := severity, symptoms := symptoms, "
-           "prescriptions := prescriptions, lab_tests := lab_tests, followup := followup")}
+    name="history", alias="hh", order="created_at DESC, consultation_id DESC", src=_VISITS,
+    fields=f"created_at := {_ts_text('created_at')}, consultation_id := consultation_id, {_VISIT_FIELDS}")}
 LEFT JOIN {_NESTED_LIST.format(
     name="lab_history", alias="lh", order="created_at DESC, order_id DESC", src="b_lab_orders",
-    fields=f"created_at := {_ts_text('created_at')}, order_id := order_id, status := status")}
+    fields=f"created_at := {_ts_text('created_at')}, order_id := order_id, status := status, tests := tests, "
+           "results := results")}
 LEFT JOIN {_NESTED_LIST.format(
     name="prescription_history", alias="rh", order="created_at DESC, rx_id DESC", src="b_prescriptions",
-    fields=f"created_at := {_ts_text('created_at')}, rx_id := rx_id, status := status")}
+    fields=f"created_at := {_ts_text('created_at')}, rx_id := rx_id, status := status, medicines := medicines")}
 LEFT JOIN {_NESTED_LIST.format(
     name="dept_updates", alias="uh", order="updated_at DESC, update_id DESC", src="b_dept_updates",
     fields=f"updated_at := {_ts_text('updated_at')}, update_id := update_id, dept := dept, action := action, "
            "data := data")}
-LEFT JOIN ({_latest('b_lab_orders', 'order_id', 'status')}) ll ON p.patient_id = ll.patient_id
-LEFT JOIN ({_latest('b_prescriptions', 'rx_id', 'status')}) lr ON p.patient_id = lr.patient_id""")
+LEFT JOIN {_one("b_lab_orders", "ll", "created_at DESC, order_id DESC",
+                "status := status, tests := tests, results := results", "lab_status")}
+LEFT JOIN {_one("b_prescriptions", "lr", "created_at DESC, rx_id DESC",
+                "status := status, medicines := medicines", "pharmacy_status")}
+LEFT JOIN {_one(_VISITS, "lc", "created_at DESC, consultation_id DESC",
+                f"created_at := {_ts_text('created_at')}, consultation_id := consultation_id, {_VISIT_FIELDS}, "
+                "route_to := list_filter([CASE WHEN len(lab_tests) > 0 THEN 'lab' END, "
+                "CASE WHEN len(prescriptions) > 0 THEN 'pharmacy' END], lambda x: x IS NOT NULL)", "consultation")}
+WHERE p.patient_id IN (SELECT patient_id FROM b_checkins)""")
 def q_patient_record_nested(spark, d):
-    rec = _record(spark, d)
+    """The nested form, for the patients a batch of requests names."""
+    b = Bindings(spark, d)
+    rec = records.patient_record(b.patients, clinical(b), b.hospitals, b.lab_orders, b.prescriptions, b.dept_updates,
+                                 requests=b.checkins)
+    keep = {"ignoreNullFields": "false"}
 
     def as_json(col: str, ts: str):
         # each list as JSON text: times as 'yyyy-MM-dd HH:mm:ss', NULL fields kept
         texts = F.transform(col, lambda x: x.withField(ts, F.date_format(x[ts], "yyyy-MM-dd HH:mm:ss")))
-        return F.to_json(texts, {"ignoreNullFields": "false"}).alias(col)
+        return F.to_json(texts, keep).alias(col)
 
-    return rec.select("patient_id", "name", "lab_status", "pharmacy_status",
+    last = F.col("consultation").withField("created_at", F.date_format("consultation.created_at", "yyyy-MM-dd HH:mm:ss"))
+    return rec.select("patient_id", "name", F.to_json("lab_status", keep).alias("lab_status"),
+                      F.to_json("pharmacy_status", keep).alias("pharmacy_status"), F.to_json(last, keep).alias("consultation"),
                       as_json("history", "created_at"), as_json("lab_history", "created_at"),
                       as_json("prescription_history", "created_at"), as_json("dept_updates", "updated_at"))
 
 
+def _entries(src: str, kind: str, at: str, key: str, fields: str) -> str:
+    return (f"SELECT patient_id, '{kind}' AS kind, {at} AS at, {key} AS item_id, "
+            f"CAST(to_json(struct_pack({fields})) AS VARCHAR) AS detail FROM {src}")
+
+
+@query("patient_timeline", "\nUNION ALL\n".join([
+    _entries(_VISITS, "history", "created_at", "consultation_id", _VISIT_FIELDS),
+    _entries("b_lab_orders", "lab", "created_at", "order_id", "status := status, tests := tests, results := results"),
+    _entries("b_prescriptions", "prescription", "created_at", "rx_id", "status := status, medicines := medicines"),
+    _entries("b_dept_updates", "update", "updated_at", "update_id", "dept := dept, action := action, data := data")]))
+def q_patient_timeline(spark, d):
+    b = Bindings(spark, d)
+    return records.patient_timeline(clinical(b), b.hospitals, b.lab_orders, b.prescriptions, b.dept_updates)
+
+
 @query("record_sheet", f"""
 SELECT lc.patient_id, p.name, lc.consultation_id, lc.diagnosis,
        CASE WHEN len(lc.symptoms) > 0 THEN array_to_string(lc.symptoms, ', ') ELSE 'None reported' END AS symptoms_text,
@@ -464,13 +497,15 @@ SELECT lc.patient_id, p.name, lc.consultation_id, lc.diagnosis,
        CASE WHEN len(lc.lab_tests) > 0 THEN array_to_string(lc.lab_tests, ', ') ELSE 'None' END AS lab_tests_text,
        upper(lc.severity) AS severity_label,
        CASE lower(lc.severity) WHEN 'emergency' THEN 'red' WHEN 'high' THEN 'orange' ELSE 'green' END AS band,
-       lc.followup
-FROM ({_latest('b_clinical', 'consultation_id', 'diagnosis, severity, followup, symptoms, prescriptions, lab_tests')}) lc
+       lc.followup, lc.clinical_notes
+FROM ({_latest('b_clinical', 'consultation_id',
+               'diagnosis, severity, followup, symptoms, prescriptions, lab_tests, clinical_notes')}) lc
 JOIN b_patients p ON lc.patient_id = p.patient_id""")
 def q_record_sheet(spark, d):
     b = Bindings(spark, d)
     # lists only for each patient's latest consultation (the sheet shows no other)
-    latest = records.latest_consultation(b.consultations)
+    latest = records.latest_by(b.consultations, "patient_id", ["created_at", "consultation_id"],
+                               ["severity", "diagnosis", "followup", "hospital_id", "clinical_notes"])
     return records.record_sheet(b.patients, records.clinical_records(latest, b.items, only_these=True))
 
 
@@ -479,7 +514,8 @@ SELECT c.consultation_id, c.patient_id,
        row_number() OVER (PARTITION BY i.consultation_id ORDER BY i.line, i.part_id) AS line_no, i.medicine
 FROM b_items i JOIN b_consultations c ON i.consultation_id = c.consultation_id""")
 def q_medicine_lines(spark, d):
-    return records.medicine_lines(clinical(Bindings(spark, d)))
+    b = Bindings(spark, d)
+    return records.medicine_lines(b.consultations, b.items)
 
 
 # ---------------------------------------------------------------- predicates & lookups (P*, J7, J8, J11)
@@ -501,14 +537,19 @@ def q_applications_flat(spark, d):
     return P.applications_flat(Bindings(spark, d).applications)
 
 
-@query("publish_staff", "SELECT * FROM b_staff")
+@query("publish_staff", "SELECT staff_id, hospital_id, name, username, role FROM b_staff_accounts")
 def q_publish_staff(spark, d):
-    return P.publish(Bindings(spark, d).staff)
+    return P.publish(Bindings(spark, d).staff_accounts)
 
 
 _SCAN_DECODE = """
-SELECT event_id, coalesce(nullif(json_extract_string(CASE WHEN json_valid(payload) THEN payload ELSE '{}' END,
-       '$.patient_id'), ''), payload) AS patient_id FROM b_scans"""
+SELECT event_id, coalesce(CASE json_type(j, '$.patient_id') WHEN 'VARCHAR' THEN nullif(json_extract_string(j, '$.patient_id'), '')
+         WHEN 'NULL' THEN NULL WHEN 'BOOLEAN' THEN nullif(json_extract_string(j, '$.patient_id'), 'false')
+         WHEN 'OBJECT' THEN CAST(json_extract(j, '$.patient_id') AS VARCHAR)
+         WHEN 'ARRAY' THEN CAST(json_extract(j, '$.patient_id') AS VARCHAR)
+         ELSE CASE WHEN TRY_CAST(json_extract_string(j, '$.patient_id') AS DOUBLE) <> 0
+                   THEN json_extract_string(j, '$.patient_id') END END, payload) AS patient_id
+FROM (SELECT event_id, payload, CASE WHEN json_valid(payload) THEN payload ELSE '{}' END AS j FROM b_scans)"""
 
 
 @query("ci_lookup", f"""
@@ -579,8 +620,8 @@ def q_alert_feed(spark, d):
     return P.alert_feed(b.consultations, b.patients)
 
 
-def _sha_id(prefix: str, expr: str, n: int = 16) -> str:
-    return f"'{prefix}' || upper(substr(sha256(CAST({expr} AS VARCHAR)), 1, {n}))"
+def _sha_id(prefix: str, expr: str) -> str:
+    return f"'{prefix}' || upper(sha256(CAST({expr} AS VARCHAR)))"
 
 
 @query("principal_hospital", f"""
@@ -597,70 +638,86 @@ def q_principal_hospital(spark, d):
 
 
 # ---------------------------------------------------------------- state folds (U*, J4, J5, W7, T5)
-_TOKENS = """
-SELECT event_id, patient_id, ts, is_new, CAST(prior + 1 AS BIGINT) AS token_number,
-       CAST(prior % 3 + 1 AS BIGINT) AS room_number FROM (
-  SELECT *, coalesce(sum(CAST(is_new AS BIGINT)) OVER (ORDER BY ts, event_id
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM (
-    SELECT event_id, patient_id, ts,
-           row_number() OVER (PARTITION BY patient_id ORDER BY ts, event_id) = 1 AS is_new
-    FROM b_registrations))"""
-
-
-@query("token_numbers", _TOKENS)
+_ACCEPTED = f"""
+SELECT r.* FROM (SELECT event_id, ts, coalesce(CAST(patient_id AS VARCHAR), {_sha_id('VK-', 'event_id')}) AS patient_id,
+                        name, age, gender, language, hospital_id, aadhaar_last4, patient_id IS NULL AS is_new
+                 FROM b_registrations) r
+WHERE is_new OR patient_id IN (SELECT CAST(patient_id AS VARCHAR) FROM b_patients)"""
+# the count at each registration is taken row by row, as the statements do
+_TOKENS = f"""
+SELECT r.event_id, r.ts, x.patient_id, r.name, r.age, r.gender, r.language, r.hospital_id, r.aadhaar_last4, r.is_new,
+       n.c + 1 AS token_number, n.c % 3 + 1 AS room_number
+FROM ({_ACCEPTED}) r JOIN (
+  SELECT a.event_id, (SELECT count(*) FROM b_patients) + count(e.event_id) AS c FROM ({_ACCEPTED}) a
+  LEFT JOIN b_registrations e ON e.patient_id IS NULL AND (e.ts < a.ts OR (e.ts = a.ts AND e.event_id < a.event_id))
+  GROUP BY a.event_id) n ON r.event_id = n.event_id
+JOIN ({_ACCEPTED}) x ON x.event_id = r.event_id"""
+
+
+@query("token_numbers", f"SELECT event_id, ts, CASE WHEN is_new THEN NULL ELSE patient_id END AS patient_id, "
+       f"name, age, gender, language, hospital_id, aadhaar_last4, is_new, token_number, room_number FROM ({_TOKENS})")
 def q_token_numbers(spark, d):
-    return U.token_numbers(Bindings(spark, d).registrations)
+    b = Bindings(spark, d)
+    out = U.token_numbers(b.registrations, b.patients)
+    # the id a new patient was given is a hash; shown as NULL, like the request
+    return out.withColumn("patient_id", F.when(F.col("is_new"), F.lit(None)).otherwise(F.col("patient_id")))
 
 
 _UPSERT = f"""
-SELECT t.patient_id, p.name, p.language, p.hospital_id, t.token_number, t.room_number, 0 AS checked_in,
-       t.ts AS created_at, t.visits
+SELECT patient_id, name, age, gender, language, hospital_id, aadhaar_last4, token_number, room_number, ts AS created_at,
+       event_id, 0 AS checked_in, visits
 FROM (SELECT *, count(*) OVER (PARTITION BY patient_id) AS visits,
-             row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, event_id DESC) AS rn
-      FROM ({_TOKENS})) t
-JOIN b_patients p ON t.patient_id = p.patient_id WHERE t.rn = 1"""
+             row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, event_id DESC) AS rn FROM ({_TOKENS}))
+WHERE rn = 1
+UNION ALL
+SELECT CAST(patient_id AS VARCHAR), name, NULL, NULL, language, hospital_id, NULL, token_number, room_number, created_at,
+       NULL, checked_in, 0
+FROM b_patients WHERE CAST(patient_id AS VARCHAR) NOT IN (SELECT patient_id FROM ({_ACCEPTED}))"""
 
 
 @query("patients_upsert", _UPSERT)
 def q_patients_upsert(spark, d):
     b = Bindings(spark, d)
-    return U.patients_upsert(U.token_numbers(b.registrations), b.patients)
+    return U.patients_upsert(U.token_numbers(b.registrations, b.patients), b.patients)
 
 
 @query("checkin_state", f"""
-SELECT u.patient_id, u.created_at, c.last_checkin,
-       CASE WHEN c.last_checkin >= u.created_at THEN 1 ELSE 0 END AS checked_in
-FROM ({_UPSERT}) u LEFT JOIN (SELECT patient_id, max(ts) AS last_checkin FROM b_checkins GROUP BY patient_id) c
-ON u.patient_id = c.patient_id""")
+SELECT u.patient_id, u.created_at, (SELECT max(ts) FROM b_checkins k WHERE CAST(k.patient_id AS VARCHAR) = u.patient_id) AS last_checkin,
+       CASE WHEN u.event_id IS NULL THEN
+              CASE WHEN u.patient_id IN (SELECT CAST(patient_id AS VARCHAR) FROM b_checkins) THEN 1 ELSE u.checked_in END
+            WHEN EXISTS (SELECT 1 FROM b_checkins k WHERE CAST(k.patient_id AS VARCHAR) = u.patient_id
+                         AND (k.ts > u.created_at OR (k.ts = u.created_at AND k.event_id > u.event_id))) THEN 1
+            ELSE 0 END AS checked_in
+FROM ({_UPSERT}) u""")
 def q_checkin_state(spark, d):
     b = Bindings(spark, d)
-    state = U.patients_upsert(U.token_numbers(b.registrations), b.patients)
+    state = U.patients_upsert(U.token_numbers(b.registrations, b.patients), b.patients)
     return U.checkin_state(state, b.checkins)
 
 
-def _fold_sql(dept: str, action: str, done: str, with_results: bool) -> str:
+def _fold_sql(orders: str, key: str, dept: str, action: str, done: str, with_results: bool) -> str:
     res = ("CASE WHEN u.last_update >= o.created_at THEN u.last_data ELSE '{}' END AS results,"
            if with_results else "")
     return f"""
-SELECT o.order_id, o.patient_id, o.created_at,
+SELECT o.{key}, o.patient_id, o.created_at,
        CASE WHEN u.last_update >= o.created_at THEN '{done}' ELSE 'pending' END AS status, {res}
        CASE WHEN u.last_update >= o.created_at THEN u.last_update ELSE o.created_at END AS updated_at
-FROM b_lab_order_events o LEFT JOIN (
+FROM {orders} o LEFT JOIN (
   SELECT patient_id, arg_max(data, (updated_at, update_id)) AS last_data, max(updated_at) AS last_update
   FROM b_dept_updates WHERE dept = '{dept}' AND action = '{action}' GROUP BY patient_id) u
 ON o.patient_id = u.patient_id"""
 
 
-@query("lab_state", _fold_sql("lab", "submitted_results", "completed", True))
+@query("lab_state", _fold_sql("b_lab_order_events", "order_id", "lab", "submitted_results", "completed", True))
 def q_lab_state(spark, d):
     b = Bindings(spark, d)
     return U.lab_state(b.lab_order_events, b.dept_updates)
 
 
-@query("rx_state", _fold_sql("pharmacy", "dispensed", "dispensed", False))
+@query("rx_state", _fold_sql("b_rx_events", "rx_id", "pharmacy", "dispensed", "dispensed", False))
 def q_rx_state(spark, d):
     b = Bindings(spark, d)
-    return U.rx_state(b.lab_order_events, b.dept_updates)
+    return U.rx_state(b.rx_events, b.dept_updates)
 
 
 @query("dedup_updates", """
@@ -673,6 +730,13 @@ def q_dedup_updates(spark, d):
     return U.dedup_updates(replayed)
 
 
+@query("append_updates", "SELECT * FROM b_dept_updates")
+def q_append_updates(spark, d):
+    u = Bindings(spark, d).dept_updates
+    held = u.filter(F.col("update_id") % 2 == 0)  # the log so far; then everything arrives, twice
+    return U.append_updates(held, u.unionByName(u))
+
+
 def _py_list(expr: str) -> str:
     return f"'[' || array_to_string(list_transform({expr}, lambda x: CAST(to_json(x) AS VARCHAR)), ', ') || ']'"
 
@@ -712,24 +776,24 @@ def _first_visits(b: Bindings) -> DataFrame:
     return records.clinical_records(first, b.items, only_these=True)
 
 
-def _backfill_sql(prefix: str, id_col: str, list_col: str, out_col: str, extra: str) -> str:
+def _backfill_sql(prefix: str, id_col: str, list_col: str, out_col: str, extra: str, prior: str) -> str:
     return f"""
 SELECT {_sha_id(prefix, 'consultation_id')} AS {id_col}, patient_id, consultation_id,
        {_py_list(list_col)} AS {out_col}, 'pending' AS status, {extra} created_at FROM (
   SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY created_at, consultation_id) AS rn FROM b_clinical)
-WHERE rn = 1 AND patient_id NOT IN (SELECT patient_id FROM b_prior_orders WHERE patient_id IS NOT NULL)"""
+WHERE rn = 1 AND patient_id NOT IN (SELECT patient_id FROM {prior} WHERE patient_id IS NOT NULL)"""
 
 
-@query("orders_backfill", _backfill_sql("WFLAB-", "order_id", "lab_tests", "tests", "'{}' AS results,"))
+@query("orders_backfill", _backfill_sql("WFLAB-", "order_id", "lab_tests", "tests", "'{}' AS results,", "b_prior_orders"))
 def q_orders_backfill(spark, d):
     b = Bindings(spark, d)
     return U.orders_backfill(_first_visits(b), b.prior_orders)
 
 
-@query("rx_backfill", _backfill_sql("WFRX-", "rx_id", "prescriptions", "medicines", ""))
+@query("rx_backfill", _backfill_sql("WFRX-", "rx_id", "prescriptions", "medicines", "", "b_prior_rx"))
 def q_rx_backfill(spark, d):
     b = Bindings(spark, d)
-    return U.rx_backfill(_first_visits(b), b.prior_orders)
+    return U.rx_backfill(_first_visits(b), b.prior_rx)
 
 
 @query("status_normalised", """
@@ -738,36 +802,50 @@ def q_status_normalised(spark, d):
     return U.status_normalised(Bindings(spark, d).applications)
 
 
+_HOSPITAL_FIELDS = ", ".join(f"json_extract_string(data, '$.{f}') AS {f}" for f in U.HOSPITAL_FIELDS)
+
+
 @query("hospital_backfill", f"""
-SELECT {_sha_id('HOSP-', 'app_id')} AS hospital_id, app_id, name, email, city FROM (
-  SELECT app_id, json_extract_string(data, '$.name') AS name, json_extract_string(data, '$.email') AS email,
-         json_extract_string(data, '$.city') AS city,
+SELECT {_sha_id('HOSP-', 'app_id')} AS hospital_id, app_id, {_HOSPITAL_FIELDS} FROM (
+  SELECT app_id, data, json_extract_string(data, '$.email') AS mail,
          row_number() OVER (PARTITION BY json_extract_string(data, '$.email') ORDER BY app_id) AS rn
-  FROM b_applications WHERE status IN ('approve', 'approved') AND json_extract_string(data, '$.email') IS NOT NULL)
-WHERE rn = 1""")
+  FROM b_applications WHERE status IN ('approve', 'approved'))
+WHERE mail IS NULL OR (rn = 1 AND mail NOT IN (SELECT email FROM b_hospitals))""")
 def q_hospital_backfill(spark, d):
     b = Bindings(spark, d)
     return U.hospital_backfill(b.applications, b.hospitals)
 
 
+# an approval fails if the email is taken, by a hospital or an earlier approval
+_JUDGED = """
+SELECT d.*, a.data, d.status = 'approved' AND (json_extract_string(a.data, '$.email') IS NULL OR (
+         json_extract_string(a.data, '$.email') NOT IN (SELECT email FROM b_hospitals)
+         AND row_number() OVER (PARTITION BY d.status, json_extract_string(a.data, '$.email')
+                                ORDER BY d.decided_at, d.decision_id) = 1)) AS creates
+FROM b_decisions d JOIN b_applications a ON d.app_id = a.app_id"""
+
+
 @query("apply_decisions", f"""
-WITH h AS (
-  SELECT app_id, {_sha_id('HOSP-', 'app_id')} AS hospital_id FROM (
-    SELECT a.app_id, row_number() OVER (PARTITION BY json_extract_string(a.data, '$.email') ORDER BY a.app_id) AS rn
-    FROM b_applications a JOIN b_decisions d ON a.app_id = d.app_id
-    WHERE d.status = 'approved' AND json_extract_string(a.data, '$.email') IS NOT NULL) WHERE rn = 1),
-x AS (
-  SELECT a.app_id, a.status AS old_status, d.status AS new_status, d.comments AS new_comments, h.hospital_id,
-         d.status IS NOT NULL AND (d.status <> 'approved' OR h.hospital_id IS NOT NULL) AS ok
-  FROM b_applications a LEFT JOIN b_decisions d ON a.app_id = d.app_id LEFT JOIN h ON a.app_id = h.app_id)
-SELECT app_id, CASE WHEN ok THEN new_status ELSE old_status END AS status,
-       CASE WHEN ok THEN new_comments END AS comments, hospital_id, ok AS applied
-FROM x""")
+SELECT a.app_id, coalesce(t.status, a.status) AS status, t.comments, h.hospital_id, coalesce(t.n, 0) AS n_applied
+FROM b_applications a
+LEFT JOIN (SELECT app_id, arg_max(status, (decided_at, decision_id)) AS status,
+                  arg_max(comments, (decided_at, decision_id)) AS comments, count(*) AS n
+           FROM ({_JUDGED}) WHERE creates OR status <> 'approved' GROUP BY app_id) t ON a.app_id = t.app_id
+LEFT JOIN (SELECT app_id, {_sha_id('HOSP-', 'arg_min(decision_id, (decided_at, decision_id))')} AS hospital_id
+           FROM ({_JUDGED}) WHERE creates GROUP BY app_id) h ON a.app_id = h.app_id""")
 def q_apply_decisions(spark, d):
     b = Bindings(spark, d)
     return U.apply_decisions(b.applications, b.decisions, b.hospitals)
 
 
+@query("decided_hospitals", f"""
+SELECT {_sha_id('HOSP-', 'decision_id')} AS hospital_id, app_id, {_HOSPITAL_FIELDS}, decided_at AS created_at
+FROM ({_JUDGED}) WHERE creates""")
+def q_decided_hospitals(spark, d):
+    b = Bindings(spark, d)
+    return U.decided_hospitals(b.applications, b.decisions, b.hospitals)
+
+
 @query("applications_append", f"""
 SELECT {_sha_id('APP-', 'app_id')} AS app_id,
        '{{' || {" || ',' || ".join(
@@ -795,12 +873,12 @@ def q_staff_after_removal(spark, d):
 SELECT {_sha_id('STAFF-', 'username')} AS staff_id, hospital_id, name, username, role FROM (
   SELECT *, row_number() OVER (PARTITION BY username ORDER BY request_id) AS rn FROM (
     SELECT staff_id AS request_id, hospital_id, name, role, 'u' || CAST(staff_id % 37 AS VARCHAR) AS username
-    FROM b_staff)) WHERE rn = 1""")
+    FROM b_staff)) WHERE rn = 1 AND username NOT IN (SELECT username FROM b_staff_accounts)""")
 def q_staff_append(spark, d):
     b = Bindings(spark, d)
     req = b.staff.select(F.col("staff_id").alias("request_id"), "hospital_id", "name", "role",
                          F.concat(F.lit("u"), (F.col("staff_id") % 37).cast("string")).alias("username"))
-    return U.staff_append(req)
+    return U.staff_append(req, b.staff_accounts)
 
 
 # ---------------------------------------------------------------- extraction jobs (E*)
@@ -816,6 +894,13 @@ def q_json_decode(spark, d):
     return X.json_decode(Bindings(spark, d).json_lists, "symptoms", "row_id")
 
 
+@query("json_decode_map", """
+SELECT order_id, CASE WHEN results IS NULL THEN 'null' ELSE 'ok' END AS status,
+       CAST(len(json_keys(results)) AS BIGINT) AS n_items, CAST(json(results) AS VARCHAR) AS items FROM b_results""")
+def q_json_decode_map(spark, d):
+    return X.json_decode(Bindings(spark, d).results, "results", "order_id", kind="OBJECT")
+
+
 _RECORD_FIELDS = [("patient_id", "s"), ("symptoms", "l"), ("diagnosis", "s"), ("prescriptions", "l"),
                   ("lab_tests", "l"), ("severity", "s"), ("followup", "s"), ("clinical_notes", "s")]
 
@@ -880,7 +965,8 @@ SELECT consultation_id, CAST(to_json(list_filter([CASE WHEN len(lab_tests) > 0 T
        CASE WHEN len(prescriptions) > 0 THEN 'pharmacy' END], lambda x: x IS NOT NULL)) AS VARCHAR) AS route_to
 FROM b_clinical""")
 def q_route_derive(spark, d):
-    return X.route_derive(clinical(Bindings(spark, d)))
+    b = Bindings(spark, d)
+    return X.route_derive(b.consultations, b.items)
 
 
 @query("first_answer", """
@@ -895,16 +981,16 @@ def q_first_answer(spark, d):
     return X.first_answer(Bindings(spark, d).answers)
 
 
-def _triage_sql() -> str:
-    sev = " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, _, p in S.TRIAGE_RULES)
-    rank = " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN {r}" for _, r, p in S.TRIAGE_RULES)
-    return (f"SELECT doc_id, CASE {sev} ELSE '{S.TRIAGE_DEFAULT}' END AS severity, "
-            f"CASE {rank} ELSE {len(S.TRIAGE_RULES) + 1} END AS rank FROM b_transcripts")
-
-
-@query("triage_rules", _triage_sql())
+@query("triage_rules", r"""
+SELECT doc_id, CASE rank WHEN 1 THEN 'emergency' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'low' END AS severity, rank
+FROM (SELECT doc_id, CASE
+    WHEN regexp_matches(t, '(^|[^a-z])chest pain([^a-z]|$)') AND regexp_matches(t, '(^|[^a-z])(arm|jaw) pain([^a-z]|$)') THEN 1
+    WHEN regexp_matches(t, '(^|[^a-z])(breathing difficulty|stroke|unconscious)([^a-z]|$)') THEN 1
+    WHEN regexp_matches(t, '(^|[^a-z])(high fever|severe pain|abnormal vitals)([^a-z]|$)') THEN 2
+    WHEN regexp_matches(t, '(^|[^a-z])(moderate|monitoring)([^a-z]|$)') THEN 3 ELSE 4 END AS rank
+  FROM (SELECT doc_id, lower(text) AS t FROM b_complaints))""")
 def q_triage_rules(spark, d):
-    return X.triage_rules(Bindings(spark, d).transcripts)
+    return X.triage_rules(Bindings(spark, d).complaints)
 
 
 @query("transcripts", """
@@ -927,6 +1013,20 @@ def q_translate_worklist(spark, d):
     return X.translate_worklist(Bindings(spark, d).transcripts)
 
 
+def _translations(worklist: DataFrame) -> DataFrame:
+    """Answers to a work-list: every text but those whose length four divides."""
+    return worklist.filter(F.char_length("text") % 4 != 0).select(
+        "text_key", "source_lang", "target_lang", F.concat(F.lit("EN: "), "text").alias("translated"))
+
+
+@query("translate_apply", """
+SELECT doc_id, text, source_lang, CASE WHEN source_lang NOT IN ('en-IN', 'en') AND length(text) % 4 <> 0
+       AND NOT regexp_matches(text, '^\\s*$') THEN 'EN: ' || text ELSE text END AS english FROM b_transcripts""")
+def q_translate_apply(spark, d):
+    docs = Bindings(spark, d).transcripts
+    return X.translate_apply(docs, _translations(X.translate_worklist(docs)))
+
+
 @query("scan_decode", _SCAN_DECODE)
 def q_scan_decode(spark, d):
     return X.scan_decode(Bindings(spark, d).scans)
@@ -1005,7 +1105,7 @@ SELECT CAST(consultation_id AS VARCHAR) AS consultation_id, CAST(patient_id AS V
        coalesce(severity, '') AS severity,
        {_py_list("list_filter([CASE WHEN len(lab_tests) > 0 THEN 'lab' END, "
                  "CASE WHEN len(prescriptions) > 0 THEN 'pharmacy' END], lambda x: x IS NOT NULL)")} AS route_to,
-       coalesce(followup, '') AS followup, '' AS clinical_notes, coalesce({_iso('created_at')}, '') AS created_at
+       coalesce(followup, '') AS followup, coalesce(clinical_notes, '') AS clinical_notes, coalesce({_iso('created_at')}, '') AS created_at
 FROM b_clinical""")
 def q_lake_encode(spark, d):
     return L.lake_encode(_lake_rows(Bindings(spark, d)))
@@ -1017,7 +1117,8 @@ SELECT consultation_id, patient_id, CAST(to_json(symptoms) AS VARCHAR) AS sympto
        severity, followup, created_at, strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS created_date FROM b_clinical""")
 def q_lake_roundtrip(spark, d):
     path = scratch_path(spark, "lake")
-    L.write_consultations(_lake_rows(Bindings(spark, d)), path)
+    b = Bindings(spark, d)
+    L.write_consultations(_lake_rows(b), path, L.day_counts(b.consultations))
     lake = L.read_consultations(spark, path)
     return lake.select("consultation_id", "patient_id", F.to_json("symptoms").alias("symptoms"), "diagnosis",
                        F.to_json("prescriptions").alias("prescriptions"), F.to_json("lab_tests").alias("lab_tests"),
@@ -1055,26 +1156,54 @@ SELECT patient_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS INTEGER) AS age,
        CAST(NULL AS VARCHAR) AS language, CAST(NULL AS BIGINT) AS token_number, CAST(1 AS BIGINT) AS room_number,
        0 AS checked_in, CAST(NULL AS INTEGER) AS hospital_id, ts AS created_at FROM b_registrations""")
 def q_ingest_defaults(spark, d):
-    src = Bindings(spark, d).registrations.withColumnRenamed("ts", "created_at")
+    src = Bindings(spark, d).registrations.select("patient_id", F.col("ts").alias("created_at"))
     return L.ingest_defaults(src, _parse_datatype_string(S.PATIENT_TABLE), S.PATIENT_DEFAULTS)
 
 
+def _defaults(key: str, source: str, sql: str, table: str, defaults: dict, columns: list[str]):
+    """S6 for one more table: a source with ``columns`` only, shaped to ``table``."""
+    @query(key, f"SELECT {sql} FROM {source}")
+    def run(spark, d):
+        src = getattr(Bindings(spark, d), source.removeprefix("b_")).select(*columns)
+        return L.ingest_defaults(src, _parse_datatype_string(table), defaults)
+
+
+_NO = "CAST(NULL AS BIGINT)"
+_defaults("ingest_lab_orders", "b_lab_order_events", f"order_id, patient_id, {_NO} AS consultation_id, CAST(NULL AS VARCHAR) AS tests, "
+          "'pending' AS status, '{}' AS results, created_at, CAST(NULL AS TIMESTAMP) AS updated_at",
+          S.LAB_ORDER_TABLE, S.LAB_ORDER_DEFAULTS, ["order_id", "patient_id", "created_at"])
+_defaults("ingest_prescriptions", "b_rx_events", f"rx_id, patient_id, {_NO} AS consultation_id, CAST(NULL AS VARCHAR) AS medicines, "
+          "'pending' AS status, created_at, CAST(NULL AS TIMESTAMP) AS updated_at",
+          S.RX_TABLE, S.RX_DEFAULTS, ["rx_id", "patient_id", "created_at"])
+_defaults("ingest_alerts", "b_consultations", f"{_NO} AS alert_id, consultation_id, patient_id, severity, diagnosis, 0 AS sms_sent, created_at",
+          S.ALERT_TABLE, S.ALERT_DEFAULTS, ["consultation_id", "patient_id", "severity", "diagnosis", "created_at"])
+_defaults("ingest_applications", "b_applications", "CAST(app_id AS BIGINT) AS app_id, data, 'pending' AS status, "
+          "CAST(NULL AS VARCHAR) AS comments, CAST(NULL AS TIMESTAMP) AS created_at",
+          S.APPLICATION_TABLE, S.APPLICATION_DEFAULTS, ["app_id", "data"])
+
+
 def _audit_sql() -> str:
-    pk = [("patients", "b_patients", "patient_id"), ("consultations", "b_consultations", "consultation_id"),
-          ("lab_orders", "b_lab_orders", "order_id"), ("prescriptions", "b_prescriptions", "rx_id"),
-          ("hospitals", "b_hospitals", "hospital_id"), ("staff", "b_staff", "staff_id"),
-          ("items", "b_items", "consultation_id,line")]
-    nn = [("patients", "b_patients", "name"), ("hospitals", "b_hospitals", "name")]
-    fk = [("staff", "b_staff", "hospital_id", "b_hospitals", "hospital_id", "hospitals"),
-          ("patients", "b_patients", "hospital_id", "b_hospitals", "hospital_id", "hospitals"),
-          ("consultations", "b_consultations", "patient_id", "b_patients", "patient_id", "patients"),
-          ("lab_orders", "b_lab_orders", "patient_id", "b_patients", "patient_id", "patients"),
-          ("prescriptions", "b_prescriptions", "patient_id", "b_patients", "patient_id", "patients")]
-    parts = [f"SELECT '{n}' AS table_name, 'pk_duplicate:{k}' AS rule, (SELECT count(*) FROM (SELECT {k} FROM {t} "
-             f"GROUP BY {k} HAVING count(*) > 1)) AS violations" for n, t, k in pk]
-    parts += [f"SELECT '{n}', 'not_null:{c}', (SELECT count(*) FROM {t} WHERE {c} IS NULL)" for n, t, c in nn]
-    parts += [f"SELECT '{n}', 'fk:{c}->{pn}', (SELECT count(*) FROM {t} x WHERE x.{c} IS NOT NULL AND NOT EXISTS "
-              f"(SELECT 1 FROM {p} y WHERE y.{pc} = x.{c}))" for n, t, c, p, pc, pn in fk]
+    tables = {"patients": "b_patients", "consultations": "b_consultations", "lab_orders": "b_lab_orders",
+              "prescriptions": "b_prescriptions", "hospitals": "b_hospitals", "staff": "b_staff_accounts",
+              "items": "b_items", "applications": "b_applications", "dept_updates": "b_dept_updates",
+              "alerts": f"({_ALERT_FEED})"}
+    pk = [("patients", "patient_id"), ("consultations", "consultation_id"), ("lab_orders", "order_id"),
+          ("prescriptions", "rx_id"), ("hospitals", "hospital_id"), ("staff", "staff_id"), ("items", "consultation_id,line"),
+          ("applications", "app_id"), ("dept_updates", "update_id"), ("alerts", "consultation_id")]
+    unique = [("hospitals", "email"), ("staff", "username")]
+    nn = [("patients", "name"), ("hospitals", "name")]
+    fk = [("staff", "hospital_id", "b_hospitals", "hospital_id", "hospitals"),
+          ("patients", "hospital_id", "b_hospitals", "hospital_id", "hospitals"),
+          ("consultations", "patient_id", "b_patients", "patient_id", "patients"),
+          ("lab_orders", "patient_id", "b_patients", "patient_id", "patients"),
+          ("prescriptions", "patient_id", "b_patients", "patient_id", "patients")]
+    parts = [f"SELECT '{n}' AS table_name, 'pk_duplicate:{k}' AS rule, (SELECT count(*) FROM (SELECT {k} FROM {tables[n]} "
+             f"GROUP BY {k} HAVING count(*) > 1)) AS violations" for n, k in pk]
+    parts += [f"SELECT '{n}', 'unique:{c}', (SELECT count(*) FROM (SELECT {c} FROM {tables[n]} WHERE {c} IS NOT NULL "
+              f"GROUP BY {c} HAVING count(*) > 1))" for n, c in unique]
+    parts += [f"SELECT '{n}', 'not_null:{c}', (SELECT count(*) FROM {tables[n]} WHERE {c} IS NULL)" for n, c in nn]
+    parts += [f"SELECT '{n}', 'fk:{c}->{pn}', (SELECT count(*) FROM {tables[n]} x WHERE x.{c} IS NOT NULL AND NOT EXISTS "
+              f"(SELECT 1 FROM {p} y WHERE y.{pc} = x.{c}))" for n, c, p, pc, pn in fk]
     return "\nUNION ALL\n".join(parts)
 
 
@@ -1082,8 +1211,9 @@ def _audit_sql() -> str:
 def q_key_audit(spark, d):
     b = Bindings(spark, d)
     return L.key_audit({"patients": b.patients, "consultations": b.consultations, "lab_orders": b.lab_orders,
-                        "prescriptions": b.prescriptions, "hospitals": b.hospitals, "staff": b.staff,
-                        "items": b.items})
+                        "prescriptions": b.prescriptions, "hospitals": b.hospitals, "staff": b.staff_accounts,
+                        "items": b.items, "applications": b.applications, "dept_updates": b.dept_updates,
+                        "alerts": P.alert_feed(b.consultations, b.patients)})
 
 
 # ---------------------------------------------------------------- streams (T6 and its batch twin)

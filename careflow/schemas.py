@@ -32,6 +32,7 @@ ENGLISH_CODES = ["en-IN", "en"]
 NO_LAB_STATUS = "not_ordered"
 NO_RX_STATUS = "not_prescribed"
 UNKNOWN_HOSPITAL = "Unknown Hospital"
+EMPTY_LIST, EMPTY_MAP = "[]", "{}"
 DEFAULT_FOLLOWUP = "Follow up with your doctor"
 NO_SYMPTOMS = "None reported"
 NO_ITEMS = "None"
@@ -46,6 +47,13 @@ PATIENT_TABLE = ("patient_id bigint, name string, age int, gender string, langua
 # Table-level column defaults (DDL DEFAULT clauses).
 PATIENT_DEFAULTS = {"room_number": 1, "checked_in": 0}
 LAB_ORDER_DEFAULTS = {"status": "pending", "results": "{}"}
+LAB_ORDER_TABLE = ("order_id bigint, patient_id bigint, consultation_id bigint, tests string, status string, "
+                   "results string, created_at timestamp_ntz, updated_at timestamp_ntz")
+RX_TABLE = ("rx_id bigint, patient_id bigint, consultation_id bigint, medicines string, status string, "
+            "created_at timestamp_ntz, updated_at timestamp_ntz")
+ALERT_TABLE = ("alert_id bigint, consultation_id bigint, patient_id bigint, severity string, diagnosis string, "
+               "sms_sent int, created_at timestamp_ntz")
+APPLICATION_TABLE = "app_id bigint, data string, status string, comments string, created_at timestamp_ntz"
 RX_DEFAULTS = {"status": "pending"}
 ALERT_DEFAULTS = {"sms_sent": 0}
 APPLICATION_DEFAULTS = {"status": "pending"}
@@ -55,6 +63,9 @@ DISCHARGE_TEMPLATE = (
     "%s, your consultation is complete. Your medicines have been dispensed. "
     "Important: %s. Please take care and get well soon."
 )
+# Alert text (name, id, severity, diagnosis, room).
+ALERT_TEMPLATE = ("%s\nPatient: %s (%s)\nSeverity: %s\nDiagnosis: %s\nRoom: %s\n"
+                  "Immediate attention required.")
 # Welcome line at check-in (name, token, room).
 WELCOME_TEMPLATE = "Welcome %s. You are Token %s. Please go to Room %s."
 # Colour band of the record sheet by severity.
@@ -73,12 +84,14 @@ RECORD_FIELDS = [
     ("clinical_notes", "string"),
 ]
 
-# Keyword triage baseline, checked in this order; the first match wins and
-# anything unmatched is "low". Plain alternations only (same in Java and RE2).
+# Triage baseline, checked in this order; the first match wins and anything
+# unmatched is "low". A rule holds if all phrases of one of its lists occur,
+# each as whole words.
 TRIAGE_RULES = [
-    ("emergency", 1, "chest pain|arm pain|jaw pain|breathing difficulty|stroke|unconscious"),
-    ("high", 2, "high fever|severe pain|abnormal vitals"),
-    ("medium", 3, "moderate|monitoring"),
+    ("emergency", 1, [["chest pain", "arm pain"], ["chest pain", "jaw pain"], ["breathing difficulty"], ["stroke"],
+                      ["unconscious"]]),
+    ("high", 2, [["high fever"], ["severe pain"], ["abnormal vitals"]]),
+    ("medium", 3, [["moderate"], ["monitoring"]]),
 ]
 TRIAGE_DEFAULT = "low"
 

@@ -31,21 +31,30 @@ def with_route(clinical: DataFrame) -> DataFrame:
     return df.select(*LAKE_COLUMNS)
 
 
-def write_consultations(records: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
+def day_counts(consultations: DataFrame) -> DataFrame:
+    """Rows per consultation day, from the narrow table (one column is read)."""
+    return consultations.groupBy(F.to_date("created_at").alias("created_date")).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def write_consultations(records: DataFrame, path: str, days: DataFrame | None = None,
+                        rows_per_slice: int = 5_000_000) -> None:
     """Append a batch of records, partitioned by day.
 
-    Rows are range-partitioned on (day, consultation_id) into
-    ``spark.sql.shuffle.partitions`` slices before the write: each task
-    writes a contiguous run of days, so the file count stays near
-    slices + days, and a hot day (one third of a batch) is split across
-    several slices instead of landing in one task. ``maxRecordsPerFile``
-    bounds the size of any single file.
+    Rows are dealt by (day, slice), a slice being a hash of the id modulo the
+    number of slices the day's rows need (``days``: rows per day, see
+    ``day_counts``; without it every day is one slice). A hot day is written
+    by many tasks, files hold about ``rows_per_slice`` rows (and never more),
+    and the records are read once: nothing is sampled.
     """
-    spark = records.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (records.withColumn("created_date", F.to_date("created_at"))
-     .repartitionByRange(n, "created_date", "consultation_id")
-     .write.mode("append").option("maxRecordsPerFile", max_records_per_file)
+    out = records.withColumn("created_date", F.to_date("created_at"))
+    if days is None:
+        out = out.repartition("created_date")
+    else:
+        slices = days.select("created_date", F.ceil(F.col("__n") / rows_per_slice).cast("int").alias("__slices"))
+        out = out.join(slices, "created_date", "left")
+        out = out.withColumn("__slice", F.pmod(F.xxhash64("consultation_id"), F.coalesce("__slices", F.lit(1))))
+        out = out.repartition("created_date", "__slice").drop("__slices", "__slice")
+    (out.write.mode("append").option("maxRecordsPerFile", rows_per_slice)
      .partitionBy("created_date").parquet(path))
 
 
@@ -107,49 +116,51 @@ def lake_decode(encoded: DataFrame) -> DataFrame:
         if c in LIST_COLUMNS:
             cols.append(F.from_json(c, "array<string>").alias(c))
         elif c == "created_at":
-            cols.append(F.try_to_timestamp(F.nullif(F.col(c), F.lit(""))).cast("timestamp_ntz").alias(c))
+            cols.append(F.nullif(F.col(c), F.lit("")).try_cast("timestamp_ntz").alias(c))
         else:
             cols.append(F.nullif(F.col(c), F.lit("")).alias(c))
     return encoded.select(*cols)
 
 
 # ---------------------------------------------------------------- key audit
-def _pk(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
-    return dup.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(name).alias("table_name"), F.lit("pk_duplicate:" + ",".join(keys)).alias("rule"), "violations")
-
-
-def _not_null(name: str, df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.count_if(F.col(col).isNull()).alias("violations")).select(
-        F.lit(name).alias("table_name"), F.lit("not_null:" + col).alias("rule"), "violations")
-
-
-def _fk(name: str, df: DataFrame, col: str, parent: DataFrame, pcol: str, pname: str) -> DataFrame:
-    p = parent.select(F.col(pcol).alias(col))
-    orphans = df.filter(F.col(col).isNotNull()).join(p, col, "left_anti")
-    return orphans.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(name).alias("table_name"), F.lit(f"fk:{col}->{pname}").alias("rule"), "violations")
+#: table: primary key, UNIQUE columns, NOT NULL columns, (column, parent table, parent key)
+CONSTRAINTS = {
+    "patients": (["patient_id"], [], ["name"], [("hospital_id", "hospitals", "hospital_id")]),
+    "consultations": (["consultation_id"], [], [], [("patient_id", "patients", "patient_id")]),
+    "lab_orders": (["order_id"], [], [], [("patient_id", "patients", "patient_id")]),
+    "prescriptions": (["rx_id"], [], [], [("patient_id", "patients", "patient_id")]),
+    "hospitals": (["hospital_id"], ["email"], ["name"], []),
+    "staff": (["staff_id"], ["username"], [], [("hospital_id", "hospitals", "hospital_id")]),
+    "items": (["consultation_id", "line"], [], [], []),
+    "applications": (["app_id"], [], [], []),
+    "dept_updates": (["update_id"], [], [], []),
+    "alerts": (["consultation_id"], [], [], []),
+}
+
+
+def _report(name: str, violations: DataFrame, rules: list[str]) -> DataFrame:
+    pairs = ", ".join(f"'{r}', `{r}`" for r in rules)
+    return violations.select(F.lit(name).alias("table_name"), F.expr(f"stack({len(rules)}, {pairs}) AS (rule, violations)"))
 
 
 def key_audit(t: dict[str, DataFrame]) -> DataFrame:
-    """One report row per constraint: duplicate primary keys (number of
-    keys seen more than once), NOT NULL violations, orphan foreign keys.
-    Every check is an aggregate or an anti-join; nothing reaches the driver."""
-    parts = [
-        _pk("patients", t["patients"], ["patient_id"]),
-        _pk("consultations", t["consultations"], ["consultation_id"]),
-        _pk("lab_orders", t["lab_orders"], ["order_id"]),
-        _pk("prescriptions", t["prescriptions"], ["rx_id"]),
-        _pk("hospitals", t["hospitals"], ["hospital_id"]),
-        _pk("staff", t["staff"], ["staff_id"]),
-        _pk("items", t["items"], ["consultation_id", "line"]),
-        _not_null("patients", t["patients"], "name"),
-        _not_null("hospitals", t["hospitals"], "name"),
-        _fk("staff", t["staff"], "hospital_id", t["hospitals"], "hospital_id", "hospitals"),
-        _fk("patients", t["patients"], "hospital_id", t["hospitals"], "hospital_id", "hospitals"),
-        _fk("consultations", t["consultations"], "patient_id", t["patients"], "patient_id", "patients"),
-        _fk("lab_orders", t["lab_orders"], "patient_id", t["patients"], "patient_id", "patients"),
-        _fk("prescriptions", t["prescriptions"], "patient_id", t["patients"], "patient_id", "patients"),
-    ]
+    """One report row per constraint: duplicate primary keys and UNIQUE
+    values (keys seen more than once; NULLs are not equal), NOT NULL
+    violations, orphan foreign keys. One aggregation per table counts its
+    key and its NULLs together; nothing reaches the driver."""
+    parts = []
+    for name, (pk, unique, required, parents) in CONSTRAINTS.items():
+        df = t[name]
+        nulls = [F.count_if(F.col(c).isNull()).alias(f"not_null:{c}") for c in required]
+        by_key = df.groupBy(*pk).agg(F.count(F.lit(1)).alias("__n"), *nulls)
+        rules = ["pk_duplicate:" + ",".join(pk), *(f"not_null:{c}" for c in required)]
+        zero = F.lit(0).cast("long")
+        parts.append(_report(name, by_key.agg(F.count_if(F.col("__n") > 1).alias(rules[0]),
+                                              *[F.coalesce(F.sum(F.col(f"`{r}`")), zero).alias(r) for r in rules[1:]]), rules))
+        for c in unique:
+            seen = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+            parts.append(_report(name, seen.agg(F.count_if(F.col("__n") > 1).alias(f"unique:{c}")), [f"unique:{c}"]))
+        for c, parent, key in parents:
+            orphans = df.filter(F.col(c).isNotNull()).join(t[parent].select(F.col(key).alias(c)), c, "left_anti")
+            parts.append(_report(name, orphans.agg(F.count(F.lit(1)).alias(f"fk:{c}->{parent}")), [f"fk:{c}->{parent}"]))
     return reduce(DataFrame.unionByName, parts)

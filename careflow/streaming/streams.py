@@ -22,6 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql.types import IntegerType, StructField, StructType, TimestampNTZType
 
 from careflow.operators import predicates as P
+from careflow.operators import records
 from careflow.operators import registry as U
 from careflow.session import scratch_path
 
@@ -80,16 +81,26 @@ def _batch_writer(targets: dict[str, str]):
 
 
 # ---------------------------------------------------------------- T2 fan-out
-def stream_fanout_to(consultations: DataFrame, lab_dir: str, rx_dir: str, checkpoint: str,
+FANOUT = {"lab": U.fanout_orders, "rx": U.fanout_rx}
+
+
+def stream_fanout_to(consultations: DataFrame, dirs: dict[str, str], checkpoint: str, items: DataFrame | None = None,
                      available_now: bool = True):
     """Every micro-batch of consultation records yields its lab orders and
-    prescriptions (U6); both sinks are written under the batch id."""
-    sink = _batch_writer({"lab": lab_dir, "rx": rx_dir})
+    prescriptions (U6); each sink of ``dirs`` ('lab', 'rx') is written under
+    the batch id.
+
+    Records that carry their lists need nothing else. With ``items``, lists
+    are built for the batch's consultations only (items are semi-joined to
+    the batch first), so a batch never groups the whole item table.
+    """
+    sink = _batch_writer(dirs)
 
     def body(batch: DataFrame, batch_id: int):
         batch.persist()
         try:
-            sink({"lab": U.fanout_orders(batch), "rx": U.fanout_rx(batch)}, batch_id)
+            full = batch if items is None else records.clinical_records(batch, items, only_these=True)
+            sink({k: FANOUT[k](full) for k in dirs}, batch_id)
         finally:
             batch.unpersist()
 
@@ -110,14 +121,13 @@ def dept_state_stream(updates: DataFrame, dept: str, action: str) -> DataFrame:
 
 
 def run_dept_state(updates: DataFrame, dept: str, action: str, out_dir: str, checkpoint: str,
-                   available_now: bool = True):
+                   available_now: bool = True, compact_every: int = 32):
     """T4: write the changed per-patient fold states of every micro-batch
     under its batch id. The work per batch is proportional to the batch (one
     row per changed patient), never to the orders table; order rows are
     derived when read (``orders_under_state``)."""
-    sink = _batch_writer({"state": out_dir})
     q = (dept_state_stream(updates, dept, action).writeStream.outputMode("update")
-         .foreachBatch(lambda changed, batch_id: sink({"state": changed}, batch_id)))
+         .foreachBatch(keyed_sink(out_dir, ["patient_id"], compact_every)))
     return _run(q, checkpoint, available_now)
 
 
@@ -145,12 +155,43 @@ def read_sink(spark: SparkSession, out_dir: str, schema: StructType | None = Non
         return spark.createDataFrame([], StructType(list(schema.fields) + [StructField("batch_id", IntegerType())]))
 
 
-def latest_snapshot(spark: SparkSession, out_dir: str, key: str, schema: StructType | None = None) -> DataFrame:
-    """Newest row per key across the batch folders of a foreachBatch sink."""
+def _snapshots(out_dir: str) -> str:
+    return out_dir.rstrip("/") + "-snapshot"
+
+
+def keyed_sink(out_dir: str, key: list[str], compact_every: int):
+    """foreachBatch body of an update-mode sink: changed rows under the batch
+    id, and after every ``compact_every`` batches a snapshot of the newest row
+    per key, made of the last snapshot and the batches since. A reader then
+    reads one snapshot and fewer than ``compact_every`` batches, however long
+    the history; a replayed batch rewrites its own folders."""
+    sink = _batch_writer({"out": out_dir})
+
+    def body(changed: DataFrame, batch_id: int):
+        sink({"out": changed}, batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            snap = latest_snapshot(changed.sparkSession, out_dir, key, changed.schema)
+            snap.write.mode("overwrite").parquet(os.path.join(_snapshots(out_dir), f"upto={batch_id}"))
+
+    return body
+
+
+def latest_snapshot(spark: SparkSession, out_dir: str, key: str | list[str], schema: StructType | None = None) -> DataFrame:
+    """Newest row per key of a foreachBatch sink: the last snapshot, if there
+    is one, and the batch folders after it (the others are pruned)."""
     df = read_sink(spark, out_dir, schema)
     cols = [c for c in df.columns if c != "batch_id"]
-    return (df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("__r"))
-            .select("__r.*"))
+    keys = [key] if isinstance(key, str) else list(key)
+    try:
+        snaps = spark.read.parquet(_snapshots(out_dir))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    else:
+        upto = snaps.agg(F.max("upto")).first()[0]  # from folder names
+        old = snaps.filter(F.col("upto") == upto).select(*cols, F.col("upto").cast("int").alias("batch_id"))
+        df = df.filter(F.col("batch_id") > upto).select(*cols, "batch_id").unionByName(old)
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("__r")).select("__r.*")
 
 
 # ---------------------------------------------------------------- T5 de-duplication
@@ -182,13 +223,10 @@ def daily_counts_stream(events: DataFrame, ts: str = "ts", kind: str = "event_ty
             .select(day_of_instant("w.start").alias("day"), kind, "n"))
 
 
-def run_daily_counts(events: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
-    """Update-mode counters into a per-batch sink (see ``latest_snapshot``)."""
-    sink = _batch_writer({"counts": out_dir})
-
-    def body(batch: DataFrame, batch_id: int):
-        sink({"counts": batch}, batch_id)
-
+def run_daily_counts(events: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True,
+                     compact_every: int = 32):
+    """Update-mode counters into a compacted per-batch sink (see ``keyed_sink``)."""
+    body = keyed_sink(out_dir, ["day", "event_type"], compact_every)
     q = daily_counts_stream(events).writeStream.outputMode("update").foreachBatch(body)
     return _run(q, checkpoint, available_now)
 
@@ -200,9 +238,7 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = event_stream(spark, sf_dir, schema, file_glob="events.parquet").select("ts", "event_type")
     base = scratch_path(spark, "daily-counts")
     run_daily_counts(src, base + "/out", base + "/checkpoint")
-    snap = read_sink(spark, base + "/out", daily_counts_stream(src).schema)
-    return (snap.groupBy("day", "event_type")
-            .agg(F.max_by("n", F.col("batch_id")).alias("n")))
+    return latest_snapshot(spark, base + "/out", ["day", "event_type"], daily_counts_stream(src).schema)
 
 
 # ---------------------------------------------------------------- registered stream runs
@@ -224,16 +260,14 @@ def stream_alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_fanout(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """T2 registered: streaming consultations joined to their (static) item
-    lists; both sinks are written per batch, ``which`` one is read back."""
-    from careflow.operators import records
+    """T2 registered: streaming consultations, whose lists come from the item
+    rows of each batch; the sink asked for is written per batch and read back."""
     from careflow.sources.bindings import Bindings
     b = Bindings(spark, sf_dir)
-    clinical = records.clinical_records(b.stream_view("b_consultations", "orders"), b.items)
     base = scratch_path(spark, "t2-fanout")
-    stream_fanout_to(clinical, base + "/lab", base + "/rx", base + "/checkpoint")
-    out = U.fanout_orders(clinical) if which == "lab" else U.fanout_rx(clinical)
-    return read_sink(spark, base + ("/lab" if which == "lab" else "/rx"), out.schema).drop("batch_id")
+    stream_fanout_to(b.stream_view("b_consultations", "orders"), {which: base + "/" + which}, base + "/checkpoint", b.items)
+    out = FANOUT[which](records.clinical_records(b.consultations, b.items))
+    return read_sink(spark, base + "/" + which, out.schema).drop("batch_id")
 
 
 def stream_lab_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,16 +40,17 @@ def test_record_defaults_for_patient_without_rows(spark):
     cons = spark.createDataFrame([(1, 100, ts(0), "high", "dx", "", 99)],
                                  "patient_id long, consultation_id long, created_at timestamp_ntz, severity string, "
                                  "diagnosis string, followup string, hospital_id int")
-    lab = spark.createDataFrame([], "patient_id long, order_id long, created_at timestamp_ntz, status string")
-    rx = spark.createDataFrame([(1, 7, ts(1), "pending")],
-                               "patient_id long, rx_id long, created_at timestamp_ntz, status string")
+    lab = spark.createDataFrame([], "patient_id long, order_id long, created_at timestamp_ntz, status string, "
+                                    "tests string, results string")
+    rx = spark.createDataFrame([(1, 7, ts(1), "pending", '["m"]')],
+                               "patient_id long, rx_id long, created_at timestamp_ntz, status string, medicines string")
     hosp = spark.createDataFrame([(1, "H1")], "hospital_id int, name string")
     got = rows(records.record_defaults(patients, cons, lab, rx, hosp), "patient_id")
-    assert got == [(1, "not_ordered", "pending", "Unknown Hospital", ""),
-                   (2, "not_ordered", "not_prescribed", None, "")]
+    assert got == [(1, "not_ordered", "[]", "{}", "pending", '["m"]', "Unknown Hospital", ""),
+                   (2, "not_ordered", "[]", "{}", "not_prescribed", "[]", None, "")]
     nulls = cons.withColumn("followup", F.lit(None).cast("string"))
     got2 = rows(records.record_defaults(patients, nulls, lab, rx, hosp), "patient_id")
-    assert got2[0][4] is None and got2[1][4] == ""
+    assert got2[0][7] is None and got2[1][7] == ""
 
 
 # ---------------------------------------------------------------- queues
@@ -173,26 +174,29 @@ def test_lab_fold_closes_existing_orders_only(spark):
     assert [r[3] for r in rx] == ["dispensed", "dispensed", "dispensed", "pending"]
 
 
-def test_returning_patient_keeps_count_and_checkin_reset(spark):
-    regs = spark.createDataFrame([(1, ts(0), 100), (2, ts(1), 200), (3, ts(2), 100), (4, ts(3), 300)],
-                                 "event_id long, ts timestamp_ntz, patient_id long")
-    tok = rows(U.token_numbers(regs).select("event_id", "is_new", "token_number", "room_number"), "event_id")
-    # the returning patient (event 3) takes token 3 without raising the count;
-    # the next new patient (event 4) gets token 3 as well
-    assert tok == [(1, True, 1, 1), (2, True, 2, 2), (3, False, 3, 3), (4, True, 3, 3)]
-    prof = spark.createDataFrame([(100, "A", "hi-IN", 1), (200, "B", None, 1), (300, "C", "en-IN", 2)],
-                                 "patient_id long, name string, language string, hospital_id int")
-    state = U.patients_upsert(U.token_numbers(regs), prof)
-    ck = spark.createDataFrame([(1, 100, ts(1)), (2, 200, ts(5)), (3, 999, ts(9))],
-                               "event_id long, patient_id long, ts timestamp_ntz")
-    got = rows(U.checkin_state(state, ck).select("patient_id", "checked_in"), "patient_id")
-    # patient 100 checked in before re-registering: the flag was reset
-    assert got == [(100, 0), (200, 1), (300, 0)]
+def test_returning_patient_keeps_count_and_unknown_ids_are_rejected(spark):
+    table = spark.createDataFrame([(100, "A", 1, 1, 1, ts(-9))], "patient_id long, name string, token_number long, "
+                                  "room_number long, checked_in int, created_at timestamp_ntz")
+    regs = spark.createDataFrame([(1, ts(0), None, "N"), (2, ts(1), "999", "X"), (3, ts(2), "100", "A2"), (4, ts(3), None, "M")],
+                                 "event_id long, ts timestamp_ntz, patient_id string, name string")
+    tok = U.token_numbers(regs, table)
+    got = rows(tok.select("event_id", "is_new", "token_number", "room_number"), "event_id")
+    # one row in the table already; event 2 names nobody and is not counted; the
+    # return (3) takes token 3 without raising the count, so event 4 gets 3 too
+    assert got == [(1, True, 2, 2), (3, False, 3, 3), (4, True, 3, 3)]
+    state = U.patients_upsert(tok, table)
+    assert state.count() == 3 and state.filter("patient_id = '100'").first().name == "A2"
+    same = U.patients_upsert(tok.filter("event_id = 1"), table)
+    assert same.filter("patient_id = '100'").first().checked_in == 1  # untouched rows stay
 
 
 def test_dedup_keeps_one_per_update(spark):
-    u = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "update_id long, data string")
-    assert U.dedup_updates(u).count() == 2
+    u = spark.createDataFrame([(1, "late", ts(5)), (1, "first", ts(1)), (2, "b", ts(0)), (1, "also", ts(1))],
+                              "update_id long, data string, updated_at timestamp_ntz")
+    assert rows(U.dedup_updates(u), "update_id") == [(1, "also", ts(1)), (2, "b", ts(0))]
+    log = spark.createDataFrame([(1, "held", ts(9))], u.schema)
+    assert rows(U.append_updates(log, u), "update_id") == [(1, "held", ts(9)), (2, "b", ts(0))]
+    assert U.append_updates(U.append_updates(log, u), u).count() == 2
 
 
 def test_fanout_and_backfill(spark):
@@ -208,25 +212,15 @@ def test_fanout_and_backfill(spark):
     assert got == [(10, 1, '["t"]'), (20, 3, "[]")]
 
 
-def test_apply_decisions_second_approval_same_email(spark):
-    apps = spark.createDataFrame([(1, '{"name":"A","email":"e@x"}', "pending"), (2, '{"name":"B","email":"e@x"}', "pending"),
-                                  (3, '{"name":"C","email":"f@x"}', "pending")], "app_id long, data string, status string")
-    dec = spark.createDataFrame([(1, "approved", "ok"), (2, "approved", "ok"), (3, "Approved", "?")],
-                                "app_id long, status string, comments string")
-    got = rows(U.apply_decisions(apps, dec), "app_id")
-    # the second approval of e@x fails with its transaction: status unchanged
-    assert [r[1] for r in got] == ["approved", "pending", "Approved"]
-    assert [r[4] for r in got] == [True, False, True]
-    assert got[0][3] is not None and got[1][3] is None and got[2][3] is None
-
-
 def test_hospital_backfill_normalises_and_dedups(spark):
     apps = spark.createDataFrame([(1, '{"name":"A","email":"e@x"}', "approve"), (2, '{"name":"B","email":"e@x"}', "approved"),
-                                  (3, '{"name":"C"}', "approved"), (4, '{"name":"D","email":"g@x"}', "rejected")],
+                                  (3, '{"name":"C"}', "approved"), (4, '{"name":"D","email":"g@x"}', "approved"),
+                                  (5, '{"name":"E","email":"f@x"}', "rejected"), (6, '{"name":"F"}', "approve")],
                                  "app_id long, data string, status string")
-    hosp = spark.createDataFrame([("g@x",)], "email string")
-    got = rows(U.hospital_backfill(apps, hosp).select("app_id", "email"), "app_id")
-    assert got == [(1, "e@x")]
+    hosp = spark.createDataFrame([("g@x",), (None,)], "email string")
+    got = rows(U.hospital_backfill(apps, hosp).select("app_id", "email", "name"), "app_id")
+    # g@x is taken; NULL emails equal nothing, so both make a hospital
+    assert got == [(1, "e@x", "A"), (3, None, "C"), (6, None, "F")]
 
 
 def test_staff_removal_needs_both_keys(spark):
@@ -277,9 +271,12 @@ def test_first_answer_skips_blank(spark):
 
 def test_scan_decode_fallbacks(spark):
     df = spark.createDataFrame([(1, '{"patient_id":"P1"}'), (2, '{"k": 1}'), (3, "VK-9"), (4, "[1]"),
-                                (5, '{"patient_id":""}')], "event_id long, payload string")
-    assert rows(X.scan_decode(df), "event_id") == [(1, "P1"), (2, '{"k": 1}'), (3, "VK-9"), (4, "[1]"),
-                                                   (5, '{"patient_id":""}')]
+                                (5, '{"patient_id":""}'), (6, '{"patient_id":"5"} trailing'), (7, '{"patient_id":0}'),
+                                (8, '{"patient_id":7}'), (9, '{"patient_id":null}'), (10, '{"patient_id":false}'), (11, None),
+                                (12, '{"patient_id":[]}')], "event_id long, payload string")
+    assert rows(X.scan_decode(df), "event_id") == [
+        (1, "P1"), (2, '{"k": 1}'), (3, "VK-9"), (4, "[1]"), (5, '{"patient_id":""}'), (6, '{"patient_id":"5"} trailing'),
+        (7, '{"patient_id":0}'), (8, "7"), (9, '{"patient_id":null}'), (10, '{"patient_id":false}'), (11, None), (12, "[]")]
 
 
 def test_scan_encode_matches_python_json(spark):
@@ -321,14 +318,60 @@ def test_json_list_and_iso_text_match_python(spark):
 def test_make_id_is_deterministic(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "k long")
     ids = [r[0] for r in df.select(C.make_id("X-", "k")).collect()]
-    assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 18
+    assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 66
 
 
 def test_triage_first_rule_wins(spark):
-    df = spark.createDataFrame([(1, "Severe pain and CHEST PAIN"), (2, "moderate"), (3, "fine"), (4, None)],
-                               "doc_id long, text string")
-    assert rows(X.triage_rules(df), "doc_id") == [(1, "emergency", 1), (2, "medium", 3), (3, "low", 4),
-                                                  (4, "low", 4)]
+    df = spark.createDataFrame([(1, "Severe pain and CHEST PAIN, arm pain"), (2, "moderate"), (3, "fine"), (4, None),
+                                (5, "chest pain"), (6, "works on a farm painting, chest pain"), (7, "jaw pain; chest pain"),
+                                (8, "strokes"), (9, "a stroke"), (10, "severe pain")], "doc_id long, text string")
+    assert rows(X.triage_rules(df), "doc_id") == [
+        (1, "emergency", 1), (2, "medium", 3), (3, "low", 4), (4, "low", 4), (5, "low", 4), (6, "low", 4),
+        (7, "emergency", 1), (8, "low", 4), (9, "emergency", 1), (10, "high", 2)]
+
+
+def test_json_decode_takes_whole_values_only(spark):
+    df = spark.createDataFrame([(1, '["a"]'), (2, '["a"] x'), (3, None), (4, '{"a":1}'), (5, "[]"), (6, "")], "k long, t string")
+    assert [(r[1], r[3]) for r in rows(X.json_decode(df, "t", "k"), "k")] == [
+        ("ok", '["a"]'), ("malformed", None), ("null", None), ("malformed", None), ("ok", "[]"), ("malformed", None)]
+    assert [r[1] for r in rows(X.json_decode(df, "t", "k", kind="OBJECT"), "k")] == [
+        "malformed", "malformed", "null", "ok", "malformed", "malformed"]
+
+
+def test_repeated_json_keys_keep_the_last(spark):
+    good = ('{"patient_id":"p","symptoms":[],"diagnosis":"x","diagnosis":"d","prescriptions":[],"lab_tests":[],'
+            '"severity":"low","followup":"","clinical_notes":""}')
+    df = spark.createDataFrame([(1, good)], "request_id long, raw string")
+    assert X.record_extract(df).first().diagnosis == "d"
+
+
+def test_wall_clock_times_ignore_the_session_zone(spark):
+    t = spark.createDataFrame([(1, dt.datetime(2024, 3, 10, 2, 30)), (2, dt.datetime(2024, 11, 3, 1, 30, 0, 5)), (3, None)],
+                              "k long, ts timestamp_ntz")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        got = rows(X.iso_parse(t, "ts", "k").select("iso_text", F.col("parsed").cast("string"), F.col("day").cast("string"), "k"), "k")
+        assert got == [("2024-03-10T02:30:00", "2024-03-10 02:30:00", "2024-03-10", 1),
+                       ("2024-11-03T01:30:00.000005", "2024-11-03 01:30:00.000005", "2024-11-03", 2), (None, None, None, 3)]
+        enc = L.lake_encode(t.withColumnRenamed("ts", "created_at"))
+        dec = L.lake_decode(enc.select("created_at"))
+        assert sorted(str(r[0]) for r in dec.select(F.col("created_at").cast("string")).collect()) == [
+            "2024-03-10 02:30:00", "2024-11-03 01:30:00.000005", "None"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_no_local_checkpoint_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from careflow.session import checkpoint_root
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d),
+                              sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        checkpoint_root(cluster)
 
 
 # ---------------------------------------------------------------- lake and sources
@@ -341,7 +384,7 @@ def test_lake_write_read_and_encode_inverse(spark, tmp_dir):
         "followup string, clinical_notes string, created_at timestamp_ntz")
     path = tmp_dir + "/lake"
     L.write_consultations(rec, path)
-    L.write_consultations(rec.filter("consultation_id = 2"), path)  # append
+    L.write_consultations(rec.filter("consultation_id = 2"), path, L.day_counts(rec), rows_per_slice=1)  # append
     back = L.read_consultations(spark, path)
     assert back.count() == 3
     assert sorted(r.created_date.isoformat() for r in back.select("created_date").distinct().collect()) == \
@@ -366,19 +409,20 @@ def test_ingest_defaults_only_for_absent_columns(spark):
 
 def test_key_audit_counts(spark):
     p = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, None, 9)], "patient_id long, name string, hospital_id int")
-    h = spark.createDataFrame([(1, "H")], "hospital_id int, name string")
+    h = spark.createDataFrame([(1, "H", "e"), (2, "I", "e"), (3, "J", None), (4, "K", None)], "hospital_id int, name string, email string")
     c = spark.createDataFrame([(1, 5), (2, 7)], "consultation_id long, patient_id long")
-    e = spark.createDataFrame([], "order_id long, rx_id long, patient_id long")
-    s = spark.createDataFrame([(1, 2)], "staff_id long, hospital_id int")
+    e = spark.createDataFrame([], "order_id long, rx_id long, patient_id long, app_id long, update_id long, consultation_id long")
+    s = spark.createDataFrame([(1, 9, "u"), (2, 1, "u")], "staff_id long, hospital_id int, username string")
     items = spark.createDataFrame([(1, 1), (1, 1)], "consultation_id long, line int")
     rep = {(r.table_name, r.rule): r.violations for r in L.key_audit(
         {"patients": p, "consultations": c, "lab_orders": e, "prescriptions": e, "hospitals": h, "staff": s,
-         "items": items}).collect()}
+         "items": items, "applications": e, "dept_updates": e, "alerts": e}).collect()}
     assert rep[("patients", "pk_duplicate:patient_id")] == 1
     assert rep[("patients", "not_null:name")] == 1
     assert rep[("patients", "fk:hospital_id->hospitals")] == 1
     assert rep[("consultations", "fk:patient_id->patients")] == 2
     assert rep[("staff", "fk:hospital_id->hospitals")] == 1
+    assert rep[("staff", "unique:username")] == 1 and rep[("hospitals", "unique:email")] == 1
     assert rep[("items", "pk_duplicate:consultation_id,line")] == 1
     assert rep[("lab_orders", "pk_duplicate:order_id")] == 0
 

@@ -53,8 +53,11 @@ def test_nested_record_agrees_with_summary(spark):
     """The nested J6 record (rows-only key) carries the same figures as the
     scalar summary that is checked against DuckDB."""
     from pyspark.sql import functions as F
-    from careflow.plans.catalog import _record
-    rec = _record(spark, SF_SMALL)  # the nested frame (the registered key renders its lists as JSON)
+    from careflow.operators import records
+    from careflow.plans.catalog import clinical
+    from careflow.sources.bindings import Bindings
+    b = Bindings(spark, SF_SMALL)  # the nested frame (the registered key renders its lists as JSON)
+    rec = records.patient_record(b.patients, clinical(b), b.hospitals, b.lab_orders, b.prescriptions, b.dept_updates)
     derived = rec.select(
         "patient_id", "name",
         F.coalesce(F.size("history"), F.lit(0)).cast("long").alias("n_consultations"),
@@ -64,6 +67,6 @@ def test_nested_record_agrees_with_summary(spark):
         F.col("consultation.consultation_id").alias("latest_consultation_id"),
         F.col("consultation.hospital_name").alias("latest_hospital_name"),
         F.to_json(F.col("consultation.prescriptions")).alias("latest_prescriptions"),
-        "lab_status", "pharmacy_status",
+        F.col("lab_status.status").alias("lab_status"), F.col("pharmacy_status.status").alias("pharmacy_status"),
         F.col("dept_updates")[0]["update_id"].alias("latest_update_id"))
     same(derived.toPandas(), E.queries()["patient_record"](spark, SF_SMALL).toPandas())

@@ -50,23 +50,28 @@ def test_latest_per_key_is_an_aggregate_not_a_window(spark):
 
 def test_global_running_count_never_windows_the_whole_log(spark):
     b = Bindings(spark, SF_SMALL)
-    df = U.token_numbers(b.registrations)
+    df = U.token_numbers(b.registrations, b.patients)
     p = plan(df)
-    # the only unpartitioned window runs over the per-hour counts; the
-    # per-row window is partitioned by the hour bucket
+    # the only unpartitioned window runs over the per-range counts; the
+    # per-row window is partitioned by the range
     windows = [line for line in p.splitlines() if line.startswith("Arguments:") and "windowspecdefinition" in line]
     assert windows and all("__bucket" in w for w in windows)
 
 
-def test_dimension_broadcast_is_bounded(spark):
-    from careflow.functions.common import bounded_broadcast
-    small = spark.range(10)
-    big = spark.range(1000)
-    j1 = spark.range(100).join(bounded_broadcast(small, 100), "id")
-    j2 = spark.range(100).join(bounded_broadcast(big, 100), "id")
-    assert "ResolvedHint (strategy=broadcast)" in j1._jdf.queryExecution().analyzed().toString() or \
-        "broadcast" in j1._jdf.queryExecution().optimizedPlan().toString().lower()
-    assert "strategy=broadcast" not in j2._jdf.queryExecution().optimizedPlan().toString()
+def test_building_a_plan_starts_no_job(spark):
+    from careflow.plans.catalog import QUERIES
+
+    b = Bindings(spark, SF_SMALL)
+    tables = (b.patients, b.consultations, b.hospitals, b.lab_orders, b.prescriptions, b.dept_updates, b.registrations, b.items)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "plans")
+    records.history_with_hospital(b.consultations, b.hospitals)
+    records.record_defaults(*tables[:2], b.lab_orders, b.prescriptions, b.hospitals)
+    U.token_numbers(b.registrations, b.patients)
+    queues.queue_position(queues.pending_queue(b.lab_orders, b.patients, "order_id"), queues.pending_queue(b.prescriptions, b.patients, "rx_id"))
+    assert list(tracker.getJobIdsForGroup("plans")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "patient_timeline" in QUERIES
 
 
 def test_bindings_leave_callers_views_alone(spark):

@@ -2,6 +2,8 @@
 statement sequence they stand for (register, check in, update department)."""
 
 import datetime as dt
+import hashlib
+import json
 
 from hypothesis import given, settings, strategies as st, HealthCheck
 
@@ -20,21 +22,54 @@ def at(m):
 
 @st.composite
 def registrations(draw):
-    n = draw(st.integers(1, 25))
-    return [(i, draw(minute), draw(st.integers(1, 6))) for i in range(n)]
+    """(event, minute, id): None registers a new patient, 1-3 are in the table, 7-8 nowhere;
+    'new:k' returns the patient whom event k registered (before or after this one)."""
+    n = draw(st.integers(1, 20))
+    some = st.one_of(st.none(), st.sampled_from(["1", "2", "3", "7", "8"]), st.integers(0, n - 1).map(lambda k: f"new:{k}"))
+    return [(i, draw(minute), draw(some)) for i in range(n)]
+
+
+def new_id(event):
+    return "VK-" + hashlib.sha256(str(event).encode()).hexdigest().upper()
+
+
+def frames(spark, regs):
+    table = spark.createDataFrame([(i, f"old{i}", "en-IN", 9, 40 + i, 1, i % 2, at(-60)) for i in (1, 2, 3)],
+                                  "patient_id long, name string, language string, hospital_id int, token_number long, "
+                                  "room_number long, checked_in int, created_at timestamp_ntz")
+    rows = [(e, at(m), new_id(int(p[4:])) if p and p[:4] == "new:" else p, f"n{e}", e) for e, m, p in regs]
+    return table, spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, patient_id string, name string, age int")
+
+
+def replay(regs):
+    """The registration statements, one by one: (tokens by event, table)."""
+    table = {str(i): {"name": f"old{i}", "checked_in": i % 2, "created_at": at(-60), "age": None} for i in (1, 2, 3)}
+    tokens = {}
+    for e, m, p in sorted(regs, key=lambda r: (r[1], r[0])):
+        count = len(table)  # SELECT COUNT(*) FROM patients
+        pid = new_id(int(p[4:])) if p and p[:4] == "new:" else p
+        if pid is not None and pid not in table:
+            continue  # 404
+        tokens[e] = (count + 1, count % 3 + 1)
+        table[pid or new_id(e)] = {"name": f"n{e}", "checked_in": 0, "created_at": at(m), "age": e}
+    return tokens, table
 
 
 @SETTINGS
 @given(regs=registrations())
 def test_token_numbers_replay(spark, regs):
-    df = spark.createDataFrame([(e, at(m), p) for e, m, p in regs], "event_id long, ts timestamp_ntz, patient_id long")
-    got = {r.event_id: (r.token_number, r.room_number) for r in U.token_numbers(df).collect()}
-    known, want = set(), {}
-    for e, m, p in sorted(regs, key=lambda r: (r[1], r[0])):
-        count = len(known)  # SELECT COUNT(*) FROM patients
-        want[e] = (count + 1, count % 3 + 1)
-        known.add(p)
-    assert got == want
+    table, requests = frames(spark, regs)
+    got = {r.event_id: (r.token_number, r.room_number) for r in U.token_numbers(requests, table).collect()}
+    assert got == replay(regs)[0]
+
+
+@SETTINGS
+@given(regs=registrations())
+def test_upsert_replay(spark, regs):
+    table, requests = frames(spark, regs)
+    got = {r.patient_id: (r.name, r.checked_in, r.created_at, r.age)
+           for r in U.patients_upsert(U.token_numbers(requests, table), table).collect()}
+    assert got == {k: (v["name"], v["checked_in"], v["created_at"], v["age"]) for k, v in replay(regs)[1].items()}
 
 
 @st.composite
@@ -73,28 +108,57 @@ def test_lab_state_replay(spark, log):
 
 @st.composite
 def visits(draw):
-    regs = [(i, draw(minute), draw(st.integers(1, 4))) for i in range(draw(st.integers(1, 10)))]
-    cks = [(50 + i, draw(st.integers(1, 5)), draw(minute)) for i in range(draw(st.integers(0, 10)))]
+    few = st.integers(0, 4)  # minutes: many equal times
+    ids = iter(draw(st.permutations(range(30))))  # one id sequence for both kinds of event
+    regs = [(next(ids), draw(few), draw(st.sampled_from(["1", "2", "3"]))) for _ in range(draw(st.integers(0, 6)))]
+    cks = [(next(ids), draw(few), draw(st.sampled_from(["1", "2", "3", "7"]))) for _ in range(draw(st.integers(0, 8)))]
     return regs, cks
 
 
 @SETTINGS
 @given(v=visits())
-def test_upsert_and_checkin_replay(spark, v):
+def test_checkin_replay(spark, v):
+    """Events in (time, id) order: a registration resets the flag, a check-in sets it."""
     regs, cks = v
-    r = spark.createDataFrame([(e, at(m), p) for e, m, p in regs], "event_id long, ts timestamp_ntz, patient_id long")
-    prof = spark.createDataFrame([(p, f"P{p}", None, 1) for p in range(1, 6)],
-                                 "patient_id long, name string, language string, hospital_id int")
-    c = spark.createDataFrame([(e, p, at(m)) for e, p, m in cks], "event_id long, patient_id long, ts timestamp_ntz")
-    state = U.patients_upsert(U.token_numbers(r), prof)
-    got = {x.patient_id: (x.checked_in, x.created_at) for x in U.checkin_state(state, c).collect()}
-    # replay: registration (insert or update, checked_in = 0) before a check-in of the same instant;
-    # a check-in of an unknown patient is rejected
-    events = [(m, 0, e, ("reg", p)) for e, m, p in regs] + [(m, 1, e, ("ck", p)) for e, p, m in cks]
-    table = {}
-    for m, _, _, ev in sorted(events):
-        if ev[0] == "reg":
-            table[ev[1]] = {"checked_in": 0, "created_at": at(m)}
-        elif ev[1] in table:
-            table[ev[1]]["checked_in"] = 1
-    assert got == {k: (v["checked_in"], v["created_at"]) for k, v in table.items()}
+    table, requests = frames(spark, regs)
+    c = spark.createDataFrame([(e, p, at(m)) for e, m, p in cks], "event_id long, patient_id string, ts timestamp_ntz")
+    state = U.patients_upsert(U.token_numbers(requests, table), table)
+    got = {x.patient_id: x.checked_in for x in U.checkin_state(state, c).collect()}
+    want = {str(i): i % 2 for i in (1, 2, 3)}
+    for m, e, kind, p in sorted([(m, e, "reg", p) for e, m, p in regs] + [(m, e, "ck", p) for e, m, p in cks]):
+        if p in want:
+            want[p] = int(kind == "ck")
+    assert got == want
+
+
+@st.composite
+def decision_log(draw):
+    apps = [(i, draw(st.sampled_from([None, "e1", "e2", "e3"]))) for i in range(5)]
+    word = st.sampled_from(["approved", "rejected", "Approved", "pending"])
+    return apps, [(i, draw(st.integers(0, 5)), draw(word), draw(st.integers(0, 3))) for i in range(draw(st.integers(0, 12)))]
+
+
+@SETTINGS
+@given(log=decision_log())
+def test_decisions_replay(spark, log):
+    apps, decisions = log
+    a = spark.createDataFrame([(i, json.dumps({"name": f"N{i}", "email": e, "city": "C"}), "new") for i, e in apps],
+                              "app_id long, data string, status string")
+    d = spark.createDataFrame([(i, app, w, f"c{i}", at(m)) for i, app, w, m in decisions],
+                              "decision_id long, app_id long, status string, comments string, decided_at timestamp_ntz")
+    h = spark.createDataFrame([("e3",), (None,)], "email string")
+    email, state, taken, made = dict(apps), {i: ("new", None) for i, _ in apps}, {"e3"}, []
+    for m, i, app, w in sorted((m, i, app, w) for i, app, w, m in decisions):
+        if app not in email:
+            continue
+        if w == "approved":
+            if email[app] in taken:
+                continue  # the UNIQUE email fails, and the update with it
+            taken |= {email[app]} - {None}
+            made.append((app, f"N{app}", email[app], at(m)))
+        state[app] = (w, f"c{i}")
+    got = {r.app_id: (r.status, r.comments) for r in U.apply_decisions(a, d, h).collect()}
+    assert got == state
+    rows = U.decided_hospitals(a, d, h).collect()
+    assert sorted(map(str, ((r.app_id, r.name, r.email, r.created_at) for r in rows))) == sorted(map(str, made))
+    assert len({r.hospital_id for r in rows}) == len(rows)

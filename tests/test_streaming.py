@@ -43,7 +43,7 @@ def test_fanout_stream_equals_batch(spark, tmp_dir):
     b = Bindings(spark, SF_SMALL)
     clin = records.clinical_records(b.consultations, b.items)
     src = _as_stream(spark, clin, tmp_dir + "/in")
-    T.stream_fanout_to(src, tmp_dir + "/lab", tmp_dir + "/rx", tmp_dir + "/ck")
+    T.stream_fanout_to(src, {"lab": tmp_dir + "/lab", "rx": tmp_dir + "/rx"}, tmp_dir + "/ck")
     lab = spark.read.parquet(tmp_dir + "/lab").drop("batch_id")
     rx = spark.read.parquet(tmp_dir + "/rx").drop("batch_id")
     assert spark.read.parquet(tmp_dir + "/lab").select("batch_id").distinct().count() >= 2
