@@ -15,11 +15,13 @@ from a block of sets (a value that two sets of a block hold needs no partner
 elsewhere, so a very common one costs a block one entry); the shards count how many of
 a set's signatures another set has, and sets with fewer than t drop out. (2) In the
 same way, sets whose shingles are not three quarters shared by the remaining sets drop
-out. (3) Of the rest, each set is verified against the partner that leads most of its
-signature groups, and verified pairs are united. (4) All pairs that share a signature
-but lie in different components after that are verified; a set leaves out its t - 1
-largest groups, since a similar set shares t of them. So every link between different
-components is found, while pairs inside a component are not enumerated.
+out. (3) Of the rest, each set is verified against the one that leads most of its
+signature groups, and verified pairs are united; with other leads this is repeated
+while it links anything (``ROUNDS`` times at most). (4) All pairs that share a
+signature but lie in different components after that are verified; a set leaves out its
+t - 1 largest groups, since a similar set shares t of them. So every link between
+different components is found, however many rounds went before, while pairs inside a
+component are not enumerated.
 
 Rules: A-Z are lower-cased, words are split at ASCII white space; fewer than five words
 make one shingle; a text without words (null, empty) has n_shingles 0 and links with
@@ -35,13 +37,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from careflow.llm.common import shuffle_partitions, written
 from careflow.llm.components import components
 
 WIDTH = 5
+ROUNDS = 6
 FLUSH, OWNERS = 1 << 21, (1 << 16) - 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 NONE = np.zeros(0, np.uint64)
@@ -165,27 +168,34 @@ def shared_enough(rows: DataFrame, sets, name: str) -> DataFrame:
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
-        flush = table["flush"].to_numpy()
+        """For each block that asked, how many of each owner's values others hold."""
         high, low, owner = (table[c].to_pylist() for c in ("high", "low", "owner"))
         size = np.array([len(x) // 4 for x in low])
         value = np.frombuffer(b"".join(high), np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(b"".join(low), np.uint32)
-        own, block = np.frombuffer(b"".join(owner), np.uint16), np.repeat(np.arange(len(size)), size)
+        own = np.frombuffer(b"".join(owner), np.uint16)
         order = np.argsort(value, kind="stable")
-        value, own, block = value[order], own[order], block[order]
+        value = value[order]
         same = np.append(False, value[1:] == value[:-1]) if len(value) else np.zeros(0, bool)
-        met = (same | np.append(same[1:], False)) & (own != OWNERS)
-        key, n = np.unique(block[met].astype(np.int64) << 16 | own[met], return_counts=True)
-        out = [(flush[key >> 16], key & OWNERS, None, None, n)]
-        for at, (i, need, credit) in enumerate(zip(*(table[c].to_pylist() for c in ("ids", "needs", "credit")))):
-            if i is not None:
-                i = np.frombuffer(i, "<i8")
-                out.append((np.full(len(i), flush[at]), np.arange(len(i)), i, np.frombuffer(need, "<i4"), np.frombuffer(credit, "<i4")))
-        put = lambda x, n: pa.nulls(n, pa.int64()) if x is None else pa.array(np.asarray(x, np.int64), pa.int64())
-        return pa.concat_tables([pa.table([put(x, len(o[0])) for x in o], ["flush", "owner", "id", "need", "n"]) for o in out])
+        met = np.zeros(len(value), bool)
+        met[order] = same | np.append(same[1:], False) if len(value) else same
+        met &= own != OWNERS
+        found = _by_block(own, met, size)
+        return pa.table({"flush": table["flush"], "owners": pa.array(found, pa.binary()), "ids": table["ids"], "needs": table["needs"], "credit": table["credit"]})
 
-    counts = rows.mapInArrow(pack, BLOCK).groupBy("shard").applyInArrow(count, "flush long, owner long, id long, need long, n long")
-    sums = counts.groupBy("flush", "owner").agg(F.max("id").alias("id"), F.max("need").alias("need"), F.sum("n").alias("n"))
-    return sums.filter("n >= need").select("id").distinct()
+    def sums(table: pa.Table) -> pa.Table:
+        """The sets of a block that have as many as they need."""
+        at = next(k for k, i in enumerate(table["ids"].to_pylist()) if i is not None)
+        ids, needs, n = (np.frombuffer(table[c][at].as_py(), k) for c, k in (("ids", "<i8"), ("needs", "<i4"), ("credit", "<i4")))
+        n = n + np.bincount(np.frombuffer(b"".join(table["owners"].to_pylist()), np.uint16), minlength=len(ids))
+        return pa.table({"id": ids[n >= needs]})
+
+    counts = rows.mapInArrow(pack, BLOCK).groupBy("shard").applyInArrow(count, "flush long, owners binary, ids binary, needs binary, credit binary")
+    return counts.groupBy("flush").applyInArrow(sums, "id long").distinct()
+
+
+def _by_block(own: np.ndarray, met: np.ndarray, size: np.ndarray) -> list[bytes]:
+    cuts = np.cumsum(size) - size
+    return [own[i:i + n][met[i:i + n]].tobytes() for i, n in zip(cuts.tolist(), size.tolist())]
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -205,6 +215,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(check, "a long, b long").distinct()
 
 
+def _with_components(marks: DataFrame, now: DataFrame | None) -> DataFrame:
+    """Signature rows (doc, sig) with the component so far, c."""
+    if now is None:
+        return marks.select("doc", "sig", "needed", F.col("doc").alias("c"))
+    named = now.withColumnRenamed("node", "doc").hint("merge")
+    return marks.select("doc", "sig", "needed").join(named, "doc", "left").select("doc", "sig", "needed", F.coalesce("component", "doc").alias("c"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
@@ -259,24 +277,37 @@ def join(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([cat(doc, np.int64), cat(sig, np.int64), cat(need, np.int32)], ["doc", "sig", "need"])
 
     marks = held.select("doc", "shingles").mapInArrow(enumerate_, "doc long, sig long, need int")
-    groups = marks.groupBy("sig").agg(F.min("doc").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    marks = written(marks.join(written(groups, "groups").hint("merge"), "sig"), "marks")
-    led = marks.filter("doc <> lead").groupBy("doc", "lead").count()
-    tried = written(led.groupBy("doc").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("b")).select(F.col("doc").alias("a"), "b"), "tried")
-    first = written(verified(tried, held), "first")
-    now = components(first)
-    # groups that still span components, without each set's t - 1 largest
-    from pyspark.sql import Window
-
+    sizes_ = marks.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
+    marks = marks.join(written(sizes_, "sizes").hint("merge"), "sig")
     rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("size"), F.desc("sig")))
-    spread = marks.withColumn("rank", rank).filter("rank >= need").select("doc", "sig").join(now.withColumnRenamed("node", "doc"), "doc", "left")
-    spread = written(spread.select("doc", "sig", F.coalesce("component", "doc").alias("c")), "spread")
+    # a set's t - 1 largest groups are not needed to meet a similar set
+    marks = written(marks.select("doc", "sig", (rank >= F.col("need")).alias("needed")), "marks")
+    links = tried = now = None
+    for turn in range(ROUNDS):
+        # each set against the member that leads most of the groups it shares with
+        # another component; the lead changes by turn
+        spread = written(_with_components(marks, now), "spread")
+        order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
+        leads = spread.groupBy("sig").agg(F.min_by(F.struct("doc", "c"), order).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        leads = written(leads.filter("lo <> hi").select("sig", F.col("lead.doc").alias("lead"), F.col("lead.c").alias("lead_c")), "leads")
+        marks = spread.join(leads.hint("merge"), "sig")  # the groups that span components; the others stay closed
+        led = marks.filter("c <> lead_c").groupBy("doc", "lead").count()
+        pairs = led.groupBy("doc").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead")).select(
+            F.greatest("doc", "lead").alias("a"), F.least("doc", "lead").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = written(verified(pairs, held), "found")
+        if links is not None and found.isEmpty():
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        now = components(links)
+    spread = written(_with_components(marks.filter("needed"), now), "spread")
     open_ = written(spread.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig"), "open")
-    spread = spread.join(open_, "sig", "left_semi")
+    spread = spread.join(open_.hint("merge"), "sig", "left_semi")
     other = spread.select(F.col("doc").alias("a"), "sig", F.col("c").alias("ca")).join(
         spread.select(F.col("doc").alias("b"), "sig", F.col("c").alias("cb")), "sig").filter("a > b and ca <> cb").select("a", "b").distinct()
-    second = verified(written(other, "other"), held)
-    links = written(first.unionByName(second), "links")
+    second = verified(written(other.join(tried, ["a", "b"], "left_anti"), "other"), held)
+    links = written(links.unionByName(second), "links")
     roots = components(links)
     # a set's documents share its representative's component; a document of several texts joins theirs
     named = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k0", "k1", "rep", F.coalesce("component", "rep").alias("component"))
