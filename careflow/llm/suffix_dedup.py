@@ -40,7 +40,7 @@ from careflow.llm.common import shuffle_partitions, written
 from careflow.session import checkpoint_root
 
 WINDOW, GRAM = 50, 25
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, PIECE = 1 << 20, 1 << 16
 SMALLEST = -(1 << 63)
 SYMBOLS = 7  # symbols of 9 bits in a word
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -56,11 +56,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def window_names(text: np.ndarray) -> np.ndarray:
-    """For each start, the smallest hash of the 25-byte strings in the window there."""
+    """For each start, the smallest hash of the 25-byte strings in the window there;
+    piece by piece, so that the arrays stay in the processor's cache."""
+    starts = max(0, len(text) - WINDOW + 1)
+    out = np.empty(starts, np.uint64)
+    for i in range(0, starts, PIECE):
+        out[i:i + PIECE] = _names(np.ascontiguousarray(text[i:i + PIECE + WINDOW - 1]))
+    return out
+
+
+def _names(text: np.ndarray) -> np.ndarray:
     n = len(text)
-    if n < WINDOW:
-        return np.zeros(0, np.uint64)
-    text = np.ascontiguousarray(text)
     word = np.ndarray((n - 7,), "<u8", text, strides=(1,))
     m = n - GRAM + 1
     h = word[:m] * _A
@@ -90,7 +96,7 @@ class Block:
         self.text, self.shards = np.frombuffer(text, np.uint8), shards
         self.begins = np.append(0, self.ends[:-1])
         names = window_names(self.text)
-        owner = np.repeat(np.arange(len(self.ends)), self.ends - self.begins)
+        owner = np.repeat(np.arange(len(self.ends), dtype=np.int32), self.ends - self.begins)
         valid = np.zeros(len(names), bool)
         if len(names):
             valid = owner[: len(names)] == owner[WINDOW - 1:]
@@ -122,7 +128,7 @@ class Block:
             again[self.order[i:j]] = np.unpackbits(np.frombuffer(bits[shard], np.uint8))[: j - i].astype(bool)
         run = np.flatnonzero((again | self.twice)[self.of])
         start, size = self.start[run], self.size[run]
-        up, down = _powers(max(1 << 23, 1 << len(self.text).bit_length()))
+        up, down = _powers(max(1 << 21, 1 << len(self.text).bit_length()))
         total = np.append(np.uint64(0), np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * up[: len(self.text)]))
         key = (total[start + size + WINDOW - 1] - total[start]) * down[start] if len(run) else np.zeros(0, np.uint64)
         doc, of = self.docs[self.owner[run]], self.of[run]
@@ -259,9 +265,12 @@ def equal_windows(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     equal = np.arange(1, len(order))
     for k in range(0, WINDOW, SYMBOLS):
         x = words[order[equal] + k] ^ words[order[equal - 1] + k]
-        for s in range(1, SYMBOLS + 1):
-            common[equal] += (x >> 9 * (SYMBOLS - s)) == 0
-        equal = equal[x == 0]
+        whole = x == 0
+        differ, x = equal[~whole], x[~whole]
+        for s in range(1, SYMBOLS):
+            common[differ] += (x >> 9 * (SYMBOLS - s)) == 0
+        equal = equal[whole]
+        common[equal] += SYMBOLS
     return order, common
 
 
