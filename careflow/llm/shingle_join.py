@@ -44,7 +44,7 @@ from careflow.llm.common import shuffle_partitions, written
 from careflow.llm.components import components
 
 WIDTH = 5
-ROUNDS = 6
+ROUNDS = 3
 FLUSH, OWNERS = 1 << 21, (1 << 16) - 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 NONE = np.zeros(0, np.uint64)
@@ -215,6 +215,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(check, "a long, b long").distinct()
 
 
+def _nearer(links: DataFrame) -> DataFrame:
+    """node, component: the smallest neighbour's smallest neighbour, which is enough to
+    see most pairs as connected between turns."""
+    parent = written(links.groupBy("a").agg(F.min("b").alias("p")), "parents")
+    above = parent.select(F.col("a").alias("p"), F.col("p").alias("pp")).hint("merge")
+    return written(parent.join(above, "p", "left").select(F.col("a").alias("node"), F.coalesce("pp", "p").alias("component")), "nearer")
+
+
 def _with_components(marks: DataFrame, now: DataFrame | None) -> DataFrame:
     """Signature rows (doc, sig) with the component so far, c."""
     if now is None:
@@ -300,8 +308,8 @@ def join(docs: DataFrame) -> DataFrame:
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        now = components(links)
-    spread = written(_with_components(marks.filter("needed"), now), "spread")
+        now = _nearer(links)
+    spread = written(_with_components(marks.filter("needed"), components(links)), "spread")
     open_ = written(spread.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig"), "open")
     spread = spread.join(open_.hint("merge"), "sig", "left_semi")
     other = spread.select(F.col("doc").alias("a"), "sig", F.col("c").alias("ca")).join(
