@@ -122,6 +122,7 @@ class Graph:
         for layer in self.layers[:0:-1]:
             if len(layer):
                 ids, sims = self._beam(q, layer, ids[:, :1], 4)
+        ids = np.where(ids < len(self.layers[0]), ids, 0)  # while the lowest layer grows, it may lack an entry
         return self._beam(q, self.layers[0], ids, beam)
 
     def _beam(self, q: np.ndarray, layer: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:

@@ -352,6 +352,22 @@ def test_hnsw(spark):
     assert len({got[i]["component_id"] for i in range(200, 250)}) == 1
 
 
+def test_graph_of_many_levels():
+    """A shard with several full upper levels and tight clusters: no link is missed."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(300, 24))
+    x = centres[rng.integers(0, 300, 3000)] + rng.normal(size=(3000, 24)) * 0.18
+    u = hnsw_dedup._unit(x)
+    level = np.sort(np.floor(-np.log(rng.random(3000)) / np.log(16)).astype(np.int64))[::-1]
+    g = hnsw_dedup.Graph.build(u.astype(np.float32), level)
+    assert len(g.layers) >= 3 and len(g.layers[1]) > 100
+    rows, nodes = g.within(u.astype(np.float32), 0.95)
+    near = u.astype(np.float32) @ u.astype(np.float32).T >= 0.95
+    found = np.zeros_like(near)
+    found[rows, nodes] = True
+    assert found.sum() >= 0.999 * near.sum() and not (found & ~(u @ u.T >= 0.9499)).any()
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)] + [(7, 7)]
