@@ -10,7 +10,8 @@ count: ``P(w) = max(c - D, 0) / N + D * V / N * pieces(w)``.
 
 A document belongs to one of a few classes (here: the languages most common in training;
 its own is not looked at when it is scored) with word counts of their own that back off
-to the pooled ones. Its probability sums over the classes as well:
+to the pooled ones. All of this stays in logs, so a word of any length has its own value.
+The document's probability sums over the classes as well:
 ``sum over z of P(z) * product over tokens of P(token | z)``.
 
 Scale. Counts are pre-aggregated in the tasks and kept in a table. Words with at least
@@ -258,17 +259,19 @@ def score(docs: DataFrame, pieces: str, class_column: str | None = "lang", modul
         return np.log10((count + 1) / (total + types + 1))
 
     def log_classes(count, own, spelt):
-        """log10 P(token | z) of tokens with pooled counts, counts by class, and P by pieces."""
-        pooled = np.maximum(count - DISCOUNT, 0) / max(total, 1) + (DISCOUNT * types / total if total else 1.0) * spelt
+        """log10 P(token | z) of tokens with pooled counts, counts by class, and log10 P by pieces."""
+        with np.errstate(divide="ignore"):
+            seen, seen_z = np.log10(np.maximum(count - DISCOUNT, 0) / max(total, 1)), np.log10(np.maximum(own - DISCOUNT, 0) / np.maximum(n_z, 1))
+        pooled = _log10_sum(seen, np.log10(DISCOUNT * types / total if total else 1.0) + spelt)
         share = np.where(n_z > 0, DISCOUNT * v_z / np.maximum(n_z, 1), 1.0)
-        return np.log10(np.maximum(own - DISCOUNT, 0) / np.maximum(n_z, 1) + share * pooled[:, None] + 1e-300)
+        return _log10_sum(seen_z, np.log10(share) + pooled[:, None])
 
     def scored(batches):
         lattice = Lattice(pieces, p, stop)
         for b in batches:
             count = b["c"].to_numpy(zero_copy_only=False).astype(float)
             own = np.stack([b[f"c{z}"].to_numpy(zero_copy_only=False).astype(float) for z in range(k)], 1)
-            logs = log_classes(count, own, 10 ** np.maximum(lattice.log10(b["word"].to_pylist()), -290) * (1 - END_FLOOR))
+            logs = log_classes(count, own, lattice.log10(b["word"].to_pylist()) + np.log10(1 - END_FLOOR))
             yield pa.record_batch([b["word"], pa.array(count > 0), pa.array(log_base(count)), *map(pa.array, logs.T.copy())], table)
 
     table = ["word", "known", "base", *(f"l{z}" for z in range(k))]
@@ -277,7 +280,7 @@ def score(docs: DataFrame, pieces: str, class_column: str | None = "lang", modul
     common = words.filter(is_head & (F.col("c") > 0)).mapInArrow(scored, kinds).toArrow()
     given = spark.sparkContext.broadcast((common["word"].to_pylist(), common["base"].to_numpy(), np.stack([common[f"l{z}"].to_numpy() for z in range(k)], 1)))
     end_base = float(log_base(np.array(float(docs_n))))
-    end_logs = log_classes(np.array([float(docs_n)]), np.array([[float(ends[z]) for z in range(k)]]), np.array([END_FLOOR]))[0]
+    end_logs = log_classes(np.array([float(docs_n)]), np.array([[float(ends[z]) for z in range(k)]]), np.log10([END_FLOOR]))[0]
 
     def read(batches):
         """A row for each document, and one for each of its words that is not common."""
@@ -324,6 +327,11 @@ def score(docs: DataFrame, pieces: str, class_column: str | None = "lang", modul
                                                 "base_score", (F.col("best") + F.log10(odds)).alias("score"))
 
 
+def _log10_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log10(10**a + 10**b), where both may lie far below the least double."""
+    return np.logaddexp(a * np.log(10), b * np.log(10)) / np.log(10)
+
+
 def _common(given) -> tuple[dict, np.ndarray, np.ndarray]:
     """The common words of a broadcast, looked up once per worker."""
     made = getattr(given, "made", None)

@@ -330,6 +330,36 @@ def test_forward_sums_all_segmentations():
     assert sum(u * len(x) for u, x in zip(use, pieces)) == pytest.approx(sum(len(w) + 1 for w in own))
 
 
+def plain_word(word, chance, stop):
+    """log10 of the sum over all segmentations of a word, by a plain recursion."""
+    word, longest = b" " + word, max(map(len, chance))
+    alpha = [0.0]
+    for j in range(1, len(word) + 1):
+        ways = [alpha[j - k] + chance[word[j - k:j]] + math.log(1 - stop) for k in range(1, min(j, longest) + 1) if word[j - k:j] in chance]
+        alpha.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+    return (alpha[-1] + math.log(stop) - math.log(1 - stop)) / math.log(10)
+
+
+def test_lattice_lm_long_words(spark):
+    rng = random.Random(3)
+    held = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2][:4]
+    train = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 != 2][:40]
+    long = ["".join(rng.choice("aeiourstlnbé/7") for _ in range(n)) for n in (5000, 200, 400)] + ["中文语言模型评分" * 30]
+    texts = {d: " ".join("".join(rng.choice("aeiourstln") for _ in range(rng.randint(1, 8))) for _ in range(20)) for d in train}
+    got = rows_of(lattice_lm.score(frame(spark, texts | dict(zip(held, long))), tokenizer(PIECES), class_column=None))
+    count = Counter(w for t in texts.values() for w in t.encode().split())
+    p, stop = lattice_lm.fit_pieces(spark.createDataFrame([(bytearray(w),) for w in count], "word binary"), tokenizer(PIECES))
+    chance = dict(zip(lattice_lm.vocabulary(tokenizer(PIECES))[0], np.log(p).tolist()))
+    n, v, d = sum(count.values()) + len(train), len(count) + 1, lattice_lm.DISCOUNT
+    end = (len(train) - d) / n + d * v / n * lattice_lm.END_FLOOR
+    # one class holds all training text, the other none; the word is new to both
+    prior = [(len(train) + 1) / (len(train) + 2), 1 / (len(train) + 2)]
+    rest = prior[0] * d * v / n * ((len(train) - d) / n + d * v / n * end) + prior[1] * end
+    for doc, word in zip(held, long):
+        expected = plain_word(word.encode(), chance, stop) + math.log10((1 - lattice_lm.END_FLOOR) * d * v / n * rest)
+        assert expected < -300 and got[doc]["score"] == pytest.approx(expected, rel=1e-9)
+
+
 def test_hnsw(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(700, 16)).astype(np.float32)
