@@ -2,7 +2,7 @@
 
 A word's probability is the sum over all ways to segment it into pieces of an existing
 vocabulary, found by a forward recursion in log space over the lattice of its bytes.
-The vocabulary's own scores (ranks) give the first weights; one round of expectation
+The vocabulary's own scores (ranks of a BPE model) give the first weights; one round of expectation
 over all distinct training words (forward and backward) turns them into unigram
 probabilities of pieces and of stopping. Beside the paths through pieces, the lattice
 of a word seen in training has an edge for the whole word, weighted by its discounted
@@ -41,7 +41,6 @@ from careflow.llm.common import crc_bucket, written
 HEAD = 1 << 19
 CLASSES = 8
 LOCAL = 1 << 18  # distinct words that a task counts before it passes them on
-WIDEST = 16  # bytes of a piece
 DISCOUNT = 0.75
 END_FLOOR = 1e-6
 BLOCK = 2048
@@ -60,7 +59,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i):
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if len(piece) <= WIDEST and b" " not in piece[1:]:
+        if b" " not in piece[1:]:  # a word holds no blank but its own, so a piece with an inner one is on no path
             found[piece] = found.get(piece, 0.0) + 1 / (100 - model.get_score(i))
     floor = 1 / (200 - lowest)
     weights = np.array([max(w, floor) for w in found.values()])
@@ -101,15 +100,18 @@ class Lattice:
 
     def __init__(self, path: str, p: np.ndarray, stop: float):
         self.keys, self.number, self.probes = piece_table(path)
+        self.lengths = sorted({len(x) for x in vocabulary(path)[0]})
         self.shift = np.uint64(64 - int(np.log2(len(self.keys))))
         self.log = np.append(np.log(np.maximum(p, 1e-300)) + np.log1p(-stop), -np.inf)  # the last: no such piece
         self.end = np.log(stop) - np.log1p(-stop)
 
-    def edges(self, rows: np.ndarray) -> list[np.ndarray]:
+    def edges(self, rows: np.ndarray) -> dict[int, np.ndarray]:
         """For each piece length, the piece at each start (rows: words of one length)."""
-        out, h, mask = [], np.zeros(rows.shape, np.uint64), len(self.keys) - 1
-        for k in range(1, min(WIDEST, rows.shape[1]) + 1):
+        out, h, mask = {}, np.zeros(rows.shape, np.uint64), len(self.keys) - 1
+        for k in range(1, min(self.lengths[-1], rows.shape[1]) + 1):
             h = h[:, : rows.shape[1] - k + 1] * _MUL + rows[:, k - 1:].astype(np.uint64) + np.uint64(1)
+            if k not in self.lengths:
+                continue
             x = _mix(h)
             at = (x >> self.shift).astype(np.int64)
             got = np.where(self.keys[at] == x, self.number[at], -1)
@@ -120,25 +122,25 @@ class Lattice:
                 at[left] = (at[left] + 1) & mask
                 hit = self.keys[at[left]] == x[left]
                 got[tuple(i[hit] for i in left)] = self.number[at[left]][hit]
-            out.append(got)
+            out[k] = got
         return out
 
-    def forward(self, rows: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    def forward(self, rows: np.ndarray, edges: dict[int, np.ndarray]) -> np.ndarray:
         n, size = rows.shape
         alpha = np.full((n, size + 1), -np.inf)
         alpha[:, 0] = 0.0
         for j in range(1, size + 1):
-            ways = np.stack([alpha[:, j - k] + self.log[edges[k - 1][:, j - k]] for k in range(1, min(j, WIDEST) + 1)])
+            ways = np.stack([alpha[:, j - k] + self.log[got[:, j - k]] for k, got in edges.items() if k <= j])
             top = ways.max(0)
             alpha[:, j] = top + np.log(np.exp(ways - top).sum(0))
         return alpha
 
-    def backward(self, rows: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    def backward(self, rows: np.ndarray, edges: dict[int, np.ndarray]) -> np.ndarray:
         n, size = rows.shape
         beta = np.full((n, size + 1), -np.inf)
         beta[:, size] = self.end
         for i in range(size - 1, -1, -1):
-            ways = np.stack([self.log[edges[k - 1][:, i]] + beta[:, i + k] for k in range(1, min(size - i, WIDEST) + 1)])
+            ways = np.stack([self.log[got[:, i]] + beta[:, i + k] for k, got in edges.items() if k <= size - i])
             top = ways.max(0)
             top = np.where(np.isfinite(top), top, 0.0)
             with np.errstate(divide="ignore"):
@@ -168,7 +170,7 @@ class Lattice:
             edges = self.edges(rows)
             alpha, beta = self.forward(rows, edges), self.backward(rows, edges)
             whole = beta[:, :1]
-            for k, got in enumerate(edges, 1):
+            for k, got in edges.items():
                 with np.errstate(invalid="ignore"):
                     use = np.exp(alpha[:, : rows.shape[1] - k + 1] + self.log[got] + beta[:, k:] - whole)
                 has = got >= 0

@@ -330,6 +330,22 @@ def test_forward_sums_all_segmentations():
     assert sum(u * len(x) for u, x in zip(use, pieces)) == pytest.approx(sum(len(w) + 1 for w in own))
 
 
+def test_lattice_holds_every_piece():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer(PIECES))
+    given = {model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    given = {x for x in given if b" " not in x[1:]}  # words are split at blanks
+    pieces, p = lattice_lm.vocabulary(tokenizer(PIECES))
+    assert given <= set(pieces) and max(map(len, pieces)) > 16
+    lattice, chance = lattice_lm.Lattice(tokenizer(PIECES), p, 0.3), dict(zip(pieces, np.log(p).tolist()))
+    own = [x.strip() + b"s" for x in sorted(given, key=len)[-20:]]
+    for w, got in zip(own, lattice.log10(own)):
+        assert got == pytest.approx(plain_word(w, chance, 0.3), rel=1e-9)
+    use = lattice.expect(own)
+    assert sum(u * len(x) for u, x in zip(use, pieces)) == pytest.approx(sum(len(w) + 1 for w in own))
+
+
 def plain_word(word, chance, stop):
     """log10 of the sum over all segmentations of a word, by a plain recursion."""
     word, longest = b" " + word, max(map(len, chance))
