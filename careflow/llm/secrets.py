@@ -7,9 +7,12 @@ a pattern and the pattern's matches alternate, so running lengths give each star
 The method adds weak parts: names of endpoints (URLs), user or client identifiers, and
 long mixed tokens. Alone they mean little; one is reported only when parts that complete
 a credential (identifier, secret, endpoint) co-occur in its scope, at most ``REACH``
-characters apart. That interval join runs over the spans of a document in order: the
-nearest part of each role before and after a span is carried along by windows, so no
-pairs are made, however many parts a text holds.
+characters apart. That interval join runs over the starts and ends of a document's spans
+in order: the nearest part of each role that ends at or before a span's start, and the
+nearest that starts at or after its end, are carried along by windows, so no pairs are
+made, however many parts a text holds. A part that overlaps a span does not complete it
+(an identifier's value may itself be a long mixed token), nor does it hide other parts;
+a part inside another one still completes spans that it does not overlap.
 
 Rules: a null text counts as empty. Offsets are code points, ends exclusive. Documents
 are rows: rows that share a doc_id are scanned one by one (repeated rows are told apart
@@ -75,18 +78,23 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     rows = rows.filter(good | F.col("rank").isNull() | (F.col("size").isNull()))
     rows = rows.withColumn("start", F.when(good, F.col("end") - F.col("size")))
     is_in = lambda kinds: F.col("rank").isin([KINDS.index(k) for k in kinds]) & F.col("start").isNotNull()
-    line = Window.partitionBy("row").orderBy("start", "rank", "end")
-    back, on = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
-    near, overlap = {}, None
+    # each span as two events; at one place ends come before starts
+    at = F.array(F.struct(F.col("end").alias("pos"), F.lit(0).alias("opens")), F.struct(F.col("start").alias("pos"), F.lit(1).alias("opens")))
+    rows = rows.select("row", "doc_id", "rank", "start", "end", F.explode_outer(F.when(F.col("start").isNotNull(), at)).alias("x"))
+    rows = rows.select("row", "doc_id", "rank", "start", "end", "x.*")
+    line, to_here = Window.partitionBy("row"), (Window.unboundedPreceding, Window.currentRow)
+    back, on = line.orderBy("pos", "opens").rowsBetween(*to_here), line.orderBy(F.desc("pos"), F.desc("opens")).rowsBetween(*to_here)
+    opens, near = F.col("opens") == 1, {}
     for role in WITH:
         own = is_in([k for k in KINDS if ROLE[k] == role])
-        before, after = F.max(F.when(own, F.col("end"))).over(back), F.min(F.when(own, F.col("start"))).over(on)
-        near[role] = (F.coalesce((F.col("start") - before).between(0, REACH), F.lit(False))
-                      | F.coalesce((after - F.col("end")).between(0, REACH), F.lit(False)))
+        before, after = F.max(F.when(own & ~opens, F.col("pos"))).over(back), F.min(F.when(own & opens, F.col("pos"))).over(on)
+        near[role] = F.when(opens, F.col("pos") - before <= REACH).otherwise(after - F.col("pos") <= REACH)
     base = is_in(BASE)
-    overlap = (F.coalesce(F.max(F.when(base, F.col("end"))).over(back) > F.col("start"), F.lit(False))
-               | F.coalesce(F.min(F.when(base, F.col("start"))).over(on) < F.col("end"), F.lit(False)))
-    rows = rows.select("*", overlap.alias("covered"), *(c.alias(f"near_{r}") for r, c in near.items()))
+    count = lambda which: F.sum(F.when(base & which, 1).otherwise(0)).over(back)
+    rows = rows.select("row", "doc_id", "rank", "start", "end", "opens", count(opens).alias("begun"), count(~opens).alias("done"), *(c.alias(f"near_{r}") for r, c in near.items()))
+    # a base span overlaps if it begins before the end and is not done at the start
+    covered = F.max(F.when(~opens, F.col("begun"))) > F.max(F.when(opens, F.col("done")))
+    rows = rows.groupBy("row", "doc_id", "rank", "start", "end").agg(covered.alias("covered"), *(F.coalesce(F.max(f"near_{r}"), F.lit(False)).alias(f"near_{r}") for r in WITH))
     linked = F.lit(False)
     for role, others in WITH.items():
         weak = is_in([k for k in WEAK if ROLE[k] == role])

@@ -139,6 +139,32 @@ def test_secrets(spark, texts):
     assert [("endpoint" in r["spans"], "ident" in r["spans"]) for r in rows_of(secrets.digest(alone)).values()] == [(False, False)] * 2
 
 
+def plain_links(text):
+    """All spans that count, by the rule over all pairs."""
+    ascii_ = {k: re.compile(p, re.A) for k, (p, _) in (secrets.BASE | secrets.WEAK).items()}
+    spans = [(m.start(), secrets.KINDS.index(k), m.end(), k) for k, p in ascii_.items() for m in p.finditer(text)
+             if len(m[1]) >= (secrets.BASE | secrets.WEAK)[k][1] and (k != "opaque" or all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]")))]
+    out = []
+    for s, rank, e, k in sorted(spans):
+        clash = any(b in secrets.BASE and bs < e and be > s for bs, _, be, b in spans)
+        links = any(secrets.ROLE[o] in secrets.WITH[secrets.ROLE[k]] and (0 <= s - oe <= secrets.REACH or 0 <= os - e <= secrets.REACH) for os, _, oe, o in spans)
+        if k in secrets.BASE or (links and not clash):
+            out.append(f"{k}:{s}:{e}")
+    return ",".join(out)
+
+
+def test_secrets_beside_overlapping_parts(spark):
+    key, rng = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7", random.Random(11)
+    texts = {1: f"client_id={key} client_secret=hunter2hunter2", 2: f"see https://example.org/{key}/x password=abcdefgh1",
+             3: f"password=abcdefgh1 account={key}", 4: f"client_id={key}"}
+    parts = ["user: somebody", f"client_id={key}", f"https://example.org/{key}/x", "https://example.org/a", "password=abcdefgh1", key, f"token={key}",
+             "AKIA" + "B" * 16, "0af" * 12, "é" * 90, "x " * 60, "https://h/?user=somebody", f"https://h/?password={key}", "user=a_b secret=12345678"]
+    texts |= {i: rng.choice([" ", ",", "\n"]).join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for i in range(10, 300)}
+    got = {d: r["spans"] for d, r in rows_of(secrets.digest(frame(spark, texts))).items()}
+    assert "ident:" in got[1] and "endpoint:" in got[2] and "ident:" in got[3] and got[4] == ""
+    assert got == {d: plain_links(t) for d, t in texts.items()}
+
+
 def plain_lines(texts, chars=40, least=5):
     white = " \t\n\x0b\x0c\r"
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
