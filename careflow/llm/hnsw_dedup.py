@@ -1,7 +1,11 @@
 """Operator 5, embedding near-duplicates over hierarchical navigable small-world graphs.
 
-Equal vectors are one class. Classes are dealt to ``shards`` by hash; each shard builds
-its graph: levels by hash, upper levels as entry points, links chosen so that a link
+Equal vectors are one class. Classes are dealt by hash to shards of about ``SHARD``
+classes at most, and to blocks of queries of about ``QUERIES`` (either of ``FLOATS``
+floats at most, so about 128 MB in single precision), whose numbers follow the count of
+classes of one length; what a task holds of vectors and graphs does not grow with the
+table. Every block is searched in every shard, so the number of such searches, and the
+bytes moved for them, grow with the square of the count. Each shard builds its graph: levels by hash, upper levels as entry points, links chosen so that a link
 leads away from links already taken. Every class queries every shard by beam search.
 Beams widen for two reasons: a beam that ends full of links is doubled for its query,
 and each block of queries is audited against exact search of the shard on ``AUDIT`` of
@@ -22,13 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careflow.llm.common import written
 from careflow.llm.components import components
 
 LINKS, BUILD_BEAM, BEAM, AUDIT, BATCH, WIDTH = 16, 48, 32, 96, 512, 4
+SHARD, QUERIES, FLOATS = 100_000, 50_000, 1 << 25  # classes a shard, classes a block, floats of either
 SLACK = 1e-4  # between single precision search and double precision verification
 
 
@@ -234,6 +239,21 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+def spread(classes: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """The classes (h, g, rep, n, v) with their dim, shard and block, and how many shards
+    and blocks their dim has: as many as its count of classes needs, the given ones at least."""
+    classes = classes.withColumn("dim", F.size("v"))
+
+    def needed(rows: int, at_least: int) -> Column:
+        each = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(FLOATS) / F.col("dim"))))
+        return F.greatest(F.lit(at_least), F.ceil(F.col("count") / each)).cast("int")
+
+    # L different lengths need L * L / 2 floats, so this table is small at any size
+    sizes = classes.groupBy("dim").count().select("dim", needed(SHARD, shards).alias("shards"), needed(QUERIES, blocks).alias("blocks"))
+    return classes.join(F.broadcast(sizes), "dim").select(
+        "rep", "n", "v", "dim", F.pmod("h", "shards").cast("int").alias("shard"), F.pmod("g", "blocks").cast("int").alias("block"), "g", "shards", "blocks")
+
+
 def linked(vectors: DataFrame, least: float = 0.95, shards: int = 8, blocks: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``vectors`` (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
@@ -242,7 +262,7 @@ def linked(vectors: DataFrame, least: float = 0.95, shards: int = 8, blocks: int
     rows = rows.withColumns({"h": F.when(good, F.xxhash64("v")), "g": F.when(good, F.xxhash64(F.lit(7), F.col("v")))})
     classes = rows.filter(good).groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = written(classes, "classes")
-    dealt = classes.select("rep", "n", "v", F.size("v").alias("dim"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.pmod("g", F.lit(blocks)).cast("int").alias("block"), "g")
+    dealt = spread(classes, shards, blocks)
 
     def build(key, table):
         draw = (table["g"].to_numpy().astype(np.uint64) >> np.uint64(11)).astype(np.float64) / (1 << 53)
@@ -251,13 +271,14 @@ def linked(vectors: DataFrame, least: float = 0.95, shards: int = 8, blocks: int
         v = _vectors(table["v"])[order]
         g = Graph.build(_unit(v).astype(np.float32), level[order])
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()),
+                         "blocks": pa.array([key[2].as_py()], pa.int32()),
                          "reps": pa.array([table["rep"].to_numpy()[order].astype("<i8").tobytes()], pa.binary()),
                          "weights": pa.array([table["n"].to_numpy()[order].astype("<i8").tobytes()], pa.binary()),
                          "vectors": pa.array([v.tobytes()], pa.binary()),
                          "layers": pa.array([[x.tobytes() for x in g.layers]], pa.list_(pa.binary()))})
 
-    graphs = dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, reps binary, weights binary, vectors binary, layers array<binary>")
-    graphs = written(graphs, "graphs")
+    graphs = dealt.groupBy("dim", "shard", "blocks").applyInArrow(build, "dim int, shard int, blocks int, reps binary, weights binary, vectors binary, layers array<binary>")
+    graphs = written(graphs, "graphs", maxRecordsPerFile=4)  # cells of many MB, which a reader takes a file at a time
 
     def ask(key, graph, asked):
         a, b, n = [np.zeros(0, np.int64)] * 3
@@ -281,9 +302,9 @@ def linked(vectors: DataFrame, least: float = 0.95, shards: int = 8, blocks: int
             n = np.concatenate([links[at], np.zeros(len(tree), np.int64)])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = graphs.withColumn("block", every(blocks)).groupBy("dim", "shard", "block")
-    right = dealt.select("dim", "block", "rep", "v", every(shards).alias("shard")).groupBy("dim", "shard", "block")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = graphs.withColumn("block", every("blocks")).groupBy("dim", "shard", "block")
+    right = dealt.select("dim", "block", "rep", "v", every("shards").alias("shard")).groupBy("dim", "shard", "block")
     found = written(left.cogroup(right).applyInArrow(ask, "a long, b long, n long"), "links")
     links = found.groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
     trees = components(found.filter("a <> b").select("a", "b"))

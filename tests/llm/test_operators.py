@@ -424,6 +424,29 @@ def test_hnsw(spark):
     assert len({got[i]["component_id"] for i in range(200, 250)}) == 1
 
 
+def test_hnsw_shards_follow_the_count(spark, monkeypatch):
+    for name, value in (("SHARD", 60), ("QUERIES", 90), ("FLOATS", 1 << 10)):
+        monkeypatch.setattr(hnsw_dedup, name, value, raising=False)
+    grouped, dealt = hnsw_dedup.spread, []
+    monkeypatch.setattr(hnsw_dedup, "spread", lambda *a: dealt.append(grouped(*a)) or dealt[-1])
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[300:340] = x[300] + rng.normal(size=(40, 8)).astype(np.float32) * 0.1
+    u = hnsw_dedup._unit(x)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    wide = rng.normal(size=(30, 256)).astype(np.float32)  # 4 of them fill a shard
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, *wide])], "vec_id long, embedding array<float>")
+    got = rows_of(hnsw_dedup.linked(df), "vec_id")
+    assert all(got[i]["n_links"] == near[i].sum() for i in range(900)) and all(got[i]["n_links"] == 0 for i in range(900, 930))
+    shards = {(r["dim"], r["shard"]): r["count"] for r in dealt[0].groupBy("dim", "shard").count().collect()}
+    blocks = {(r["dim"], r["block"]): r["count"] for r in dealt[0].groupBy("dim", "block").count().collect()}
+    assert sum(shards.values()) == sum(blocks.values()) == 930
+    assert max(n for (d, _), n in shards.items() if d == 8) <= 2 * 60 and max(n for (d, _), n in blocks.items() if d == 8) <= 2 * 90
+    few = dealt[0].select("dim", "shards", "blocks").distinct().collect()
+    assert {r["dim"]: (r["shards"], r["blocks"]) for r in few} == {8: (15, 10), 256: (8, 8)}
+
+
 def test_graph_of_many_levels():
     """A shard with several full upper levels and tight clusters: no link is missed."""
     rng = np.random.default_rng(11)
