@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from careflow.llm import (decontaminate, hnsw_dedup, lattice_lm, lexicon_codec, line_dedup, secrets,
-                          shingle_join, suffix_dedup, token_counts, toxicity)
+from careflow.llm import (alignment, decontaminate, hnsw_dedup, lattice_lm, lexicon_codec, line_dedup, merge_replay,
+                          secrets, shingle_join, structure_repair, suffix_dedup, token_counts, toxicity)
 from careflow.llm.common import table
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
+MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer(name: str) -> str:
@@ -65,9 +66,26 @@ def op10_secret_links(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark, sf_dir):
+    summaries, _ = structure_repair.repair(structure_repair.damage(table(spark, sf_dir, "conversations")))
+    return summaries
+
+
+def op12_merge_replay(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = merge_replay.encode(docs, tokenizer(MULTI_RANKS), decode=True, keep_text=False)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.linked(docs, tokenizer(BYTE_BPE), tokenizer(PIECES), keep_groups=False, keep_text=False)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lattice_lm, op2_suffix_dedup, op3_line_dedup, op4_toxicity, op5_hnsw_dedup, op6_lexicon_codec,
-    op7_shingle_join, op8_benchmark_containment, op9_token_counts, op10_secret_links,
+    op7_shingle_join, op8_benchmark_containment, op9_token_counts, op10_secret_links, op11_structure_repair,
+    op12_merge_replay, op13_token_alignment,
 )}
 
 _SHINGLES = """
