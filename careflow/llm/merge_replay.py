@@ -9,10 +9,10 @@ the two neighbours of a merged pair enter the index anew. (Where a neighbour for
 of a lower rank than the present one, which a rank file allows, it is merged at once,
 since it comes first in its word.) The words' ids go back to the blocks that asked.
 
-A block holds 2**23 characters or one longer text, and a shard's words are replayed in
+A block holds 2**24 characters or one longer text, and a shard's words are replayed in
 runs of 2**20 bytes or one longer word, so a task's memory is bounded; a very common
 word is one entry a block. The blocks are written as a table bucketed by block, so only
-words and ids are shuffled, never documents.
+words and ids are shuffled, never documents; both travel in the order of the words, packed.
 
 Rules: a null text is encoded as empty; special strings are plain text. Texts with code
 points unknown to this Python's Unicode tables, whose classes other libraries may know,
@@ -32,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +43,10 @@ from careflow.llm.common import shuffle_partitions
 from careflow.llm.words import PATTERN, ranges, words
 from careflow.session import checkpoint_root
 
-BLOCK_CHARS, RUN_BYTES = 1 << 23, 1 << 20
+BLOCK_CHARS, RUN_BYTES = 1 << 24, 1 << 20
 WIDTH = 20  # bits of an id in a pair's key
 APART = -1  # between words
-LAID = "_block long, _codes binary, _direct binary, _words binary, _sizes binary"
+LAID = "_block long, _codes binary, _direct binary, _words binary"
 
 
 class Ranks:
@@ -165,7 +166,7 @@ class Numbers(dict):
         return n
 
 
-def _planes(codes: list[int]) -> bytes:
+def _planes(codes) -> bytes:
     """Numbers byte by byte, first all lowest bytes: the upper ones compress to nothing."""
     return np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
@@ -174,11 +175,32 @@ def _codes(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _split(flat: bytes, sizes: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+def _pack(numbers, flat: bytes = b"") -> bytes:
+    """Numbers and the bytes that go with them, compressed."""
+    return zstandard.compress(len(numbers).to_bytes(8, "little") + _planes(numbers) + flat)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.decompress(packed)
+    at = 8 + 4 * int.from_bytes(raw[:8], "little")
+    return _codes(raw[8:at]), raw[at:]
+
+
+def _split(sizes: np.ndarray, flat: bytes) -> list[bytes]:
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
     return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def _dealt(found: list[bytes], shards: int) -> list[tuple[int, list[int]]]:
+    """The shards of a block's words, and the numbers of each one's words in their order."""
+    order = np.array(sorted(range(len(found)), key=found.__getitem__), np.int64)
+    shard = np.fromiter((zlib.crc32(found[k]) for k in order.tolist()), np.int64, len(found)) % shards
+    by_shard = np.argsort(shard, kind="stable")
+    shard, order = shard[by_shard], order[by_shard]
+    cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(order)).tolist()
+    return [(int(shard[i]), order[i:j].tolist()) for i, j in zip(cuts, cuts[1:])]
+
+
 def _blocks(rows: DataFrame, ranks: str) -> DataFrame:
     """``rows`` (_text, _row) in blocks: a row for each document, with _codes (word numbers) or
     _direct (ids), and one with the _words of the block, as a table bucketed by block."""
@@ -193,8 +215,8 @@ def _blocks(rows: DataFrame, ranks: str) -> DataFrame:
         def close():
             raw = [w.encode() for w in known]
             return pa.RecordBatch.from_arrays([
-                pa.array([part + serial], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([b"".join(raw)], pa.binary()),
-                pa.array([np.array([len(w) for w in raw], "<u4").tobytes()], pa.binary()), pa.nulls(1, kind)], names)
+                pa.array([part + serial], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+                pa.array([_pack([len(w) for w in raw], b"".join(raw))], pa.binary()), pa.nulls(1, kind)], names)
 
         for b in batches:
             kind, held = b.column(1).type, []
@@ -203,7 +225,7 @@ def _blocks(rows: DataFrame, ranks: str) -> DataFrame:
                 m = len(held)
                 return pa.RecordBatch.from_arrays([
                     pa.array([part + serial] * m, pa.int64()), pa.array([h[0] for h in held], pa.binary()), pa.array([h[1] for h in held], pa.binary()),
-                    pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), b.column(1).slice(from_, m)], names)
+                    pa.nulls(m, pa.binary()), b.column(1).slice(from_, m)], names)
 
             start = 0
             for i, text in enumerate(b.column(0).to_pylist()):
@@ -241,43 +263,41 @@ def encode(docs: DataFrame, ranks: str, decode: bool = False, keep_text: bool =
 
     def deal(batches):
         for b in batches:
-            for block, flat, sizes in zip(*(b[c].to_pylist() for c in ("_block", "_words", "_sizes"))):
-                found = _split(flat, sizes)
-                shard = np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % shards
-                order = np.argsort(shard, kind="stable")
-                cuts = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order)).tolist()
-                for i, j in zip(cuts, cuts[1:]):
-                    mine = order[i:j].tolist()
-                    some = [found[k] for k in mine]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([int(shard[mine[0]])], pa.int32()), pa.array([block], pa.int64()), pa.array([np.array(mine, "<u4").tobytes()], pa.binary()),
-                        pa.array([b"".join(some)], pa.binary()), pa.array([np.array([len(w) for w in some], "<u4").tobytes()], pa.binary())],
-                        ["shard", "_block", "at", "words", "sizes"])
+            for block, packed in zip(b["_block"].to_pylist(), b["_words"].to_pylist()):
+                found = _split(*_unpack(packed))
+                for shard, numbers in _dealt(found, shards):
+                    some = [found[k] for k in numbers]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int64()),
+                                                      pa.array([_pack([len(w) for w in some], b"".join(some))], pa.binary())], ["shard", "_block", "words"])
 
     def answer(table: pa.Table) -> pa.Table:
-        asked = [_split(flat, sizes) for flat, sizes in zip(table["words"].to_pylist(), table["sizes"].to_pylist())]
         known = Numbers()
-        numbers = [np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in asked]
-        del asked
+        numbers = [np.array(list(map(known.__getitem__, _split(*_unpack(x)))), np.int64) for x in table["words"].to_pylist()]
         ids, count = encode_words(list(known), rank_file(ranks))
         begin = np.cumsum(count) - count
-        out = [ids[ranges(begin[n], count[n])].tobytes() for n in numbers]
-        return pa.table({"_block": table["_block"], "at": table["at"], "ids": pa.array(out, pa.binary()),
-                         "counts": pa.array([count[n].astype("<u4").tobytes() for n in numbers], pa.binary())})
+        out = [_pack(np.concatenate([count[n], ids[ranges(begin[n], count[n])]])) for n in numbers]
+        return pa.table({"_block": table["_block"], "shard": table["shard"], "answer": pa.array(out, pa.binary())})
 
-    asked = blocks.filter(F.col("_words").isNotNull()).select("_block", "_words", "_sizes")
-    asked = asked.mapInArrow(deal, "shard int, _block long, at binary, words binary, sizes binary")
-    answers = asked.groupBy("shard").applyInArrow(answer, "_block long, at binary, ids binary, counts binary")
+    asked = blocks.filter(F.col("_words").isNotNull()).select("_block", "_words")
+    asked = asked.mapInArrow(deal, "shard int, _block long, words binary")
+    answers = asked.groupBy("shard").applyInArrow(answer, "_block long, shard int, answer binary")
     fields = [*(docs.schema[c] for c in columns), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
     if decode:
         fields.append(T.StructField("decoded", T.BinaryType()))
 
     def finish(held: pa.Table, given: pa.Table) -> pa.Table:
-        join = lambda c: np.frombuffer(b"".join(given[c].to_pylist()), "<u4")
-        at, flat, counts = join("at"), join("ids"), join("counts").astype(np.int64)
-        count, begin = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        count[at], begin[at] = counts, np.cumsum(counts) - counts
-        held = held.combine_chunks()
+        lists, answer_of = held["_words"].to_pylist(), dict(zip(given["shard"].to_pylist(), given["answer"].to_pylist()))
+        found = _split(*_unpack(next(x for x in lists if x is not None)))
+        count, begin = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        parts, size = [np.zeros(0, "<u4")], 0
+        for shard, numbers in _dealt(found, shards):
+            both, _ = _unpack(answer_of[shard])
+            own, flat = both[:len(numbers)], both[len(numbers):].astype("<u4")
+            count[numbers], begin[numbers] = own, size + np.cumsum(own) - own
+            parts.append(flat)
+            size += len(flat)
+        flat = np.concatenate(parts)
+        held = held.filter(pa.array([x is None for x in lists])).combine_chunks()
         out = []
         for codes, direct in zip(held["_codes"].to_pylist(), held["_direct"].to_pylist()):
             if direct is None:
@@ -291,8 +311,7 @@ def encode(docs: DataFrame, ranks: str, decode: bool = False, keep_text: bool =
             arrays.append(pa.array([rank_file(ranks).decode(np.frombuffer(x, "<u4")) for x in out], pa.binary()))
         return pa.Table.from_arrays(arrays, [f.name for f in fields])
 
-    documents = blocks.filter(F.col("_words").isNull()).select("_block", "_codes", "_direct", "_row")
-    return documents.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(finish, T.StructType(fields))
+    return blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(finish, T.StructType(fields))
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
