@@ -36,38 +36,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careflow.llm.bpe import has_unassigned, merger
+from careflow.llm.bpe import ID, has_unassigned, merger
 from careflow.llm.common import shuffle_partitions, written
 from careflow.llm.merge_replay import _codes, _planes
-from careflow.llm.words import words
+from careflow.llm.words import PATTERN, ranges
 from careflow.session import checkpoint_root
 
 BLOCK_CHARS, AT_ONCE = 1 << 22, 1 << 19
-MEMO, MEMO_CHARS = 1 << 18, 64
 SIDE = 32  # bits of an id in a pair
 LAID = ("_block long, _n_a long, _n_b long, _n_groups long, _n_links long, _sha string, _groups string, "
         "_numbers binary, _times binary, _pairs binary, _pair_times binary")
 
 
-class Ids(dict):
-    """Words to ids of a byte-level file, a bounded memo over exact merges."""
+class ByteLevel:
+    """A byte-level file's encoder. Where every token's own bytes are merged to that token by
+    rising ids, as ``merges`` are listed, ids serve as ranks, and so the file does for a
+    library that takes ranks; other files are refused."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.path, self.merger = path, merger(path)
+        import tiktoken
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.merger.merge(word.encode())
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.path, known = path, merger(path)
+        for (a, b), to in known.rank.items():
+            if to >> 20 != (to & ID) - 256 or max(a, b) >= to & ID:
+                raise ValueError(f"the ids of {path} do not rise with its merges")
+        special = set(known.special.values())
+        self.bytes_of = known.bytes_of
+        ranks = {t: i for i, t in enumerate(known.bytes_of) if i not in special}
+        self.library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
         if has_unassigned(text):
             return _plain(self.path).encode(text, add_special_tokens=False).ids
-        return list(itertools.chain.from_iterable(map(self.__getitem__, words(text))))
+        return self.library.encode_ordinary(text)
 
 
 @functools.lru_cache(maxsize=1)
@@ -85,29 +86,29 @@ class Sides:
     def __init__(self, a: str, b: str):
         import sentencepiece
 
-        self.a, self.b = Ids(a), sentencepiece.SentencePieceProcessor(model_file=b)
-        self.bytes_a = self.a.merger.bytes_of
+        self.a, self.b = ByteLevel(a), sentencepiece.SentencePieceProcessor(model_file=b)
+        self.bytes_a = self.a.bytes_of
         size = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(size)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
-        self.name_a, self.name_b = (list(map(str, range(len(y)))) for y in (self.bytes_a, self.bytes_b))
 
     def encode(self, texts: list[str]):
         """The id lists of each text; none where a side does not spell the text."""
         for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
-            a, raw = self.a.encode(" " + text), b" " + text.encode()
-            spelt = text and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            yield (a, b) if spelt else ([], [])
+            # A's tokens spell any text: its 256 single bytes are tokens
+            spelt = text and b"".join(map(self.bytes_b.__getitem__, b)) == b" " + text.encode()
+            a = self.a.encode(" " + text) if spelt else []
+            yield np.array(a, np.int64), np.array(b if spelt else [], np.int64)
 
-    def ends(self, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return np.cumsum(self.size_a[a]) if a else np.zeros(0, np.int64), np.cumsum(self.size_b[b]) if b else np.zeros(0, np.int64)
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
 
 
 def slices(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
     """How many tokens of either side end with each group."""
     at_a, at_b = dict(zip(ends_a, itertools.count(1))), dict(zip(ends_b, itertools.count(1)))
-    common = sorted(at_a.keys() & at_b.keys())
+    common = list(filter(at_a.__contains__, at_b))  # in order, as the ends rise
     return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
 
 
@@ -119,12 +120,30 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
-def group_text(a: list[str], b: list[str], cuts_a: list[int], cuts_b: list[int]) -> str:
-    out, i, j = [], 0, 0
-    for p, q in zip(cuts_a, cuts_b):
-        out.append(f"{a[i] if p == i + 1 else ','.join(a[i:p])}|{b[j] if q == j + 1 else ','.join(b[j:q])}")
-        i, j = p, q
-    return ";".join(out)
+@functools.lru_cache(maxsize=1)
+def _digits(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every number below ``size`` in decimal with a comma after it: where, how long, the bytes."""
+    names = [b"%d," % i for i in range(size)]
+    length = np.array([len(n) for n in names], np.int64)
+    return np.cumsum(length) - length, length, np.frombuffer(b"".join(names), np.uint8)
+
+
+def group_text(a: np.ndarray, b: np.ndarray, cuts_a: list[int], cuts_b: list[int]) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: the ids in the order of the groups, then their separators."""
+    if not len(a):
+        return b""
+    cuts_a, cuts_b = np.array(cuts_a), np.array(cuts_b)
+    in_a, in_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+    ids = np.empty(len(a) + len(b), np.int64)
+    ids[np.arange(len(a)) + np.repeat(cuts_b - in_b, in_a)] = a
+    ids[np.arange(len(b)) + np.repeat(cuts_a, in_b)] = b
+    start, length, every = _digits(1 << 17)
+    size = length[ids]
+    out = every[ranges(start[ids], size)]
+    last = np.cumsum(size) - 1
+    out[last[cuts_a + cuts_b - in_b - 1]] = ord("|")
+    out[last[cuts_a + cuts_b - 1]] = ord(";")
+    return out[:-1].tobytes()
 
 
 @functools.lru_cache(maxsize=1)
@@ -173,15 +192,15 @@ def _blocks(rows: DataFrame, a: str, b: str, keep_groups: bool) -> DataFrame:
         s, part, serial = sides(a, b), TaskContext.get().partitionId() << 24, 0
         held, rows_, chars, kind = [], [], 0, None
 
-        def measure(x: list[int], y: list[int]):
-            if not x:
+        def measure(x: np.ndarray, y: np.ndarray):
+            if not len(x):
                 return 0, 0, 0, 0, "", "", np.zeros(0, np.int64), np.zeros(0, np.int64)
             ends_a, ends_b = s.ends(x, y)
             cuts = slices(ends_a.tolist(), ends_b.tolist())
-            text = group_text(list(map(s.name_a.__getitem__, x)), list(map(s.name_b.__getitem__, y)), *cuts)
+            text = group_text(x, y, *cuts)
             i, j = links(ends_a, ends_b)
-            pair, times = np.unique(np.array(x, np.int64)[i] << SIDE | np.array(y, np.int64)[j], return_counts=True)
-            return len(x), len(y), len(cuts[0]), len(i), hashlib.sha256(text.encode()).hexdigest(), text if keep_groups else "", pair, times
+            pair, times = np.unique(x[i] << SIDE | y[j], return_counts=True)
+            return len(x), len(y), len(cuts[0]), len(i), hashlib.sha256(text).hexdigest(), text.decode() if keep_groups else "", pair, times
 
         def close():
             every, number = np.unique(np.concatenate([h[6] for h in held]), return_inverse=True)
