@@ -37,6 +37,11 @@ def unassigned() -> np.ndarray:
 def has_unassigned(text: str) -> bool:
     if text.isascii():
         return False
+    try:
+        text.encode("latin-1")  # whose code points are all assigned
+        return False
+    except UnicodeEncodeError:
+        pass
     return bool(unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
 

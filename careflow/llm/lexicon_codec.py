@@ -7,8 +7,10 @@ one block of bytes, is memory-mapped by each worker, and is walked once per word
 worker; words it does not hold are merged exactly. Either way the ids are the same.
 
 The lexicon is bounded by proof: a word enters only with at least 1 / 2**16 of all
-words, so at most 2**16 enter. Each task reports only words that reach this share of
-its own words; one that reaches it over all must reach it in some task.
+words, so at most 2**16 enter. A task counts in runs of 2**19 distinct words and reports
+of each run the words that reach this share of the run; one that reaches it over all must
+do so in some run. Counts of other runs are then missing from its sum, so a word near the
+share may be left out; ids do not depend on it.
 
 Rules: a null text is encoded as empty. Special strings in a text give their own id.
 Texts with code points unknown to this Python's Unicode tables are cut into words by
@@ -32,9 +34,8 @@ from pyspark.sql import types as T
 
 from careflow.llm.bpe import has_unassigned, library, merger
 from careflow.llm.common import written
+from careflow.llm.words import ranges, words
 
-# The pattern by which byte-level vocabularies of this kind cut words (fixed value).
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SHARE = 1 << 16
 WORD_BYTES = 64  # longer words are merged anew
 LOCAL = 1 << 19  # distinct words counted at once in a task
@@ -44,7 +45,7 @@ MEMO = 1 << 19
 def cut(text: str, path: str) -> list[str]:
     if has_unassigned(text):
         return [text[a:b] for _, (a, b) in library(path).pre_tokenizer.pre_tokenize_str(text)]
-    return WORDS.findall(text)
+    return words(text)
 
 
 def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> bytes:
@@ -135,6 +136,8 @@ class Codec(dict):
     def __init__(self, path: str, block: bytes):
         super().__init__()
         self.path, self.merger, self.lexicon = path, merger(path), Lexicon(block) if block else None
+        self.length = np.array([len(x) for x in self.merger.bytes_of], np.int64)
+        self.start, self.bytes = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(self.merger.bytes_of), np.uint8)
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in self.merger.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
 
@@ -155,7 +158,8 @@ class Codec(dict):
         return b"".join(self.special.get(p) or b"".join(map(self.__getitem__, cut(p, self.path))) for p in self.split(text))
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.merger.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        ids = np.frombuffer(ids, "<u4")
+        return self.bytes[ranges(self.start[ids], self.length[ids])].tobytes().decode("utf-8", "replace")
 
 
 def _rows(docs: DataFrame, *columns: str) -> DataFrame:
@@ -163,20 +167,24 @@ def _rows(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, tokenizer: str) -> list[str]:
-    """Words with at least 1 / 2**16 of all words of the corpus, as far as the tasks
+    """Words with at least 1 / 2**16 of all words of the corpus, as far as the tasks' runs
     report them: at most 2**16, in order."""
 
+    def run(seen, total):
+        keep = [(w, n) for w, n in seen.items() if n * SHARE >= total and len(w.encode()) <= WORD_BYTES]
+        return pa.record_batch([pa.array([*(w for w, _ in keep), None], pa.string()), pa.array([*(n for _, n in keep), total], pa.int64())], ["word", "n"])
+
     def report(batches):
         seen, total = Counter(), 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                words = cut(text, tokenizer)
-                total += len(words)
-                seen.update(words)
+                found = cut(text, tokenizer)
+                total += len(found)
+                seen.update(found)
                 if len(seen) > LOCAL:
-                    seen = Counter({w: n for w, n in seen.items() if n * SHARE >= total})
-        keep = [(w, n) for w, n in seen.items() if n * SHARE >= total and len(w.encode()) <= WORD_BYTES]
-        yield pa.record_batch([pa.array([*(w for w, _ in keep), None], pa.string()), pa.array([*(n for _, n in keep), total], pa.int64())], ["word", "n"])
+                    yield run(seen, total)
+                    seen, total = Counter(), 0
+        yield run(seen, total)
 
     counts = written(_rows(docs).mapInArrow(report, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = sum(r.n for r in counts.filter("word is null").collect())  # one row
