@@ -39,6 +39,34 @@ def whole_json(c) -> Column:
     return F.when(F.try_variant_get(v, "$[1]", "string") == _END, F.try_variant_get(v, "$[0]", "variant"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed once.
+
+    A one-row generator: what is built upon the columns is not merged with the
+    expressions behind them, so a costly one is not evaluated again in every
+    place that uses it, nor in a filter pushed below it.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over the session's cores where it has fewer files than cores.
+
+    For work that is heavy for each row: a small file is one task. Tables of
+    many files pass as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def with_whole_json(df: DataFrame, c: str, out: str) -> DataFrame:
+    """``df`` with ``whole_json(c)`` as a column, the text parsed once."""
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col(c), F.lit(f',"{_END}"]')))
+    df = settled(df.withColumn("__listed", listed))
+    whole = F.try_variant_get("__listed", "$[1]", "string") == _END
+    return settled(df.withColumn(out, F.when(whole, F.try_variant_get("__listed", "$[0]", "variant"))).drop("__listed"))
+
+
 def json_string(c) -> Column:
     """One string value as a JSON string literal (escaped, quoted); NULL -> null."""
     return F.regexp_extract(F.to_json(F.array(col_or(c))), r"^\[(.*)\]$", 1)
@@ -94,77 +122,103 @@ def literal_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-RANGES, TIE_RANGES = 1024, 64
+#: Ids of one leaf range and of one middle range (powers of two), where times are equal.
+LEAF_IDS, MIDDLE_IDS = 10, 20
+_NONE = -(1 << 62)
+
+
+def _name(c: str) -> str:
+    return f"`{c}`"
 
 
-def _count_below(df: DataFrame, bounds: Column, c: str, ranges: int, out: str) -> DataFrame:
-    """``out``: how many of ``ranges - 1`` sorted bounds are smaller than the column.
+def _seconds(kind: str, c: str) -> str:
+    """A whole number that rises with the column: seconds of a time, units of a number.
 
-    A binary search, one projection for each step, all within generated code.
+    A zone-less time is read by its fields: as an instant of the session's zone,
+    a missing hour would change the order.
     """
-    df = df.withColumn(out, F.lit(0))
-    for step in (ranges >> k for k in range(1, ranges.bit_length())):
-        n = F.col(out)
-        df = df.withColumn(out, n + F.when(F.get(bounds, n + (step - 1)) < F.col(c), F.lit(step)).otherwise(F.lit(0)))
-    return df
+    days = f"date_diff({c}, DATE'1970-01-01') * 86400L"
+    if kind == "timestamp":
+        s = f"unix_seconds({c})"
+    elif kind == "timestamp_ntz":
+        s = f"{days} + hour({c}) * 3600 + minute({c}) * 60 + second({c})"
+    elif kind == "date":
+        s = days
+    elif kind in ("long", "integer", "short", "byte"):
+        s = f"CAST({c} AS BIGINT)"
+    else:
+        s = "0L"  # one range: still right, but not spread
+    return f"coalesce({s}, {_NONE}L)"
 
 
 def placed(df: DataFrame, ts_col: str, tie_col: str) -> DataFrame:
-    """``df`` with ``__bucket``, ranges that rise with (ts, tie) and follow the data.
+    """``df`` with ranges that rise with (ts, tie): ``__bucket_hour``, in it
+    ``__bucket_middle`` (a second and 2**20 ids), in it ``__bucket`` (2**10 ids).
 
-    Bounds come from a quantile sketch of the times; a time that is itself a
-    bound (any share of the rows may have it) and NULL are ranges of their
-    own, cut further at quantiles of an integer tie column. The sketches are
-    scalar subqueries.
+    They are computed from the row alone, so nothing is sampled or sorted to place
+    a row, and their number follows the data: a busy hour has as many as it has
+    seconds, a single hot instant as many as it has thousands of ids. NULL times
+    come first. A tie column that is no integer does not cut an instant.
     """
-    numeric = df.schema[tie_col].dataType.typeName() in ("long", "integer", "short", "byte")
-    points = lambda n: [k / n for k in range(1, n)]
-    sketch = lambda c, n: df.agg(F.percentile_approx(c, points(n), 10_000)).scalar()
-    bounds, t = sketch(ts_col, RANGES), F.col(ts_col)
-    out = _count_below(df, bounds, ts_col, RANGES, "__below")
-    alone = t.isNull() | F.coalesce(F.get(bounds, F.col("__below")) == t, F.lit(False))
-    out = out.withColumn("__alone", alone)
-    if numeric:
-        out = _count_below(out, sketch(tie_col, TIE_RANGES), tie_col, TIE_RANGES, "__tie")
-    else:
-        out = out.withColumn("__tie", F.lit(0))
-    place = F.when(t.isNull(), F.lit(-1)).otherwise(2 * F.col("__below") + F.col("__alone").cast("int"))
-    within = F.when(F.col("__alone"), F.col("__tie")).otherwise(F.lit(0))
-    return out.withColumn("__bucket", place * TIE_RANGES + within).drop("__below", "__alone", "__tie")
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    second = _seconds(kinds[ts_col], _name(ts_col))
+    numeric = kinds[tie_col] in ("long", "integer", "short", "byte")
+    tie = f"coalesce(CAST({_name(tie_col)} AS BIGINT), {_NONE}L)" if numeric else "0L"
+    ids = lambda bits: f"struct({second} AS second, shiftright({tie}, {bits}) AS ids)"
+    return df.selectExpr("*", f"CAST(floor({second} / 3600) AS BIGINT) AS __bucket_hour",
+                         f"{ids(MIDDLE_IDS)} AS __bucket_middle", f"{ids(LEAF_IDS)} AS __bucket")
 
 
-def prefix_position(df: DataFrame, group_cols: list[str], ts_col: str, tie_col: str,
-                    weight_col: str | None = None, inclusive: bool = True, out: str = "position") -> DataFrame:
+def _running(weight: str, parent: list[str], order: str, last: str = "1 PRECEDING") -> str:
+    by = f"PARTITION BY {', '.join(parent)} " if parent else ""
+    return f"coalesce(sum({weight}) OVER ({by}ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND {last}), 0L)"
+
+
+def prefix_offsets(counted: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Group, ``__bucket`` and ``__off``: the weights (``__w``) of all ranges before it.
+
+    A prefix scan by levels: weights are added up per leaf, middle range and hour, and
+    each level's running sum is a window within its parent only (hours of a group,
+    middle ranges of an hour, leaves of a middle range), over sums, never over rows.
+    """
+    levels, groups = ["__bucket_hour", "__bucket_middle", "__bucket"], [_name(c) for c in group_cols]
+    sums, out = counted.groupBy(*group_cols, *levels).agg(F.sum("__w").alias("__n")), None
+    for k, level in enumerate(levels):
+        own = sums if level == "__bucket" else sums.groupBy(*group_cols, *levels[:k + 1]).agg(F.sum("__n").alias("__n"))
+        parent = groups + levels[k - 1:k]
+        if out is None:
+            out = own.selectExpr(*groups, level, f"{_running('__n', parent, level)} AS __off")
+            continue
+        own = own.selectExpr(*parent, level, f"{_running('__n', parent, level)} AS __off").alias("own")
+        # null-safe: a NULL group key is a group of its own, not a lost row
+        same = " AND ".join(f"own.{c} <=> above.{c}" for c in parent)
+        out = own.join(out.alias("above"), F.expr(same)).selectExpr(*[f"own.{c}" for c in groups], f"own.{level}", "own.__off + above.__off AS __off")
+    return out
+
+
+def prefix_position(df: DataFrame, group_cols: list[str], ts_col: str, tie_col: str, weight_col: str | None = None,
+                    inclusive: bool = True, out: str = "position", counted: DataFrame | None = None) -> DataFrame:
     """Running count (or running sum of ``weight_col``) in (ts, tie) order per group.
 
     A plain ``row_number() over (partition by group order by ts)`` puts a whole
     group in one task; a group holding a third of all rows (or, with no group
-    columns, the whole table) would then sort in a single task. Instead:
-
-    1. a quantile sketch of the times (and of the tie ids) gives range bounds
-       that follow the data: a busy hour gets many ranges;
-    2. rows are counted per (group, range): a small frame, whose prefix sums
-       per group are a window over at most ranges x tie ranges rows;
-    3. the offsets are joined back and rows ranked within (group, range) only.
-
-    A time that is itself a bound may hold any share of the rows (as may
-    NULL); it is a range of its own, cut further by the tie ids. The sketch is
-    a scalar subquery, so building the plan starts no job. ``inclusive``
-    counts the row itself (a 1-based position); otherwise only rows strictly
-    before it. NULL times come first.
+    columns, the whole table) would then sort in a single task. Instead rows are
+    placed into small ranges (``placed``), the ranges' sums are scanned by levels
+    (``prefix_offsets``), and rows are ranked within their range only, from the
+    offset that is joined in. No range is bound to hold a share of the table.
+
+    ``counted``: a cheaper frame to take the sums from, which holds every row of ``df``
+    and beside them rows of weight 0 only (default: ``df`` itself, whose few columns
+    for this are then read a second time). ``inclusive`` counts the row itself (a
+    1-based position); otherwise only rows strictly before it. NULL times come first.
+    Building the plan starts no job.
     """
-    w_val = F.col(weight_col) if weight_col else F.lit(1)
-    base = placed(df, ts_col, tie_col).withColumn("__w", w_val.cast("long"))
-    counts = base.groupBy(*group_cols, "__bucket").agg(F.sum("__w").alias("__n"))
-    wo = Window.partitionBy(*group_cols).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(wo), F.lit(0))).drop("__n")
-    # null-safe: a NULL group key is a group of its own, not a lost row
-    keys = [*group_cols, "__bucket"]
-    offsets = offsets.select(*[F.col(k).alias("__o_" + k) for k in keys], "__off")
-    cond = [base[k].eqNullSafe(offsets["__o_" + k]) for k in keys]
-    joined = base.join(offsets, cond, "inner").drop(*["__o_" + k for k in keys])
-    frame_end = Window.currentRow if inclusive else -1
-    wi = (Window.partitionBy(*group_cols, "__bucket").orderBy(ts_col, tie_col)
-          .rowsBetween(Window.unboundedPreceding, frame_end))
-    within = F.coalesce(F.sum("__w").over(wi), F.lit(0))
-    return joined.withColumn(out, (F.col("__off") + within).cast("long")).drop("__bucket", "__w", "__off")
+    weight = f"CAST({_name(weight_col)} AS BIGINT) AS __w" if weight_col else "1L AS __w"
+    base = placed(df, ts_col, tie_col).selectExpr("*", weight)
+    sums = base if counted is None else placed(counted, ts_col, tie_col).selectExpr("*", weight)
+    keys = [*[_name(c) for c in group_cols], "__bucket"]
+    same = " AND ".join(f"own.{c} <=> offsets.{c}" for c in keys)
+    joined = base.alias("own").join(prefix_offsets(sums, group_cols).alias("offsets"), F.expr(same))
+    joined = joined.selectExpr("own.*", "offsets.__off")
+    within = _running("__w", keys, f"{_name(ts_col)}, {_name(tie_col)}", "CURRENT ROW" if inclusive else "1 PRECEDING")
+    return joined.selectExpr(*[_name(c) for c in df.columns], f"CAST(__off + {within} AS BIGINT) AS {_name(out)}")

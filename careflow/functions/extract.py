@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careflow import schemas as S
-from careflow.functions.common import is_blank, iso_text, json_string, make_id, whole_json
+from careflow.functions.common import is_blank, iso_text, json_string, make_id, settled, with_whole_json
 
 
 # ---------------------------------------------------------------- E1 JSON lists
@@ -21,12 +21,14 @@ def json_decode(df: DataFrame, col: str, key: str, kind: str = "ARRAY") -> DataF
     value of that kind (text after it included), 'ok' otherwise; the decoded
     value is re-emitted as compact JSON.
     """
-    ok = F.coalesce(F.schema_of_variant(whole_json(col)).startswith(kind), F.lit(False))
-    parsed = F.when(ok, F.from_json(col, "array<string>" if kind == "ARRAY" else "map<string,string>"))
-    status = (F.when(F.col(col).isNull(), F.lit("null"))
-              .when(parsed.isNull(), F.lit("malformed")).otherwise(F.lit("ok")))
-    return df.select(key, status.alias("status"), F.when(parsed.isNotNull(), F.size(parsed)).cast("long").alias("n_items"),
-                     F.to_json(parsed).alias("items"))
+    whole = with_whole_json(df.select(key, F.col(col).alias("__text")), "__text", "__v")
+    ok = F.coalesce(F.schema_of_variant("__v").startswith(kind), F.lit(False))
+    value = F.when(ok, F.from_json("__text", "array<string>" if kind == "ARRAY" else "map<string,string>"))
+    p = settled(whole.select(key, F.col("__text").isNull().alias("__null"), value.alias("__value")))
+    parsed = F.col("__value")
+    status = F.when(F.col("__null"), F.lit("null")).when(parsed.isNull(), F.lit("malformed")).otherwise(F.lit("ok"))
+    return p.select(key, status.alias("status"), F.when(parsed.isNotNull(), F.size(parsed)).cast("long").alias("n_items"),
+                    F.to_json(parsed).alias("items"))
 
 
 # ---------------------------------------------------------------- E2 / E3 model answers
@@ -63,7 +65,7 @@ def _str_list_ok(kind: Column, val: Column) -> Column:
 def parse_records(answers: DataFrame, key: str = "request_id", raw: str = "raw") -> DataFrame:
     """E2 + E3: answers -> checked clinical records with a rejection reason.
 
-    Parsing goes through ``whole_json`` into a variant, so the real JSON
+    Parsing goes through ``with_whole_json`` into a variant, so the real JSON
     type of every field is known: a missing, null or wrong-typed field (a
     list holding a non-string, a number where text is due) is rejected
     instead of being coerced. ``route_to`` is derived before the check when
@@ -75,7 +77,7 @@ def parse_records(answers: DataFrame, key: str = "request_id", raw: str = "raw")
     """
     fields = [f for f, _ in S.RECORD_FIELDS] + ["route_to"]
     clean = clean_answer(raw)
-    p1 = answers.select(key, clean.alias("__clean")).withColumn("__v", whole_json("__clean"))
+    p1 = with_whole_json(settled(answers.select(key, clean.alias("__clean"))), "__clean", "__v")
     p2 = p1.select(key, "__clean", "__v",
                    F.schema_of_variant("__v").alias("__top"),
                    *[F.variant_get("__v", "$." + f, "variant").alias("__f_" + f) for f in fields])
@@ -161,6 +163,9 @@ def first_answer(answers: DataFrame) -> DataFrame:
 def triage_rules(docs: DataFrame, rules=None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """E5: first rule that holds for the whole text, else 'low'.
 
+    Words are tested only where the bare phrase occurs, which most texts are
+    rid of fast.
+
     A rule baseline: the reference leaves this to a model; ours is
     deterministic and its rules are an argument: (severity, rank, lists of
     phrases), where one list's phrases must all occur as whole words.
@@ -168,9 +173,13 @@ def triage_rules(docs: DataFrame, rules=None, text: str = "text", key: str = "do
     rules = rules or S.TRIAGE_RULES
     phrases = sorted({p for _, _, lists in rules for ps in lists for p in ps})
     # each phrase is looked for once per text; severity and rank read the flags
-    low = docs.select(key, F.lower(F.col(text)).alias("__t"))
-    flags = low.select(key, *[F.coalesce(F.col("__t").rlike(f"(^|[^a-z]){p}([^a-z]|$)"), F.lit(False)).alias(f"__p{i}")
-                              for i, p in enumerate(phrases)])
+    low = settled(docs.select(key, F.lower(F.col(text)).alias("__t")))
+
+    def occurs(phrase):
+        there = F.contains(F.col("__t"), F.lit(phrase)) & F.col("__t").rlike(f"(^|[^a-z]){phrase}([^a-z]|$)")
+        return F.coalesce(there, F.lit(False))
+
+    flags = settled(low.select(key, *[occurs(p).alias(f"__p{i}") for i, p in enumerate(phrases)]))
     sev, rank = F.lit(S.TRIAGE_DEFAULT), F.lit(len(rules) + 1)
     for name, r, lists in reversed(rules):
         hit = F.lit(False)
@@ -226,8 +235,8 @@ def scan_decode(scans: DataFrame, payload: str = "payload") -> DataFrame:
     """A JSON object's ``patient_id``, else the raw text: also for text
     that is not one JSON value, and for an id that JavaScript holds for false
     (absent, null, false, 0, '')."""
-    p = scans.select("event_id", F.col(payload).alias("__raw"), whole_json(payload).alias("__v"))
-    p = p.select("event_id", "__raw", F.try_variant_get("__v", "$.patient_id", "variant").alias("__id"))
+    p = with_whole_json(scans.select("event_id", F.col(payload).alias("__raw")), "__raw", "__v")
+    p = settled(p.select("event_id", "__raw", F.try_variant_get("__v", "$.patient_id", "variant").alias("__id")))
     p = p.select("event_id", "__raw", "__id", F.schema_of_variant("__id").alias("__kind"),
                  F.try_variant_get("__id", "$", "string").alias("__text"))
     number = F.try_variant_get("__id", "$", "double")
@@ -237,7 +246,8 @@ def scan_decode(scans: DataFrame, payload: str = "payload") -> DataFrame:
              .when(F.col("__kind").startswith("ARRAY") | F.col("__kind").startswith("OBJECT"), F.lit(True))
              .otherwise(F.coalesce(number, F.lit(1.0)) != 0))
     text = F.when(F.col("__kind").startswith("ARRAY") | F.col("__kind").startswith("OBJECT"), F.to_json("__id")).otherwise(F.col("__text"))
-    return p.select("event_id", F.when(given, text).otherwise(F.col("__raw")).alias("patient_id"))
+    # settled, so that a join on the id does not decode it again in its filter and key
+    return settled(p.select("event_id", F.when(given, text).otherwise(F.col("__raw")).alias("patient_id")))
 
 
 def py_json_object(pairs: list[tuple[str, Column]]) -> Column:

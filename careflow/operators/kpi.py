@@ -150,6 +150,12 @@ def platform_summary(applications: DataFrame, hospital_counts_df: DataFrame) ->
                     hs["total_patients"].alias("total_patients"))
 
 
+def dept_percent() -> F.Column:
+    """Percent of ``completed`` in completed and ``pending``; 0 when there is neither."""
+    total = F.col("completed") + F.col("pending")
+    return F.when(total > 0, F.round(F.col("completed").cast("double") * 100 / total, 6)).otherwise(F.lit(0.0))
+
+
 def dept_completion(lab_orders: DataFrame, prescriptions: DataFrame) -> DataFrame:
     """Completion percent per department; 0 when nothing is open or done."""
     lab = lab_orders.agg(F.count_if(F.col("status") == "completed").alias("completed"),
@@ -158,11 +164,7 @@ def dept_completion(lab_orders: DataFrame, prescriptions: DataFrame) -> DataFram
     rx = prescriptions.agg(F.count_if(F.col("status") == "dispensed").alias("completed"),
                            F.count_if(F.col("status") == "pending").alias("pending")) \
         .withColumn("dept", F.lit("pharmacy"))
-    both = lab.unionByName(rx)
-    total = F.col("completed") + F.col("pending")
-    return both.select("dept", "completed", "pending",
-                       F.when(total > 0, F.round(F.col("completed").cast("double") * 100 / total, 6))
-                       .otherwise(F.lit(0.0)).alias("percent"))
+    return lab.unionByName(rx).select("dept", "completed", "pending", dept_percent().alias("percent"))
 
 
 def recent_patients(patients: DataFrame, k: int = 10) -> DataFrame:

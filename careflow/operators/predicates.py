@@ -123,15 +123,20 @@ def alert_feed(consultations: DataFrame, patients: DataFrame) -> DataFrame:
         "consultation_id", "patient_id", "name", "room_number", "severity", "diagnosis", "created_at")
 
 
-def api_keys_from(staff: DataFrame, hospitals: DataFrame) -> DataFrame:
+def api_keys_from(staff: DataFrame, hospitals: DataFrame, admins: DataFrame | None = None) -> DataFrame:
     """Principals as issued at login: one key per staff member (owner = staff
-    id, role = staff role) and one per hospital admin (owner = hospital id)."""
+    id, role = staff role), one per hospital admin (owner = hospital id) and
+    one per system admin (owner = admin id), if there are any."""
     s = staff.select(make_id("sk_staff_", F.col("staff_id")).alias("key"),
                      F.col("staff_id").cast("string").alias("owner_id"), "role")
     h = hospitals.select(make_id("sk_hosp_", F.col("hospital_id")).alias("key"),
                          F.col("hospital_id").cast("string").alias("owner_id"),
                          F.lit("hospital_admin").alias("role"))
-    return s.unionByName(h)
+    keys = s.unionByName(h)
+    if admins is not None:
+        keys = keys.unionByName(admins.select(make_id("sk_sys_", F.col("admin_id")).alias("key"),
+                                              F.col("admin_id").cast("string").alias("owner_id"), F.lit("system_admin").alias("role")))
+    return keys
 
 
 def principal_hospital(api_keys: DataFrame, staff: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def patient_record(patients: DataFrame, clinical: DataFrame, hospitals: DataFram
     )
 
 
-def patient_record_summary(patients: DataFrame, consultations: DataFrame, items: DataFrame, hospitals: DataFrame,
+def patient_record_summary(patients: DataFrame, consultations: DataFrame, items: DataFrame | None, hospitals: DataFrame,
                            lab_orders: DataFrame, prescriptions: DataFrame, updates: DataFrame) -> DataFrame:
     """Scalar projection of J6: history sizes and latest values per patient.
 
@@ -167,19 +167,23 @@ def patient_record_summary(patients: DataFrame, consultations: DataFrame, items:
     nested record it never gathers a patient's history into one row, so a
     patient with a third of all consultations costs no more than others.
     The prescription list is built for each patient's latest consultation
-    only.
+    only; without ``items`` the consultations hold their lists themselves (as
+    stored clinical rows do). Over tables bucketed by patient
+    (``state_tables.co_bucketed``) nothing but the hospitals is moved.
     """
     h = hospitals.select("hospital_id", F.col("name").alias("hospital_name"))
+    own = ["prescriptions"] if items is None else []
     c = (consultations.groupBy("patient_id")
          .agg(F.count(F.lit(1)).alias("n_consultations"),
-              F.max_by(F.struct("consultation_id", "hospital_id"),
+              F.max_by(F.struct("consultation_id", "hospital_id", *own),
                        F.struct("created_at", "consultation_id")).alias("__c"))
          .select("patient_id", "n_consultations", F.col("__c.consultation_id").alias("latest_consultation_id"),
-                 F.col("__c.hospital_id").alias("__hid")))
-    latest_lists = clinical_records(c.select(F.col("latest_consultation_id").alias("consultation_id")),
-                                    items, only_these=True) \
-        .select(F.col("consultation_id").alias("latest_consultation_id"), F.col("prescriptions").alias("__rx"))
-    c = c.join(latest_lists, "latest_consultation_id", "left")
+                 F.col("__c.hospital_id").alias("__hid"), *[F.col("__c." + x).alias("__rx") for x in own]))
+    if items is not None:
+        latest_lists = clinical_records(c.select(F.col("latest_consultation_id").alias("consultation_id")),
+                                        items, only_these=True) \
+            .select(F.col("consultation_id").alias("latest_consultation_id"), F.col("prescriptions").alias("__rx"))
+        c = c.join(latest_lists, "latest_consultation_id", "left")
     c = c.join(h, c["__hid"] == h["hospital_id"], "left").drop("hospital_id", "__hid")
     lab = (lab_orders.groupBy("patient_id")
            .agg(F.count(F.lit(1)).alias("n_lab_orders"),

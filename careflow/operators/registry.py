@@ -48,10 +48,12 @@ def token_numbers(requests: DataFrame, patients: DataFrame) -> DataFrame:
     patient gets the same token.
 
     The running count is a prefix sum over ranges that follow the data, so no
-    single task ever orders the whole log, however busy one hour is.
+    single task ever orders the whole log, however busy one hour is. The ranges'
+    sums come from the bare log: a rejected request counts nothing.
     """
     r = accepted_registrations(requests, patients).withColumn("__new", F.col("is_new").cast("long"))
-    pos = prefix_position(r, [], "ts", "event_id", weight_col="__new", inclusive=False, out="__prior")
+    log = requests.select("ts", "event_id", F.col("patient_id").isNull().cast("long").alias("__new"))
+    pos = prefix_position(r, [], "ts", "event_id", weight_col="__new", inclusive=False, out="__prior", counted=log)
     count = F.col("__prior") + patients.agg(F.count(F.lit(1))).scalar()
     return pos.select(*requests.columns, "is_new", (count + 1).alias("token_number"), (count % 3 + 1).alias("room_number"))
 
@@ -206,7 +208,7 @@ def orders_backfill(clinical: DataFrame, prior_orders: DataFrame) -> DataFrame:
                                                           "patient_id", "left_anti")
     return first.select(make_id("WFLAB-", "consultation_id").alias("order_id"), "patient_id", "consultation_id",
                         json_list_text("lab_tests").alias("tests"), F.lit("pending").alias("status"),
-                        F.lit("{}").alias("results"), "created_at")
+                        F.lit("{}").alias("results"), "created_at", F.col("created_at").alias("updated_at"))
 
 
 def rx_backfill(clinical: DataFrame, prior_orders: DataFrame) -> DataFrame:
@@ -215,7 +217,7 @@ def rx_backfill(clinical: DataFrame, prior_orders: DataFrame) -> DataFrame:
                                                               "patient_id", "left_anti")
     return first.select(make_id("WFRX-", "consultation_id").alias("rx_id"), "patient_id", "consultation_id",
                         json_list_text("prescriptions").alias("medicines"), F.lit("pending").alias("status"),
-                        "created_at")
+                        "created_at", F.col("created_at").alias("updated_at"))
 
 
 # ---------------------------------------------------------------- applications
@@ -308,14 +310,16 @@ def decided_hospitals(applications: DataFrame, decisions: DataFrame, hospitals:
         made.select(make_id("HOSP-", "decision_id").alias("hospital_id"), F.col("decided_at").alias("created_at")), "hospital_id")
 
 
-def applications_append(requests: DataFrame, key: str = "request_id") -> DataFrame:
+def applications_append(requests: DataFrame, key: str = "request_id", at: str = "requested_at") -> DataFrame:
     """New applications: payload kept as JSON (nulls written), status
-    'pending', empty comment, deterministic id from the request key."""
+    'pending', empty comment, deterministic id from the request key, created
+    when the request came (``at``; NULL where the requests do not tell)."""
     fields = [f.split(" ")[0] for f in APPLICATION_PAYLOAD.split(", ")]
     payload = F.to_json(F.struct(*[F.col(c) if c in requests.columns else F.lit(None).cast("string").alias(c)
                                    for c in fields]), {"ignoreNullFields": "false"})
     return requests.select(make_id("APP-", key).alias("app_id"), payload.alias("data"),
-                           F.lit("pending").alias("status"), F.lit("").alias("comments"))
+                           F.lit("pending").alias("status"), F.lit("").alias("comments"),
+                           (F.col(at) if at in requests.columns else F.lit(None)).cast("timestamp_ntz").alias("created_at"))
 
 
 # ---------------------------------------------------------------- staff

@@ -17,7 +17,8 @@ from pyspark.sql.types import _parse_datatype_string
 
 from careflow import schemas as S
 from careflow.functions import extract as X
-from careflow.operators import kpi, queues, records
+from careflow.functions.common import dealt
+from careflow.operators import kpi, partials, queues, records
 from careflow.operators import predicates as P
 from careflow.operators import registry as U
 from careflow.sources import lake as L
@@ -25,10 +26,13 @@ from careflow.streaming import streams as T
 from careflow.plans.oracle import oracle_with
 from careflow.session import scratch_path
 from careflow.sources.bindings import Bindings
+from careflow.sources.state_tables import co_bucketed, tenant_rows, write_tenants
 
 # Fixed parameters of the registered queries.
 AS_OF = "2001-07-28"         # "today" on the order-date clock of patients
 QUEUE_HOSPITAL = 3           # the caller's hospital for tenant scope
+PATIENTS = (7, 11, 145)      # the patients whose files are opened
+STATE_BUCKETS = 8            # of the state tables (``buckets_for`` gives a cluster's)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,7 +71,7 @@ def q_scan_patients(spark, d):
 
 
 # ---------------------------------------------------------------- dashboard (A*)
-@query("kpi_summary", f"""
+_KPI = f"""
 SELECT (SELECT count(*) FROM b_patients) AS total_patients,
        (SELECT count(*) FROM b_patients WHERE {_day('created_at')}) AS today_patients,
        (SELECT count(*) FROM b_patients WHERE checked_in = 1) AS checked_in,
@@ -76,7 +80,10 @@ SELECT (SELECT count(*) FROM b_patients) AS total_patients,
        (SELECT count(*) FROM b_lab_orders WHERE status = 'completed') AS lab_completed,
        (SELECT count(*) FROM b_lab_orders WHERE status = 'pending') AS lab_pending,
        (SELECT count(*) FROM b_prescriptions WHERE status = 'dispensed') AS pharmacy_dispensed,
-       (SELECT count(*) FROM b_prescriptions WHERE status = 'pending') AS pharmacy_pending""")
+       (SELECT count(*) FROM b_prescriptions WHERE status = 'pending') AS pharmacy_pending"""
+
+
+@query("kpi_summary", _KPI)
 def q_kpi_summary(spark, d):
     b = Bindings(spark, d)
     return kpi.kpi_summary(b.patients, b.consultations, b.lab_orders, b.prescriptions, AS_OF)
@@ -229,6 +236,40 @@ def q_dept_completion(spark, d):
     return kpi.dept_completion(b.lab_orders, b.prescriptions)
 
 
+def _folded(spark, d: str) -> DataFrame:
+    """The tables folded in three batches, as if they had come on different days."""
+    b, path = Bindings(spark, d), scratch_path(spark, "partials")
+    part = F.coalesce(F.pmod(F.month("created_at"), F.lit(3)), F.lit(0))
+    for i in range(3):
+        new = [t.filter(part == i) for t in (b.patients, b.consultations, b.lab_orders, b.prescriptions)]
+        partials.fold(partials.daily_partials(*new), path, i)
+    return partials.read_partials(spark, path)
+
+
+@query("kpi_from_partials", _KPI)
+def q_kpi_from_partials(spark, d):
+    return partials.kpi_from_partials(_folded(spark, d), AS_OF)
+
+
+@query("dept_completion_daily", """
+SELECT strftime(day, '%Y-%m-%d') AS day, dept, completed, pending,
+       CASE WHEN completed + pending > 0 THEN round(CAST(completed AS DOUBLE) * 100 / (completed + pending), 6)
+            ELSE 0.0 END AS percent
+FROM (SELECT d.day, x.dept, coalesce(any_value(l.c) FILTER (WHERE l.dept = x.dept), 0) AS completed,
+             coalesce(any_value(l.p) FILTER (WHERE l.dept = x.dept), 0) AS pending
+      FROM (SELECT CAST(created_at AS DATE) AS day FROM b_patients UNION SELECT CAST(created_at AS DATE) FROM b_consultations
+            UNION SELECT CAST(created_at AS DATE) FROM b_lab_orders UNION SELECT CAST(created_at AS DATE) FROM b_prescriptions) d
+      CROSS JOIN (VALUES ('lab'), ('pharmacy')) x(dept)
+      LEFT JOIN (SELECT CAST(created_at AS DATE) AS day, 'lab' AS dept, count(*) FILTER (WHERE status = 'completed') AS c,
+                        count(*) FILTER (WHERE status = 'pending') AS p FROM b_lab_orders GROUP BY 1
+                 UNION ALL
+                 SELECT CAST(created_at AS DATE), 'pharmacy', count(*) FILTER (WHERE status = 'dispensed'),
+                        count(*) FILTER (WHERE status = 'pending') FROM b_prescriptions GROUP BY 1) l
+        ON l.day IS NOT DISTINCT FROM d.day GROUP BY d.day, x.dept)""")
+def q_dept_completion_daily(spark, d):
+    return _day_text(partials.dept_completion_from_partials(_folded(spark, d), by_day=True), "day")
+
+
 @query("today_patients", f"""
 SELECT * FROM b_patients WHERE {_day('created_at')}""")
 def q_today_patients(spark, d):
@@ -377,7 +418,7 @@ def q_past_visits(spark, d):
     return records.past_visits(Bindings(spark, d).consultations)
 
 
-@query("patient_record", f"""
+_PATIENT_RECORD = f"""
 SELECT p.patient_id, p.name,
        coalesce(c.n, 0) AS n_consultations, coalesce(l.n, 0) AS n_lab_orders,
        coalesce(r.n, 0) AS n_prescriptions, coalesce(u.n, 0) AS n_updates,
@@ -399,13 +440,25 @@ LEFT JOIN ({_latest('b_lab_orders', 'order_id', 'status')}) ll ON p.patient_id =
 LEFT JOIN ({_latest('b_prescriptions', 'rx_id', 'status')}) lr ON p.patient_id = lr.patient_id
 LEFT JOIN (SELECT patient_id, update_id FROM (SELECT *, row_number() OVER (PARTITION BY patient_id
            ORDER BY updated_at DESC NULLS LAST, update_id DESC) AS rn FROM b_dept_updates) WHERE rn = 1) lu
-  ON p.patient_id = lu.patient_id""")
+  ON p.patient_id = lu.patient_id"""
+
+
+@query("patient_record", _PATIENT_RECORD)
 def q_patient_record(spark, d):
     b = Bindings(spark, d)
     return records.patient_record_summary(b.patients, b.consultations, b.items, b.hospitals, b.lab_orders,
                                           b.prescriptions, b.dept_updates)
 
 
+@query("patient_record_bucketed", _PATIENT_RECORD)
+def q_patient_record_bucketed(spark, d):
+    """The same over state tables bucketed by patient: only hospitals are moved."""
+    b = Bindings(spark, d)
+    t = co_bucketed({"patients": b.patients, "clinical": clinical(b), "lab_orders": b.lab_orders, "prescriptions": b.prescriptions,
+                     "updates": b.dept_updates}, STATE_BUCKETS)
+    return records.patient_record_summary(t["patients"], t["clinical"], None, b.hospitals, t["lab_orders"], t["prescriptions"], t["updates"])
+
+
 def _ts_text(expr: str) -> str:
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
 
@@ -624,17 +677,48 @@ def _sha_id(prefix: str, expr: str) -> str:
     return f"'{prefix}' || upper(sha256(CAST({expr} AS VARCHAR)))"
 
 
-@query("principal_hospital", f"""
+_PRINCIPALS = f"""
 SELECT k.key, k.owner_id, k.role,
        CASE WHEN k.role = 'hospital_admin' THEN k.owner_id WHEN k.role = 'system_admin' THEN NULL
             ELSE CAST(s.hospital_id AS VARCHAR) END AS hospital_id
 FROM (SELECT {_sha_id('sk_staff_', 'staff_id')} AS key, CAST(staff_id AS VARCHAR) AS owner_id, role FROM b_staff
       UNION ALL
-      SELECT {_sha_id('sk_hosp_', 'hospital_id')}, CAST(hospital_id AS VARCHAR), 'hospital_admin' FROM b_hospitals) k
-LEFT JOIN b_staff s ON k.owner_id = CAST(s.staff_id AS VARCHAR)""")
+      SELECT {_sha_id('sk_hosp_', 'hospital_id')}, CAST(hospital_id AS VARCHAR), 'hospital_admin' FROM b_hospitals
+      UNION ALL
+      SELECT {_sha_id('sk_sys_', 'admin_id')}, CAST(admin_id AS VARCHAR), 'system_admin' FROM b_admins) k
+LEFT JOIN b_staff s ON k.owner_id = CAST(s.staff_id AS VARCHAR)"""
+
+
+def _principals(b: Bindings) -> DataFrame:
+    return P.principal_hospital(P.api_keys_from(b.staff, b.hospitals, b.admins), b.staff)
+
+
+@query("principal_hospital", _PRINCIPALS)
 def q_principal_hospital(spark, d):
-    b = Bindings(spark, d)
-    return P.principal_hospital(P.api_keys_from(b.staff, b.hospitals), b.staff)
+    return _principals(Bindings(spark, d))
+
+
+def _tenant_rows(spark, d: str, role: str, owner: str) -> DataFrame:
+    path, b = scratch_path(spark, "tenants"), Bindings(spark, d)
+    write_tenants(b.patients, path)
+    caller = _principals(b).filter((F.col("role") == role) & (F.col("owner_id") == owner))
+    return tenant_rows(spark, path, caller).select("key", "patient_id", "name", "hospital_id")
+
+
+@query("tenant_rows", f"""
+SELECT k.key, p.patient_id, p.name, p.hospital_id FROM ({_PRINCIPALS}) k JOIN b_patients p
+  ON k.hospital_id = CAST(p.hospital_id AS VARCHAR) WHERE k.role = 'hospital_admin' AND k.owner_id = '{QUEUE_HOSPITAL}'""")
+def q_tenant_rows(spark, d):
+    """T1 for a hospital admin: only that hospital's partition is read."""
+    return _tenant_rows(spark, d, "hospital_admin", str(QUEUE_HOSPITAL))
+
+
+@query("tenant_rows_admin", f"""
+SELECT k.key, p.patient_id, p.name, p.hospital_id FROM ({_PRINCIPALS}) k, b_patients p
+WHERE k.role = 'system_admin' AND k.owner_id = '0'""")
+def q_tenant_rows_admin(spark, d):
+    """T1 for a system admin, who sees every hospital."""
+    return _tenant_rows(spark, d, "system_admin", "0")
 
 
 # ---------------------------------------------------------------- state folds (U*, J4, J5, W7, T5)
@@ -779,7 +863,7 @@ def _first_visits(b: Bindings) -> DataFrame:
 def _backfill_sql(prefix: str, id_col: str, list_col: str, out_col: str, extra: str, prior: str) -> str:
     return f"""
 SELECT {_sha_id(prefix, 'consultation_id')} AS {id_col}, patient_id, consultation_id,
-       {_py_list(list_col)} AS {out_col}, 'pending' AS status, {extra} created_at FROM (
+       {_py_list(list_col)} AS {out_col}, 'pending' AS status, {extra} created_at, created_at AS updated_at FROM (
   SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY created_at, consultation_id) AS rn FROM b_clinical)
 WHERE rn = 1 AND patient_id NOT IN (SELECT patient_id FROM {prior} WHERE patient_id IS NOT NULL)"""
 
@@ -851,13 +935,14 @@ SELECT {_sha_id('APP-', 'app_id')} AS app_id,
        '{{' || {" || ',' || ".join(
            f"'\"{f}\":' || coalesce(CAST(to_json(json_extract_string(data, '$.{f}')) AS VARCHAR), 'null')"
            for f in _PAYLOAD_FIELDS + ['password'])} || '}}' AS data,
-       'pending' AS status, '' AS comments
+       'pending' AS status, '' AS comments, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(app_id AS BIGINT)) AS created_at
 FROM b_applications""")
 def q_applications_append(spark, d):
     b = Bindings(spark, d)
-    # Every stored application re-submitted as a request (its payload parsed back).
-    req = b.applications.select(F.col("app_id").alias("request_id"),
-                                F.from_json("data", P.APPLICATION_PAYLOAD).alias("__p")).select("request_id", "__p.*")
+    # Every stored application re-submitted as a request (its payload parsed back), one a second.
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("app_id"))
+    req = b.applications.select(F.col("app_id").alias("request_id"), at.alias("requested_at"),
+                                F.from_json("data", P.APPLICATION_PAYLOAD).alias("__p")).select("request_id", "requested_at", "__p.*")
     return U.applications_append(req)
 
 
@@ -952,12 +1037,12 @@ SELECT request_id, json_extract_string(c, '$.patient_id') AS patient_id,
        json_extract_string(c, '$.clinical_notes') AS clinical_notes
 FROM ({_RECORDS}) WHERE reason IS NULL""")
 def q_record_extract(spark, d):
-    return X.record_extract(Bindings(spark, d).records)
+    return X.record_extract(dealt(Bindings(spark, d).records))
 
 
 @query("record_quarantine", f"SELECT request_id, reason FROM ({_RECORDS}) WHERE reason IS NOT NULL")
 def q_record_quarantine(spark, d):
-    return X.record_quarantine(Bindings(spark, d).records)
+    return X.record_quarantine(dealt(Bindings(spark, d).records))
 
 
 @query("route_derive", """
@@ -990,7 +1075,7 @@ FROM (SELECT doc_id, CASE
     WHEN regexp_matches(t, '(^|[^a-z])(moderate|monitoring)([^a-z]|$)') THEN 3 ELSE 4 END AS rank
   FROM (SELECT doc_id, lower(text) AS t FROM b_complaints))""")
 def q_triage_rules(spark, d):
-    return X.triage_rules(Bindings(spark, d).complaints)
+    return X.triage_rules(dealt(Bindings(spark, d).complaints))
 
 
 @query("transcripts", """
@@ -1138,6 +1223,16 @@ def q_patient_history(spark, d):
                     F.to_json("prescriptions").alias("prescriptions"), F.to_json("lab_tests").alias("lab_tests"))
 
 
+@query("patient_rows", f"""
+SELECT consultation_id, patient_id, diagnosis, severity, created_at FROM b_consultations WHERE patient_id IN {PATIENTS}""")
+def q_patient_rows(spark, d):
+    """One patient file as the front desk opens it: a pruned read of the whole lake."""
+    path = scratch_path(spark, "lake")
+    b = Bindings(spark, d)
+    L.write_consultations(b.consultations, path, L.day_counts(b.consultations))
+    return L.patient_rows(L.read_consultations(spark, path), PATIENTS).select("consultation_id", "patient_id", "diagnosis", "severity", "created_at")
+
+
 @query("schema_evolve", """
 SELECT patient_id, name, language, token_number, room_number, checked_in, CAST(NULL AS INTEGER) AS hospital_id,
        CAST(NULL AS TIMESTAMP) AS created_at FROM b_patients WHERE checked_in = 0

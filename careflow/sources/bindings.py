@@ -28,6 +28,8 @@ BINDING_SQL: dict[str, str] = {
     "b_hospitals": """
 SELECT n_nationkey AS hospital_id, n_name AS name, concat('h', n_nationkey, '@x.org') AS email FROM nation WHERE
 n_regionkey <> 4""",
+    "b_admins": """
+SELECT r_regionkey AS admin_id FROM region""",
     "b_staff": """
 SELECT s_suppkey AS staff_id, s_nationkey AS hospital_id, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN
 'doctor' WHEN 1 THEN 'receptionist' WHEN 2 THEN 'lab_tech' ELSE 'pharmacist' END AS role FROM supplier""",

@@ -37,24 +37,34 @@ def day_counts(consultations: DataFrame) -> DataFrame:
 
 
 def write_consultations(records: DataFrame, path: str, days: DataFrame | None = None,
-                        rows_per_slice: int = 5_000_000) -> None:
+                        rows_per_slice: int = 5_000_000, row_group_bytes: int = 32 << 20, ids_per_group: int = 10_000) -> None:
     """Append a batch of records, partitioned by day.
 
     Rows are dealt by (day, slice), a slice being a hash of the id modulo the
     number of slices the day's rows need (``days``: rows per day, see
     ``day_counts``; without it every day is one slice). A hot day is written
     by many tasks, files hold about ``rows_per_slice`` rows (and never more),
-    and the records are read once: nothing is sampled.
+    and the records are read once: nothing is sampled. Within its day a task's
+    rows are sorted by patient, so a row group holds a narrow range of ids, and
+    each column chunk of ids carries a bloom filter: a reader of one patient
+    opens only the row groups that may hold it (``patient_rows``). The filter
+    is sized for ``ids_per_group`` different patients (16 KB).
     """
     out = records.withColumn("created_date", F.to_date("created_at"))
+    # a fixed number of tasks: by bytes alone, many small days would be one task's files
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if days is None:
-        out = out.repartition("created_date")
+        out = out.repartition(tasks, "created_date")
     else:
         slices = days.select("created_date", F.ceil(F.col("__n") / rows_per_slice).cast("int").alias("__slices"))
         out = out.join(slices, "created_date", "left")
         out = out.withColumn("__slice", F.pmod(F.xxhash64("consultation_id"), F.coalesce("__slices", F.lit(1))))
-        out = out.repartition("created_date", "__slice").drop("__slices", "__slice")
+        out = out.repartition(tasks, "created_date", "__slice").drop("__slices", "__slice")
+    out = out.sortWithinPartitions("created_date", "patient_id")
     (out.write.mode("append").option("maxRecordsPerFile", rows_per_slice)
+     .option("parquet.bloom.filter.enabled#patient_id", "true")
+     .option("parquet.bloom.filter.expected.ndv#patient_id", ids_per_group)
+     .option("parquet.block.size", row_group_bytes)
      .partitionBy("created_date").parquet(path))
 
 
@@ -63,11 +73,16 @@ def read_consultations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def patient_rows(lake: DataFrame, patient_ids: list) -> DataFrame:
+    """S4 / P10 for a few patients: the ids go to the parquet reader, which skips
+    row groups by their range of ids and by their bloom filter."""
+    return lake.filter(F.col("patient_id").isin(list(patient_ids)))
+
+
 def patient_history(lake: DataFrame, requests: DataFrame) -> DataFrame:
     """Lake rows of the requested patients (a batch of ids; semi-join).
 
-    For one id, ``lake.filter(col('patient_id') == id)`` is pushed to the
-    parquet reader; for many, the semi-join shuffles only the id column of
+    For a few ids see ``patient_rows``; for many, the semi-join shuffles only the id column of
     the requests (or broadcasts it once AQE has seen its size).
     """
     return lake.join(requests.select("patient_id").distinct(), "patient_id", "left_semi")
