@@ -131,41 +131,43 @@ def _name(c: str) -> str:
     return f"`{c}`"
 
 
-def _seconds(kind: str, c: str) -> str:
-    """A whole number that rises with the column: seconds of a time, units of a number.
+def _instant(kind: str, c: str) -> tuple[str, int] | None:
+    """A whole number that is equal for equal values and rises with the column, and how
+    many of them make a stretch: a minute of microseconds, 60 days, 60 numbers. None for
+    other kinds of columns.
 
     A zone-less time is read by its fields: as an instant of the session's zone,
     a missing hour would change the order.
     """
-    days = f"date_diff({c}, DATE'1970-01-01') * 86400L"
+    days = f"date_diff({c}, DATE'1970-01-01')"
     if kind == "timestamp":
-        s = f"unix_seconds({c})"
-    elif kind == "timestamp_ntz":
-        s = f"{days} + hour({c}) * 3600 + minute({c}) * 60 + second({c})"
-    elif kind == "date":
-        s = days
-    elif kind in ("long", "integer", "short", "byte"):
-        s = f"CAST({c} AS BIGINT)"
-    else:
-        s = "0L"  # one range: still right, but not spread
-    return f"coalesce({s}, {_NONE}L)"
+        return f"unix_micros({c})", 60_000_000
+    if kind == "timestamp_ntz":
+        return f"(({days} * 24L + hour({c})) * 60 + minute({c})) * 60000000L + CAST(extract(SECOND FROM {c}) * 1000000 AS BIGINT)", 60_000_000
+    if kind == "date":
+        return f"CAST({days} AS BIGINT)", 60
+    if kind in ("long", "integer", "short", "byte"):
+        return f"CAST({c} AS BIGINT)", 60
+    return None
 
 
 def placed(df: DataFrame, ts_col: str, tie_col: str) -> DataFrame:
-    """``df`` with ranges that rise with (ts, tie): ``__bucket_hour``, in it
-    ``__bucket_middle`` (a second and 2**20 ids), in it ``__bucket`` (2**10 ids).
+    """``df`` with ranges that rise with (ts, tie): ``__bucket_minute``, in it
+    ``__bucket_middle`` (an instant and 2**20 ids), in it ``__bucket`` (2**10 ids).
 
     They are computed from the row alone, so nothing is sampled or sorted to place
-    a row, and their number follows the data: a busy hour has as many as it has
-    seconds, a single hot instant as many as it has thousands of ids. NULL times
-    come first. A tie column that is no integer does not cut an instant.
+    a row, and their number follows the data: a busy minute has as many as it has
+    instants, a single hot instant as many as it has thousands of ids. NULL times
+    come first. A tie column that is no integer does not cut an instant; a time that
+    is neither time nor integer (text) leaves one range, which is right, but not spread.
     """
     kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
-    second = _seconds(kinds[ts_col], _name(ts_col))
-    numeric = kinds[tie_col] in ("long", "integer", "short", "byte")
-    tie = f"coalesce(CAST({_name(tie_col)} AS BIGINT), {_NONE}L)" if numeric else "0L"
-    ids = lambda bits: f"struct({second} AS second, shiftright({tie}, {bits}) AS ids)"
-    return df.selectExpr("*", f"CAST(floor({second} / 3600) AS BIGINT) AS __bucket_hour",
+    at, stretch = _instant(kinds[ts_col], _name(ts_col)) or ("0L", 1)
+    cut = at != "0L" and kinds[tie_col] in ("long", "integer", "short", "byte")
+    at = f"coalesce({at}, {_NONE}L)"
+    tie = f"coalesce(CAST({_name(tie_col)} AS BIGINT), {_NONE}L)" if cut else "0L"
+    ids = lambda bits: f"struct({at} AS instant, shiftright({tie}, {bits}) AS ids)"
+    return df.selectExpr("*", f"({at} - pmod({at}, {stretch}L)) AS __bucket_minute",
                          f"{ids(MIDDLE_IDS)} AS __bucket_middle", f"{ids(LEAF_IDS)} AS __bucket")
 
 
@@ -177,11 +179,12 @@ def _running(weight: str, parent: list[str], order: str, last: str = "1 PRECEDIN
 def prefix_offsets(counted: DataFrame, group_cols: list[str]) -> DataFrame:
     """Group, ``__bucket`` and ``__off``: the weights (``__w``) of all ranges before it.
 
-    A prefix scan by levels: weights are added up per leaf, middle range and hour, and
-    each level's running sum is a window within its parent only (hours of a group,
-    middle ranges of an hour, leaves of a middle range), over sums, never over rows.
+    A prefix scan by levels: weights are added up per leaf, middle range and minute, and
+    each level's running sum is a window within its parent only (minutes of a group, 5
+    million in ten years; middle ranges of a minute; leaves of a middle range), over sums,
+    never over rows.
     """
-    levels, groups = ["__bucket_hour", "__bucket_middle", "__bucket"], [_name(c) for c in group_cols]
+    levels, groups = ["__bucket_minute", "__bucket_middle", "__bucket"], [_name(c) for c in group_cols]
     sums, out = counted.groupBy(*group_cols, *levels).agg(F.sum("__w").alias("__n")), None
     for k, level in enumerate(levels):
         own = sums if level == "__bucket" else sums.groupBy(*group_cols, *levels[:k + 1]).agg(F.sum("__n").alias("__n"))
