@@ -45,7 +45,7 @@ from careflow.llm.components import components
 
 WIDTH = 5
 ROUNDS = 3
-FLUSH, OWNERS = 1 << 21, (1 << 16) - 1
+FLUSH, OWNERS = 3 << 19, (1 << 16) - 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 NONE = np.zeros(0, np.uint64)
 
@@ -53,7 +53,7 @@ NONE = np.zeros(0, np.uint64)
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         if len(word) <= 64:
             self[word] = h
@@ -242,6 +242,7 @@ def join(docs: DataFrame) -> DataFrame:
             keys = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets], object)
             half = lambda shift: pa.array([(int(k) >> shift & (1 << 64) - 1) - (1 << 63) for k in keys], pa.int64())
             yield pa.record_batch([b["doc"], pa.array([len(s) for s in sets], pa.int64()), half(0), half(64)], ["doc", "n", "k0", "k1"])
+        known.clear()  # workers live on; later stages need the memory
 
     sizes = written(rows.mapInArrow(measure, "doc long, n long, k0 long, k1 long"), "sizes")
     sets = sizes.filter("n > 0 and doc is not null").groupBy("k0", "k1").agg(F.min("doc").alias("rep"), F.max("n").alias("n"))

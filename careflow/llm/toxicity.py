@@ -46,7 +46,7 @@ class Features(dict):
         w = word.strip(EDGES)
         mask = (1 << BITS) - 1
         out = (xxhash.xxh32_intdigest(w, 1) & mask, *(xxhash.xxh32_intdigest(w[:k], k) & mask for k in PREFIXES if len(w) >= k)) if w else ()
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         self[word] = out
         return out
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[bytes, by
         for b in batches:
             sets = [np.fromiter(s, np.int32, len(s)).tobytes() for s in (of_text(t, known) for t in b["text"].to_pylist())]
             yield pa.record_batch([b["positive"], pa.array(sets, pa.binary())], ["positive", "features"])
+        known.clear()  # workers live on; later stages need the memory
 
     def learn(table: pa.Table) -> pa.Table:
         rows = [np.frombuffer(x, np.int32) for x in table["features"].to_pylist()]
@@ -165,6 +166,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
             else:
                 z[:] = 0.0
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(z)], schema.names)
+        known.clear()
 
     out = rows.mapInArrow(run, schema)
     return out.withColumns({"held_out": crc_bucket(F.col("doc_id"), folds) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
