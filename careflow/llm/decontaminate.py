@@ -14,9 +14,13 @@ The signatures are written before the search, so the planner knows their size an
 broadcasts them only below its threshold; beyond it, it shuffles.
 
 Rules: words are A-Z lower-cased and separated by ASCII white space; with fewer than
-five words the whole sequence is one shingle; without words nothing is contained.
-Null or empty texts and items give no rows. Rows that share a doc_id or item_id count
-as one, with the larger share. Other columns are ignored.
+five words the whole sequence is one shingle; without words nothing is contained. For
+an item of fewer than five words every run of as many words of a document is looked at,
+so it is found inside a long text too (the lengths that occur, four at most, are asked
+of the benchmark first). Null or empty texts and items give no rows. Rows that share a
+doc_id or item_id count as one, with the larger share. Rows without doc_id are not
+reported by ``contained_items``, which could not name them; ``decontaminate`` judges each
+by its text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +41,22 @@ def _starts(size: Column) -> Column:
     return F.when(size > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), size - (WIDTH - 1))))
 
 
-def shingles(rows: DataFrame, key: str) -> DataFrame:
-    """key, shingles: the distinct shingles as strings."""
+def _runs(size: Column, n: int) -> Column:
+    """Where runs of ``n`` words start."""
+    return F.when(size >= n, F.sequence(F.lit(1), size - (n - 1)))
+
+
+def _joined(n: int):
+    return lambda i: F.array_join(F.slice("words", i, F.lit(n)), " ")
+
+
+def shingles(rows: DataFrame, key: str, short: tuple[int, ...] = ()) -> DataFrame:
+    """key, shingles: the distinct shingles as strings, and runs of ``short`` lengths."""
     rows = rows.select(key, words(F.col("text")).alias("words"))
-    every = F.transform(_starts(F.size("words")), lambda i: F.array_join(F.slice("words", i, F.lit(WIDTH)), " "))
+    every = F.transform(_starts(F.size("words")), _joined(WIDTH))
+    for n in short:
+        more = F.transform(_runs(F.size("words"), n), _joined(n))
+        every = F.coalesce(F.concat(every, more), every)
     # no filter on them here: pushed down, it would cut the words anew for each shingle
     return rows.select(key, F.coalesce(F.array_distinct(every), F.array().cast("array<string>")).alias("shingles"))
 
@@ -51,12 +67,16 @@ def _hash(shingle: Column) -> Column:
     return F.xxhash64(*(F.xxhash64(F.get(parts, F.lit(i))) for i in range(WIDTH)))
 
 
-def hashes(rows: DataFrame, key: str) -> DataFrame:
-    """key, hash: a row for each shingle, without making its string."""
+def hashes(rows: DataFrame, key: str, short: tuple[int, ...] = ()) -> DataFrame:
+    """key, hash: a row for each shingle and each run of a ``short`` length, without making its string."""
     rows = rows.select(key, F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
     none = F.xxhash64(F.lit(None).cast("string"))
     part = lambda i, k: F.coalesce(F.get("w", i + (k - 1)), none)
     every = F.transform(_starts(F.size("w")), lambda i: F.xxhash64(*(part(i, k) for k in range(WIDTH))))
+    chained = lambda n: lambda i: F.xxhash64(*(part(i, k) for k in range(n)), *[none] * (WIDTH - n))
+    for n in short:
+        more = F.transform(_runs(F.size("w"), n), chained(n))
+        every = F.coalesce(F.concat(every, more), every)
     return rows.select(key, F.explode(every).alias("hash"))
 
 
@@ -74,10 +94,12 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 75) ->
     ``percent`` of an item's shingles."""
     items = written(shingles(benchmark, "item_id"), "items").filter(F.size("shingles") > 0)
     marks = written(signatures(items, percent), "marks")
-    found = hashes(docs, "doc_id").join(marks, "hash").select("doc_id", "item_id").distinct()
+    length = F.size(F.split(F.element_at("shingles", 1), " "))
+    short = tuple(sorted(r.n for r in items.select(length.alias("n")).distinct().filter(F.col("n") < WIDTH).collect()))
+    found = hashes(docs, "doc_id", short).join(marks, "hash").select("doc_id", "item_id").distinct()
     found = written(found, "candidates")
     suspects = docs.select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    pairs = shingles(suspects, "doc_id").withColumnRenamed("shingles", "held").join(found, "doc_id").join(items, "item_id")
+    pairs = shingles(suspects, "doc_id", short).withColumnRenamed("shingles", "held").join(found, "doc_id").join(items, "item_id")
     shared = F.size(F.array_intersect("held", "shingles"))
     pairs = pairs.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
     pairs = pairs.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
@@ -87,5 +109,14 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 75) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
-    """``docs`` without the documents that contain a test item."""
-    return docs.join(contained_items(docs, benchmark, percent).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the documents that contain a test item. All rows of a doc_id go
+    together; a row without doc_id goes by its own text."""
+    named = contained_items(docs, benchmark, percent).select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_anti").select(docs.columns)
+    nameless = docs.filter(F.col("doc_id").isNull())
+    if nameless.isEmpty():
+        return kept
+    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    texts = contained_items(nameless.select(key.alias("doc_id"), "text").distinct(), benchmark, percent).select(F.col("doc_id").alias("_text_key")).distinct()
+    clean = nameless.withColumn("_text_key", key).join(texts, "_text_key", "left_anti").select(docs.columns)
+    return kept.filter(F.col("doc_id").isNotNull()).unionByName(clean)

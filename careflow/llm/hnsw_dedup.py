@@ -17,8 +17,10 @@ vectors each query links with, and a spanning forest of the links, so its rows d
 grow with the square of a group. Components are united by stars over those forests.
 
 Rules: vectors that are null, empty, zero, or hold null or non-finite components link
-with nothing; vectors of different lengths do not link. Rows that share a vec_id are
-vectors of their own under one id. A row without vec_id links with nothing and has a
+with nothing; vectors of different lengths do not link. Doubles are kept and compared as
+such, other numbers as floats. Rows that share a vec_id are vectors of their own under
+one id: equal ones are one class, others link like any two, and each counts the other.
+A row without vec_id links with nothing and has a
 null component. Other columns are ignored.
 """
 
@@ -211,7 +213,7 @@ class Graph:
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(flat.flatten(), np.float32).reshape(len(flat), -1)
+    return np.asarray(flat.flatten()).reshape(len(flat), -1)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -256,12 +258,15 @@ def spread(classes: DataFrame, shards: int, blocks: int) -> DataFrame:
 
 def linked(vectors: DataFrame, least: float = 0.95, shards: int = 8, blocks: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of ``vectors`` (vec_id, embedding)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    wide = vectors.schema["embedding"].dataType.simpleString() == "array<double>"
+    kind, sql = (np.float64, "array<double>") if wide else (np.float32, "array<float>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(sql).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumns({"h": F.when(good, F.xxhash64("v")), "g": F.when(good, F.xxhash64(F.lit(7), F.col("v")))})
-    classes = rows.filter(good).groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
-    classes = written(classes, "classes")
+    classes = rows.filter(good).groupBy("h", "g").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    # a class goes by a number of its own (stored, so it stays): vec_ids may repeat
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     dealt = spread(classes, shards, blocks)
 
     def build(key, table):
@@ -285,7 +290,7 @@ def linked(vectors: DataFrame, least: float = 0.95, shards: int = 8, blocks: int
         if graph.num_rows and asked.num_rows:
             dim = key[0].as_py()
             reps, weights = (np.frombuffer(graph[c][0].as_py(), "<i8") for c in ("reps", "weights"))
-            exact = _unit(np.frombuffer(graph["vectors"][0].as_py(), np.float32).reshape(-1, dim))
+            exact = _unit(np.frombuffer(graph["vectors"][0].as_py(), kind).reshape(-1, dim))
             g = Graph(exact.astype(np.float32), [np.frombuffer(x, np.int32).reshape(-1, 2 * LINKS) for x in graph["layers"][0].as_py()])
             own = asked["rep"].to_numpy()
             q = _unit(_vectors(asked["v"]))
@@ -308,8 +313,10 @@ def linked(vectors: DataFrame, least: float = 0.95, shards: int = 8, blocks: int
     found = written(left.cogroup(right).applyInArrow(ask, "a long, b long, n long"), "links")
     links = found.groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
     trees = components(found.filter("a <> b").select("a", "b"))
-    classes = classes.select("h", "g", "rep", "n").join(links, "rep", "left").join(trees.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("h", "g", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    classes = classes.select("h", "g", "least", "rep", "n").join(links, "rep", "left").join(trees.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = written(classes.withColumn("root", F.coalesce("component", "rep")), "rooted")
+    roots = classes.groupBy("root").agg(F.min("least").alias("smallest")).hint("merge")
+    classes = classes.join(roots, "root").select("h", "g", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("smallest").alias("component"))
     out = rows.select("vec_id", "h", "g").join(written(classes, "linked"), ["h", "g"], "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

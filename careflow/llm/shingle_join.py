@@ -326,7 +326,18 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the smallest doc_id; documents that link
-    with nothing stay."""
-    lost = join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(written(lost, "lost").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each group: that of the smallest doc_id, before rows
+    without one; of rows alike in that, the first as stored. Texts without words link
+    with nothing, so such rows stay.
+
+    Where doc_ids repeat or are missing, rows are numbered (in a written copy) and
+    linked by number, so each of them is a document of its own here."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.filter("n > 1 or doc_id is null").isEmpty():
+        lost = join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(written(lost, "lost").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = written(join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id"), "groups")
+    named = rows.select("_row", "doc_id").join(groups.hint("merge"), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("_row"))).alias("first"))
+    return rows.join(written(first.select("first._row"), "firsts").hint("merge"), "_row", "left_semi").select(docs.columns)
