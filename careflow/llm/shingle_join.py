@@ -15,11 +15,17 @@ from a block of sets (a value that two sets of a block hold needs no partner
 elsewhere, so a very common one costs a block one entry); the shards count how many of
 a set's signatures another set has, and sets with fewer than t drop out. (2) In the
 same way, sets whose shingles are not three quarters shared by the remaining sets drop
-out. (3) Of the rest, each set is verified against the one that leads most of its
+out. (3) The second level: for the rest, the domain is partitioned anew, one shingle a
+part, in order of how many sets hold it, the rarest first. Before the first part that a
+pair has in common lie only shingles that one of them lacks: at most a quarter of the
+larger set, a seventh of the smaller. So a set enumerates the parts up to there, and
+what most sets of a family share comes last and is left out, unless the set has little
+of its own: letters of one form, each with more than a seventh of its own, meet nowhere.
+(4) Each set is verified against the one that leads most of its
 signature groups, and verified pairs are united; with other leads this is repeated
-while it links anything (``ROUNDS`` times at most). (4) All pairs that share a
-signature but lie in different components after that are verified; a set leaves out its
-t - 1 largest groups, since a similar set shares t of them. So every link between
+while it links anything (``ROUNDS`` times at most). (5) All pairs that share a
+signature but lie in different components after that are verified, unless what follows
+the signature in either set is too little to be similar. So every link between
 different components is found, however many rounds went before, while pairs inside a
 component are not enumerated.
 
@@ -224,11 +230,19 @@ def _nearer(links: DataFrame) -> DataFrame:
 
 
 def _with_components(marks: DataFrame, now: DataFrame | None) -> DataFrame:
-    """Signature rows (doc, sig) with the component so far, c."""
+    """Signature rows (doc, n, sig, rest, small) with the component so far, c."""
+    own = ["doc", "n", "sig", "rest", "small"]
     if now is None:
-        return marks.select("doc", "sig", "needed", F.col("doc").alias("c"))
+        return marks.select(*own, F.col("doc").alias("c"))
     named = now.withColumnRenamed("node", "doc").hint("merge")
-    return marks.select("doc", "sig", "needed").join(named, "doc", "left").select("doc", "sig", "needed", F.coalesce("component", "doc").alias("c"))
+    return marks.select(own).join(named, "doc", "left").select(*own, F.coalesce("component", "doc").alias("c"))
+
+
+def unit_rows(doc: list, key: list, sig: list) -> pa.RecordBatch:
+    """One row a shingle: its document, the set's own number and size, the shingle."""
+    size = [len(x) for x in sig]
+    return pa.record_batch([np.repeat(np.array(doc, np.int64), size), np.repeat(np.array(key, np.int64), size),
+                            np.repeat(np.array(size, np.int32), size), np.concatenate(sig)], ["doc", "key", "n", "sig"])
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -274,33 +288,39 @@ def join(docs: DataFrame) -> DataFrame:
     left = written(shared_enough(held, by_shingle, "shingles").select(F.col("id").alias("doc")), "left")
     held = written(held.join(left.hint("merge"), "doc", "left_semi"), "held")
 
-    def enumerate_(batches):
+    def units(batches):
         for b in batches:
-            doc, sig, need = [], [], []
+            doc, key, sig = [], [], []
             for d, s in zip(b["doc"].to_pylist(), b["shingles"].to_pylist()):
-                own = signatures(np.frombuffer(s, "<u8"))
-                sig.append(own.astype(np.int64))
-                doc.append(np.full(len(own), d))
-                need.append(np.full(len(own), spare(-(-3 * len(s) // 32)), np.int32))
-            cat = lambda x, kind: pa.array(np.concatenate([*x, np.zeros(0, kind)]).astype(kind))
-            yield pa.record_batch([cat(doc, np.int64), cat(sig, np.int64), cat(need, np.int32)], ["doc", "sig", "need"])
-
-    marks = held.select("doc", "shingles").mapInArrow(enumerate_, "doc long, sig long, need int")
-    sizes_ = marks.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
-    marks = marks.join(written(sizes_, "sizes").hint("merge"), "sig")
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("size"), F.desc("sig")))
-    # a set's t - 1 largest groups are not needed to meet a similar set
-    marks = written(marks.select("doc", "sig", (rank >= F.col("need")).alias("needed")), "marks")
+                doc.append(d)
+                key.append(xxhash.xxh3_64_intdigest(s) - (1 << 63))
+                sig.append(np.frombuffer(s, "<i8"))
+                if len(sig) == 1 << 10:
+                    yield unit_rows(doc, key, sig)
+                    doc, key, sig = [], [], []
+            if sig:
+                yield unit_rows(doc, key, sig)
+
+    single = held.mapInArrow(units, "doc long, key long, n int, sig long")
+    usual = written(single.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
+    place = F.dense_rank().over(Window.partitionBy("doc", "key").orderBy(F.desc("df"), F.desc("sig")))
+    marks = single.join(usual.hint("merge"), "sig").select("doc", "n", "sig", place.alias("rest"))
+    # a similar partner of n shingles or fewer shares 3 n / 4 at least
+    marks = marks.filter("4 * rest >= 3 * n").distinct().select("*", F.expr("7 * rest >= 6 * n").alias("small"))
+    marks = written(marks, "marks")
+    groups = marks.groupBy("sig").agg(F.count("*").alias("size"), F.max("small").alias("any")).filter("size > 1 and any").select("sig")
+    marks = written(marks.join(written(groups, "groups").hint("merge"), "sig"), "marks")
     links = tried = now = None
     for turn in range(ROUNDS):
         # each set against the member that leads most of the groups it shares with
         # another component; the lead changes by turn
         spread = written(_with_components(marks, now), "spread")
         order = F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")
-        leads = spread.groupBy("sig").agg(F.min_by(F.struct("doc", "c"), order).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        leads = written(leads.filter("lo <> hi").select("sig", F.col("lead.doc").alias("lead"), F.col("lead.c").alias("lead_c")), "leads")
+        leads = spread.groupBy("sig").agg(F.min_by(F.struct("doc", "c", "n", "rest"), order).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        leads = written(leads.filter("lo <> hi").select(
+            "sig", F.col("lead.doc").alias("lead"), F.col("lead.c").alias("lead_c"), F.col("lead.n").alias("lead_n"), F.col("lead.rest").alias("lead_rest")), "leads")
         marks = spread.join(leads.hint("merge"), "sig")  # the groups that span components; the others stay closed
-        led = marks.filter("c <> lead_c").groupBy("doc", "lead").count()
+        led = marks.filter("c <> lead_c and 7 * least(rest, lead_rest) >= 3 * (n + lead_n)").groupBy("doc", "lead").count()
         pairs = led.groupBy("doc").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead")).select(
             F.greatest("doc", "lead").alias("a"), F.least("doc", "lead").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -310,11 +330,14 @@ def join(docs: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         now = _nearer(links)
-    spread = written(_with_components(marks.filter("needed"), components(links)), "spread")
-    open_ = written(spread.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig"), "open")
+    spread = written(_with_components(marks, components(links)), "spread")
+    open_ = spread.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("small").alias("any"))
+    open_ = written(open_.filter("lo <> hi and any").select("sig"), "open")
     spread = spread.join(open_.hint("merge"), "sig", "left_semi")
-    other = spread.select(F.col("doc").alias("a"), "sig", F.col("c").alias("ca")).join(
-        spread.select(F.col("doc").alias("b"), "sig", F.col("c").alias("cb")), "sig").filter("a > b and ca <> cb").select("a", "b").distinct()
+    side = lambda x: [F.col("sig"), *(F.col(c).alias(c + x) for c in ("doc", "n", "rest", "c"))]
+    other = spread.select(side("a")).hint("merge").join(spread.filter("small").select(side("b")), "sig").filter(
+        "na >= nb and ca <> cb and 7 * least(resta, restb) >= 3 * (na + nb)")
+    other = other.select(F.greatest("doca", "docb").alias("a"), F.least("doca", "docb").alias("b")).distinct()
     second = verified(written(other.join(tried, ["a", "b"], "left_anti"), "other"), held)
     links = written(links.unionByName(second), "links")
     roots = components(links)
