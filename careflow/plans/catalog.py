@@ -21,7 +21,9 @@ from careflow.functions.common import dealt
 from careflow.operators import kpi, partials, queues, records
 from careflow.operators import predicates as P
 from careflow.operators import registry as U
+from careflow.sources import key_counts
 from careflow.sources import lake as L
+from careflow.streaming import registrations as R
 from careflow.streaming import streams as T
 from careflow.plans.oracle import oracle_with
 from careflow.session import scratch_path
@@ -1246,6 +1248,35 @@ def q_schema_evolve(spark, d):
     return L.schema_evolve(old, new)
 
 
+@query("schema_generations", """
+SELECT CAST(patient_id AS BIGINT) AS patient_id, CAST(token_number AS BIGINT) AS token_number,
+       CASE WHEN era > 1 THEN CAST(room_number AS BIGINT) END AS room_number, CASE WHEN era > 2 THEN hospital_id END AS hospital_id,
+       name AS note, CASE WHEN era > 1 THEN language END AS note_language, CASE WHEN era > 2 THEN created_at END AS created_at
+FROM (SELECT *, CASE WHEN created_at IS NULL OR created_at < TIMESTAMP '1996-01-01' THEN 1
+                     WHEN created_at < TIMESTAMP '2000-01-01' THEN 2 ELSE 3 END AS era FROM b_patients)""")
+def q_schema_generations(spark, d):
+    """Three generations of the patients table: the visit struct grows and its numbers
+    widen, the notes (a list of structs) take a language, a time comes last."""
+    p, path = Bindings(spark, d).patients, scratch_path(spark, "generations")
+    era = F.when(F.col("created_at").isNull() | (F.col("created_at") < "1996-01-01"), 1).when(F.col("created_at") < "2000-01-01", 2).otherwise(3)
+    token, room = F.col("token_number").cast("int").alias("token"), F.col("room_number").cast("int").alias("room")
+    text, language = F.col("name").alias("text"), F.col("language").alias("language")
+    forms = [
+        [F.col("patient_id").cast("int").alias("patient_id"), F.struct(token).alias("visit"), F.array(F.struct(text)).alias("notes")],
+        [F.col("patient_id").cast("long").alias("patient_id"), F.struct(token, room).alias("visit"), F.array(F.struct(text, language)).alias("notes")],
+        [F.col("patient_id").cast("long").alias("patient_id"),
+         F.struct(F.col("hospital_id"), F.col("token_number").cast("long").alias("token"), F.col("room_number").cast("long").alias("room")).alias("visit"),
+         F.array(F.struct(language, text)).alias("notes"), F.col("created_at")],
+    ]
+    paths = [f"{path}/{k}" for k in (1, 2, 3)]
+    for k, (columns, folder) in enumerate(zip(forms, paths), 1):
+        p.filter(era == k).select(columns).write.parquet(folder)
+    whole = L.read_generations(spark, paths)
+    note = F.get("notes", F.lit(0))
+    return whole.select("patient_id", F.col("visit.token").alias("token_number"), F.col("visit.room").alias("room_number"),
+                        F.col("visit.hospital_id").alias("hospital_id"), note["text"].alias("note"), note["language"].alias("note_language"), "created_at")
+
+
 @query("ingest_defaults", """
 SELECT patient_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS INTEGER) AS age, CAST(NULL AS VARCHAR) AS gender,
        CAST(NULL AS VARCHAR) AS language, CAST(NULL AS BIGINT) AS token_number, CAST(1 AS BIGINT) AS room_number,
@@ -1302,13 +1333,28 @@ def _audit_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _audited(b: Bindings) -> dict[str, DataFrame]:
+    return {"patients": b.patients, "consultations": b.consultations, "lab_orders": b.lab_orders,
+            "prescriptions": b.prescriptions, "hospitals": b.hospitals, "staff": b.staff_accounts,
+            "items": b.items, "applications": b.applications, "dept_updates": b.dept_updates,
+            "alerts": P.alert_feed(b.consultations, b.patients)}
+
+
 @query("key_audit", _audit_sql())
 def q_key_audit(spark, d):
-    b = Bindings(spark, d)
-    return L.key_audit({"patients": b.patients, "consultations": b.consultations, "lab_orders": b.lab_orders,
-                        "prescriptions": b.prescriptions, "hospitals": b.hospitals, "staff": b.staff_accounts,
-                        "items": b.items, "applications": b.applications, "dept_updates": b.dept_updates,
-                        "alerts": P.alert_feed(b.consultations, b.patients)})
+    return L.key_audit(_audited(Bindings(spark, d)))
+
+
+@query("key_audit_increments", _audit_sql())
+def q_key_audit_increments(spark, d):
+    """Parents and children come in different batches; the second one is folded twice, as
+    after a lost driver."""
+    path, tables = scratch_path(spark, "key-counts"), _audited(Bindings(spark, d))
+    late = {name: tables.pop(name) for name in ("patients", "hospitals")}
+    key_counts.fold(tables, path, 0)
+    for _ in range(2):
+        key_counts.fold(late, path, 1)
+    return key_counts.audit(spark, path)
 
 
 # ---------------------------------------------------------------- streams (T6 and its batch twin)
@@ -1360,3 +1406,30 @@ def q_stream_lab_state(spark, d):
 @query("stream_dedup_updates")
 def q_stream_dedup_updates(spark, d):
     return T.stream_dedup_updates(spark, d)
+
+
+@query("stream_daily_counts_whole", _DAILY)
+def q_stream_daily_counts_whole(spark, d):
+    return _day_text(T.stream_daily_counts_whole(spark, d), "day")
+
+
+@query("stream_patients_upsert", _UPSERT)
+def q_stream_patients_upsert(spark, d):
+    return R.stream_registry(spark, d, "patients")
+
+
+ORACLE["stream_checkin_state"] = ORACLE["checkin_state"]
+
+
+@query("stream_checkin_state")
+def q_stream_checkin_state(spark, d):
+    return R.stream_registry(spark, d, "checkins")
+
+
+@query("stream_token_board", f"""
+SELECT hospital_id, strftime(day, '%Y-%m-%d') AS day, slot, slot = 1 AS now_serving, token_number, patient_id, name, room_number FROM (
+  SELECT *, row_number() OVER (PARTITION BY hospital_id, day ORDER BY token_number, patient_id) AS slot
+  FROM (SELECT *, CAST(created_at AS DATE) AS day FROM ({_UPSERT}) u) v) w WHERE slot <= 6""")
+def q_stream_token_board(spark, d):
+    """The first six tokens of every hospital and day: the board's own limit."""
+    return _day_text(R.stream_registry(spark, d, "boards"), "day")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +93,74 @@ def schema_evolve(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+#: Kinds of numbers, each holding all values of those before it.
+WIDER = [["byte", "short", "integer", "long"], ["float", "double"]]
+
+
+def wider_type(a: T.DataType, b: T.DataType, where: str = "") -> T.DataType:
+    """The type that holds the values of both: structs by name (fields of either),
+    lists and maps by element, whole numbers and fractions each to the wider one,
+    decimals to the digits of both. Other differences raise, as any cast could lose values."""
+    if isinstance(a, T.NullType) or isinstance(b, T.NullType):
+        return b if isinstance(a, T.NullType) else a
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        theirs, mine = {f.name: f for f in b.fields}, {f.name for f in a.fields}
+        fields = [T.StructField(f.name, wider_type(f.dataType, theirs[f.name].dataType, f"{where}.{f.name}") if f.name in theirs else f.dataType)
+                  for f in a.fields]
+        return T.StructType(fields + [T.StructField(f.name, f.dataType) for f in b.fields if f.name not in mine])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(wider_type(a.elementType, b.elementType, where + "[]"))
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        return T.MapType(wider_type(a.keyType, b.keyType, where + "{}"), wider_type(a.valueType, b.valueType, where + "{}"))
+    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+        scale, whole = max(a.scale, b.scale), max(a.precision - a.scale, b.precision - b.scale)
+        if whole + scale <= 38:
+            return T.DecimalType(whole + scale, scale)
+    for kinds in WIDER:
+        if a.typeName() in kinds and b.typeName() in kinds:
+            return a if kinds.index(a.typeName()) >= kinds.index(b.typeName()) else b
+    if a.typeName() == b.typeName() and a.simpleString() == b.simpleString():
+        return a
+    raise TypeError(f"{where.lstrip('.')}: {a.simpleString()} and {b.simpleString()} have no common type without loss")
+
+
+def conformed(col: Column, has: T.DataType, want: T.DataType) -> Column:
+    """``col`` as ``want``: absent fields are NULL at every depth, a NULL stays NULL."""
+    if has.simpleString() == want.simpleString():
+        return col
+    if isinstance(want, T.StructType) and isinstance(has, T.StructType):
+        mine = {f.name: f.dataType for f in has.fields}
+        fields = [(conformed(col.getField(f.name), mine[f.name], f.dataType) if f.name in mine else F.lit(None).cast(f.dataType)).alias(f.name)
+                  for f in want.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    if isinstance(want, T.ArrayType) and isinstance(has, T.ArrayType):
+        return F.transform(col, lambda x: conformed(x, has.elementType, want.elementType))
+    if isinstance(want, T.MapType) and isinstance(has, T.MapType):
+        col = F.transform_keys(col, lambda k, v: conformed(k, has.keyType, want.keyType))
+        return F.transform_values(col, lambda k, v: conformed(v, has.valueType, want.valueType))
+    return col.cast(want)
+
+
+def evolve(*generations: DataFrame) -> DataFrame:
+    """Generations of one table as one frame, oldest first. Columns and fields that a
+    generation lacks are NULL, at any depth; numbers take the widest kind. Columns keep
+    the order they first appear in. Narrow: no shuffle, each generation is read once."""
+    want = reduce(wider_type, [g.schema for g in generations])
+
+    def shaped(g: DataFrame) -> DataFrame:
+        has = {f.name: f.dataType for f in g.schema.fields}
+        return g.select(*[(conformed(F.col(f"`{f.name}`"), has[f.name], f.dataType) if f.name in has else F.lit(None).cast(f.dataType)).alias(f.name)
+                          for f in want.fields])
+
+    return reduce(DataFrame.unionAll, [shaped(g) for g in generations])
+
+
+def read_generations(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Folders written under different schemas, each read by its own (parquet's own
+    schema merging neither widens nor completes fields in lists)."""
+    return evolve(*[spark.read.parquet(p) for p in paths])
+
+
 def ingest_defaults(source: DataFrame, target: T.StructType, defaults: dict) -> DataFrame:
     """Shape ``source`` to ``target``: columns the source lacks take the
     DDL default (or NULL); columns it has keep their values, NULL included,

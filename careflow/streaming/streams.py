@@ -14,9 +14,10 @@ them. Checkpoints live under the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.types import IntegerType, StructField, StructType, TimestampNTZType
@@ -176,10 +177,14 @@ def keyed_sink(out_dir: str, key: list[str], compact_every: int):
     return body
 
 
-def latest_snapshot(spark: SparkSession, out_dir: str, key: str | list[str], schema: StructType | None = None) -> DataFrame:
+def latest_snapshot(spark: SparkSession, out_dir: str, key: str | list[str], schema: StructType | None = None,
+                    before: int | None = None) -> DataFrame:
     """Newest row per key of a foreachBatch sink: the last snapshot, if there
-    is one, and the batch folders after it (the others are pruned)."""
+    is one, and the batch folders after it (the others are pruned). ``before``:
+    as it was before that batch, for batches that merge into what is there."""
     df = read_sink(spark, out_dir, schema)
+    if before is not None:
+        df = df.filter(F.col("batch_id") < before)
     cols = [c for c in df.columns if c != "batch_id"]
     keys = [key] if isinstance(key, str) else list(key)
     try:
@@ -188,7 +193,8 @@ def latest_snapshot(spark: SparkSession, out_dir: str, key: str | list[str], sch
         if "PATH_NOT_FOUND" not in str(e):
             raise
     else:
-        upto = snaps.agg(F.max("upto")).first()[0]  # from folder names
+        snaps = snaps if before is None else snaps.filter(F.col("upto") < before)
+        upto = snaps.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]  # from folder names
         old = snaps.filter(F.col("upto") == upto).select(*cols, F.col("upto").cast("int").alias("batch_id"))
         df = df.filter(F.col("batch_id") > upto).select(*cols, "batch_id").unionByName(old)
     return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("__r")).select("__r.*")
@@ -241,6 +247,71 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_snapshot(spark, base + "/out", ["day", "event_type"], daily_counts_stream(src).schema)
 
 
+# ---------------------------------------------------------------- T7 late rows kept
+DAY_MICROS = 86_400_000_000
+
+
+def late_folder(base: str, ts: str = "ts", kind: str = "event_type", delay: dt.timedelta = dt.timedelta(days=1)):
+    """foreachBatch body: daily counts of the rows in time, and the late rows themselves.
+
+    A row is late if its day had ended ``delay`` before the newest event of the earlier
+    batches. ``counts`` and ``late`` together hold every row of the input once; a row
+    without a time is never late. ``marks`` has a row a batch: the edge that the next
+    batch is judged by, and how many rows were late and in time, observed while the
+    counts are made. All of it lies under the batch id, so a replay writes the same.
+    """
+    sink = _batch_writer({name: f"{base}/{name}" for name in ("counts", "late", "marks")})
+
+    def body(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        edge = spark.read.parquet(f"{base}/marks/batch_id={batch_id - 1}").first()["edge"] if batch_id else None
+        zone_free = isinstance(batch.schema[ts].dataType, TimestampNTZType)
+        at = F.unix_micros(wall_clock_instant(ts) if zone_free else F.col(ts))
+        day = F.floor(F.col("__at") / F.lit(DAY_MICROS))
+        rows = batch.withColumn("__at", at).withColumn(
+            "__late", F.coalesce((day + 1) * DAY_MICROS <= F.lit(edge).cast("long"), F.lit(False)))
+        seen = Observation()
+        met = rows.observe(seen, F.count_if("__late").alias("late"), F.count_if(~F.col("__late")).alias("in_time"),
+                           F.max("__at").alias("newest"))
+        counts = met.filter("not __late").groupBy(F.date_from_unix_date(day.cast("int")).alias("day"), kind).agg(
+            F.count(F.lit(1)).alias("n"))
+        sink({"counts": counts}, batch_id)
+        # over no rows the planner leaves the observation out
+        got = {"late": 0, "in_time": 0, "newest": None} if batch.isEmpty() else seen.get
+        sink({"late": rows.filter("__late").drop("__at", "__late")}, batch_id)
+        newest = got["newest"]
+        edges = [edge, None if newest is None else newest - delay // dt.timedelta(microseconds=1)]
+        mark = [(max((e for e in edges if e is not None), default=None), got["late"], got["in_time"])]
+        sink({"marks": spark.createDataFrame(mark, "edge long, late long, in_time long")}, batch_id)
+
+    return body
+
+
+def run_counts_with_late(events: DataFrame, base: str, ts: str = "ts", kind: str = "event_type",
+                         delay: dt.timedelta = dt.timedelta(days=1), available_now: bool = True):
+    """T6 / T7 without loss: see ``late_folder``."""
+    return _run(events.writeStream.foreachBatch(late_folder(base, ts, kind, delay)), base + "/checkpoint", available_now)
+
+
+def counts_with_late(spark: SparkSession, base: str, ts: str = "ts", kind: str = "event_type") -> DataFrame:
+    """day, kind, in_time and late: how many rows came before and after their day was closed."""
+    zero = F.lit(0).cast("long")
+    counts = spark.read.parquet(f"{base}/counts").select("day", kind, F.col("n").alias("in_time"), zero.alias("late"))
+    late = daily_counts(spark.read.parquet(f"{base}/late"), ts, kind).select("day", kind, zero.alias("in_time"), F.col("n").alias("late"))
+    return counts.unionByName(late).groupBy("day", kind).agg(F.sum("in_time").alias("in_time"), F.sum("late").alias("late"))
+
+
+def stream_daily_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered form: the events arrive out of order (four files dealt by hash), so
+    many are late; counts and late rows together are the daily counts."""
+    base = scratch_path(spark, "counts-with-late")
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("ts", "event_type")
+    events.repartition(4, F.xxhash64("ts", "event_type")).write.parquet(base + "/in")
+    src = event_stream(spark, base + "/in", events.schema, max_files_per_trigger=1)
+    run_counts_with_late(src, base)
+    return counts_with_late(spark, base).select("day", "event_type", (F.col("in_time") + F.col("late")).alias("n"))
+
+
 # ---------------------------------------------------------------- registered stream runs
 def _run_to_sink(df: DataFrame, spark: SparkSession, name: str, output_mode: str = "append") -> DataFrame:
     """Run a streaming frame to the end of its input (availableNow) into a
