@@ -137,6 +137,24 @@ def test_key_counts_after_each_batch(spark, tmp_dir):
     assert [(r.rule, r.key, r.n_before + r.n_batch) for r in found] == [("pk_duplicate:patient_id", '{"c0":7}', 2)]
 
 
+def test_key_counts_are_read_and_shuffled_once(spark, tmp_dir):
+    b = Bindings(spark, SF_SMALL)
+    full = {"patients": b.patients, "consultations": b.consultations, "lab_orders": b.lab_orders, "prescriptions": b.prescriptions,
+            "hospitals": b.hospitals, "staff": b.staff_accounts, "items": b.items, "applications": b.applications,
+            "dept_updates": b.dept_updates, "alerts": b.consultations.select("consultation_id")}
+    full["items"] = spark.createDataFrame([(1, None), (1, None), (None, 2), (None, None), (1, 2)], "consultation_id long, line int")
+    full["patients"] = spark.createDataFrame([(1, None, 1), (None, None, 99), (None, "x", None), (7, "y", 2)], "patient_id int, name string, hospital_id long")
+    full["staff"] = spark.createDataFrame([(1, "u", 1), (2, "u", 1), (3, None, None), (4, None, 98)], "staff_id long, username string, hospital_id short")
+    key_counts.fold(full, tmp_dir + "/keys", 0)
+    report = key_counts.audit(spark, tmp_dir + "/keys")
+    same(report.toPandas(), L.key_audit(full).toPandas())
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    stored = key_counts.read_counts(spark, tmp_dir + "/keys")
+    keys = {(r.key, r.n) for r in stored.filter("rule = 'pk_duplicate:consultation_id,line'").collect()}
+    assert keys == {('{"c0":1}', 2), ('{"c1":2}', 1), ("{}", 1), ('{"c0":1,"c1":2}', 1)}
+    assert {(r.key, r.n) for r in stored.filter("rule = 'unique:username'").collect()} == {('{"c0":"u"}', 2)}
+
+
 def test_generations_of_nested_columns(spark):
     a = spark.createDataFrame([(1, (5,), [("x",)], {"k": 1}), (2, None, None, None)],
                               "id int, visit struct<token: int>, notes array<struct<text: string>>, m map<string, int>")
