@@ -2,8 +2,8 @@
 
 Vocabulary A encodes a space and the text, vocabulary B the text, before which it sets a
 space itself, so the tokens of both spell the same bytes. Each side's cumulative ends
-lead to token numbers in a dictionary; the ends that are keys of both, sorted, slice the
-two id lists into groups. In a slice no inner end is shared, so every stretch between
+lead to token numbers in a dictionary, an array by byte offset; the ends that are keys of
+both, in order, slice the two id lists into groups. In a slice no inner end is shared, so every stretch between
 two neighbouring ends of either side lies in one token of each: these stretches are the
 links, as many as there are tokens in the slice less one.
 
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import uuid
 
 import numpy as np
@@ -39,7 +38,7 @@ from pyspark.sql import types as T
 from careflow.llm.bpe import ID, has_unassigned, merger
 from careflow.llm.common import shuffle_partitions, written
 from careflow.llm.merge_replay import _codes, _planes
-from careflow.llm.words import PATTERN, ranges
+from careflow.llm.words import PATTERN
 from careflow.session import checkpoint_root
 
 BLOCK_CHARS, AT_ONCE = 1 << 22, 1 << 19
@@ -105,45 +104,47 @@ class Sides:
         return np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
 
 
-def slices(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """How many tokens of either side end with each group."""
-    at_a, at_b = dict(zip(ends_a, itertools.count(1))), dict(zip(ends_b, itertools.count(1)))
-    common = list(filter(at_a.__contains__, at_b))  # in order, as the ends rise
-    return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
+def _until(ends: np.ndarray, last: int) -> np.ndarray:
+    """The dictionary of one side: for every offset, how many tokens end at it or before."""
+    return np.bincount(ends, minlength=last + 1).cumsum()
 
 
-def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of both sides for every stretch of bytes between neighbouring ends."""
-    ends = np.concatenate([ends_a, ends_b])
-    ends.sort(kind="stable")  # two rising runs
-    ends = ends[np.diff(ends, prepend=0) > 0]
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+def slices_and_links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How many tokens of either side end with each group, and the token numbers of both
+    sides for every stretch of bytes between neighbouring ends."""
+    last = max(ends_a.max(initial=0), ends_b.max(initial=0))
+    of_a, of_b = np.zeros(last + 1, bool), np.zeros(last + 1, bool)
+    of_a[ends_a], of_b[ends_b] = True, True
+    common, ends = np.flatnonzero(of_a & of_b), np.flatnonzero(of_a | of_b)
+    ends = ends[ends > 0]
+    until_a, until_b = _until(ends_a, last), _until(ends_b, last)
+    return until_a[common], until_b[common], until_a[ends - 1], until_b[ends - 1]
 
 
 @functools.lru_cache(maxsize=1)
-def _digits(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every number below ``size`` in decimal with a comma after it: where, how long, the bytes."""
-    names = [b"%d," % i for i in range(size)]
-    length = np.array([len(n) for n in names], np.int64)
-    return np.cumsum(length) - length, length, np.frombuffer(b"".join(names), np.uint8)
+def _digits(size: int) -> np.ndarray:
+    """Every number below ``size`` in decimal and a comma, as eight bytes with zeros between."""
+    names = [b"%d" % i for i in range(size)]
+    return np.frombuffer(b"".join(n.ljust(7, b"\0") + b"," for n in names), np.uint64)
 
 
-def group_text(a: np.ndarray, b: np.ndarray, cuts_a: list[int], cuts_b: list[int]) -> bytes:
+def group_text(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: the ids in the order of the groups, then their separators."""
     if not len(a):
         return b""
-    cuts_a, cuts_b = np.array(cuts_a), np.array(cuts_b)
     in_a, in_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+    # where a group's ids of A and of B end, and all ids of B
+    ends_b = cuts_a + cuts_b
+    ends_a = ends_b - in_b
+    turn = np.zeros(len(a) + len(b) + 1, np.int8)
+    turn[ends_a], turn[ends_b] = 1, -1
+    of_b = np.cumsum(turn[:-1], dtype=np.int8).view(bool)
     ids = np.empty(len(a) + len(b), np.int64)
-    ids[np.arange(len(a)) + np.repeat(cuts_b - in_b, in_a)] = a
-    ids[np.arange(len(b)) + np.repeat(cuts_a, in_b)] = b
-    start, length, every = _digits(1 << 17)
-    size = length[ids]
-    out = every[ranges(start[ids], size)]
-    last = np.cumsum(size) - 1
-    out[last[cuts_a + cuts_b - in_b - 1]] = ord("|")
-    out[last[cuts_a + cuts_b - 1]] = ord(";")
-    return out[:-1].tobytes()
+    ids[of_b], ids[~of_b] = b, a
+    out = _digits(1 << 17)[ids].view(np.uint8)
+    out[8 * ends_a - 1] = ord("|")
+    out[8 * ends_b - 1] = ord(";")
+    return out.tobytes().translate(None, b"\0")[:-1]
 
 
 @functools.lru_cache(maxsize=1)
@@ -174,7 +175,7 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
             out = []
             for some in _portions(batch.column(0).to_pylist()):
                 for x, y in s.encode(some):
-                    out.append((x, y, *slices(*(e.tolist() for e in s.ends(x, y)))))
+                    out.append((x, y, *slices_and_links(*s.ends(x, y))[:2]))
             arrays = [pa.array([o[k] for o in out], pa.list_(pa.int32())) for k in range(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], schema.names)
 
@@ -195,10 +196,8 @@ def _blocks(rows: DataFrame, a: str, b: str, keep_groups: bool) -> DataFrame:
         def measure(x: np.ndarray, y: np.ndarray):
             if not len(x):
                 return 0, 0, 0, 0, "", "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-            ends_a, ends_b = s.ends(x, y)
-            cuts = slices(ends_a.tolist(), ends_b.tolist())
+            *cuts, i, j = slices_and_links(*s.ends(x, y))
             text = group_text(x, y, *cuts)
-            i, j = links(ends_a, ends_b)
             pair, times = np.unique(x[i] << SIDE | y[j], return_counts=True)
             return len(x), len(y), len(cuts[0]), len(i), hashlib.sha256(text).hexdigest(), text.decode() if keep_groups else "", pair, times
 

@@ -230,6 +230,26 @@ def test_suffix_order(alphabet):
     assert [c >= 50 for c in common[1:]] == [a == b for a, b in zip(raw, raw[1:])]
 
 
+def test_alignment_by_arrays():
+    from careflow.llm import alignment
+
+    rng = random.Random(13)
+    for n in (1, 2, 7, 300):
+        cut = lambda: np.array(sorted({n, *(rng.randint(1, n) for _ in range(rng.randint(0, n)))}))
+        ends_a, ends_b = cut(), cut()
+        cuts_a, cuts_b, i, j = alignment.slices_and_links(ends_a, ends_b)
+        common = sorted({*ends_a.tolist()} & {*ends_b.tolist()})
+        assert ends_a[cuts_a - 1].tolist() == common and ends_b[cuts_b - 1].tolist() == common
+        pairs = sorted({(int((ends_a <= byte).sum()), int((ends_b <= byte).sum())) for byte in range(n)})
+        assert list(zip(i.tolist(), j.tolist())) == pairs
+        a = np.array([rng.choice([0, 5, 49_999, 131_071]) for _ in ends_a])
+        b = np.array([rng.choice([0, 10, 31_999]) for _ in ends_b])
+        groups = [",".join(map(str, a[p:q])) + "|" + ",".join(map(str, b[r:t]))
+                  for p, q, r, t in zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b)]
+        assert alignment.group_text(a, b, cuts_a, cuts_b) == ";".join(groups).encode()
+    assert [x.tolist() for x in alignment.slices_and_links(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [[]] * 4
+
+
 def shingle_sets(texts):
     out = {}
     for d, t in texts.items():
