@@ -179,31 +179,50 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _words(text: np.ndarray) -> np.ndarray:
     """Seven symbols of 9 bits from each position on."""
-    padded = np.append(text, np.zeros(64, text.dtype)).astype(np.int64)
-    n, out = len(text) + 57, np.zeros(len(text) + 57, np.int64)
-    for j in range(SYMBOLS):
-        out |= padded[j:j + n] << 9 * (SYMBOLS - 1 - j)
-    return out
+    one = np.append(text, np.zeros(64, text.dtype)).astype(np.int64)
+    two = one << 9
+    two[:-1] |= one[1:]
+    three = two << 9
+    three[:-2] |= one[2:]
+    del one
+    four = two << 18
+    four[:-2] |= two[2:]
+    del two
+    four <<= 27
+    four[:-4] |= three[4:]
+    return four[:len(text) + 57]
+
+
+def _stable(group: np.ndarray) -> np.ndarray:
+    """Stable order of small whole numbers, 16 bits at a time: numpy counts those."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    for shift in range(16, int(group.max(initial=0)).bit_length(), 16):
+        order = order[np.argsort((group[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
 
 
 def direct(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Positions in order of the 56 symbols from them on."""
-    order = np.argsort(words[at], kind="stable")
-    at = at[order]
-    tied = np.zeros(len(at), np.int64)
+    at = at[np.argsort(words[at])]
     key = words[at]
+    some, tied = np.arange(len(at)), np.zeros(len(at), np.int64)
     for k in range(SYMBOLS, WINDOW, SYMBOLS):
-        # only positions that tie so far are sorted further
-        new = np.append(True, (key[1:] != key[:-1]) | (tied[1:] != tied[:-1])) if len(at) else np.zeros(0, bool)
-        tied = np.cumsum(new)
-        inside = ~(new & np.append(new[1:], True)) if len(at) else new
-        some = np.flatnonzero(inside)
+        # only positions that tie so far are looked at further
+        new = np.append(True, (key[1:] != key[:-1]) | (tied[1:] != tied[:-1])) if len(key) else np.zeros(0, bool)
+        inside = ~(new & np.append(new[1:], True)) if len(key) else new
+        some, tied = some[inside], np.cumsum(new)[inside]
         if not some.size:
             break
-        key = words[at + k]
-        order = np.lexsort((key[some], tied[some]))
-        at[some] = at[some][order]
-        key[some] = key[some][order]
+        key = words[at[some] + k]
+        # and of these only groups that are not in order are sorted
+        falls = np.zeros(tied[-1] + 1, bool)
+        falls[tied[1:][(key[1:] < key[:-1]) & (tied[1:] == tied[:-1])]] = True
+        move = np.flatnonzero(falls[tied])
+        if move.size:
+            order = np.argsort(key[move])
+            order = move[order[_stable(tied[move][order])]]
+            at[some[move]] = at[some[order]]
+            key[move] = key[order]
     return at
 
 
@@ -249,7 +268,7 @@ def equal_windows(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     nearest = np.where(differs, np.arange(len(text)), len(text))
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]
     nearest = np.minimum(nearest, len(text) - 1)
-    larger = text[nearest] > np.append(text, 0)[nearest + 1]
+    larger = np.append(text[:-1] > text[1:], text[-1:] > 0)[nearest]
     larger[text == 0] = False
     # what induces a string's last windows: up to the next suffix that is sorted directly
     smaller_at = np.where(larger, len(text), np.arange(len(text)))
@@ -258,20 +277,26 @@ def equal_windows(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     need = larger[last]
     inside = window.copy()
     inside[_ranges(last[need] + 1, smaller_at[last[need]] - last[need])] = True
+    del differs, nearest, smaller_at
     words = _words(text)
     order = np.concatenate(induce(text, larger, inside, direct(words, np.flatnonzero(inside & ~larger))))
     order = order[window[order]]
-    common = np.zeros(len(order), np.int64)
-    equal = np.arange(1, len(order))
-    for k in range(0, WINDOW, SYMBOLS):
-        x = words[order[equal] + k] ^ words[order[equal - 1] + k]
-        whole = x == 0
-        differ, x = equal[~whole], x[~whole]
-        for s in range(1, SYMBOLS):
-            common[differ] += (x >> 9 * (SYMBOLS - s)) == 0
-        equal = equal[whole]
-        common[equal] += SYMBOLS
-    return order, common
+    # compared by position, as copies lie alike: neighbours' words are then neighbours too
+    before = np.full(len(text), -1)
+    before[order[1:]] = order[:-1]
+    common = np.zeros(len(text), np.int8)
+    for i in range(0, len(text), PIECE):
+        at = i + np.flatnonzero(before[i:i + PIECE] >= 0)
+        other = before[at]
+        for k in range(0, WINDOW, SYMBOLS):
+            x = words[k:][at] ^ words[k:][other]
+            whole = x == 0
+            differ, x = at[~whole], x[~whole]
+            for s in range(1, SYMBOLS):
+                common[differ] += (x >> 9 * (SYMBOLS - s)) == 0
+            at, other = at[whole], other[whole]
+            common[at] += SYMBOLS
+    return order, common[order]
 
 
 def marked(docs: np.ndarray, size: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -356,8 +381,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         high, low = table["high"].to_pylist(), table["low"].to_pylist()
         size = np.array([len(x) // 4 for x in low])
         value = np.frombuffer(b"".join(high), np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(b"".join(low), np.uint32)
-        order = np.argsort(value, kind="stable")
-        same = value[order][1:] == value[order][:-1]
+        order = np.argsort(value)
+        value = value[order]
+        same = value[1:] == value[:-1]
         again = np.zeros(len(value), bool)
         again[order[1:][same]] = True
         again[order[:-1][same]] = True

@@ -250,6 +250,26 @@ def test_alignment_by_arrays():
     assert [x.tolist() for x in alignment.slices_and_links(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [[]] * 4
 
 
+def test_copies_are_not_sorted_again(monkeypatch):
+    rng = random.Random(5)
+    part = bytes(rng.randrange(3) for _ in range(90))
+    strings = [part, part, part[20:] + part[:50], bytes([1]) * 120, part] + [bytes(rng.randrange(2) for _ in range(70)) for _ in range(30)]
+    text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.uint16) + 1, 0) for s in strings]).astype(np.uint16)
+    words, at = suffix_dedup._words(text), np.flatnonzero(text)
+    tail = np.append(text, np.zeros(64, text.dtype)).tolist()
+    sorts = []
+    plain = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorts.append(len(x)) or plain(x, *a, **k))
+    monkeypatch.setattr(np, "lexsort", None)  # not needed for what is in order
+    order = suffix_dedup.direct(words, at.copy())
+    keys = [tail[i:i + 56] for i in order]
+    assert sorted(order.tolist()) == at.tolist() and keys == sorted(keys)
+    of_copies = np.tile(np.arange(90) * 0 + 1, 3).astype(np.uint16)
+    sorts.clear()
+    suffix_dedup.direct(suffix_dedup._words(of_copies), np.arange(30))
+    assert sorts == [30]
+
+
 def shingle_sets(texts):
     out = {}
     for d, t in texts.items():
