@@ -51,7 +51,7 @@ from careflow.llm.components import components
 
 WIDTH = 5
 ROUNDS = 3
-FLUSH, OWNERS = 3 << 19, (1 << 16) - 1
+FLUSH, OWNERS = 1 << 20, (1 << 16) - 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 NONE = np.zeros(0, np.uint64)
 
@@ -82,12 +82,16 @@ def shingle_set(text: bytes | None, known: WordHashes) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return NONE
-    ids = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    ids = np.array(list(map(known.__getitem__, words)), np.uint64)
     width = min(WIDTH, len(ids))
     h = np.full(len(ids) - width + 1, width, np.uint64)
     for k in range(width):
-        h = (h ^ (h >> np.uint64(29))) * _A + ids[k:len(ids) - width + 1 + k]
-    return np.unique(mix(h))
+        h ^= h >> np.uint64(29)
+        h *= _A
+        h += ids[k:len(ids) - width + 1 + k]
+    h = mix(h)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def spare(n: int) -> int:
@@ -137,16 +141,18 @@ def shared_enough(rows: DataFrame, sets, name: str) -> DataFrame:
         def flush():
             own = np.repeat(np.arange(len(found), dtype=np.int64), [len(f) for f in found])
             sig = np.concatenate(found)
-            order = np.argsort(sig, kind="stable")
+            order = np.argsort(sig)
             sig, own = sig[order], own[order]
             first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             count = np.diff(np.append(first, len(sig)))
             twice = np.repeat(count > 1, count)
             credit = np.bincount(own[twice], minlength=len(found))
             value, owner = sig[first], np.where(count > 1, OWNERS, own[first]).astype(np.uint16)
+            del sig, own, twice, count, first
             shard = (value % np.uint64(shards)).astype(np.int32)
             value = value // np.uint64(shards) & np.uint64((1 << 48) - 1)
-            order = np.lexsort((value, shard))
+            # of few shards numpy counts; within a shard the values rise already, but for the bits cut off
+            order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
             shard, value, owner = shard[order], value[order], owner[order]
             cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
             high, low = (value >> np.uint64(32)).astype(np.uint16), value.astype(np.uint32)
@@ -179,7 +185,7 @@ def shared_enough(rows: DataFrame, sets, name: str) -> DataFrame:
         size = np.array([len(x) // 4 for x in low])
         value = np.frombuffer(b"".join(high), np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(b"".join(low), np.uint32)
         own = np.frombuffer(b"".join(owner), np.uint16)
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         value = value[order]
         same = np.append(False, value[1:] == value[:-1]) if len(value) else np.zeros(0, bool)
         met = np.zeros(len(value), bool)

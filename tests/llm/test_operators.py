@@ -250,6 +250,18 @@ def test_alignment_by_arrays():
     assert [x.tolist() for x in alignment.slices_and_links(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [[]] * 4
 
 
+def test_shingles_are_sorted_once(monkeypatch):
+    known = shingle_join.WordHashes()
+    texts = [b"", b"A b", b"a b c d e", b"a b c d e f g " * 9, b"x " * 40, "\u00e9 \u00df c d e f".encode(), None]
+    expected = shingle_sets(dict(enumerate(t and t.decode() for t in texts)))
+    monkeypatch.setattr(np, "unique", None)
+    monkeypatch.setattr(np, "fromiter", None)  # a list's items are taken over at once
+    found = [shingle_join.shingle_set(t, known) for t in texts]
+    assert [len(s) for s in found] == [len(expected[i]) for i in range(len(texts))]
+    assert all((s[1:] > s[:-1]).all() and s.dtype == np.uint64 for s in found)
+    assert shingle_join.shingle_set(b"a B c D e", known).tolist() == found[2].tolist()
+
+
 def test_copies_are_not_sorted_again(monkeypatch):
     rng = random.Random(5)
     part = bytes(rng.randrange(3) for _ in range(90))
